@@ -61,21 +61,23 @@ def first_field(raw: str | Column, *keys: str, default: str = "") -> Column:
     return F.coalesce(*tries, F.lit(default))
 
 
+# First value in JSON text that is not blank: a string that is no key, a number or a flag.
+LEAF = r'[:\[,]("(?!\s*")(?:[^"\\]++|\\.)*+"(?!:)|-?\d[\d.eE+-]*|true|false)'
+
+
 def first_path(raw: str | Column, *paths: str, default: str = "") -> Column:
     """First non-empty value among dotted paths; a list or object gives its first leaf.
 
-    Objects and lists are flattened two levels deep, which covers SIEM alert exports.
+    VARIANT keeps the keys of an object sorted, so "first" is by key there.
     """
     raw = col(raw)
     tries = []
     for path in paths:
-        at = json_path(*path.split("."))
-        scalar = F.nullif(F.try_variant_get(raw, at, "string"), F.lit(""))
-        items = F.try_variant_get(raw, at, "array<string>")
-        fields = F.try_variant_get(raw, at, "map<string,string>")
-        tries.append(scalar)
-        for leaves in (items, F.map_values(fields)):
-            tries.append(F.get(F.filter(leaves, lambda x: F.coalesce(F.trim(x), F.lit("")) != ""), F.lit(0)))
+        node = F.try_variant_get(raw, json_path(*path.split(".")), "string")
+        kind = F.schema_of_variant(F.try_variant_get(raw, json_path(*path.split(".")), "variant"))
+        leaf = F.try_variant_get(F.try_parse_json(F.nullif(F.regexp_extract(node, LEAF, 1), F.lit(""))), "$", "string")
+        text = F.when(kind.startswith("ARRAY") | kind.startswith("OBJECT"), F.trim(leaf)).otherwise(node)
+        tries.append(F.nullif(text, F.lit("")))
     return F.coalesce(*tries, F.lit(default))
 
 

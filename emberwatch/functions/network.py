@@ -89,11 +89,7 @@ def _v6_hex(ip: Column) -> Column:
 
 def _private_v6(ip: Column) -> Column:
     def test(digits: Column) -> Column:
-        embedded = F.conv(F.substring(digits, 25, 8), 16, 10).cast("bigint")
-        inside = _let(embedded, lambda n: _in_blocks(n, PRIVATE_V4) & ~_in_blocks(n, PUBLIC_V4))
-        plain = ~digits.rlike(OPEN_V6) | (digits.rlike(PRIVATE_V6) & ~digits.rlike(PUBLIC_V6))
-        # An IPv4-mapped address is as private as the IPv4 address inside it.
-        return F.when(digits.startswith("00000000000000000000ffff"), inside).otherwise(plain)
+        return ~digits.rlike(OPEN_V6) | (digits.rlike(PRIVATE_V6) & ~digits.rlike(PUBLIC_V6))
 
     return F.coalesce(_let(_v6_hex(ip), test), F.lit(False))
 

@@ -105,15 +105,17 @@ def first_text(*values: str | Column) -> Column:
 
 
 def ts_text(ts: str | Column) -> Column:
-    return F.date_format(col(ts), "yyyy-MM-dd HH:mm:ss")
+    """``yyyy-MM-dd HH:mm:ss``. A cast, since date_format would apply the session zone."""
+    return F.substring(col(ts).cast("string"), 1, 19)
 
 
 def ts_iso(ts: str | Column) -> Column:
     """ISO text with microseconds only when there are any."""
-    ts = col(ts)
-    micros = F.date_format(ts, "SSSSSS")
-    whole = F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss")
-    return F.when(micros == "000000", whole).otherwise(F.concat(whole, F.lit("."), micros))
+    text = col(ts).cast("string")
+    whole = F.replace(F.substring(text, 1, 19), F.lit(" "), F.lit("T"))
+    return F.when(F.length(text) <= 19, whole).otherwise(
+        F.concat(whole, F.lit("."), F.rpad(F.substring(text, 21, 6), 6, "0"))
+    )
 
 
 def epoch_micros(ts: str | Column) -> Column:

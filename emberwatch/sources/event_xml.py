@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from emberwatch.sources.json_logs import good_numbers, record_events, record_fields
+from emberwatch.sources.lines import computed_once
 
 EVENT_SCHEMA = """
   System struct<
@@ -71,7 +72,8 @@ def read_event_xml(spark: SparkSession, path: str, **options: str) -> tuple[Data
     rows = xml.select(
         F.to_json(record).alias("value"), F.col("_metadata.file_path").alias("src_file"),
         F.monotonically_increasing_id().alias("line_id"), "_corrupt",
-    ).withColumn("raw", F.try_parse_json("value"))
+    )
+    rows = computed_once(rows, raw=F.try_parse_json("value"))
     fields = record_fields(rows, XML_KEYS)
     # A record without a readable event id keeps id 0; only broken XML and logon types are set aside.
     fields = fields.withColumn("event_id", F.coalesce(F.col("event_id").try_cast("int"), F.lit(0)).cast("string"))

@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from emberwatch.functions.events import event_category, first_field
 from emberwatch.functions.timestamps import event_time, or_unknown
-from emberwatch.schema import normalize_events
-from emberwatch.sources.lines import line_uid, read_lines, stamp
+from emberwatch.schema import normalize_events, union_all
+from emberwatch.sources.lines import computed_once, line_uid, read_lines
 
 # Record keys per event column, in order of preference.
 FIELD_KEYS = {
@@ -29,43 +29,58 @@ FIELD_KEYS = {
 NUMBERS = ("event_id", "logon_type")
 
 
+# Spark's limit for one VARIANT value. An array file is parsed as one value.
+ARRAY_FILE_LIMIT = 128 * 1024 * 1024
+
+
 def array_files(spark: SparkSession, path: str, **options: str) -> list[str]:
     """Files that hold one JSON array. Only file names reach the driver, as in any file listing."""
     opening = spark.read.options(**options).text(path).where(F.ltrim("value").startswith("["))
-    return [r[0] for r in opening.select("_metadata.file_path").distinct().collect()]
+    found = opening.select(F.col("_metadata.file_path"), F.col("_metadata.file_size")).distinct().collect()
+    large = [r[0] for r in found if r[1] >= ARRAY_FILE_LIMIT]
+    if large:
+        raise ValueError(f"JSON array files of {ARRAY_FILE_LIMIT} bytes or more; write one object per line: {large[:5]}")
+    return [r[0] for r in found]
+
+
+def read_arrays(spark: SparkSession, paths: str | list[str], **options: str) -> DataFrame:
+    """Elements of array files as (value, raw, src_file, line_id); one row without raw for a broken file."""
+    whole = (
+        spark.read.options(**options).option("multiLine", True).option("singleVariantColumn", "raw").json(paths)
+    )
+    items = F.coalesce(F.try_variant_get("raw", "$", "array<variant>"), F.array(F.lit(None).cast("variant")))
+    one = whole.select(F.explode(items).alias("raw"), F.col("_metadata.file_path").alias("src_file"))
+    return one.select(
+        F.coalesce(F.to_json("raw"), "src_file").alias("value"), "src_file",
+        F.monotonically_increasing_id().alias("line_id"), "raw",
+    )
 
 
 def read_records(spark: SparkSession, path: str, layout: str = "auto", **options: str) -> DataFrame:
-    """Records as (value JSON text, raw VARIANT, src_file, line_id); raw is NULL for malformed lines.
+    """Records as (value JSON text, src_file, line_id, raw VARIANT); raw is NULL for malformed ones.
 
     ``layout`` is ``lines``, ``array`` or ``auto``. Naming it saves a look at the files.
-    Arrays are streamed element by element by the JSON source.
     """
     arrays = array_files(spark, path, **options) if layout == "auto" else []
-    out = None
+    frames = []
     if layout != "array":
         lines = read_lines(spark, path, **options)
         if arrays:
             lines = lines.where(~F.col("src_file").isin(arrays))
-        out = lines.withColumn("raw", F.try_parse_json("value"))
+        frames.append(computed_once(lines, raw=F.try_parse_json("value")))
     if layout == "array" or arrays:
-        whole = (
-            spark.read.options(**options).option("multiLine", True).option("singleVariantColumn", "raw")
-            .json(arrays or path)
-        )
-        elements = stamp(whole, F.to_json("raw")).withColumn("raw", F.try_parse_json("value"))
-        out = elements if out is None else out.unionByName(elements)
-    return out
+        frames.append(read_arrays(spark, arrays or path, **options))
+    return union_all(frames)
 
 
 def record_fields(records: DataFrame, field_keys: dict[str, list[str]] = FIELD_KEYS) -> DataFrame:
     """Add every event column as text, looked up by its keys."""
-    return records.select(
-        "*",
-        *[
-            first_field("raw", *keys, default="0" if name in NUMBERS else "").alias(name)
+    return computed_once(
+        records,
+        **{
+            name: first_field("raw", *keys, default="0" if name in NUMBERS else "")
             for name, keys in field_keys.items()
-        ],
+        },
     )
 
 

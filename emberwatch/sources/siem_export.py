@@ -8,8 +8,7 @@ from pyspark.sql import functions as F
 from emberwatch.functions.events import first_path, level_severity, shape_category
 from emberwatch.functions.timestamps import or_unknown, siem_time
 from emberwatch.schema import normalize_events
-from emberwatch.sources.json_logs import array_files
-from emberwatch.sources.lines import line_uid, stamp
+from emberwatch.sources.lines import computed_once, line_uid
 
 # Keys that may wrap the list of alerts, in order.
 WRAPPERS = ["affected_items", "items", "alerts", "data"]
@@ -69,8 +68,8 @@ def unwrap(raw: Column) -> Column:
 
 def export_events(alerts: DataFrame) -> DataFrame:
     """Events of (raw VARIANT, src_file, line_id) alert rows, with ``severity`` of the rule level."""
-    fields = alerts.select(
-        "*", *[first_path("raw", *paths, default=DEFAULTS.get(name, "")).alias(name) for name, paths in PATHS.items()]
+    fields = computed_once(
+        alerts, **{name: first_path("raw", *paths, default=DEFAULTS.get(name, "")) for name, paths in PATHS.items()}
     )
     ts = siem_time("time")
 
@@ -92,18 +91,10 @@ def export_events(alerts: DataFrame) -> DataFrame:
 
 
 def read_siem_export(spark: SparkSession, path: str, **options: str) -> DataFrame:
-    """Events of exported alert files."""
-    arrays = array_files(spark, path, **options)
-    files = (
-        spark.read.options(**options).option("multiLine", True).option("singleVariantColumn", "raw").json(path)
-    )
-    docs = stamp(files, F.to_json("raw")).withColumn("raw", F.try_parse_json("value"))
-    listed = F.col("src_file").isin(arrays) if arrays else F.lit(False)
-    # The JSON source already hands out the elements of a top-level list one by one.
-    items = docs.where(~listed).select("src_file", "line_id", F.explode(unwrap(F.col("raw"))).alias("raw"))
-    if arrays:
-        items = items.unionByName(docs.where(listed & _is_object(F.col("raw"))).select("src_file", "line_id", "raw"))
-    return normalize_events(export_events(items))
+    """Events of exported alert files: a list of alerts, or an object that wraps one."""
+    docs = spark.read.options(**options).option("multiLine", True).option("singleVariantColumn", "raw").json(path)
+    items = docs.select(F.explode(unwrap(F.col("raw"))).alias("raw"), F.col("_metadata.file_path").alias("src_file"))
+    return normalize_events(export_events(items.withColumn("line_id", F.monotonically_increasing_id())))
 
 
 def newer_than(alerts: DataFrame, last_id: int, id_column: str = "id") -> DataFrame:

@@ -12,6 +12,8 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from emberwatch.schema import ts_text
+
 PARTITION_COLUMN = "event_date"
 
 
@@ -60,7 +62,7 @@ def read_events(spark: SparkSession, path: str, since: str | None = None, until:
 
 def alert_rows(alerts: DataFrame) -> DataFrame:
     """Alerts in store form: times cut to the second, partition date added."""
-    whole = F.date_trunc("second", F.col("alert_ts")).cast("timestamp_ntz")
+    whole = ts_text("alert_ts").cast("timestamp_ntz")
     return alerts.withColumn("alert_ts", whole).withColumn("alert_date", F.to_date("alert_ts"))
 
 

@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 from emberwatch.functions.events import cef_category, cef_unescape
 from emberwatch.functions.text import message_category, message_event_id, message_ip, message_user
 from emberwatch.functions.timestamps import cef_time, or_unknown, syslog_time
-from emberwatch.schema import normalize_events
-from emberwatch.sources.lines import line_uid, read_lines
+from emberwatch.schema import first_text, normalize_events
+from emberwatch.sources.lines import computed_once, line_uid, read_lines
 
 # Line formats. (?U) gives word and space classes their Unicode meaning,
 # (?s) lets the message run to the end of the line whatever it contains.
@@ -28,42 +28,26 @@ BSD_CLOCK_IN_HEADER = r"(?U)(\w{3}\s+\d{1,2}\s+\d{2}:\d{2}:\d{2})"
 
 
 def _groups(text: Column, pattern: str, count: int) -> Column:
-    """All groups of the match as an array, NULL if the line does not match."""
-    rewritten = F.regexp_replace(text, pattern, "\n".join(f"${i}" for i in range(1, count + 1)))
-    return F.when(text.rlike(pattern), F.split(rewritten, "\n", count))
+    """All groups of the match as an array, NULL if the line does not match.
 
-
-def _message_columns(df: DataFrame, year: int) -> DataFrame:
-    """Event columns of a parsed syslog line: pri, time, host, app, message, raw_json."""
-    ts = syslog_time("time", year)
-    priority = F.coalesce(F.col("pri").try_cast("int"), F.lit(0))
-    return df.select(
-        line_uid().alias("event_uid"), or_unknown(ts).alias("event_ts"), ts.isNotNull().alias("ts_valid"),
-        message_event_id("message", priority).alias("event_id"), F.col("app").alias("source"),
-        message_category("message").alias("category"), F.col("host").alias("computer"),
-        message_user("message").alias("username"), message_ip("message").alias("source_ip"),
-        F.col("app").alias("process_name"), F.col("message").alias("command_line"), "raw_json",
-    )
+    The leading line feed, which no line has, tells a rewritten line from an unmatched one.
+    """
+    rewritten = F.split(F.regexp_replace(text, pattern, "\n" + "\n".join(f"${i}" for i in range(1, count + 1))), "\n", count + 1)
+    return F.get(F.filter(F.array(rewritten), lambda g: F.size(g) == count + 1), F.lit(0))
 
 
-def _rfc5424(lines: DataFrame, year: int) -> DataFrame:
-    names = ["pri", "version", "time", "host", "app", "procid", "msgid", "message"]
-    out = lines.select("*", *[F.col("g5424")[i].alias(n) for i, n in enumerate(names)])
-    raw = F.struct(
-        "app", F.lit("rfc5424").alias("format"), F.col("host").alias("hostname"), "message", "msgid",
-        F.col("pri").cast("int").alias("priority"), "procid", F.col("version").try_cast("int").alias("version"),
-    )
-    return _message_columns(out.withColumn("raw_json", F.to_json(raw)), year)
+# Position of the named parts in the group arrays (0 is the marker).
+PARTS_5424 = ["pri", "version", "time", "host", "app", "procid", "msgid", "message"]
+PARTS_3164 = ["pri", "time", "host", "app", "pid", "message"]
+PARTS_CEF = ["version", "vendor", "product", "device_version", "signature_id", "name", "severity", "extension_text"]
+PARTS = sorted({*PARTS_5424, *PARTS_3164, *PARTS_CEF})
 
 
-def _rfc3164(lines: DataFrame, year: int) -> DataFrame:
-    names = ["pri", "time", "host", "app", "pid", "message"]
-    out = lines.select("*", *[F.col("g3164")[i].alias(n) for i, n in enumerate(names)])
-    raw = F.struct(
-        "app", F.lit("rfc3164").alias("format"), F.col("host").alias("hostname"), "message", "pid",
-        F.coalesce(F.col("pri").try_cast("int"), F.lit(0)).alias("priority"),
-    )
-    return _message_columns(out.withColumn("raw_json", F.to_json(raw)), year)
+def _parts(groups: Column, names: list[str], kind: str) -> Column:
+    """Named parts of a match as a struct with the same fields for every line format; NULL without a match."""
+    at = {name: i + 1 for i, name in enumerate(names)}
+    fields = [F.get(groups, F.lit(at.get(name, -1))).alias(name) for name in PARTS]
+    return F.when(groups.isNotNull(), F.struct(F.lit(kind).alias("kind"), *fields))
 
 
 def cef_pairs(extension: Column) -> Column:
@@ -80,62 +64,83 @@ def cef_pairs(extension: Column) -> Column:
     )
 
 
-def _cef(lines: DataFrame, year: int) -> DataFrame:
-    names = ["version", "vendor", "product", "device_version", "signature_id", "name", "severity", "extension_text"]
-    at = F.instr("value", "CEF:")
-    df = lines.select(
-        "*", *[F.col("gcef")[i].alias(n) for i, n in enumerate(names)],
-        F.trim(F.substring("value", F.lit(1), at - 1)).alias("header"),
-    ).withColumn("ext", cef_pairs(F.col("extension_text")))
+def match_lines(lines: DataFrame, cef_only: bool = False) -> DataFrame:
+    """Lines with their ``kind`` and named parts; kind is NULL for lines of no known format.
+
+    A line is tried as RFC 5424, then RFC 3164, then CEF; the first that fits counts.
+    """
+    value = F.col("value")
+    cef_part = F.when(value.contains("CEF:"), F.expr("substring(value, instr(value, 'CEF:'))"))
+    tries = [] if cef_only else [
+        _parts(_groups(value, RFC5424, len(PARTS_5424)), PARTS_5424, "rfc5424"),
+        _parts(_groups(value, RFC3164, len(PARTS_3164)), PARTS_3164, "rfc3164"),
+    ]
+    tries.append(_parts(_groups(cef_part, CEF, len(PARTS_CEF)), PARTS_CEF, "cef"))
+    matched = computed_once(lines, p=F.coalesce(*tries))
+    return matched.select("value", "src_file", "line_id", "p.*")
+
+
+def line_events(matched: DataFrame, year: int) -> DataFrame:
+    """Event layout of matched lines, all formats in one projection."""
+    is_cef = F.col("kind") == "cef"
+    df = computed_once(
+        matched,
+        ext=F.when(is_cef, cef_pairs(F.col("extension_text"))),
+        header=F.when(is_cef, F.trim(F.substring("value", F.lit(1), F.instr("value", "CEF:") - 1))),
+    )
 
     def ext(*keys: str, default: Column | None = None) -> Column:
         # A key that is present counts even if its value is empty.
         found = [F.try_element_at("ext", F.lit(k)) for k in keys]
         return F.coalesce(*found, default if default is not None else F.lit(""))
 
-    host = ext("dhost", "shost")
-    from_header = F.coalesce(F.get(F.split("header", r"\s+"), F.lit(1)), F.lit(""))
-    stamp = ext("rt", "end", "start")
+    def pick(cef: Column, log: Column) -> Column:
+        return F.when(is_cef, cef).otherwise(log)
+
     clock = F.regexp_extract("header", BSD_CLOCK_IN_HEADER, 1)
-    ts = cef_time(F.when(stamp != "", stamp).otherwise(clock), year)
-    raw = F.struct(
-        F.col("version").alias("cef_version"), "device_version", F.col("ext").alias("extension"),
-        F.lit("cef").alias("format"), "name", "product", "severity", "signature_id", "vendor",
+    stamp = ext("rt", "end", "start")
+    priority = F.coalesce(F.col("pri").try_cast("int"), F.lit(0))
+    df = computed_once(
+        df,
+        ts=pick(cef_time(F.when(stamp != "", stamp).otherwise(clock), year), syslog_time("time", year)),
+    )
+    second_word = F.coalesce(F.get(F.split("header", r"\s+"), F.lit(1)), F.lit(""))
+    raw_syslog = F.to_json(
+        F.struct(
+            "app", F.col("kind").alias("format"), F.col("host").alias("hostname"), "message", "msgid", "pid",
+            priority.alias("priority"), "procid",
+            F.when(F.col("kind") == "rfc5424", F.col("version").try_cast("int")).alias("version"),
+        )
     )
-    return df.select(
-        line_uid().alias("event_uid"), or_unknown(ts).alias("event_ts"), ts.isNotNull().alias("ts_valid"),
-        F.coalesce(F.trim("signature_id").try_cast("int"), F.lit(0)).alias("event_id"),
-        F.concat_ws("/", "vendor", "product").alias("source"), cef_category("severity").alias("category"),
-        F.when(host != "", host).otherwise(from_header).alias("computer"), ext("suser").alias("username"),
-        ext("src", "sourceAddress").alias("source_ip"), ext("dproc", "sproc").alias("process_name"),
-        ext("act", "cs1", default=F.col("name")).alias("command_line"), ext("duser").alias("target_username"),
-        ext("dntdom").alias("domain"), F.to_json(raw).alias("raw_json"),
+    raw_cef = F.to_json(
+        F.struct(
+            F.col("version").alias("cef_version"), "device_version", F.col("ext").alias("extension"),
+            F.col("kind").alias("format"), "name", "product", "severity", "signature_id", "vendor",
+        )
+    )
+    nothing = F.lit("")
+    return normalize_events(
+        df.select(
+            line_uid().alias("event_uid"), or_unknown(F.col("ts")).alias("event_ts"), F.col("ts").isNotNull().alias("ts_valid"),
+            pick(F.coalesce(F.trim("signature_id").try_cast("int"), F.lit(0)), message_event_id("message", priority)).alias("event_id"),
+            pick(F.concat_ws("/", "vendor", "product"), F.col("app")).alias("source"),
+            pick(cef_category("severity"), message_category("message")).alias("category"),
+            pick(first_text(ext("dhost", "shost"), second_word), F.col("host")).alias("computer"),
+            pick(ext("suser"), message_user("message")).alias("username"),
+            pick(ext("src", "sourceAddress"), message_ip("message")).alias("source_ip"),
+            pick(ext("dproc", "sproc"), F.col("app")).alias("process_name"),
+            pick(ext("act", "cs1", default=F.col("name")), F.col("message")).alias("command_line"),
+            pick(ext("duser"), nothing).alias("target_username"), pick(ext("dntdom"), nothing).alias("domain"),
+            pick(raw_cef, raw_syslog).alias("raw_json"),
+        )
     )
 
 
 def parse_lines(lines: DataFrame, default_year: int, cef_only: bool = False) -> tuple[DataFrame, DataFrame]:
-    """(events, quarantine) of (value, src_file, line_id) lines.
-
-    A line is tried as RFC 5424, then RFC 3164, then CEF; the first that fits counts.
-    """
-    cef_part = F.when(F.col("value").contains("CEF:"), F.expr("substring(value, instr(value, 'CEF:'))"))
-    never = F.lit(None).cast("array<string>")
-    tried = lines.select(
-        "value", "src_file", "line_id",
-        (never if cef_only else _groups(F.col("value"), RFC5424, 8)).alias("g5424"),
-        (never if cef_only else _groups(F.col("value"), RFC3164, 6)).alias("g3164"),
-        _groups(cef_part, CEF, 8).alias("gcef"),
-    )
-    is5424 = F.col("g5424").isNotNull()
-    is3164 = ~is5424 & F.col("g3164").isNotNull()
-    is_cef = ~is5424 & F.col("g3164").isNull() & F.col("gcef").isNotNull()
-    parts = [] if cef_only else [_rfc5424(tried.where(is5424), default_year), _rfc3164(tried.where(is3164), default_year)]
-    parts.append(_cef(tried.where(is_cef), default_year))
-    events = normalize_events(parts[0])
-    for part in parts[1:]:
-        events = events.unionByName(normalize_events(part))
-    none = F.col("g5424").isNull() & F.col("g3164").isNull() & F.col("gcef").isNull()
-    return events, tried.where(none).select("value", "src_file", "line_id", F.lit("malformed").alias("reason"))
+    """(events, quarantine) of (value, src_file, line_id) lines."""
+    matched = match_lines(lines, cef_only)
+    bad = matched.where(F.col("kind").isNull()).select("value", "src_file", "line_id", F.lit("malformed").alias("reason"))
+    return line_events(matched.where(F.col("kind").isNotNull()), default_year), bad
 
 
 def read_syslog(spark: SparkSession, path: str, default_year: int, **options: str) -> tuple[DataFrame, DataFrame]:
