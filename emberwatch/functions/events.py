@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from emberwatch.functions.sqltext import lit
 from emberwatch.functions.text import contains_any, first_match
 from emberwatch.schema import col, ts_iso
 
@@ -54,39 +55,39 @@ def raw_text(raw: Column, *parts: str) -> Column:
     return F.try_variant_get(raw, json_path(*parts), "string")
 
 
-def first_field(raw: str | Column, *keys: str, default: str = "") -> Column:
-    """First key present at the top level or under ``EventData``, key by key."""
-    raw = col(raw)
-    tries = [lookup for k in keys for lookup in (raw_text(raw, k), raw_text(raw, "EventData", k))]
-    return F.coalesce(*tries, F.lit(default))
+def raw_text_sql(raw: str, *parts: str) -> str:
+    return f"try_variant_get({raw}, {lit(json_path(*parts))}, 'string')"
+
+
+def first_field(raw: str, *keys: str, default: str = "") -> Column:
+    """First key of the VARIANT column present at the top level or under ``EventData``, key by key."""
+    tries = [x for k in keys for x in (raw_text_sql(raw, k), raw_text_sql(raw, "EventData", k))]
+    return F.expr(f"coalesce({', '.join(tries)}, {lit(default)})")
 
 
 # First value in JSON text that is not blank: a string that is no key, a number or a flag.
 LEAF = r'[:\[,]("(?!\s*")(?:[^"\\]++|\\.)*+"(?!:)|-?\d[\d.eE+-]*|true|false)'
 
 
-def first_path(raw: str | Column, *paths: str, default: str = "") -> Column:
+def first_path(raw: str, *paths: str, default: str = "") -> Column:
     """First non-empty value among dotted paths; a list or object gives its first leaf.
 
     VARIANT keeps the keys of an object sorted, so "first" is by key there.
     """
-    raw = col(raw)
     tries = []
     for path in paths:
-        node = F.try_variant_get(raw, json_path(*path.split(".")), "string")
-        kind = F.schema_of_variant(F.try_variant_get(raw, json_path(*path.split(".")), "variant"))
-        leaf = F.try_variant_get(F.try_parse_json(F.nullif(F.regexp_extract(node, LEAF, 1), F.lit(""))), "$", "string")
-        text = F.when(kind.startswith("ARRAY") | kind.startswith("OBJECT"), F.trim(leaf)).otherwise(node)
-        tries.append(F.nullif(text, F.lit("")))
-    return F.coalesce(*tries, F.lit(default))
-
-
-def dns_query(raw: str | Column) -> Column:
-    """Query name of a DNS record, ``''`` if it has none."""
-    raw = col(raw)
-    tries = [raw_text(raw, k) for k in QUERY_KEYS]
-    tries += [raw_text(raw, "EventData", k) for k in QUERY_EVENT_DATA_KEYS]
-    return F.coalesce(*[F.nullif(t, F.lit("")) for t in tries], F.lit(""))
+        at = lit(json_path(*path.split(".")))
+        node, kind = f"try_variant_get({raw}, {at}, 'string')", f"schema_of_variant(try_variant_get({raw}, {at}, 'variant'))"
+        leaf = f"trim(try_variant_get(try_parse_json(nullif(regexp_extract({node}, {lit(LEAF)}, 1), '')), '$', 'string'))"
+        tries.append(f"nullif(CASE WHEN {kind} LIKE 'ARRAY%' OR {kind} LIKE 'OBJECT%' THEN {leaf} ELSE {node} END, '')")
+    return F.expr(f"coalesce({', '.join(tries)}, {lit(default)})")
+
+
+def dns_query(raw: str) -> Column:
+    """Query name of a DNS record (a VARIANT column), ``''`` if it has none."""
+    tries = [raw_text_sql(raw, k) for k in QUERY_KEYS]
+    tries += [raw_text_sql(raw, "EventData", k) for k in QUERY_EVENT_DATA_KEYS]
+    return F.expr("coalesce(" + ", ".join(f"nullif({t}, '')" for t in tries) + ", '')")
 
 
 def _lookup(table: dict, key: Column, default: str) -> Column:

@@ -7,7 +7,7 @@ import ipaddress
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from emberwatch.schema import col
+from emberwatch.functions.sqltext import lit
 
 # IPv4 blocks that count as private, loopback or reserved.
 PRIVATE_V4 = [
@@ -28,78 +28,60 @@ OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 V4 = rf"^{OCTET}(?:\.{OCTET}){{3}}$"
 
 
-def _v4_number(ip: Column) -> Column:
-    parts = F.split(ip, r"\.")
-    value = F.lit(0).cast("bigint")
-    for i in range(4):
-        value = value * 256 + F.get(parts, F.lit(i)).try_cast("bigint")
-    return value
+HEX_GROUP = "^[0-9a-f]{1,4}$"
 
 
-def _in_blocks(number: Column, blocks: list[str]) -> Column:
-    test = F.lit(False)
-    for block in blocks:
-        net = ipaddress.ip_network(block)
-        test = test | number.between(int(net.network_address), int(net.broadcast_address))
-    return test
+def _blocks(blocks: list[str]) -> str:
+    nets = [ipaddress.ip_network(b) for b in blocks]
+    return "(" + " OR ".join(f"n BETWEEN {int(n.network_address)} AND {int(n.broadcast_address)}" for n in nets) + ")"
 
 
-def _private_v4(ip: Column) -> Column:
-    return _let(_v4_number(ip), lambda n: _in_blocks(n, PRIVATE_V4) & ~_in_blocks(n, PUBLIC_V4))
+def _let(value: str, name: str, body: str) -> str:
+    """SQL for ``body`` with ``name`` bound to ``value``, which is evaluated once."""
+    return f"get(transform(array({value}), {name} -> {body}), 0)"
 
 
-def _let(value: Column, body) -> Column:
-    """``body(value)`` with ``value`` evaluated once; only for rare branches."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
+def _v4_number(ip: str) -> str:
+    parts = [f"try_cast(split_part({ip}, '.', {i + 1}) AS BIGINT) * {256 ** (3 - i)}" for i in range(4)]
+    return "(" + " + ".join(parts) + ")"
 
 
-def _v6_undotted(ip: Column) -> Column:
-    """IPv6 text with a dotted IPv4 tail turned into two hex groups."""
-    tail = F.regexp_extract(ip, r"([\d.]+)$", 1)
-    low = F.regexp_replace(ip, r"[\d.]+$", "")
-    groups = _let(
-        _v4_number(tail),
-        lambda n: F.concat(F.lower(F.hex(F.shiftright(n, 16))), F.lit(":"), F.lower(F.hex(n.bitwiseAND(F.lit(65535))))),
-    )
-    return F.when(~tail.contains("."), ip).when(tail.rlike(V4), F.concat(low, groups))
-
-
-def _v6_hex(ip: Column) -> Column:
-    """Full 32-digit hex form of an IPv6 text, NULL if it is not one."""
-
-    def groups(text: Column) -> Column:
-        return F.when(text == "", F.array().cast("array<string>")).otherwise(F.split(text, ":"))
-
-    def widen(ip: Column) -> Column:
-        left = groups(F.substring_index(ip, "::", 1))
-        right = groups(F.substring_index(ip, "::", -1))
-        gap = F.greatest(8 - F.size(left) - F.size(right), F.lit(0))
-        shortened = (F.size(F.split(ip, "::")) == 2) & (F.size(left) + F.size(right) < 8)
-        return F.when(~ip.contains("::"), groups(ip)).when(
-            shortened, F.concat(left, F.array_repeat(F.lit("0"), gap), right)
-        )
+def _private_v4(ip: str) -> str:
+    return _let(_v4_number(ip), "n", f"{_blocks(PRIVATE_V4)} AND NOT {_blocks(PUBLIC_V4)}")
 
-    def join(full: Column) -> Column:
-        valid = (F.size(full) == 8) & F.forall(full, lambda g: g.rlike("^[0-9a-f]{1,4}$"))
-        return F.when(valid, F.array_join(F.transform(full, lambda g: F.lpad(g, 4, "0")), ""))
 
-    plain = F.lower(F.regexp_replace(ip, "%.+$", ""))
-    return _let(_let(_let(plain, _v6_undotted), widen), join)
-
-
-def _private_v6(ip: Column) -> Column:
-    def test(digits: Column) -> Column:
-        return ~digits.rlike(OPEN_V6) | (digits.rlike(PRIVATE_V6) & ~digits.rlike(PUBLIC_V6))
+def _private_v6(ip: str) -> str:
+    # A dotted IPv4 tail becomes two hex groups.
+    tail = "regexp_extract(a, '([0-9.]+)$', 1)"
+    two_groups = _let(_v4_number(tail), "n", "concat(lower(hex(shiftright(n, 16))), ':', lower(hex(n & 65535)))")
+    undotted = (
+        f"CASE WHEN NOT contains({tail}, '.') THEN a WHEN {tail} RLIKE {lit(V4)} "
+        f"THEN concat(regexp_replace(a, '[0-9.]+$', ''), {two_groups}) END"
+    )
+    # '::' stands for as many zero groups as are missing.
+    left = "filter(split(substring_index(b, '::', 1), ':'), (g, i) -> NOT (i = 0 AND substring_index(b, '::', 1) = ''))"
+    right = "filter(split(substring_index(b, '::', -1), ':'), (g, i) -> NOT (i = 0 AND substring_index(b, '::', -1) = ''))"
+    widened = (
+        f"CASE WHEN NOT contains(b, '::') THEN split(b, ':') "
+        f"WHEN size(split(b, '::')) = 2 AND size({left}) + size({right}) < 8 "
+        f"THEN concat({left}, array_repeat('0', 8 - size({left}) - size({right})), {right}) END"
+    )
+    digits = (
+        f"CASE WHEN size(c) = 8 AND forall(c, g -> g RLIKE {lit(HEX_GROUP)}) "
+        f"THEN array_join(transform(c, g -> lpad(g, 4, '0')), '') END"
+    )
+    private = f"NOT d RLIKE {lit(OPEN_V6)} OR (d RLIKE {lit(PRIVATE_V6)} AND NOT d RLIKE {lit(PUBLIC_V6)})"
+    plain = f"lower(regexp_replace({ip}, '%.+$', ''))"
+    hex_text = _let(_let(_let(plain, "a", undotted), "b", widened), "c", digits)
+    return f"coalesce({_let(hex_text, 'd', private)}, false)"
 
-    return F.coalesce(_let(_v6_hex(ip), test), F.lit(False))
 
+def is_private_ip(ip: str) -> Column:
+    """True for empty, ``-`` and private/loopback/reserved addresses; false for non-addresses.
 
-def is_private_ip(ip: str | Column) -> Column:
-    """True for empty, ``-`` and private/loopback/reserved addresses; false for non-addresses."""
-    ip = col(ip)
-    return (
-        F.when((ip == "") | (ip == "-") | ip.isNull(), True)
-        .when(ip.rlike(V4), _private_v4(ip))
-        .when(ip.contains(":"), _private_v6(ip))
-        .otherwise(False)
+    ``ip`` is a column name. The IPv6 branch runs only for texts with a colon.
+    """
+    return F.expr(
+        f"CASE WHEN {ip} IS NULL OR {ip} IN ('', '-') THEN true WHEN {ip} RLIKE {lit(V4)} THEN {_private_v4(ip)} "
+        f"WHEN contains({ip}, ':') THEN {_private_v6(ip)} ELSE false END"
     )

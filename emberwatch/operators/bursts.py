@@ -8,12 +8,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from emberwatch.functions.events import dns_query
+from emberwatch.functions.sqltext import EVENT_TIME, TARGET_OR_USER
 from emberwatch.functions.text import first_label, label_entropy, parent_domain, tool_name
 from emberwatch.operators.alerts import summarize_groups
 from emberwatch.operators.settings import DetectorSettings
-from emberwatch.operators.stateless import QUIET_ACCOUNTS, is_quiet, target_or_user
+from emberwatch.operators.stateless import QUIET, QUIET_ACCOUNTS
 from emberwatch.operators.windows import anchored_windows, dense_windows, first_stage_window
-from emberwatch.schema import evidence_struct, finish_alerts, first_text, ts_text
+from emberwatch.schema import computed_once, evidence_struct, finish_alerts, first_text
 
 # Event ids and logon types of the keyed detectors.
 FAILED_LOGON_IDS = [4625, 4776]
@@ -66,6 +67,10 @@ def _alerts(groups: DataFrame, detector: str, rule: str | Column, severity: str
     )
 
 
+def target_or_user() -> Column:
+    return F.expr(TARGET_OR_USER)
+
+
 def failed_logons(events: DataFrame) -> DataFrame:
     return events.where(F.col("event_id").isin(FAILED_LOGON_IDS))
 
@@ -75,12 +80,11 @@ def brute_force_groups(events: DataFrame, s: DetectorSettings, watch: Watch = No
     rows = dense_windows(
         failed_logons(events), first_text("source_ip", F.lit("unknown")), s.brute_force_window, s.brute_force_threshold
     )
-    target = target_or_user()
     return summarize_groups(
-        rows, ["key", "anchor"], distinct=target, watch=watch,
+        rows, ["key", "anchor"], distinct=target_or_user(), watch=watch,
         evidence=evidence_struct(
-            timestamp=ts_text("event_ts"), source_ip=F.col("source_ip"), username=target,
-            event_id=F.col("event_id"), computer=F.col("computer"),
+            timestamp=EVENT_TIME, source_ip="source_ip", username=TARGET_OR_USER,
+            event_id="event_id", computer="computer",
         ),
     )
 
@@ -114,8 +118,8 @@ def lateral_groups(events: DataFrame, s: DetectorSettings, watch: Watch = None)
         extra={"by_desktop": F.col("logon_type") == 10},
         having=F.col("n_distinct") >= s.lateral_host_threshold,
         evidence=evidence_struct(
-            timestamp=ts_text("event_ts"), username=F.col("key"), computer=F.col("computer"),
-            source_ip=F.col("source_ip"), logon_type=F.col("logon_type"),
+            timestamp=EVENT_TIME, username="key", computer="computer",
+            source_ip="source_ip", logon_type="logon_type",
         ),
     )
 
@@ -152,8 +156,8 @@ def detect_privilege(events: DataFrame, s: DetectorSettings, watch: Watch = None
         privilege_rows(events), ["key"], watch=watch,
         extra={p: F.array_contains("held", p) for p in SENSITIVE_PRIVILEGES},
         evidence=evidence_struct(
-            timestamp=ts_text("event_ts"), username=F.col("key"), computer=F.col("computer"),
-            event_id=F.col("event_id"), privileges=F.col("held"),
+            timestamp=EVENT_TIME, username="key", computer="computer",
+            event_id="event_id", privileges="held",
         ),
     )
     held = F.array_compact(F.array(*[F.when(F.col(p), F.lit(p)) for p in sorted(SENSITIVE_PRIVILEGES)]))
@@ -177,8 +181,8 @@ def detect_recon_burst(events: DataFrame, s: DetectorSettings, watch: Watch = No
     groups = summarize_groups(
         rows, ["key", "anchor"], distinct=F.col("tool"), names_shown=None, watch=watch,
         evidence=evidence_struct(
-            timestamp=ts_text("event_ts"), username=F.col("key"), computer=F.col("computer"),
-            process=F.col("process_name"), command_line=F.substring("command_line", 1, 300),
+            timestamp=EVENT_TIME, username="key", computer="computer",
+            process="process_name", command_line="substring(command_line, 1, 300)",
         ),
     )
     return _alerts(
@@ -193,9 +197,9 @@ def detect_recon_burst(events: DataFrame, s: DetectorSettings, watch: Watch = No
 def odd_dns_rows(events: DataFrame, s: DetectorSettings) -> DataFrame:
     """DNS events with a long high-entropy first label, with ``query``."""
     label = first_label("query")
+    dns = computed_once(events.where(F.col("event_id").isin(DNS_IDS)), record=F.try_parse_json("raw_json"))
     return (
-        events.where(F.col("event_id").isin(DNS_IDS))
-        .withColumn("query", dns_query(F.try_parse_json("raw_json")))
+        computed_once(dns, query=dns_query("record")).drop("record")
         .where(
             F.col("query").contains(".") & (F.length(label) >= s.dns_min_label_length)
             & (label_entropy(label) >= s.dns_min_entropy_bits)
@@ -210,8 +214,8 @@ def detect_dns_exfil(events: DataFrame, s: DetectorSettings, watch: Watch = None
     groups = summarize_groups(
         rows, ["key", "anchor"], distinct=parent_domain("query"), names_shown=3, watch=watch,
         evidence=evidence_struct(
-            timestamp=ts_text("event_ts"), computer=F.col("computer"), username=F.col("username"),
-            query=F.substring("query", 1, 200), event_id=F.col("event_id"),
+            timestamp=EVENT_TIME, computer="computer", username="username",
+            query="substring(query, 1, 200)", event_id="event_id",
         ),
     )
     return _alerts(
@@ -236,7 +240,7 @@ def stage_of() -> Column:
 
 
 def staged_rows(events: DataFrame) -> DataFrame:
-    return events.withColumn("stage", stage_of()).where(F.col("stage").isNotNull() & ~is_quiet(target_or_user()))
+    return events.withColumn("stage", stage_of()).where(F.col("stage").isNotNull() & ~F.expr(QUIET))
 
 
 def detect_attack_chain(events: DataFrame, s: DetectorSettings, watch: Watch = None) -> DataFrame:
@@ -247,9 +251,9 @@ def detect_attack_chain(events: DataFrame, s: DetectorSettings, watch: Watch = N
         rows, ["key", "anchor"], watch=watch, cap=CHAIN_EVIDENCE_CAP,
         extra={f"in_{i}": F.col("stage") == name for i, name in enumerate(STAGES)},
         evidence=evidence_struct(
-            timestamp=ts_text("event_ts"), stage=F.col("stage"), event_id=F.col("event_id"),
-            computer=F.col("computer"), username=F.col("key"), process=F.col("process_name"),
-            source_ip=F.col("source_ip"),
+            timestamp=EVENT_TIME, stage="stage", event_id="event_id",
+            computer="computer", username="key", process="process_name",
+            source_ip="source_ip",
         ),
     )
     seen = F.array_compact(F.array(*[F.when(F.col(f"in_{i}"), F.lit(n)) for i, n in enumerate(STAGES)]))

@@ -18,11 +18,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from emberwatch.functions.events import json_path, raw_text
+from emberwatch.functions.sqltext import EVENT_TIME, USER_OR_TARGET
 from emberwatch.functions.text import number_or_zero, search
 from emberwatch.operators.alerts import summarize_groups
 from emberwatch.operators.rowrules import RowRule
 from emberwatch.operators.windows import anchored_windows
-from emberwatch.schema import EVENT_COLUMNS, SEVERITIES, evidence_struct, finish_alerts, first_text, ts_text
+from emberwatch.schema import EVENT_COLUMNS, SEVERITIES, evidence_struct, finish_alerts, ts_text
 
 
 def event_field(name: str) -> Column:
@@ -109,11 +110,8 @@ class FieldRule:
     def test(self) -> Column:
         return conditions_test(self.conditions)
 
-    def evidence(self, **more: Column) -> dict[str, Column]:
-        return {
-            "timestamp": ts_text("event_ts"), "event_id": F.col("event_id"), "computer": F.col("computer"),
-            "username": first_text("username", "target_username"), **more,
-        }
+    def evidence(self, **more: str) -> dict[str, str]:
+        return {"timestamp": EVENT_TIME, "event_id": "event_id", "computer": "computer", "username": USER_OR_TARGET, **more}
 
     def row_rule(self) -> RowRule:
         return RowRule(
@@ -136,7 +134,7 @@ def field_rule_groups(events: DataFrame, rule: FieldRule, watch=None) -> DataFra
         keys, rows = ["key", "anchor"], anchored_windows(rows, key, rule.window_seconds)
     else:
         keys, rows = ["key"], rows.withColumn("key", key)
-    extra = {"group_key": F.col("key")} if rule.group_by else {}
+    extra = {"group_key": "key"} if rule.group_by else {}
     return summarize_groups(
         rows, keys, evidence=evidence_struct(**rule.evidence(**extra)), having=F.col("n") >= rule.threshold, watch=watch
     )

@@ -12,6 +12,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from emberwatch.functions.sqltext import lit
 from emberwatch.functions.text import first_match
 from emberwatch.schema import evidence_struct, finish_alerts
 
@@ -30,8 +31,8 @@ class RowRule:
     tactic: str | Column
     technique: str | Column
     recommendation: str
-    evidence: dict[str, Column] = field(default_factory=dict)
-    inputs: dict[str, Column] = field(default_factory=dict)  # helper columns ``test`` refers to by name
+    evidence: dict[str, str] = field(default_factory=dict)  # evidence field to SQL expression
+    inputs: dict[str, Column] = field(default_factory=dict)  # helper columns the others refer to by name
 
 
 def _value(x: str | Column) -> Column:
@@ -42,7 +43,7 @@ def _per_rule(rules: list[RowRule], pick) -> Column:
     """The picked attribute of the hit's rule. Constants become one literal array lookup."""
     values = [pick(rule) for rule in rules]
     if all(isinstance(v, str) for v in values):
-        return F.element_at(F.array(*[F.lit(v) for v in values]), F.col("hit") + 1)
+        return F.expr(f"element_at(array({', '.join(lit(v) for v in values)}), hit + 1)")
     cases = [(F.col("hit") == i, _value(v)) for i, v in enumerate(values)]
     return first_match(cases, F.lit(None))
 
@@ -52,13 +53,13 @@ def _hits(events: DataFrame, rules: list[RowRule]) -> DataFrame:
     # infers from explode would evaluate every predicate a second time.
     found = F.array_compact(F.array(*[F.when(rule.test, F.lit(i)) for i, rule in enumerate(rules)]))
     inputs = {name: column for rule in rules for name, column in rule.inputs.items()}
-    return events.select("*", *[c.alias(n) for n, c in inputs.items()]).select(*events.columns, F.explode(found).alias("hit"))
+    return events.select("*", *[c.alias(n) for n, c in inputs.items()]).select("*", F.explode(found).alias("hit"))
 
 
 def _alerts(events: DataFrame, rules: list[RowRule]) -> DataFrame:
     shapes: dict[str, list[int]] = {}
     for i, rule in enumerate(rules):
-        shapes.setdefault(repr(sorted((k, str(v)) for k, v in rule.evidence.items())), []).append(i)
+        shapes.setdefault(repr(sorted(rule.evidence.items())), []).append(i)
     structs = [
         (F.col("hit").isin(members), evidence_struct(**rules[members[0]].evidence))
         for members in shapes.values()

@@ -2,17 +2,18 @@
 
 from __future__ import annotations
 
-from functools import reduce
+from collections.abc import Iterable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from emberwatch.functions.events import raw_text
+from emberwatch.functions.events import json_path
 from emberwatch.functions.network import is_private_ip
-from emberwatch.functions.text import contains_any, first_match, path_leaf, search
+from emberwatch.functions.sqltext import (
+    EVENT_TIME, TARGET_OR_USER, any_search, contains_any, first_match, in_list, lit, search,
+)
 from emberwatch.operators.rowrules import RowRule
 from emberwatch.operators.settings import DetectorSettings
-from emberwatch.schema import first_text, ts_text
 
 # Accounts whose logons are not reported (compared in upper case).
 QUIET_ACCOUNTS = ["SYSTEM", "ANONYMOUS LOGON", "-"]
@@ -95,190 +96,221 @@ STAGING_PATTERNS = [
 WEAK_ENCRYPTION = "0x17"
 
 
-def any_of(tests: list[Column]) -> Column:
-    return reduce(lambda a, b: a | b, tests)
+QUIET = f"({TARGET_OR_USER} = '' OR {in_list(f'upper({TARGET_OR_USER})', QUIET_ACCOUNTS)})"
+PROGRAM = r"element_at(split(lower(process_name), '\\\\'), -1)"
+WHO = "CASE WHEN username = '' THEN 'unknown' ELSE username END"
 
+# Evidence of the rules as SQL expressions.
+AT = {"timestamp": EVENT_TIME, "event_id": "event_id", "computer": "computer"}
+BASIC = {**AT, "username": "username"}
+WITH_COMMAND = {**BASIC, "command_line": "substring(command_line, 1, 500)"}
+WITH_PROCESS = {**BASIC, "process": "process_name"}
+LOGON = {**AT, "username": TARGET_OR_USER, "source_ip": "source_ip", "logon_type": "logon_type"}
+TICKET = {**BASIC, "target_username": TARGET_OR_USER, "encryption_type": lit(WEAK_ENCRYPTION)}
 
-def target_or_user() -> Column:
-    return first_text("target_username", "username")
 
+def _where(verb: str, with_id: bool = False, with_command: bool = False) -> Column:
+    """``<verb> on <host> by <user>``, optionally with the event id or the start of the command."""
+    head = f"concat({lit(verb + ' (Event ID ')}, event_id, ')')" if with_id else lit(verb)
+    tail = ", ': ', substring(command_line, 1, 200)" if with_command else ""
+    return F.expr(f"concat({head}, ' on ', computer, ' by ', {WHO}{tail})")
 
-def is_quiet(user: Column) -> Column:
-    return (user == "") | F.upper(user).isin(QUIET_ACCOUNTS)
 
-
-def command_label(label: int) -> Column:
-    """Entry ``label`` (1 severity, 2 text, 3 tactic, 4 technique) of the first matching pattern."""
-    return first_match(
-        [(search("command_line", row[0]), row[label]) for row in SUSPICIOUS_COMMANDS],
-        F.lit(None).cast("string"),
-    )
-
-
-def _where(verb: str) -> Column:
-    """``<verb> on <host> by <user or unknown>``."""
-    return F.concat(
-        F.lit(f"{verb} on "), F.col("computer"), F.lit(" by "),
-        F.when(F.col("username") == "", "unknown").otherwise(F.col("username")),
+def suspicious_process(s: DetectorSettings) -> list[RowRule]:
+    # Number of the first pattern that matches, NULL for none and for programs not checked.
+    number = first_match(
+        [(search("command_line", row[0]), str(i + 1)) for i, row in enumerate(SUSPICIOUS_COMMANDS)], "null"
     )
+    checked = f"category = 'process' AND process_name <> '' AND command_line <> '' AND {in_list(PROGRAM, SUSPICIOUS_PROGRAMS)}"
 
+    def label(i: int) -> str:
+        return f"element_at(array({', '.join(lit(row[i]) for row in SUSPICIOUS_COMMANDS)}), command_pattern)"
 
-def _cut(n: int) -> Column:
-    return F.substring("command_line", 1, n)
-
-
-def stateless_rules(settings: DetectorSettings | None = None) -> list[RowRule]:
-    """All single-event detectors. ``raw_json`` is searched as text, like a record dump."""
-    s = settings or DetectorSettings()
-    event_id, raw, command = F.col("event_id"), F.col("raw_json"), F.col("command_line")
-    low_raw, low_command = F.lower(raw), F.lower(command)
-    at = {"timestamp": ts_text("event_ts"), "event_id": event_id, "computer": F.col("computer")}
-    basic = {**at, "username": F.col("username")}
-    with_command = {**basic, "command_line": _cut(500)}
-    user = target_or_user()
-    logon = {**at, "username": user, "source_ip": F.col("source_ip"), "logon_type": F.col("logon_type")}
-    ticket = {**basic, "target_username": user, "encryption_type": F.lit(WEAK_ENCRYPTION)}
-    weak = low_raw.contains(WEAK_ENCRYPTION)
-    success = (event_id == 4624) & ~is_quiet(user)
-    hour = F.hour("event_ts")
-    archived = any_of([search(command, p) for p in ARCHIVE_PATTERNS])
-    staged = any_of([search(command, p) for p in STAGING_PATTERNS])
-    program = path_leaf("process_name")
-    record = F.try_parse_json(raw)
-    de, pe, ca, ia, ex = "Defense Evasion", "Persistence", "Credential Access", "Initial Access", "Exfiltration"
-    run_key_label = "T1547.001 - Registry Run Keys / Startup Folder"
-
-    rules = [
+    return [
         RowRule(
-            "suspicious_process",
-            (F.col("category") == "process") & (F.col("process_name") != "") & program.isin(SUSPICIOUS_PROGRAMS)
-            & (command != "") & any_of([search(command, row[0]) for row in SUSPICIOUS_COMMANDS]),
-            F.concat(F.lit("Suspicious Process: "), command_label(2)),
-            command_label(1),
-            F.concat(
-                F.lit("Process '"), program, F.lit("' executed with suspicious command line on "),
-                F.col("computer"), F.lit(" by "), F.col("username"),
+            "suspicious_process", F.expr("command_pattern IS NOT NULL"),
+            F.expr(f"concat('Suspicious Process: ', {label(2)})"), F.expr(label(1)),
+            F.expr(
+                f"concat({lit("Process " + chr(39))}, {PROGRAM}, "
+                f"{lit(chr(39) + ' executed with suspicious command line on ')}, computer, ' by ', username)"
             ),
-            command_label(3), command_label(4),
+            F.expr(label(3)), F.expr(label(4)),
             "Read the whole command line and its parent process and decide whether it was authorized.",
             {
-                "timestamp": at["timestamp"], "process": F.col("process_name"), "command_line": _cut(500),
-                "parent_process": F.col("parent_process"), "username": F.col("username"), "computer": F.col("computer"),
+                "timestamp": EVENT_TIME, "process": "process_name", "command_line": "substring(command_line, 1, 500)",
+                "parent_process": "parent_process", "username": "username", "computer": "computer",
             },
-        ),
+            {"command_pattern": F.expr(f"CASE WHEN {checked} THEN {number} END")},
+        )
+    ]
+
+
+def defense_evasion(s: DetectorSettings) -> list[RowRule]:
+    tactic = "Defense Evasion"
+    return [
         RowRule(
-            "defense_evasion", event_id.isin(1102, 104), "Log Clearing Detected", "high",
-            _where_id("Event log cleared"), de, "T1070.001 - Clear Windows Event Logs",
-            "Find out who cleared the log and compare with forwarded copies.", basic,
+            "defense_evasion", F.expr("event_id IN (1102, 104)"), "Log Clearing Detected", "high",
+            _where("Event log cleared", with_id=True), tactic, "T1070.001 - Clear Windows Event Logs",
+            "Find out who cleared the log and compare with forwarded copies.", BASIC,
         ),
         RowRule(
-            "defense_evasion", event_id == 5001, "Windows Defender Disabled", "high",
-            _where("Windows Defender was disabled"), de, "T1562.001 - Disable or Modify Tools",
-            "Confirm the change was planned and turn protection back on.", basic,
+            "defense_evasion", F.expr("event_id = 5001"), "Windows Defender Disabled", "high",
+            _where("Windows Defender was disabled"), tactic, "T1562.001 - Disable or Modify Tools",
+            "Confirm the change was planned and turn protection back on.", BASIC,
         ),
         RowRule(
-            "defense_evasion", event_id == 4719, "Audit Policy Modified", "medium",
-            _where_id("Audit policy changed"), de, "T1562.002 - Disable Windows Event Logging",
-            "Confirm the policy change was planned.", basic,
+            "defense_evasion", F.expr("event_id = 4719"), "Audit Policy Modified", "medium",
+            _where("Audit policy changed", with_id=True), tactic, "T1562.002 - Disable Windows Event Logging",
+            "Confirm the policy change was planned.", BASIC,
         ),
         RowRule(
-            "defense_evasion", contains_any(low_command, FIREWALL_COMMANDS), "Firewall Rule Modification", "medium",
-            F.concat(_where("Firewall rule modified"), F.lit(": "), _cut(200)), de,
-            "T1562.004 - Disable or Modify System Firewall",
-            "Confirm the firewall change was planned.", with_command,
+            "defense_evasion", F.expr(contains_any("lower(command_line)", FIREWALL_COMMANDS)),
+            "Firewall Rule Modification", "medium", _where("Firewall rule modified", with_command=True), tactic,
+            "T1562.004 - Disable or Modify System Firewall", "Confirm the firewall change was planned.", WITH_COMMAND,
         ),
+    ]
+
+
+def persistence(s: DetectorSettings) -> list[RowRule]:
+    tactic, run_label = "Persistence", "T1547.001 - Registry Run Keys / Startup Folder"
+    shell = contains_any("lower(raw_json)", ["powershell", "cmd"])
+    startup = f"{contains_any('lower(raw_json)', STARTUP_FOLDERS)} OR {contains_any('lower(command_line)', STARTUP_FOLDERS)}"
+    return [
         RowRule(
-            "persistence", event_id == 7045, "New Service Created",
-            F.when(contains_any(low_raw, ["powershell", "cmd"]), "critical").otherwise("high"),
-            _where("New service installed"), pe, "T1543.003 - Windows Service",
-            "Check the binary and the account of the service.", with_command,
+            "persistence", F.expr("event_id = 7045"), "New Service Created",
+            F.expr(f"CASE WHEN {shell} THEN 'critical' ELSE 'high' END"), _where("New service installed"),
+            tactic, "T1543.003 - Windows Service", "Check the binary and the account of the service.", WITH_COMMAND,
         ),
         RowRule(
-            "persistence", event_id == 4698, "Scheduled Task Created", "high",
-            _where("Scheduled task created"), pe, "T1053.005 - Scheduled Task",
-            "Check what the task runs and when.", with_command,
+            "persistence", F.expr("event_id = 4698"), "Scheduled Task Created", "high", _where("Scheduled task created"),
+            tactic, "T1053.005 - Scheduled Task", "Check what the task runs and when.", WITH_COMMAND,
         ),
         RowRule(
-            "persistence", (event_id == 13) & contains_any(low_raw, RUN_KEYS), "Registry Run Key Modified", "high",
-            _where("Registry Run/RunOnce key modified"), pe, run_key_label,
-            "Check the program the run key starts.", {**basic, "process": F.col("process_name")},
+            "persistence", F.expr(f"event_id = 13 AND {contains_any('lower(raw_json)', RUN_KEYS)}"),
+            "Registry Run Key Modified", "high", _where("Registry Run/RunOnce key modified"), tactic, run_label,
+            "Check the program the run key starts.", WITH_PROCESS,
         ),
         RowRule(
-            "persistence",
-            (event_id != 13) & (contains_any(low_raw, STARTUP_FOLDERS) | contains_any(low_command, STARTUP_FOLDERS)),
-            "Startup Folder Modified", "medium",
-            _where("Startup folder modification detected"), pe, run_key_label,
-            "Check the file that was placed in the startup folder.", with_command,
+            "persistence", F.expr(f"event_id <> 13 AND ({startup})"), "Startup Folder Modified", "medium",
+            _where("Startup folder modification detected"), tactic, run_label,
+            "Check the file that was placed in the startup folder.", WITH_COMMAND,
         ),
+    ]
+
+
+def exfiltration(s: DetectorSettings) -> list[RowRule]:
+    archived, staged = any_search("command_line", ARCHIVE_PATTERNS), any_search("command_line", STAGING_PATTERNS)
+    return [
         RowRule(
-            "exfiltration", (command != "") & archived, "Suspicious Archive Creation", "high",
-            F.concat(_where("Archive tool used targeting sensitive paths"), F.lit(": "), _cut(200)), ex,
-            "T1560.001 - Archive via Utility", "Find out what was archived and where it went.", with_command,
+            "exfiltration", F.expr(f"command_line <> '' AND {archived}"), "Suspicious Archive Creation", "high",
+            _where("Archive tool used targeting sensitive paths", with_command=True), "Exfiltration",
+            "T1560.001 - Archive via Utility", "Find out what was archived and where it went.", WITH_COMMAND,
         ),
         RowRule(
-            "exfiltration", (command != "") & staged & ~archived, "Data Staging Detected", "medium",
-            F.concat(_where("File staging activity"), F.lit(": "), _cut(200)), ex,
-            "T1074 - Data Staged", "Confirm the transfer was planned.", with_command,
+            "exfiltration", F.expr(f"command_line <> '' AND {staged} AND NOT {archived}"), "Data Staging Detected",
+            "medium", _where("File staging activity", with_command=True), "Exfiltration", "T1074 - Data Staged",
+            "Confirm the transfer was planned.", WITH_COMMAND,
         ),
+    ]
+
+
+def kerberos_attacks(s: DetectorSettings) -> list[RowRule]:
+    weak = f"contains(lower(raw_json), {lit(WEAK_ENCRYPTION)})"
+
+    def ticket(kind: str, account: str) -> Column:
+        return F.expr(
+            f"concat({lit(f'{kind} request with RC4 encryption for {account} ' + chr(39))}, {TARGET_OR_USER}, "
+            f"{lit(chr(39) + ' on ')}, computer)"
+        )
+
+    return [
         RowRule(
-            "kerberos_attacks", (event_id == 4769) & weak & (user != "") & ~user.endswith("$"),
-            "Potential Kerberoasting", "high",
-            F.concat(
-                F.lit("TGS request with RC4 encryption for non-machine account '"), user, F.lit("' on "), F.col("computer")
-            ),
-            ca, "T1558.003 - Kerberoasting", "Review the requester and change the service account's password.", ticket,
+            "kerberos_attacks",
+            F.expr(f"event_id = 4769 AND {weak} AND {TARGET_OR_USER} <> '' AND NOT endswith({TARGET_OR_USER}, '$')"),
+            "Potential Kerberoasting", "high", ticket("TGS", "non-machine account"), "Credential Access",
+            "T1558.003 - Kerberoasting", "Review the requester and change the service account's password.", TICKET,
         ),
         RowRule(
-            "kerberos_attacks", (event_id == 4768) & weak, "Potential AS-REP Roasting", "high",
-            F.concat(F.lit("TGT request with RC4 encryption for account '"), user, F.lit("' on "), F.col("computer")),
-            ca, "T1558.004 - AS-REP Roasting", "Turn Kerberos pre-authentication on for the account.", ticket,
+            "kerberos_attacks", F.expr(f"event_id = 4768 AND {weak}"), "Potential AS-REP Roasting", "high",
+            ticket("TGT", "account"), "Credential Access", "T1558.004 - AS-REP Roasting",
+            "Turn Kerberos pre-authentication on for the account.", TICKET,
         ),
+    ]
+
+
+def credential_access(s: DetectorSettings) -> list[RowRule]:
+    def record(key: str) -> str:
+        paths = [json_path(key), json_path("EventData", key)]
+        found = ", ".join(f"try_variant_get(try_parse_json(raw_json), {lit(p)}, 'string')" for p in paths)
+        return f"lower(coalesce({found}, ''))"
+
+    tactic = "Credential Access"
+    rules = [
         RowRule(
-            "credential_access",
-            (event_id == 10) & F.lower(F.coalesce(raw_text(record, "TargetImage"), raw_text(record, "EventData", "TargetImage"))).endswith("lsass.exe"),
-            "LSASS Memory Access", "critical", _where("LSASS process opened"), ca, "T1003.001 - LSASS Memory",
-            "Check which program opened LSASS.", {**basic, "process": F.col("process_name")},
+            "credential_access", F.expr(f"event_id = 10 AND endswith({record('TargetImage')}, 'lsass.exe')"),
+            "LSASS Memory Access", "critical", _where("LSASS process opened"), tactic, "T1003.001 - LSASS Memory",
+            "Check which program opened LSASS.", WITH_PROCESS,
         ),
         RowRule(
-            "credential_access",
-            (event_id == 4663) & F.lower(F.coalesce(raw_text(record, "ObjectName"), raw_text(record, "EventData", "ObjectName"))).contains("\\sam"),
-            "SAM Hive Access", "critical", _where("SAM registry hive read"), ca, "T1003.002 - Security Account Manager",
-            "Check which program read the SAM hive.", {**basic, "process": F.col("process_name")},
+            "credential_access", F.expr("event_id = 4663 AND contains(" + record("ObjectName") + ", " + lit("\\sam") + ")"),
+            "SAM Hive Access", "critical", _where("SAM registry hive read"), tactic,
+            "T1003.002 - Security Account Manager", "Check which program read the SAM hive.", WITH_PROCESS,
         ),
+    ]
+    if s.replication_guids:
+        guids = contains_any("lower(raw_json)", [g.lower() for g in s.replication_guids])
+        rules.append(
+            RowRule(
+                "credential_access", F.expr(f"event_id = 4662 AND {guids}"), "Directory Replication Request", "critical",
+                _where("Directory replication requested"), tactic, "T1003.006 - DCSync",
+                "Check that the requester is a domain controller.", BASIC,
+            )
+        )
+    return rules
+
+
+def initial_access(s: DetectorSettings) -> list[RowRule]:
+    success, quote = f"event_id = 4624 AND NOT {QUIET}", lit(chr(39))
+    early, late = s.business_hours_start, s.business_hours_end
+    return [
         RowRule(
             "initial_access",
-            success & (F.col("logon_type") == 10) & (F.col("source_ip") != "") & ~is_private_ip("source_ip"),
+            F.expr(f"{success} AND logon_type = 10 AND source_ip <> ''") & ~is_private_ip("source_ip"),
             "External RDP Logon", "high",
-            F.concat(
-                F.lit("Remote interactive logon from external IP "), F.col("source_ip"), F.lit(" to "),
-                F.col("computer"), F.lit(" as '"), user, F.lit("'"),
+            F.expr(
+                f"concat('Remote interactive logon from external IP ', source_ip, ' to ', computer, ' as ', {quote}, "
+                f"{TARGET_OR_USER}, {quote})"
             ),
-            ia, "T1078 - Valid Accounts", "Confirm that the account's owner logged on from this address.", logon,
+            "Initial Access", "T1078 - Valid Accounts", "Confirm that the account's owner logged on from this address.", LOGON,
         ),
         RowRule(
-            "initial_access", success & ((hour < s.business_hours_start) | (hour >= s.business_hours_end)),
+            "initial_access", F.expr(f"{success} AND (hour(event_ts) < {early} OR hour(event_ts) >= {late})"),
             "After-Hours Logon", "low",
-            F.concat(
-                F.lit(f"Logon outside business hours ({s.business_hours_start}:00-{s.business_hours_end}:00) by '"),
-                user, F.lit("' at "), ts_text("event_ts"), F.lit(" on "), F.col("computer"),
+            F.expr(
+                f"concat('Logon outside business hours ({early}:00-{late}:00) by ', {quote}, {TARGET_OR_USER}, {quote}, "
+                f"' at ', {EVENT_TIME}, ' on ', computer)"
             ),
-            ia, "T1078 - Valid Accounts", "Confirm that the account's owner was expected at this hour.",
-            {**logon, "hour": hour},
+            "Initial Access", "T1078 - Valid Accounts", "Confirm that the account's owner was expected at this hour.",
+            {**LOGON, "hour": "hour(event_ts)"},
         ),
     ]
-    if s.replication_guids:
-        rules.append(
-            RowRule(
-                "credential_access", (event_id == 4662) & contains_any(low_raw, [g.lower() for g in s.replication_guids]),
-                "Directory Replication Request", "critical", _where("Directory replication requested"), ca,
-                "T1003.006 - DCSync", "Check that the requester is a domain controller.", basic,
-            )
-        )
-    return rules
 
 
-def _where_id(verb: str) -> Column:
-    return F.concat(
-        F.lit(f"{verb} (Event ID "), F.col("event_id").cast("string"), F.lit(") on "), F.col("computer"), F.lit(" by "),
-        F.when(F.col("username") == "", "unknown").otherwise(F.col("username")),
-    )
+STATELESS_DETECTORS = {
+    "suspicious_process": suspicious_process,
+    "defense_evasion": defense_evasion,
+    "persistence": persistence,
+    "exfiltration": exfiltration,
+    "kerberos_attacks": kerberos_attacks,
+    "credential_access": credential_access,
+    "initial_access": initial_access,
+}
+
+
+def stateless_rules(settings: DetectorSettings | None = None, detectors: Iterable[str] | None = None) -> list[RowRule]:
+    """Rules of the single-event detectors (all of them, or the named ones).
+
+    ``raw_json`` is searched as text, like a record dump.
+    """
+    names = STATELESS_DETECTORS if detectors is None else detectors
+    return [rule for name in names for rule in STATELESS_DETECTORS[name](settings or DetectorSettings())]

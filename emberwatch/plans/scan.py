@@ -14,7 +14,7 @@ from emberwatch.operators.fieldrules import field_rule_alerts, split_field_rules
 from emberwatch.operators.rowrules import RowRule, run_row_rules
 from emberwatch.operators.sigma import sigma_row_rule
 from emberwatch.operators.settings import CATALOG, DetectorSettings
-from emberwatch.operators.stateless import stateless_rules
+from emberwatch.operators.stateless import STATELESS_DETECTORS, stateless_rules
 from emberwatch.schema import ALERT_COLUMNS, empty_alerts, union_all
 
 log = logging.getLogger(__name__)
@@ -46,9 +46,8 @@ def run_detections(events: DataFrame, config: ScanConfig | None = None) -> DataF
     config = config or ScanConfig()
     names = {row[0]: row[1] for row in CATALOG}
     watch = watch_values(config.allowlist)
-    single: list[RowRule] = [
-        r for r in stateless_rules(config.settings) if not _excluded(r.detector, names[r.detector], config)
-    ]
+    wanted = [d for d in STATELESS_DETECTORS if not _excluded(d, names[d], config)]
+    single: list[RowRule] = stateless_rules(config.settings, wanted)
     frames: list[DataFrame] = []
 
     def attempt(name: str, build: Callable[[], object]):

@@ -134,17 +134,13 @@ def severity_rank(severity: str | Column) -> Column:
     return (F.array_position(F.array(*[F.lit(s) for s in SEVERITIES]), col(severity)) - 1).cast("int")
 
 
-def evidence_struct(**fields: Column) -> Column:
-    """One evidence row; fields a detector does not report stay NULL."""
+def evidence_struct(**fields: str) -> Column:
+    """One evidence row from SQL expressions; fields a detector does not report stay NULL."""
     unknown = set(fields) - set(EVIDENCE_TYPES)
     if unknown:
         raise ValueError(f"not evidence fields: {sorted(unknown)}")
-    return F.struct(
-        *[
-            fields.get(name, F.lit(None)).cast(kind).alias(name)
-            for name, kind in EVIDENCE_TYPES.items()
-        ]
-    )
+    items = [f"'{name}', cast({fields.get(name, 'null')} as {kind})" for name, kind in EVIDENCE_TYPES.items()]
+    return F.expr(f"named_struct({', '.join(items)})")
 
 
 def alert_key(rule_name: Column, ts: Column, description: Column) -> Column:
@@ -158,18 +154,14 @@ def finish_alerts(df: DataFrame) -> DataFrame:
     ``df`` must carry detector, rule_name, severity, description, alert_ts, the MITRE
     labels, recommendation, evidence_count and evidence.
     """
-    hits = F.col("watch_hits") if "watch_hits" in df.columns else F.array()
     derived = {
-        "alert_id": alert_key(F.col("rule_name"), F.col("alert_ts"), F.col("description")),
-        "severity_rank": severity_rank("severity"),
-        "evidence_truncated": F.col("evidence_count") > F.size("evidence"),
-        "watch_hits": hits,
+        "severity_rank": "array_position(array(" + ", ".join(f"'{x}'" for x in SEVERITIES) + "), severity) - 1",
+        "evidence_truncated": "evidence_count > size(evidence)",
+        "watch_hits": "watch_hits" if "watch_hits" in df.columns else "array()",
     }
-    return df.select(
-        *[
-            derived.get(name, F.col(name)).cast(kind).alias(name)
-            for name, kind in ALERT_TYPES.items()
-        ]
+    keyed = df.withColumn("alert_id", alert_key(F.col("rule_name"), F.col("alert_ts"), F.col("description")))
+    return keyed.selectExpr(
+        *[f"cast({derived.get(name, name)} as {kind}) AS {name}" for name, kind in ALERT_TYPES.items()]
     )
 
 
@@ -178,19 +170,14 @@ def normalize_events(df: DataFrame) -> DataFrame:
     have = set(df.columns)
     if not {"event_uid", "event_ts"} <= have:
         raise ValueError("events need event_uid and event_ts")
-    out = []
-    for name, kind in EVENT_TYPES.items():
-        value = F.col(name).cast(kind) if name in have else F.lit(None).cast(kind)
-        if name in TEXT_COLUMNS:
-            value = F.coalesce(value, F.lit(""))
-        elif name in INT_COLUMNS:
-            value = F.coalesce(value, F.lit(0))
-        elif name == "raw_json":
-            value = F.coalesce(value, F.lit("{}"))
-        elif name == "ts_valid":
-            value = F.coalesce(value, F.lit(True))
-        out.append(value.alias(name))
-    return df.select(*out)
+    defaults = {name: "''" for name in TEXT_COLUMNS} | {name: "0" for name in INT_COLUMNS}
+    defaults |= {"raw_json": "'{}'", "ts_valid": "true", "event_uid": "null", "event_ts": "null"}
+    return df.selectExpr(
+        *[
+            f"coalesce(cast({name if name in have else 'null'} as {kind}), cast({defaults[name]} as {kind})) AS {name}"
+            for name, kind in EVENT_TYPES.items()
+        ]
+    )
 
 
 def empty_alerts(spark) -> DataFrame:
@@ -199,3 +186,13 @@ def empty_alerts(spark) -> DataFrame:
 
 def union_all(frames: list[DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b), frames)
+
+
+def computed_once(df: DataFrame, **columns: Column) -> DataFrame:
+    """Add columns that later filters and projections refer to without repeating them.
+
+    Spark copies the expression of a plain column into every filter above it. The output
+    of explode is never copied back, so costly parses run once per row.
+    """
+    bound = F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))
+    return df.select("*", F.explode(bound).alias("_once")).select(*df.columns, "_once.*")

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from emberwatch.schema import computed_once
 from emberwatch.sources.json_logs import good_numbers, record_events, record_fields
-from emberwatch.sources.lines import computed_once
 
 EVENT_SCHEMA = """
   System struct<

@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from emberwatch.functions.events import event_category, first_field
 from emberwatch.functions.timestamps import event_time, or_unknown
-from emberwatch.schema import normalize_events, union_all
-from emberwatch.sources.lines import computed_once, line_uid, read_lines
+from emberwatch.schema import computed_once, normalize_events, union_all
+from emberwatch.sources.lines import line_uid, read_lines
 
 # Record keys per event column, in order of preference.
 FIELD_KEYS = {

@@ -63,13 +63,3 @@ def read_lines(spark: SparkSession, path: str | list[str], **options: str) -> Da
 def line_uid() -> Column:
     """Event id that sorts like the input: line id, then file."""
     return F.concat_ws("@", F.lpad(F.col("line_id").cast("string"), 20, "0"), F.col("src_file"))
-
-
-def computed_once(df: DataFrame, **columns: Column) -> DataFrame:
-    """Add columns that later filters and projections refer to without repeating them.
-
-    Spark copies the expression of a plain column into every filter above it. The output
-    of explode is never copied back, so costly parses run once per row.
-    """
-    bound = F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))
-    return df.select("*", F.explode(bound).alias("_once")).select(*df.columns, "_once.*")

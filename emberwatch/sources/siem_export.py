@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from emberwatch.functions.events import first_path, level_severity, shape_category
 from emberwatch.functions.timestamps import or_unknown, siem_time
-from emberwatch.schema import normalize_events
-from emberwatch.sources.lines import computed_once, line_uid
+from emberwatch.schema import computed_once, normalize_events
+from emberwatch.sources.lines import line_uid
 
 # Keys that may wrap the list of alerts, in order.
 WRAPPERS = ["affected_items", "items", "alerts", "data"]

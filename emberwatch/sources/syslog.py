@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 from emberwatch.functions.events import cef_category, cef_unescape
 from emberwatch.functions.text import message_category, message_event_id, message_ip, message_user
 from emberwatch.functions.timestamps import cef_time, or_unknown, syslog_time
-from emberwatch.schema import first_text, normalize_events
-from emberwatch.sources.lines import computed_once, line_uid, read_lines
+from emberwatch.schema import computed_once, first_text, normalize_events
+from emberwatch.sources.lines import line_uid, read_lines
 
 # Line formats. (?U) gives word and space classes their Unicode meaning,
 # (?s) lets the message run to the end of the line whatever it contains.

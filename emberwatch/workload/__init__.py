@@ -1 +1,5 @@
 """Registered queries over the driver tables and their SQL oracles."""
+
+from emberwatch.workload.queries import QUERIES
+
+__all__ = ["QUERIES"]

@@ -100,7 +100,7 @@ COLUMNS = {
  WHEN k % 13 = 1 THEN '198.51.100.7' ELSE '10.0.1.' || CAST(user_id % 4 AS STRING) END""",
     "process_name": _click(0),
     "command_line": _click(1),
-    "logon_type": "CASE WHEN event_type = 'signup' THEN CASE k % 3 WHEN 0 THEN 3 WHEN 1 THEN 10 ELSE 2 END ELSE 0 END",
+    "logon_type": "CASE WHEN event_type = 'signup' THEN CASE k % 3 WHEN 0 THEN 10 WHEN 1 THEN 3 ELSE 2 END ELSE 0 END",
     "status": "CASE WHEN event_type = 'error' THEN '0xC000006D' ELSE '' END",
     "parent_process": "CASE WHEN event_type = 'click' THEN 'explorer.exe' ELSE '' END",
     "target_username": """CASE WHEN event_type IN ('error', 'signup') AND k % 5 = 0 THEN 'acct' || CAST(user_id % 30 AS STRING)

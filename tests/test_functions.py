@@ -129,7 +129,7 @@ def test_record_lookup(spark):
         '{"EventID":1,"EventData":{"User":"a","QueryName":"q.x"},"rule":{"groups":["","g1"],"mitre":{"id":{"k":"T1"}}},"n":""}',
         '{"User":null,"username":"b","Name":"top.x"}',
     ]
-    raw = F.try_parse_json("x")
+    raw = "try_parse_json(x)"
     assert values(spark, docs, ev.first_field(raw, "SubjectUserName", "User", "username")) == ["a", "b"]
     assert values(spark, docs, ev.dns_query(raw)) == ["q.x", "top.x"]
     assert values(spark, docs, ev.first_path(raw, "n", "rule.groups", default="d")) == ["g1", "d"]
