@@ -1,5 +1,6 @@
 """Registered queries over the driver tables and their SQL oracles."""
 
+from emberwatch.workload import alert_queries  # noqa: F401 - registers its queries
 from emberwatch.workload.queries import QUERIES
 
 __all__ = ["QUERIES"]

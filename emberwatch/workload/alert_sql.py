@@ -69,7 +69,7 @@ def _row(detector, rule, severity, description, tactic, technique, where, host="
     return (
         f"SELECT {lit(detector)} AS detector, {text(rule)} AS rule_name, {text(severity)} AS severity, "
         f"{description} AS description, event_ts AS alert_ts, {text(tactic)} AS mitre_tactic, "
-        f"{text(technique)} AS mitre_technique, 1 AS n, {host} AS host, {user} AS \"user\", {ip} AS ip "
+        f"{text(technique)} AS mitre_technique, 1 AS n, {host} AS host, {user} AS \"user\", {ip} AS ip, [{ip}] AS ips "
         f"FROM sec_events WHERE {where}"
     )
 
@@ -236,7 +236,7 @@ def keyed_sql(s: DetectorSettings) -> dict[str, tuple[str, str]]:
             f"count(*) || ' failed logon attempts from ' || gk || ' targeting ' || count(DISTINCT target) || "
             f"' account(s) within {s.brute_force_window}s' AS description, min(event_ts) AS alert_ts, "
             f"'Credential Access' AS mitre_tactic, 'T1110 - Brute Force' AS mitre_technique, count(*) AS n, "
-            f"{_first('computer')} AS host, {_first('target')} AS \"user\", {_first('source_ip')} AS ip "
+            f"{_first('computer')} AS host, {_first('target')} AS \"user\", {_first('source_ip')} AS ip, list(DISTINCT source_ip) AS ips "
             f"FROM bf_rows GROUP BY gk, w",
         ),
         "lateral_movement": (
@@ -247,7 +247,7 @@ def keyed_sql(s: DetectorSettings) -> dict[str, tuple[str, str]]:
             f"'User ''' || gk || ''' authenticated to ' || count(DISTINCT computer) || ' distinct hosts within {s.lateral_window}s: ' "
             f"|| {_smallest('computer', 5)} AS description, min(event_ts) AS alert_ts, 'Lateral Movement' AS mitre_tactic, "
             f"'T1021 - Remote Services' AS mitre_technique, count(*) AS n, {_first('computer')} AS host, gk AS \"user\", "
-            f"{_first('source_ip')} AS ip FROM lm_rows GROUP BY gk, w HAVING count(DISTINCT computer) >= {s.lateral_host_threshold}",
+            f"{_first('source_ip')} AS ip, list(DISTINCT source_ip) AS ips FROM lm_rows GROUP BY gk, w HAVING count(DISTINCT computer) >= {s.lateral_host_threshold}",
         ),
         "privilege_escalation": (
             f"pv AS (SELECT *, {UT} AS gk FROM sec_events WHERE event_id IN (4672, 4673, 4674) AND {UT} <> '' "
@@ -257,7 +257,7 @@ def keyed_sql(s: DetectorSettings) -> dict[str, tuple[str, str]]:
             f"'User ''' || gk || ''' was assigned sensitive privileges (' || count(*) || ' event(s)): ' || substr({held_list}, 3) "
             f"AS description, min(event_ts) AS alert_ts, 'Privilege Escalation' AS mitre_tactic, "
             f"'T1134 - Access Token Manipulation' AS mitre_technique, count(*) AS n, {_first('computer')} AS host, "
-            f"gk AS \"user\", '' AS ip FROM pv GROUP BY gk",
+            f"gk AS \"user\", '' AS ip, [''] AS ips FROM pv GROUP BY gk",
         ),
         "discovery": (
             f"dc AS (SELECT *, CASE WHEN {UT} = '' THEN 'unknown' ELSE {UT} END AS gk, {TOOL} AS tool FROM sec_events "
@@ -266,7 +266,7 @@ def keyed_sql(s: DetectorSettings) -> dict[str, tuple[str, str]]:
             f"'User ''' || gk || ''' ran ' || count(*) || ' recon commands (' || {_smallest('tool', 99)} || ') within "
             f"{s.recon_window}s on ' || (list(computer ORDER BY event_ts, event_uid))[1] AS description, "
             f"min(event_ts) AS alert_ts, 'Discovery' AS mitre_tactic, 'T1082 - System Information Discovery' AS mitre_technique, "
-            f"count(*) AS n, {_first('computer')} AS host, gk AS \"user\", '' AS ip FROM dc_rows GROUP BY gk, w",
+            f"count(*) AS n, {_first('computer')} AS host, gk AS \"user\", '' AS ip, [''] AS ips FROM dc_rows GROUP BY gk, w",
         ),
         "dns_exfiltration": (
             f"dn0 AS (SELECT *, {QUERY} AS query FROM sec_events WHERE event_id IN (22, 5353)), "
@@ -280,7 +280,7 @@ def keyed_sql(s: DetectorSettings) -> dict[str, tuple[str, str]]:
             f"{_smallest(PARENT, 3)} AS description, "
             f"min(event_ts) AS alert_ts, 'Exfiltration' AS mitre_tactic, "
             f"'T1048.003 - Exfiltration Over Unencrypted Non-C2 Protocol' AS mitre_technique, count(*) AS n, "
-            f"{_first('computer')} AS host, {_first('username')} AS \"user\", '' AS ip FROM dn_rows GROUP BY gk, w",
+            f"{_first('computer')} AS host, {_first('username')} AS \"user\", '' AS ip, [''] AS ips FROM dn_rows GROUP BY gk, w",
         ),
         "attack_chain": (
             f"ac0 AS (SELECT *, {TU} AS gk, {stage} AS stage FROM sec_events), "
@@ -293,7 +293,7 @@ def keyed_sql(s: DetectorSettings) -> dict[str, tuple[str, str]]:
             f"|| ' attack stages within ' || CAST(round_even(epoch_us(max(event_ts)) / 1000000.0 - epoch_us(min(event_ts)) / 1000000.0, 0) AS BIGINT) "
             f"|| 's: ' || substr({stages}, 5) AS description, min(event_ts) AS alert_ts, 'Multiple' AS mitre_tactic, "
             f"'Multi-stage Kill Chain' AS mitre_technique, count(*) AS n, {_first('computer', 15)} AS host, gk AS \"user\", "
-            f"{_first('source_ip', 15)} AS ip FROM ac_rows GROUP BY gk, w",
+            f"{_first('source_ip', 15)} AS ip, list(DISTINCT source_ip) AS ips FROM ac_rows GROUP BY gk, w",
         ),
     }
     return out
