@@ -10,9 +10,10 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Mapping
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from emberwatch.functions.sqltext import lit
 from emberwatch.schema import EVIDENCE_CAP
 
 NAMES_SHOWN = 5
@@ -21,11 +22,8 @@ NAMES_SHOWN = 5
 WATCHED = {"username": "username", "computer": "computer", "source_ip": "source_ip", "event_id": "event_id"}
 
 
-def watch_token(field: str, value: Column | str) -> Column:
-    text = F.lit(value) if isinstance(value, str) else value
-    if field in ("username", "computer"):
-        text = F.lower(text)
-    return F.concat(F.lit(f"{field}="), text)
+def watch_token(field: str, value: str) -> str:
+    return f"{field}={value.lower() if field in ('username', 'computer') else value}"
 
 
 def watch_values(allowlist: Iterable[Mapping] | None) -> dict[str, list[str]]:
@@ -39,27 +37,21 @@ def watch_values(allowlist: Iterable[Mapping] | None) -> dict[str, list[str]]:
     return {field: sorted(set(values)) for field, values in out.items()}
 
 
-def first_rows(rows: DataFrame, keys: list[str], order: list[str], evidence: Column, cap: int) -> DataFrame:
-    """(keys, evidence): the first ``cap`` evidence rows of each group, in order."""
-    rank = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
+def first_rows(rows: DataFrame, keys: list[str], order: list[str], item: str, cap: int) -> DataFrame:
+    """(keys, evidence): the column ``item`` of the first ``cap`` rows of each group, in order."""
+    rank = f"row_number() OVER (PARTITION BY {', '.join(keys)} ORDER BY {', '.join(order)}) AS rank"
     return (
-        rows.select(*keys, *order, evidence.alias("item"))
-        .withColumn("rank", rank)
-        .where(F.col("rank") <= cap)
-        .groupBy(*keys)
-        .agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "item"))), lambda x: x["item"]).alias("evidence"))
+        rows.selectExpr(*keys, item, rank).where(f"rank <= {cap}").groupBy(*keys)
+        .agg(F.expr(f"transform(array_sort(collect_list(struct(rank, {item}))), x -> x.{item}) AS evidence"))
     )
 
 
 def first_values(rows: DataFrame, keys: list[str], value: str, cap: int, alias: str) -> DataFrame:
     """(keys, alias): the ``cap`` smallest distinct values of each group, sorted."""
-    rank = F.row_number().over(Window.partitionBy(*keys).orderBy(value))
+    rank = f"row_number() OVER (PARTITION BY {', '.join(keys)} ORDER BY {value}) AS rank"
     return (
-        rows.select(*keys, value).distinct()
-        .withColumn("rank", rank)
-        .where(F.col("rank") <= cap)
-        .groupBy(*keys)
-        .agg(F.array_sort(F.collect_list(value)).alias(alias))
+        rows.select(*keys, value).distinct().selectExpr("*", rank).where(f"rank <= {cap}").groupBy(*keys)
+        .agg(F.expr(f"array_sort(collect_list({value})) AS {alias}"))
     )
 
 
@@ -81,39 +73,31 @@ def summarize_groups(
     the first ``names_shown`` distinct values (all of them for None: only for value sets
     that are bounded by a fixed list). ``having`` may use every one of these columns.
     """
-    extra = dict(extra or {})
-    flags = {f"flag_{name}": test for name, test in extra.items()}
+    tests = {f"flag_{name}": test for name, test in (extra or {}).items()}
+    hits = []
     for field, values in (watch or {}).items():
-        token = F.col(f"item.{WATCHED[field]}").cast("string")
-        token = F.lower(token) if field in ("username", "computer") else token
-        for i, value in enumerate(values):
-            flags[f"watch_{field}_{i}"] = F.coalesce(token == value, F.lit(False))
-    base = rows.withColumn("item", evidence).withColumn("value", distinct if distinct is not None else F.lit(""))
-    base = base.select(*keys, "event_ts", "event_uid", "item", "value", *[t.alias(n) for n, t in flags.items()])
-
-    by_value = base.groupBy(*keys, "value").agg(
-        F.count(F.lit(1)).alias("n"),
-        F.min("event_ts").alias("first_ts"),
-        F.max("event_ts").alias("last_ts"),
-        *[F.max(name).alias(name) for name in flags],
+        text = f"cast(item.{WATCHED[field]} as string)"
+        text = f"lower({text})" if field in ("username", "computer") else text
+        for value in values:
+            name = f"watch_{len(hits)}"
+            tests[name] = F.expr(f"coalesce({text} = {lit(value)}, false)")
+            hits.append(f"CASE WHEN max({name}) THEN {lit(f'{field}={value}')} END")
+    base = rows.withColumns({"item": evidence, "value": distinct if distinct is not None else F.lit("")}).select(
+        *keys, "event_ts", "event_uid", "item", "value", *[t.alias(n) for n, t in tests.items()]
     )
-    hits = [
-        F.when(F.max(f"watch_{field}_{i}"), watch_token(field, value))
-        for field, values in (watch or {}).items()
-        for i, value in enumerate(values)
-    ]
-    stats = by_value.groupBy(*keys).agg(
-        F.sum("n").alias("n"),
-        F.count(F.lit(1)).alias("n_distinct"),
-        F.min("first_ts").alias("first_ts"),
-        F.max("last_ts").alias("last_ts"),
-        *[F.max(f"flag_{name}").alias(name) for name in extra],
-        F.array_compact(F.array(*hits)).cast("array<string>").alias("watch_hits"),
-        *([F.array_sort(F.collect_set("value")).alias("names")] if distinct is not None and names_shown is None else []),
+    listed = ["array_sort(collect_set(value)) AS names"] if distinct is not None and names_shown is None else []
+    stats = (
+        base.groupBy(*keys, "value")
+        .agg(*map(F.expr, ["count(1) AS n", "min(event_ts) AS first_ts", "max(event_ts) AS last_ts",
+                           *[f"max({name}) AS {name}" for name in tests]]))
+        .groupBy(*keys)
+        .agg(*map(F.expr, ["sum(n) AS n", "count(1) AS n_distinct", "min(first_ts) AS first_ts", "max(last_ts) AS last_ts",
+                           *[f"max(flag_{name}) AS `{name}`" for name in extra or {}],
+                           f"cast(array_compact(array({', '.join(hits)})) as array<string>) AS watch_hits", *listed]))
     )
     if having is not None:
         stats = stats.where(having)
-    out = stats.join(first_rows(base, keys, ["event_ts", "event_uid"], F.col("item"), cap), keys)
+    out = stats.join(first_rows(base, keys, ["event_ts", "event_uid"], "item", cap), keys)
     if distinct is not None and names_shown is not None:
         out = out.join(first_values(base, keys, "value", names_shown, "names"), keys)
     return out

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from emberwatch.functions.events import dns_query
-from emberwatch.functions.sqltext import EVENT_TIME, TARGET_OR_USER
+from emberwatch.functions.sqltext import EVENT_TIME, TARGET_OR_USER, USER_OR_TARGET, in_list, lit
 from emberwatch.functions.text import first_label, label_entropy, parent_domain, tool_name
 from emberwatch.operators.alerts import summarize_groups
 from emberwatch.operators.settings import DetectorSettings
@@ -42,26 +42,22 @@ CHAIN_EVIDENCE_CAP = 15
 Watch = Mapping[str, list[str]] | None
 
 
-def _text(*parts: str | Column) -> Column:
-    return F.concat(*[F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts])
+def _text(*parts: str) -> str:
+    """SQL concat: every other part is literal text, starting with the first."""
+    return "concat(" + ", ".join(lit(p) if i % 2 == 0 else f"cast({p} as string)" for i, p in enumerate(parts)) + ")"
 
 
-def _listed(names: str = "names", cap: int | None = None) -> Column:
-    values = F.col(names) if cap is None else F.slice(names, 1, cap)
-    return F.array_join(values, ", ")
+LISTED = "array_join(names, ', ')"
 
 
-def _alerts(groups: DataFrame, detector: str, rule: str | Column, severity: str | Column, description: Column,
-            tactic: str, technique: str, recommendation: str | Column) -> DataFrame:
-    def text(x):
-        return F.lit(x) if isinstance(x, str) else x
-
+def _alerts(groups: DataFrame, detector: str, rule: str, severity: str, description: str,
+            tactic: str, technique: str, recommendation: str) -> DataFrame:
+    """Alerts of groups; rule, severity, description and recommendation are SQL expressions."""
     return finish_alerts(
-        groups.select(
-            F.lit(detector).alias("detector"), text(rule).alias("rule_name"), text(severity).alias("severity"),
-            description.alias("description"), F.col("first_ts").alias("alert_ts"),
-            F.lit(tactic).alias("mitre_tactic"), F.lit(technique).alias("mitre_technique"),
-            text(recommendation).alias("recommendation"), F.col("n").alias("evidence_count"),
+        groups.selectExpr(
+            f"{lit(detector)} AS detector", f"{rule} AS rule_name", f"{severity} AS severity",
+            f"{description} AS description", "first_ts AS alert_ts", f"{lit(tactic)} AS mitre_tactic",
+            f"{lit(technique)} AS mitre_technique", f"{recommendation} AS recommendation", "n AS evidence_count",
             "evidence", "watch_hits",
         )
     )
@@ -90,16 +86,15 @@ def brute_force_groups(events: DataFrame, s: DetectorSettings, watch: Watch = No
 
 
 def detect_brute_force(events: DataFrame, s: DetectorSettings, watch: Watch = None) -> DataFrame:
-    groups = brute_force_groups(events, s, watch)
-    many, label = F.col("n"), F.when(F.col("n_distinct") > 3, "Password Spray").otherwise("Brute-Force")
+    base = s.brute_force_threshold
     return _alerts(
-        groups, "brute_force", F.concat(label, F.lit(" Detected")),
-        F.when(many >= 3 * s.brute_force_threshold, "critical")
-        .when(many >= 2 * s.brute_force_threshold, "high").otherwise("medium"),
-        _text(many, " failed logon attempts from ", F.col("key"), " targeting ", F.col("n_distinct"),
+        brute_force_groups(events, s, watch), "brute_force",
+        "CASE WHEN n_distinct > 3 THEN 'Password Spray Detected' ELSE 'Brute-Force Detected' END",
+        f"CASE WHEN n >= {3 * base} THEN 'critical' WHEN n >= {2 * base} THEN 'high' ELSE 'medium' END",
+        _text("", "n", " failed logon attempts from ", "key", " targeting ", "n_distinct",
               f" account(s) within {s.brute_force_window}s"),
         "Credential Access", "T1110 - Brute Force",
-        _text("Look into source ", F.col("key"), " and reset the accounts it tried: ", _listed()),
+        _text("Look into source ", "key", " and reset the accounts it tried: ", LISTED),
     )
 
 
@@ -126,48 +121,39 @@ def lateral_groups(events: DataFrame, s: DetectorSettings, watch: Watch = None)
 
 def detect_lateral_movement(events: DataFrame, s: DetectorSettings, watch: Watch = None) -> DataFrame:
     return _alerts(
-        lateral_groups(events, s, watch), "lateral_movement", "Lateral Movement Detected",
-        F.when(F.col("by_desktop"), "high").otherwise("medium"),
-        _text("User '", F.col("key"), "' authenticated to ", F.col("n_distinct"),
-              f" distinct hosts within {s.lateral_window}s: ", _listed()),
+        lateral_groups(events, s, watch), "lateral_movement", lit("Lateral Movement Detected"),
+        "CASE WHEN by_desktop THEN 'high' ELSE 'medium' END",
+        _text("User '", "key", "' authenticated to ", "n_distinct", f" distinct hosts within {s.lateral_window}s: ", LISTED),
         "Lateral Movement", "T1021 - Remote Services",
-        _text("Ask whether '", F.col("key"), "' had a reason to use these hosts."),
+        _text("Ask whether '", "key", "' had a reason to use these hosts."),
     )
 
 
 def privilege_rows(events: DataFrame) -> DataFrame:
     """Privilege events of ordinary accounts with ``key`` and the ``held`` privileges."""
-    user = first_text("username", "target_username")
-    held = F.array_compact(
-        F.array(*[F.when(F.col("raw_json").contains(p), F.lit(p)) for p in SENSITIVE_PRIVILEGES])
-    )
-    return (
-        events.where(F.col("event_id").isin(PRIVILEGE_IDS))
-        .withColumn("key", user)
-        .where((F.col("key") != "") & ~F.upper("key").isin(PRIVILEGED_ACCOUNTS))
-        .withColumn("held", held)
-        .where(F.size("held") > 0)
-    )
+    held = ", ".join(f"CASE WHEN contains(raw_json, {lit(p)}) THEN {lit(p)} END" for p in SENSITIVE_PRIVILEGES)
+    rows = events.where(F.col("event_id").isin(PRIVILEGE_IDS)).withColumn("key", F.expr(USER_OR_TARGET))
+    ordinary = rows.where(f"key <> '' AND NOT {in_list('upper(key)', PRIVILEGED_ACCOUNTS)}")
+    return computed_once(ordinary, held=F.expr(f"array_compact(array({held}))")).where("size(held) > 0")
 
 
 def detect_privilege(events: DataFrame, s: DetectorSettings, watch: Watch = None) -> DataFrame:
     """One alert per account over the whole input."""
     groups = summarize_groups(
         privilege_rows(events), ["key"], watch=watch,
-        extra={p: F.array_contains("held", p) for p in SENSITIVE_PRIVILEGES},
+        extra={p: F.expr(f"array_contains(held, {lit(p)})") for p in SENSITIVE_PRIVILEGES},
         evidence=evidence_struct(
-            timestamp=EVENT_TIME, username="key", computer="computer",
-            event_id="event_id", privileges="held",
+            timestamp=EVENT_TIME, username="key", computer="computer", event_id="event_id", privileges="held"
         ),
     )
-    held = F.array_compact(F.array(*[F.when(F.col(p), F.lit(p)) for p in sorted(SENSITIVE_PRIVILEGES)]))
+    held = ", ".join(f"CASE WHEN {p} THEN {lit(p)} END" for p in sorted(SENSITIVE_PRIVILEGES))
     return _alerts(
-        groups, "privilege_escalation", "Suspicious Privilege Assignment",
-        F.when(F.col("SeDebugPrivilege"), "high").otherwise("medium"),
-        _text("User '", F.col("key"), "' was assigned sensitive privileges (", F.col("n"), " event(s)): ",
-              F.array_join(held, ", ")),
+        groups, "privilege_escalation", lit("Suspicious Privilege Assignment"),
+        "CASE WHEN SeDebugPrivilege THEN 'high' ELSE 'medium' END",
+        _text("User '", "key", "' was assigned sensitive privileges (", "n", " event(s)): ",
+              f"array_join(array_compact(array({held})), ', ')"),
         "Privilege Escalation", "T1134 - Access Token Manipulation",
-        _text("Ask whether '", F.col("key"), "' needs these privileges."),
+        _text("Ask whether '", "key", "' needs these privileges."),
     )
 
 
@@ -186,11 +172,11 @@ def detect_recon_burst(events: DataFrame, s: DetectorSettings, watch: Watch = No
         ),
     )
     return _alerts(
-        groups, "discovery", "Reconnaissance Burst Detected", "medium",
-        _text("User '", F.col("key"), "' ran ", F.col("n"), " recon commands (", _listed(),
-              f") within {s.recon_window}s on ", F.col("evidence")[0]["computer"]),
+        groups, "discovery", lit("Reconnaissance Burst Detected"), lit("medium"),
+        _text("User '", "key", "' ran ", "n", " recon commands (", LISTED, f") within {s.recon_window}s on ",
+              "evidence[0].computer"),
         "Discovery", "T1082 - System Information Discovery",
-        _text("Look into '", F.col("key"), "': discovery bursts often come early in an attack."),
+        _text("Look into '", "key", "': discovery bursts often come early in an attack."),
     )
 
 
@@ -219,12 +205,12 @@ def detect_dns_exfil(events: DataFrame, s: DetectorSettings, watch: Watch = None
         ),
     )
     return _alerts(
-        groups, "dns_exfiltration", "DNS Exfiltration Burst",
-        F.when(F.col("n") >= 3 * s.dns_query_threshold, "critical").otherwise("high"),
-        _text(F.col("n"), " high-entropy DNS queries from ", F.col("key"), f" in {s.dns_window_seconds}s spanning ",
-              F.col("n_distinct"), " parent domain(s): ", _listed()),
+        groups, "dns_exfiltration", lit("DNS Exfiltration Burst"),
+        f"CASE WHEN n >= {3 * s.dns_query_threshold} THEN 'critical' ELSE 'high' END",
+        _text("", "n", " high-entropy DNS queries from ", "key", f" in {s.dns_window_seconds}s spanning ", "n_distinct",
+              " parent domain(s): ", LISTED),
         "Exfiltration", "T1048.003 - Exfiltration Over Unencrypted Non-C2 Protocol",
-        _text("Check outbound DNS of ", F.col("key"), " and block the parent domains."),
+        _text("Check outbound DNS of ", "key", " and block the parent domains."),
     )
 
 
@@ -256,18 +242,20 @@ def detect_attack_chain(events: DataFrame, s: DetectorSettings, watch: Watch = N
             source_ip="source_ip",
         ),
     )
-    seen = F.array_compact(F.array(*[F.when(F.col(f"in_{i}"), F.lit(n)) for i, n in enumerate(STAGES)]))
-    span = F.col("last_ts") - F.col("first_ts")
+    seen = ", ".join(f"CASE WHEN in_{i} THEN {lit(n)} END" for i, n in enumerate(STAGES))
+    span = "last_ts - first_ts"
     # Half-even rounding, as a fixed-point number formatter does it.
-    seconds = F.bround(F.extract(F.lit("SECOND"), span) + F.extract(F.lit("MINUTE"), span) * 60
-                       + F.extract(F.lit("HOUR"), span) * 3600 + F.extract(F.lit("DAY"), span) * 86400, 0).cast("bigint")
+    seconds = (
+        f"cast(bround(extract(SECOND FROM {span}) + extract(MINUTE FROM {span}) * 60 + extract(HOUR FROM {span}) * 3600 "
+        f"+ extract(DAY FROM {span}) * 86400, 0) as bigint)"
+    )
     return _alerts(
-        groups.withColumn("seen", seen), "attack_chain", "Attack Chain Detected",
-        F.when(F.size("seen") >= 3, "critical").otherwise("high"),
-        _text("User '", F.col("key"), "' observed in ", F.size("seen"), " attack stages within ", seconds, "s: ",
-              F.array_join("seen", " -> ")),
+        groups.selectExpr("*", f"array_compact(array({seen})) AS seen"), "attack_chain", lit("Attack Chain Detected"),
+        "CASE WHEN size(seen) >= 3 THEN 'critical' ELSE 'high' END",
+        _text("User '", "key", "' observed in ", "size(seen)", " attack stages within ", seconds, "s: ",
+              "array_join(seen, ' -> ')"),
         "Multiple", "Multi-stage Kill Chain",
-        _text("Look into '", F.col("key"), "' at once: ", F.size("seen"), " attack stages lie close together."),
+        _text("Look into '", "key", "' at once: ", "size(seen)", " attack stages lie close together."),
     )
 
 

@@ -48,7 +48,7 @@ def _in_evidence(field: str, value: str) -> Column:
         text = F.coalesce(e[field].cast("string"), F.lit(""))
         return (F.lower(text) if low else text) == wanted
 
-    return F.exists("evidence", same) | F.array_contains("watch_hits", watch_token(field, wanted))
+    return F.exists("evidence", same) | F.array_contains("watch_hits", F.lit(watch_token(field, wanted)))
 
 
 def allowlist_reason(allowlist: Iterable[Mapping]) -> Column:

@@ -27,9 +27,10 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from emberwatch.functions.sqltext import lit
 from emberwatch.schema import col, epoch_micros
 
 MICROS = 1_000_000
@@ -37,15 +38,8 @@ BLOCK_WIDTHS = 8  # block length in window widths: bounds what one task holds of
 BEFORE_ALL = -(2**62)
 
 
-SUMMARY = pa.schema(
-    [
-        ("key", pa.string()),
-        ("block", pa.int64()),
-        ("starts", pa.list_(pa.int64())),
-        ("entry", pa.list_(pa.int64())),
-        ("last", pa.list_(pa.int64())),
-    ]
-)
+# parts: [starts of the block, entry starts of its step function, last start reached from each]
+SUMMARY = pa.schema([("key", pa.string()), ("block", pa.int64()), ("parts", pa.list_(pa.list_(pa.int64())))])
 
 
 def _block_summary(width: int, block_len: int, min_count: int):
@@ -76,82 +70,81 @@ def _block_summary(width: int, block_len: int, min_count: int):
         exits = last[:entries]
         keep = np.append(exits[1:] != exits[:-1], True)
         return pa.Table.from_arrays(
-            [[key], [block], [starts], [starts[:entries][keep]], [starts[exits[keep]]]], schema=SUMMARY
+            [[key], [block], [[starts, starts[:entries][keep], starts[exits[keep]]]]], schema=SUMMARY
         )
 
     return summarize
 
 
+def _floor_div(value: str, length: int) -> str:
+    """Integer floor division in SQL, exact for every bigint."""
+    return f"({value} - pmod({value}, {length}L)) div {length}L"
+
+
+def _with_blocks(instants: DataFrame, width: int, block_len: int) -> DataFrame:
+    """Rows with ``home`` block and ``block``: the first ``width`` of a block is also copied to the block before."""
+    homed = instants.selectExpr("*", f"{_floor_div('t', block_len)} AS home")
+    return homed.selectExpr(
+        "*",
+        f"explode(CASE WHEN t - home * {block_len}L <= {width}L THEN array(home, home - 1) ELSE array(home) END) AS block",
+    )
+
+
 def greedy_windows(instants: DataFrame, width_seconds: int, min_count: int = 1) -> DataFrame:
     """Window starts (key, anchor) of pre-aggregated (key, t, n) rows, t in microseconds."""
     width = int(width_seconds) * MICROS
     block_len = max(width * BLOCK_WIDTHS, MICROS)
-    home = F.floor(F.col("t") / F.lit(block_len)).cast("bigint")
-    reaches_back = F.col("t") - F.col("home") * block_len <= width
-    blocks = (
-        instants.withColumn("home", home)
-        .withColumn(
-            "block",
-            F.explode(F.when(reaches_back, F.array(F.col("home"), F.col("home") - 1)).otherwise(F.array("home"))),
-        )
-        .select("key", "block", "t", "n")
-    )
-    summaries = blocks.groupBy("key", "block").applyInArrow(
-        _block_summary(width, block_len, min_count),
-        "key string, block bigint, starts array<bigint>, entry array<bigint>, last array<bigint>",
+    blocks = _with_blocks(instants, width, block_len).select("key", "block", "t", "n")
+    # Both steps below read the summaries: partitioned once, the shuffle is shared.
+    summaries = (
+        blocks.groupBy("key", "block")
+        .applyInArrow(_block_summary(width, block_len, min_count), "key string, block bigint, parts array<array<bigint>>")
+        .repartition("key", "block")
     )
     # Step 3: x is the end of the window reaching into the block, BEFORE_ALL for none.
     reach = summaries.groupBy("key").agg(
-        F.array_sort(F.collect_list(F.struct("block", "entry", "last"))).alias("line")
-    ).select(
+        F.expr("array_sort(collect_list(struct(block, parts[1] AS entry, parts[2] AS last))) AS line")
+    ).selectExpr(
         "key",
-        F.explode(
-            F.expr(
-                f"""aggregate(
-                  line,
-                  named_struct('x', {BEFORE_ALL}L, 'seen', cast(array() as array<struct<block:bigint,x:bigint>>)),
-                  (acc, b) -> named_struct(
-                    'x', coalesce(get(filter(arrays_zip(b.entry, b.last), p -> p.entry > acc.x), 0).last + {width}L, acc.x),
-                    'seen', array_append(acc.seen, named_struct('block', b.block, 'x', acc.x))),
-                  acc -> acc.seen)"""
-            )
-        ).alias("at"),
+        f"""explode(aggregate(
+              line,
+              named_struct('x', {BEFORE_ALL}L, 'seen', cast(array() as array<struct<block:bigint,x:bigint>>)),
+              (acc, b) -> named_struct(
+                'x', coalesce(get(filter(arrays_zip(b.entry, b.last), p -> p.entry > acc.x), 0).last + {width}L, acc.x),
+                'seen', array_append(acc.seen, named_struct('block', b.block, 'x', acc.x))),
+              acc -> acc.seen)) AS at""",
     ).select("key", "at.block", "at.x")
     return (
-        summaries.select("key", "block", "starts")
+        summaries.selectExpr("key", "block", "parts[0] AS starts")
         .join(reach, ["key", "block"])
-        .select(
+        .selectExpr(
             "key",
-            F.explode(
-                F.expr(
-                    f"""aggregate(
-                      starts,
-                      named_struct('x', x, 'out', cast(array() as array<bigint>)),
-                      (acc, s) -> if(s > acc.x, named_struct('x', s + {width}L, 'out', array_append(acc.out, s)), acc),
-                      acc -> acc.out)"""
-                )
-            ).alias("anchor"),
+            f"""explode(aggregate(
+                  starts,
+                  named_struct('x', x, 'out', cast(array() as array<bigint>)),
+                  (acc, s) -> if(s > acc.x, named_struct('x', s + {width}L, 'out', array_append(acc.out, s)), acc),
+                  acc -> acc.out)) AS anchor""",
         )
     )
 
 
 def keyed(events: DataFrame, key: str | Column) -> DataFrame:
     """Add ``key`` (text) and ``t`` (microseconds) to events."""
-    return events.withColumn("key", col(key)).withColumn("t", epoch_micros("event_ts"))
+    return events.withColumns({"key": col(key), "t": epoch_micros("event_ts")})
 
 
 def assign(keyed_events: DataFrame, anchors: DataFrame, width_seconds: int) -> DataFrame:
     """Attach to each event the ``anchor`` of the window it lies in; others are dropped."""
     width = int(width_seconds) * MICROS
     slot_len = max(width, 1)
-    slot = F.floor(F.col("t") / F.lit(slot_len)).cast("bigint")
-    first = F.floor(F.col("anchor") / F.lit(slot_len)).cast("bigint")
+    first = _floor_div("anchor", slot_len)
     # Windows of one key start more than a width apart: at most one starts in a slot.
-    spread = anchors.withColumn("slot", F.explode(F.array(first, first + 1)))
+    # The explicit partitioning lets every use of the windows share one shuffle.
+    spread = anchors.selectExpr("key", "anchor", f"explode(array({first}, {first} + 1)) AS slot").repartition("key", "slot")
     return (
-        keyed_events.withColumn("slot", slot)
+        keyed_events.selectExpr("*", f"{_floor_div('t', slot_len)} AS slot")
         .join(spread, ["key", "slot"])
-        .where(F.col("t").between(F.col("anchor"), F.col("anchor") + width))
+        .where(f"t BETWEEN anchor AND anchor + {width}L")
         .drop("slot")
     )
 
@@ -177,28 +170,17 @@ def first_stage_window(events: DataFrame, key: str | Column, stage: str | Column
     width = int(width_seconds) * MICROS
     block_len = max(width * BLOCK_WIDTHS, MICROS)
     rows = keyed(events.withColumn("stage", col(stage)), key)
-    flags = [f"s{i}" for i in range(len(stages))]
-    instants = rows.groupBy("key", "t").agg(
-        *[F.max(F.col("stage") == name).alias(flag) for name, flag in zip(stages, flags)]
-    )
-    home = F.floor(F.col("t") / F.lit(block_len)).cast("bigint")
-    reaches_back = F.col("t") - F.col("home") * block_len <= width
-    blocks = instants.withColumn("home", home).withColumn(
-        "block",
-        F.explode(F.when(reaches_back, F.array(F.col("home"), F.col("home") - 1)).otherwise(F.array("home"))),
-    )
+    flags = {f"s{i}": name for i, name in enumerate(stages)}
+    instants = rows.groupBy("key", "t").agg(*[F.expr(f"max(stage = {lit(n)}) AS {flag}") for flag, n in flags.items()])
     # Looking back over descending time gives the next instant of every stage.
-    later = (
-        Window.partitionBy("key", "block").orderBy(F.col("t").desc())
-        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    later = "OVER (PARTITION BY key, block ORDER BY t DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
+    hits = " + ".join(
+        f"coalesce(cast(min(CASE WHEN {flag} THEN t END) {later} - t <= {width}L AS int), 0)" for flag in flags
     )
-    hits = F.lit(0)
-    for flag in flags:
-        upcoming = F.min(F.when(F.col(flag), F.col("t"))).over(later)
-        hits = hits + F.coalesce((upcoming - F.col("t") <= width).cast("int"), F.lit(0))
     anchors = (
-        blocks.withColumn("hits", hits)
-        .where((F.col("hits") >= min_stages) & (F.col("home") == F.col("block")))
+        _with_blocks(instants, width, block_len)
+        .selectExpr("key", "t", "home = block AS at_home", f"{hits} AS hits")
+        .where(f"hits >= {int(min_stages)} AND at_home")
         .groupBy("key").agg(F.min("t").alias("anchor"))
     )
     return assign(rows, anchors, width_seconds)

@@ -118,15 +118,12 @@ def ts_iso(ts: str | Column) -> Column:
     )
 
 
-def epoch_micros(ts: str | Column) -> Column:
-    """Microseconds since 1970 of a zone-less timestamp, whatever the session zone."""
-    ts = col(ts)
-    seconds = (
-        F.unix_date(ts.cast("date")).cast("bigint") * 86400
-        + F.hour(ts) * 3600
-        + F.minute(ts) * 60
+def epoch_micros(ts: str) -> Column:
+    """Microseconds since 1970 of a zone-less timestamp column, whatever the session zone."""
+    return F.expr(
+        f"(cast(unix_date(cast({ts} as date)) as bigint) * 86400 + hour({ts}) * 3600 + minute({ts}) * 60) * 1000000 "
+        f"+ cast(extract(SECOND FROM {ts}) * 1000000 as bigint)"
     )
-    return seconds * 1000000 + (F.extract(F.lit("SECOND"), ts) * 1000000).cast("bigint")
 
 
 def severity_rank(severity: str | Column) -> Column:
