@@ -71,24 +71,16 @@ def failed_logons(events: DataFrame) -> DataFrame:
     return events.where(F.col("event_id").isin(FAILED_LOGON_IDS))
 
 
-def brute_force_groups(events: DataFrame, s: DetectorSettings, watch: Watch = None) -> DataFrame:
-    """One row per burst of failed logons of a source."""
-    rows = dense_windows(
-        failed_logons(events), first_text("source_ip", F.lit("unknown")), s.brute_force_window, s.brute_force_threshold
-    )
-    return summarize_groups(
-        rows, ["key", "anchor"], distinct=target_or_user(), watch=watch,
-        evidence=evidence_struct(
-            timestamp=EVENT_TIME, source_ip="source_ip", username=TARGET_OR_USER,
-            event_id="event_id", computer="computer",
-        ),
+def brute_force_evidence() -> Column:
+    return evidence_struct(
+        timestamp=EVENT_TIME, source_ip="source_ip", username=TARGET_OR_USER, event_id="event_id", computer="computer"
     )
 
 
-def detect_brute_force(events: DataFrame, s: DetectorSettings, watch: Watch = None) -> DataFrame:
+def brute_force_alerts(groups: DataFrame, s: DetectorSettings) -> DataFrame:
     base = s.brute_force_threshold
     return _alerts(
-        brute_force_groups(events, s, watch), "brute_force",
+        groups, "brute_force",
         "CASE WHEN n_distinct > 3 THEN 'Password Spray Detected' ELSE 'Brute-Force Detected' END",
         f"CASE WHEN n >= {3 * base} THEN 'critical' WHEN n >= {2 * base} THEN 'high' ELSE 'medium' END",
         _text("", "n", " failed logon attempts from ", "key", " targeting ", "n_distinct",
@@ -98,6 +90,16 @@ def detect_brute_force(events: DataFrame, s: DetectorSettings, watch: Watch = No
     )
 
 
+def detect_brute_force(events: DataFrame, s: DetectorSettings, watch: Watch = None) -> DataFrame:
+    rows = dense_windows(
+        failed_logons(events), first_text("source_ip", F.lit("unknown")), s.brute_force_window, s.brute_force_threshold
+    )
+    groups = summarize_groups(
+        rows, ["key", "anchor"], distinct=target_or_user(), watch=watch, evidence=brute_force_evidence()
+    )
+    return brute_force_alerts(groups, s)
+
+
 def remote_logons(events: DataFrame) -> DataFrame:
     # The account list is compared as written here, without changing case.
     return events.where(
@@ -106,22 +108,15 @@ def remote_logons(events: DataFrame) -> DataFrame:
     )
 
 
-def lateral_groups(events: DataFrame, s: DetectorSettings, watch: Watch = None) -> DataFrame:
-    rows = anchored_windows(remote_logons(events), target_or_user(), s.lateral_window)
-    return summarize_groups(
-        rows, ["key", "anchor"], distinct=F.col("computer"), watch=watch,
-        extra={"by_desktop": F.col("logon_type") == 10},
-        having=F.col("n_distinct") >= s.lateral_host_threshold,
-        evidence=evidence_struct(
-            timestamp=EVENT_TIME, username="key", computer="computer",
-            source_ip="source_ip", logon_type="logon_type",
-        ),
+def lateral_evidence(user: str) -> Column:
+    return evidence_struct(
+        timestamp=EVENT_TIME, username=user, computer="computer", source_ip="source_ip", logon_type="logon_type"
     )
 
 
-def detect_lateral_movement(events: DataFrame, s: DetectorSettings, watch: Watch = None) -> DataFrame:
+def lateral_alerts(groups: DataFrame, s: DetectorSettings) -> DataFrame:
     return _alerts(
-        lateral_groups(events, s, watch), "lateral_movement", lit("Lateral Movement Detected"),
+        groups, "lateral_movement", lit("Lateral Movement Detected"),
         "CASE WHEN by_desktop THEN 'high' ELSE 'medium' END",
         _text("User '", "key", "' authenticated to ", "n_distinct", f" distinct hosts within {s.lateral_window}s: ", LISTED),
         "Lateral Movement", "T1021 - Remote Services",
@@ -129,6 +124,16 @@ def detect_lateral_movement(events: DataFrame, s: DetectorSettings, watch: Watch
     )
 
 
+def detect_lateral_movement(events: DataFrame, s: DetectorSettings, watch: Watch = None) -> DataFrame:
+    rows = anchored_windows(remote_logons(events), target_or_user(), s.lateral_window)
+    groups = summarize_groups(
+        rows, ["key", "anchor"], distinct=F.col("computer"), watch=watch,
+        extra={"by_desktop": F.col("logon_type") == 10},
+        having=F.col("n_distinct") >= s.lateral_host_threshold, evidence=lateral_evidence("key"),
+    )
+    return lateral_alerts(groups, s)
+
+
 def privilege_rows(events: DataFrame) -> DataFrame:
     """Privilege events of ordinary accounts with ``key`` and the ``held`` privileges."""
     held = ", ".join(f"CASE WHEN contains(raw_json, {lit(p)}) THEN {lit(p)} END" for p in SENSITIVE_PRIVILEGES)
@@ -204,6 +209,10 @@ def detect_dns_exfil(events: DataFrame, s: DetectorSettings, watch: Watch = None
             query="substring(query, 1, 200)", event_id="event_id",
         ),
     )
+    return dns_alerts(groups, s)
+
+
+def dns_alerts(groups: DataFrame, s: DetectorSettings) -> DataFrame:
     return _alerts(
         groups, "dns_exfiltration", lit("DNS Exfiltration Burst"),
         f"CASE WHEN n >= {3 * s.dns_query_threshold} THEN 'critical' ELSE 'high' END",

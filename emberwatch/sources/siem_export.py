@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from emberwatch.functions.events import first_path, level_severity, shape_category
 from emberwatch.functions.timestamps import or_unknown, siem_time
 from emberwatch.schema import computed_once, normalize_events
-from emberwatch.sources.lines import line_uid
+from emberwatch.sources.lines import line_uid, read_lines
 
 # Keys that may wrap the list of alerts, in order.
 WRAPPERS = ["affected_items", "items", "alerts", "data"]
@@ -90,10 +90,18 @@ def export_events(alerts: DataFrame) -> DataFrame:
     )
 
 
-def read_siem_export(spark: SparkSession, path: str, **options: str) -> DataFrame:
-    """Events of exported alert files: a list of alerts, or an object that wraps one."""
-    docs = spark.read.options(**options).option("multiLine", True).option("singleVariantColumn", "raw").json(path)
-    items = docs.select(F.explode(unwrap(F.col("raw"))).alias("raw"), F.col("_metadata.file_path").alias("src_file"))
+def read_siem_export(spark: SparkSession, path: str, layout: str = "files", **options: str) -> DataFrame:
+    """Events of exported alerts. Each document is a list of alerts, or an object that wraps one.
+
+    ``layout`` is ``files`` (one document per file) or ``lines`` (one page per line, which
+    is the form to use for large exports: long files are split over many tasks).
+    """
+    if layout == "lines":
+        docs = computed_once(read_lines(spark, path, **options), raw=F.try_parse_json("value"))
+    else:
+        whole = spark.read.options(**options).option("multiLine", True).option("singleVariantColumn", "raw").json(path)
+        docs = whole.select("raw", F.col("_metadata.file_path").alias("src_file"))
+    items = docs.select(F.explode(unwrap(F.col("raw"))).alias("raw"), "src_file")
     return normalize_events(export_events(items.withColumn("line_id", F.monotonically_increasing_id())))
 
 
