@@ -69,18 +69,24 @@ def first_field(raw: str, *keys: str, default: str = "") -> Column:
 LEAF = r'[:\[,]("(?!\s*")(?:[^"\\]++|\\.)*+"(?!:)|-?\d[\d.eE+-]*|true|false)'
 
 
-def first_path(raw: str, *paths: str, default: str = "") -> Column:
-    """First non-empty value among dotted paths; a list or object gives its first leaf.
+def path_texts(raw: str, paths: list[str]) -> Column:
+    """Array with the text at each dotted path of the VARIANT column; of a list or object its first leaf.
 
-    VARIANT keeps the keys of an object sorted, so "first" is by key there.
+    VARIANT keeps the keys of an object sorted, so "first" is by key there. Missing or
+    blank is NULL.
     """
-    tries = []
-    for path in paths:
-        at = lit(json_path(*path.split(".")))
-        node, kind = f"try_variant_get({raw}, {at}, 'string')", f"schema_of_variant(try_variant_get({raw}, {at}, 'variant'))"
-        leaf = f"trim(try_variant_get(try_parse_json(nullif(regexp_extract({node}, {lit(LEAF)}, 1), '')), '$', 'string'))"
-        tries.append(f"nullif(CASE WHEN {kind} LIKE 'ARRAY%' OR {kind} LIKE 'OBJECT%' THEN {leaf} ELSE {node} END, '')")
-    return F.expr(f"coalesce({', '.join(tries)}, {lit(default)})")
+    nodes = ", ".join(f"try_variant_get({raw}, {lit(json_path(*p.split('.')))}, 'variant')" for p in paths)
+    text, kind = "try_variant_get(v, '$', 'string')", "schema_of_variant(v)"
+    leaf = f"trim(try_variant_get(try_parse_json(nullif(regexp_extract({text}, {lit(LEAF)}, 1), '')), '$', 'string'))"
+    return F.expr(
+        f"transform(array({nodes}), v -> nullif(CASE WHEN {kind} LIKE 'ARRAY%' OR {kind} LIKE 'OBJECT%' THEN {leaf} ELSE {text} END, ''))"
+    )
+
+
+def first_path(raw: str, *paths: str, default: str = "") -> Column:
+    """First non-empty text among the dotted paths."""
+    found = F.array_compact(path_texts(raw, list(paths)))
+    return F.coalesce(F.get(found, F.lit(0)), F.lit(default))
 
 
 def dns_query(raw: str) -> Column:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from emberwatch.schema import computed_once
 from emberwatch.sources.json_logs import good_numbers, record_events, record_fields
+from emberwatch.sources.lines import read_lines
 
 EVENT_SCHEMA = """
   System struct<
@@ -54,12 +55,21 @@ def _named_data():
     return F.when(F.size(as_map) > 0, as_map).otherwise(user)
 
 
-def read_event_xml(spark: SparkSession, path: str, **options: str) -> tuple[DataFrame, DataFrame]:
-    """(events, quarantine) of XML exports. The files are split at ``<Event>`` elements."""
-    xml = (
-        spark.read.format("xml").options(**options).option("rowTag", "Event").option("ignoreNamespace", True)
-        .option("columnNameOfCorruptRecord", "_corrupt").schema(EVENT_SCHEMA).load(path)
-    )
+def read_event_xml(spark: SparkSession, path: str, layout: str = "documents", **options: str) -> tuple[DataFrame, DataFrame]:
+    """(events, quarantine) of XML exports.
+
+    ``layout`` is ``documents`` (well-formed files, one task per file) or ``lines`` (one
+    ``<Event>`` element per line; long files are split over many tasks).
+    """
+    if layout == "lines":
+        lines = read_lines(spark, path, **options).where("value RLIKE '^<Event[ >]'")
+        parsed = F.from_xml("value", EVENT_SCHEMA, {"ignoreNamespace": "true", "columnNameOfCorruptRecord": "_corrupt"})
+        xml = computed_once(lines, e=parsed).select("e.*", "src_file", "line_id")
+    else:
+        xml = (
+            spark.read.format("xml").options(**options).option("rowTag", "Event").option("ignoreNamespace", True)
+            .option("columnNameOfCorruptRecord", "_corrupt").schema(EVENT_SCHEMA).load(path)
+        ).select("*", F.col("_metadata.file_path").alias("src_file"), F.monotonically_increasing_id().alias("line_id"))
     data = _named_data()
     record = F.struct(
         F.coalesce("System.Provider._Name", F.lit("")).alias("Source"),
@@ -69,10 +79,7 @@ def read_event_xml(spark: SparkSession, path: str, **options: str) -> tuple[Data
         F.coalesce("System.Channel", F.lit("")).alias("Channel"),
         F.when(F.size(data) > 0, data).alias("EventData"),
     )
-    rows = xml.select(
-        F.to_json(record).alias("value"), F.col("_metadata.file_path").alias("src_file"),
-        F.monotonically_increasing_id().alias("line_id"), "_corrupt",
-    )
+    rows = xml.select(F.to_json(record).alias("value"), "src_file", "line_id", "_corrupt")
     rows = computed_once(rows, raw=F.try_parse_json("value"))
     fields = record_fields(rows, XML_KEYS)
     # A record without a readable event id keeps id 0; only broken XML and logon types are set aside.

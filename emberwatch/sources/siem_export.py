@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from emberwatch.functions.events import first_path, level_severity, shape_category
+from emberwatch.functions.events import level_severity, path_texts, shape_category
+from emberwatch.functions.sqltext import lit
 from emberwatch.functions.timestamps import or_unknown, siem_time
 from emberwatch.schema import computed_once, normalize_events
 from emberwatch.sources.lines import line_uid, read_lines
@@ -68,9 +69,13 @@ def unwrap(raw: Column) -> Column:
 
 def export_events(alerts: DataFrame) -> DataFrame:
     """Events of (raw VARIANT, src_file, line_id) alert rows, with ``severity`` of the rule level."""
-    fields = computed_once(
-        alerts, **{name: first_path("raw", *paths, default=DEFAULTS.get(name, "")) for name, paths in PATHS.items()}
-    )
+    distinct = sorted({p for paths in PATHS.values() for p in paths})
+    texts = computed_once(alerts, texts=path_texts("raw", distinct))
+
+    def first(paths: list[str], default: str):
+        return F.expr("coalesce(" + ", ".join(f"texts[{distinct.index(p)}]" for p in paths) + f", {lit(default)})")
+
+    fields = computed_once(texts, **{name: first(paths, DEFAULTS.get(name, "")) for name, paths in PATHS.items()})
     ts = siem_time("time")
 
     def whole(name: str) -> Column:

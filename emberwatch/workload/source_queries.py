@@ -147,7 +147,7 @@ def event_xml(spark, sf_dir):
         f"{ISO_SECOND}, 'Z\"/><Computer>', computer, '</Computer></System><EventData><Data Name=\"SubjectUserName\">', username, "
         "'</Data><Data Name=\"IpAddress\">', source_ip, '</Data><Data Name=\"LogonType\">', logon_type, '</Data></EventData></Event>')"
     )
-    events, _ = read_event_xml(spark, log_files(spark, sf_dir, "xml", line))
+    events, _ = read_event_xml(spark, log_files(spark, sf_dir, "xml", line), layout="lines")
     return _time(events, "source", "event_id", "computer", "username", "source_ip", "logon_type")
 
 

@@ -125,6 +125,14 @@ def test_event_xml(spark, tmp_path):
     assert [r.reason for r in bad.collect()] == ["bad number"]
 
 
+def test_event_xml_lines(spark, tmp_path):
+    one = '<Event><System><EventID>{}</EventID><Computer>H</Computer></System><EventData><Data Name="User">u</Data></EventData></Event>'
+    text = "\n".join(["<Events>", one.format(4624), one.format(1102), "<Event><System><EventID>", "</Events>"])
+    events, bad = read_event_xml(spark, put(tmp_path, "l.xml", text), layout="lines")
+    assert [(r.event_id, r.username) for r in rows(events)] == [(4624, "u"), (1102, "u")]
+    assert [r.reason for r in bad.collect()] == ["malformed"]
+
+
 SIEM = {
     "timestamp": "2024-01-15T08:30:01.123+0000", "id": "5", "location": "/var/log/auth",
     "agent": {"id": "001", "name": "web1"},
@@ -150,6 +158,11 @@ def test_siem_export(spark, tmp_path, payload):
     assert r.event_ts == datetime(2024, 1, 15, 8, 30, 1, 123000)
 
 
+def test_siem_export_lines(spark, tmp_path):
+    text = "\n".join(json.dumps({"items": [SIEM, SIEM]}) for _ in range(3)) + "\n{broken\n"
+    assert read_siem_export(spark, put(tmp_path, "w.jsonl", text), layout="lines").count() == 6
+
+
 def test_siem_export_without_alerts(spark, tmp_path):
     assert read_siem_export(spark, put(tmp_path, "w.json", json.dumps({"error": 0}))).count() == 0
     ids = spark.createDataFrame([("4",), ("5",), ("11",)], "id string")
