@@ -89,11 +89,15 @@ def first_path(raw: str, *paths: str, default: str = "") -> Column:
     return F.coalesce(F.get(found, F.lit(0)), F.lit(default))
 
 
-def dns_query(raw: str) -> Column:
-    """Query name of a DNS record (a VARIANT column), ``''`` if it has none."""
+def dns_query_sql(raw: str) -> str:
     tries = [raw_text_sql(raw, k) for k in QUERY_KEYS]
     tries += [raw_text_sql(raw, "EventData", k) for k in QUERY_EVENT_DATA_KEYS]
-    return F.expr("coalesce(" + ", ".join(f"nullif({t}, '')" for t in tries) + ", '')")
+    return "coalesce(" + ", ".join(f"nullif({t}, '')" for t in tries) + ", '')"
+
+
+def dns_query(raw: str) -> Column:
+    """Query name of a DNS record (a VARIANT column), ``''`` if it has none."""
+    return F.expr(dns_query_sql(raw))
 
 
 def _lookup(table: dict, key: Column, default: str) -> Column:

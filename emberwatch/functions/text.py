@@ -112,17 +112,19 @@ def technique_ids(technique: str | Column, tactic: str | Column) -> Column:
     return F.regexp_extract_all(F.concat_ws(" ", col(technique), col(tactic)), F.lit(TECHNIQUE_PATTERN), F.lit(1))
 
 
-def label_entropy(label: str | Column) -> Column:
-    """Shannon entropy of the characters of ``label`` in bits; 0 for empty text."""
-    label = col(label)
-    size = F.length(label)
-    letters = F.filter(F.array_distinct(F.split(label, "")), lambda c: c != "")
-
-    def add(total: Column, letter: Column) -> Column:
-        share = (size - F.length(F.replace(label, letter, F.lit("")))) / size
-        return total - share * F.log2(share)
-
-    return F.when(size > 0, F.aggregate(letters, F.lit(0.0), add) + 0.0).otherwise(0.0)
+def entropy_sql(label: str) -> str:
+    """SQL for the Shannon entropy in bits; ``label`` is bound to a name first, so it is evaluated once."""
+    share = "((length(l) - length(replace(l, c, ''))) / length(l))"
+    body = (
+        "CASE WHEN l = '' THEN 0D ELSE aggregate(filter(array_distinct(split(l, '')), c -> c <> ''), 0D, "
+        f"(total, c) -> total - {share} * log2({share})) + 0D END"
+    )
+    return f"get(transform(array({label}), l -> {body}), 0)"
+
+
+def label_entropy(label: str) -> Column:
+    """Shannon entropy of the characters of a text column in bits; 0 for empty text."""
+    return F.expr(entropy_sql(label))
 
 
 def first_label(name: str | Column) -> Column:

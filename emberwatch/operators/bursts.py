@@ -2,19 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from emberwatch.functions.events import dns_query
-from emberwatch.functions.sqltext import EVENT_TIME, TARGET_OR_USER, USER_OR_TARGET, in_list, lit
-from emberwatch.functions.text import first_label, label_entropy, parent_domain, tool_name
-from emberwatch.operators.alerts import summarize_groups
+from emberwatch.functions.events import dns_query_sql
+from emberwatch.functions.sqltext import EVENT_TIME, TARGET_OR_USER, USER_OR_TARGET, first_text, in_list, lit
+from emberwatch.functions.text import entropy_sql
+from emberwatch.operators.alerts import STAGES as BY_STAGES
+from emberwatch.operators.alerts import WHOLE, GroupRule, run_group_rules
 from emberwatch.operators.settings import DetectorSettings
 from emberwatch.operators.stateless import QUIET, QUIET_ACCOUNTS
-from emberwatch.operators.windows import anchored_windows, dense_windows, first_stage_window
-from emberwatch.schema import computed_once, evidence_struct, finish_alerts, first_text
+from emberwatch.operators.windows import stage_bits
 
 # Event ids and logon types of the keyed detectors.
 FAILED_LOGON_IDS = [4625, 4776]
@@ -39,7 +37,21 @@ DISCOVERY_TOOLS = [
 STAGES = ["Credential Access", "Privilege Escalation", "Lateral Movement", "Execution"]
 CHAIN_EVIDENCE_CAP = 15
 
-Watch = Mapping[str, list[str]] | None
+LISTED = "array_join(names, ', ')"
+TOOL = r"replace(element_at(split(lower(process_name), '\\\\'), -1), '.exe', '')"
+QUERY = dns_query_sql("try_parse_json(raw_json)")
+LABEL = f"substring_index({QUERY}, '.', 1)"
+PARENT = f"substring({QUERY}, instr({QUERY}, '.') + 1)"
+REMOTE = (
+    f"event_id IN (4624, 4648) AND logon_type IN (3, 10) AND {TARGET_OR_USER} <> '' "
+    f"AND NOT {in_list(TARGET_OR_USER, QUIET_ACCOUNTS)}"  # compared as written, without changing case
+)
+FAILED = "event_id IN (4625, 4776)"
+STAGE = (
+    f"CASE WHEN {FAILED} THEN {lit(STAGES[0])} WHEN event_id IN (4672, 4673, 4674) THEN {lit(STAGES[1])} "
+    f"WHEN event_id = 4624 AND logon_type IN (3, 10) THEN {lit(STAGES[2])} "
+    f"WHEN category = 'process' AND process_name <> '' THEN {lit(STAGES[3])} END"
+)
 
 
 def _text(*parts: str) -> str:
@@ -47,232 +59,130 @@ def _text(*parts: str) -> str:
     return "concat(" + ", ".join(lit(p) if i % 2 == 0 else f"cast({p} as string)" for i, p in enumerate(parts)) + ")"
 
 
-LISTED = "array_join(names, ', ')"
-
-
-def _alerts(groups: DataFrame, detector: str, rule: str, severity: str, description: str,
-            tactic: str, technique: str, recommendation: str) -> DataFrame:
-    """Alerts of groups; rule, severity, description and recommendation are SQL expressions."""
-    return finish_alerts(
-        groups.selectExpr(
-            f"{lit(detector)} AS detector", f"{rule} AS rule_name", f"{severity} AS severity",
-            f"{description} AS description", "first_ts AS alert_ts", f"{lit(tactic)} AS mitre_tactic",
-            f"{lit(technique)} AS mitre_technique", f"{recommendation} AS recommendation", "n AS evidence_count",
-            "evidence", "watch_hits",
-        )
-    )
-
-
-def target_or_user() -> Column:
-    return F.expr(TARGET_OR_USER)
-
-
-def failed_logons(events: DataFrame) -> DataFrame:
-    return events.where(F.col("event_id").isin(FAILED_LOGON_IDS))
-
-
-def brute_force_evidence() -> Column:
-    return evidence_struct(
-        timestamp=EVENT_TIME, source_ip="source_ip", username=TARGET_OR_USER, event_id="event_id", computer="computer"
-    )
+def _bit_names(names: list[str], order: list[str]) -> str:
+    """SQL array of the names whose bit is set, in the given order; bit i stands for ``names[i]``."""
+    arms = ", ".join(f"CASE WHEN bits & {1 << names.index(n)} <> 0 THEN {lit(n)} END" for n in order)
+    return f"array_compact(array({arms}))"
 
 
-def brute_force_alerts(groups: DataFrame, s: DetectorSettings) -> DataFrame:
+def brute_force(s: DetectorSettings) -> GroupRule:
     base = s.brute_force_threshold
-    return _alerts(
-        groups, "brute_force",
+    return GroupRule(
+        "brute_force", F.expr(FAILED), first_text("source_ip", "'unknown'"),
         "CASE WHEN n_distinct > 3 THEN 'Password Spray Detected' ELSE 'Brute-Force Detected' END",
         f"CASE WHEN n >= {3 * base} THEN 'critical' WHEN n >= {2 * base} THEN 'high' ELSE 'medium' END",
         _text("", "n", " failed logon attempts from ", "key", " targeting ", "n_distinct",
               f" account(s) within {s.brute_force_window}s"),
         "Credential Access", "T1110 - Brute Force",
         _text("Look into source ", "key", " and reset the accounts it tried: ", LISTED),
+        {"timestamp": EVENT_TIME, "source_ip": "source_ip", "username": TARGET_OR_USER, "event_id": "event_id", "computer": "computer"},
+        width_seconds=s.brute_force_window, minimum=base, value=TARGET_OR_USER,
     )
 
 
-def detect_brute_force(events: DataFrame, s: DetectorSettings, watch: Watch = None) -> DataFrame:
-    rows = dense_windows(
-        failed_logons(events), first_text("source_ip", F.lit("unknown")), s.brute_force_window, s.brute_force_threshold
-    )
-    groups = summarize_groups(
-        rows, ["key", "anchor"], distinct=target_or_user(), watch=watch, evidence=brute_force_evidence()
-    )
-    return brute_force_alerts(groups, s)
-
-
-def remote_logons(events: DataFrame) -> DataFrame:
-    # The account list is compared as written here, without changing case.
-    return events.where(
-        F.col("event_id").isin(LOGON_IDS) & F.col("logon_type").isin(REMOTE_LOGON_TYPES)
-        & (target_or_user() != "") & ~target_or_user().isin(QUIET_ACCOUNTS)
-    )
-
-
-def lateral_evidence(user: str) -> Column:
-    return evidence_struct(
-        timestamp=EVENT_TIME, username=user, computer="computer", source_ip="source_ip", logon_type="logon_type"
-    )
-
-
-def lateral_alerts(groups: DataFrame, s: DetectorSettings) -> DataFrame:
-    return _alerts(
-        groups, "lateral_movement", lit("Lateral Movement Detected"),
-        "CASE WHEN by_desktop THEN 'high' ELSE 'medium' END",
+def lateral_movement(s: DetectorSettings) -> GroupRule:
+    return GroupRule(
+        "lateral_movement", F.expr(REMOTE), TARGET_OR_USER, lit("Lateral Movement Detected"),
+        "CASE WHEN bits = 1 THEN 'high' ELSE 'medium' END",
         _text("User '", "key", "' authenticated to ", "n_distinct", f" distinct hosts within {s.lateral_window}s: ", LISTED),
         "Lateral Movement", "T1021 - Remote Services",
         _text("Ask whether '", "key", "' had a reason to use these hosts."),
+        {"timestamp": EVENT_TIME, "username": TARGET_OR_USER, "computer": "computer", "source_ip": "source_ip", "logon_type": "logon_type"},
+        width_seconds=s.lateral_window, value="computer", bits="CASE WHEN logon_type = 10 THEN 1 ELSE 0 END",
+        having=f"n_distinct >= {s.lateral_host_threshold}",
     )
 
 
-def detect_lateral_movement(events: DataFrame, s: DetectorSettings, watch: Watch = None) -> DataFrame:
-    rows = anchored_windows(remote_logons(events), target_or_user(), s.lateral_window)
-    groups = summarize_groups(
-        rows, ["key", "anchor"], distinct=F.col("computer"), watch=watch,
-        extra={"by_desktop": F.col("logon_type") == 10},
-        having=F.col("n_distinct") >= s.lateral_host_threshold, evidence=lateral_evidence("key"),
-    )
-    return lateral_alerts(groups, s)
-
-
-def privilege_rows(events: DataFrame) -> DataFrame:
-    """Privilege events of ordinary accounts with ``key`` and the ``held`` privileges."""
-    held = ", ".join(f"CASE WHEN contains(raw_json, {lit(p)}) THEN {lit(p)} END" for p in SENSITIVE_PRIVILEGES)
-    rows = events.where(F.col("event_id").isin(PRIVILEGE_IDS)).withColumn("key", F.expr(USER_OR_TARGET))
-    ordinary = rows.where(f"key <> '' AND NOT {in_list('upper(key)', PRIVILEGED_ACCOUNTS)}")
-    return computed_once(ordinary, held=F.expr(f"array_compact(array({held}))")).where("size(held) > 0")
-
-
-def detect_privilege(events: DataFrame, s: DetectorSettings, watch: Watch = None) -> DataFrame:
+def privilege_escalation(s: DetectorSettings) -> GroupRule:
     """One alert per account over the whole input."""
-    groups = summarize_groups(
-        privilege_rows(events), ["key"], watch=watch,
-        extra={p: F.expr(f"array_contains(held, {lit(p)})") for p in SENSITIVE_PRIVILEGES},
-        evidence=evidence_struct(
-            timestamp=EVENT_TIME, username="key", computer="computer", event_id="event_id", privileges="held"
-        ),
-    )
-    held = ", ".join(f"CASE WHEN {p} THEN {lit(p)} END" for p in sorted(SENSITIVE_PRIVILEGES))
-    return _alerts(
-        groups, "privilege_escalation", lit("Suspicious Privilege Assignment"),
-        "CASE WHEN SeDebugPrivilege THEN 'high' ELSE 'medium' END",
+    names = SENSITIVE_PRIVILEGES
+    bits = " + ".join(f"CASE WHEN contains(raw_json, {lit(p)}) THEN {1 << i} ELSE 0 END" for i, p in enumerate(names))
+    held = ", ".join(f"CASE WHEN contains(raw_json, {lit(p)}) THEN {lit(p)} END" for p in names)
+    any_held = " OR ".join(f"contains(raw_json, {lit(p)})" for p in names)
+    return GroupRule(
+        "privilege_escalation",
+        F.expr(f"event_id IN (4672, 4673, 4674) AND {USER_OR_TARGET} <> '' AND NOT {in_list(f'upper({USER_OR_TARGET})', PRIVILEGED_ACCOUNTS)} AND ({any_held})"),
+        USER_OR_TARGET, lit("Suspicious Privilege Assignment"),
+        f"CASE WHEN bits & {1 << names.index('SeDebugPrivilege')} <> 0 THEN 'high' ELSE 'medium' END",
         _text("User '", "key", "' was assigned sensitive privileges (", "n", " event(s)): ",
-              f"array_join(array_compact(array({held})), ', ')"),
+              f"array_join({_bit_names(names, sorted(names))}, ', ')"),
         "Privilege Escalation", "T1134 - Access Token Manipulation",
         _text("Ask whether '", "key", "' needs these privileges."),
+        {"timestamp": EVENT_TIME, "username": USER_OR_TARGET, "computer": "computer", "event_id": "event_id",
+         "privileges": f"array_compact(array({held}))"},
+        kind=WHOLE, bits=bits,
     )
 
 
-def discovery_rows(events: DataFrame) -> DataFrame:
-    return events.withColumn("tool", tool_name("process_name")).where(F.col("tool").isin(DISCOVERY_TOOLS))
-
-
-def detect_recon_burst(events: DataFrame, s: DetectorSettings, watch: Watch = None) -> DataFrame:
-    user = first_text("username", "target_username", F.lit("unknown"))
-    rows = dense_windows(discovery_rows(events), user, s.recon_window, s.recon_threshold)
-    groups = summarize_groups(
-        rows, ["key", "anchor"], distinct=F.col("tool"), names_shown=None, watch=watch,
-        evidence=evidence_struct(
-            timestamp=EVENT_TIME, username="key", computer="computer",
-            process="process_name", command_line="substring(command_line, 1, 300)",
-        ),
-    )
-    return _alerts(
-        groups, "discovery", lit("Reconnaissance Burst Detected"), lit("medium"),
+def discovery(s: DetectorSettings) -> GroupRule:
+    user = first_text("username", "target_username", "'unknown'")
+    return GroupRule(
+        "discovery", F.expr(in_list(TOOL, DISCOVERY_TOOLS)), user, lit("Reconnaissance Burst Detected"), lit("medium"),
         _text("User '", "key", "' ran ", "n", " recon commands (", LISTED, f") within {s.recon_window}s on ",
               "evidence[0].computer"),
         "Discovery", "T1082 - System Information Discovery",
         _text("Look into '", "key", "': discovery bursts often come early in an attack."),
+        {"timestamp": EVENT_TIME, "username": user, "computer": "computer", "process": "process_name",
+         "command_line": "substring(command_line, 1, 300)"},
+        width_seconds=s.recon_window, minimum=s.recon_threshold, value=TOOL, names_shown=len(DISCOVERY_TOOLS),
     )
 
 
-def odd_dns_rows(events: DataFrame, s: DetectorSettings) -> DataFrame:
-    """DNS events with a long high-entropy first label, with ``query``."""
-    label = first_label("query")
-    dns = computed_once(events.where(F.col("event_id").isin(DNS_IDS)), record=F.try_parse_json("raw_json"))
-    return (
-        computed_once(dns, query=dns_query("record")).drop("record")
-        .where(
-            F.col("query").contains(".") & (F.length(label) >= s.dns_min_label_length)
-            & (label_entropy(label) >= s.dns_min_entropy_bits)
-        )
-    )
-
-
-def detect_dns_exfil(events: DataFrame, s: DetectorSettings, watch: Watch = None) -> DataFrame:
-    rows = dense_windows(
-        odd_dns_rows(events, s), first_text("computer", F.lit("unknown")), s.dns_window_seconds, s.dns_query_threshold
-    )
-    groups = summarize_groups(
-        rows, ["key", "anchor"], distinct=parent_domain("query"), names_shown=3, watch=watch,
-        evidence=evidence_struct(
-            timestamp=EVENT_TIME, computer="computer", username="username",
-            query="substring(query, 1, 200)", event_id="event_id",
+def dns_exfiltration(s: DetectorSettings) -> GroupRule:
+    return GroupRule(
+        "dns_exfiltration",
+        # The id test comes first and guards the parse; rows that fail it are never parsed.
+        F.expr(
+            f"CASE WHEN event_id IN (22, 5353) THEN contains({QUERY}, '.') AND length({LABEL}) >= {s.dns_min_label_length} "
+            f"AND {entropy_sql(LABEL)} >= {s.dns_min_entropy_bits} ELSE false END"
         ),
-    )
-    return dns_alerts(groups, s)
-
-
-def dns_alerts(groups: DataFrame, s: DetectorSettings) -> DataFrame:
-    return _alerts(
-        groups, "dns_exfiltration", lit("DNS Exfiltration Burst"),
+        first_text("computer", "'unknown'"), lit("DNS Exfiltration Burst"),
         f"CASE WHEN n >= {3 * s.dns_query_threshold} THEN 'critical' ELSE 'high' END",
         _text("", "n", " high-entropy DNS queries from ", "key", f" in {s.dns_window_seconds}s spanning ", "n_distinct",
               " parent domain(s): ", LISTED),
         "Exfiltration", "T1048.003 - Exfiltration Over Unencrypted Non-C2 Protocol",
         _text("Check outbound DNS of ", "key", " and block the parent domains."),
+        {"timestamp": EVENT_TIME, "computer": "computer", "username": "username", "query": f"substring({QUERY}, 1, 200)",
+         "event_id": "event_id"},
+        width_seconds=s.dns_window_seconds, minimum=s.dns_query_threshold, value=PARENT, names_shown=3,
     )
 
 
-def stage_of() -> Column:
-    """Attack stage of an event, NULL for none."""
-    event_id = F.col("event_id")
-    return (
-        F.when(event_id.isin(FAILED_LOGON_IDS), STAGES[0])
-        .when(event_id.isin(PRIVILEGE_IDS), STAGES[1])
-        .when((event_id == 4624) & F.col("logon_type").isin(REMOTE_LOGON_TYPES), STAGES[2])
-        .when((F.col("category") == "process") & (F.col("process_name") != ""), STAGES[3])
-    )
-
-
-def staged_rows(events: DataFrame) -> DataFrame:
-    return events.withColumn("stage", stage_of()).where(F.col("stage").isNotNull() & ~F.expr(QUIET))
-
-
-def detect_attack_chain(events: DataFrame, s: DetectorSettings, watch: Watch = None) -> DataFrame:
-    rows = first_stage_window(
-        staged_rows(events), target_or_user(), "stage", STAGES, s.chain_window, s.chain_min_stages
-    )
-    groups = summarize_groups(
-        rows, ["key", "anchor"], watch=watch, cap=CHAIN_EVIDENCE_CAP,
-        extra={f"in_{i}": F.col("stage") == name for i, name in enumerate(STAGES)},
-        evidence=evidence_struct(
-            timestamp=EVENT_TIME, stage="stage", event_id="event_id",
-            computer="computer", username="key", process="process_name",
-            source_ip="source_ip",
-        ),
-    )
-    seen = ", ".join(f"CASE WHEN in_{i} THEN {lit(n)} END" for i, n in enumerate(STAGES))
-    span = "last_ts - first_ts"
+def attack_chain(s: DetectorSettings) -> GroupRule:
+    seen, span = _bit_names(STAGES, STAGES), "last_ts - first_ts"
     # Half-even rounding, as a fixed-point number formatter does it.
     seconds = (
         f"cast(bround(extract(SECOND FROM {span}) + extract(MINUTE FROM {span}) * 60 + extract(HOUR FROM {span}) * 3600 "
         f"+ extract(DAY FROM {span}) * 86400, 0) as bigint)"
     )
-    return _alerts(
-        groups.selectExpr("*", f"array_compact(array({seen})) AS seen"), "attack_chain", lit("Attack Chain Detected"),
-        "CASE WHEN size(seen) >= 3 THEN 'critical' ELSE 'high' END",
-        _text("User '", "key", "' observed in ", "size(seen)", " attack stages within ", seconds, "s: ",
-              "array_join(seen, ' -> ')"),
+    return GroupRule(
+        "attack_chain", F.expr(f"{STAGE} IS NOT NULL AND NOT {QUIET}"), TARGET_OR_USER, lit("Attack Chain Detected"),
+        "CASE WHEN bit_count(bits) >= 3 THEN 'critical' ELSE 'high' END",
+        _text("User '", "key", "' observed in ", "bit_count(bits)", " attack stages within ", seconds, "s: ",
+              f"array_join({seen}, ' -> ')"),
         "Multiple", "Multi-stage Kill Chain",
-        _text("Look into '", "key", "' at once: ", "size(seen)", " attack stages lie close together."),
+        _text("Look into '", "key", "' at once: ", "bit_count(bits)", " attack stages lie close together."),
+        {"timestamp": EVENT_TIME, "stage": STAGE, "event_id": "event_id", "computer": "computer",
+         "username": TARGET_OR_USER, "process": "process_name", "source_ip": "source_ip"},
+        kind=BY_STAGES, width_seconds=s.chain_window, minimum=s.chain_min_stages, bits=stage_bits(STAGE, STAGES),
+        stages=len(STAGES), evidence_cap=CHAIN_EVIDENCE_CAP,
     )
 
 
 KEYED_DETECTORS = {
-    "brute_force": detect_brute_force,
-    "lateral_movement": detect_lateral_movement,
-    "privilege_escalation": detect_privilege,
-    "discovery": detect_recon_burst,
-    "dns_exfiltration": detect_dns_exfil,
-    "attack_chain": detect_attack_chain,
+    "brute_force": brute_force,
+    "lateral_movement": lateral_movement,
+    "privilege_escalation": privilege_escalation,
+    "discovery": discovery,
+    "dns_exfiltration": dns_exfiltration,
+    "attack_chain": attack_chain,
 }
+
+
+def target_or_user() -> Column:
+    return F.expr(TARGET_OR_USER)
+
+
+def detect(events: DataFrame, detector: str, settings: DetectorSettings | None = None) -> DataFrame:
+    """Alerts of one keyed detector."""
+    return run_group_rules(events, [KEYED_DETECTORS[detector](settings or DetectorSettings())])

@@ -17,27 +17,30 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from emberwatch.functions.events import json_path, raw_text
-from emberwatch.functions.sqltext import EVENT_TIME, USER_OR_TARGET
+from emberwatch.functions.events import raw_text_sql
+from emberwatch.functions.sqltext import EVENT_TIME, USER_OR_TARGET, lit
 from emberwatch.functions.text import number_or_zero, search
-from emberwatch.operators.alerts import summarize_groups
+from emberwatch.operators.alerts import DENSE, WHOLE, GroupRule, run_group_rules
 from emberwatch.operators.rowrules import RowRule
-from emberwatch.operators.windows import anchored_windows
-from emberwatch.schema import EVENT_COLUMNS, SEVERITIES, evidence_struct, finish_alerts, ts_text
+from emberwatch.schema import EVENT_COLUMNS, SEVERITIES
 
 
-def event_field(name: str) -> Column:
+def event_field_sql(name: str) -> str:
     """Text of an event column, of ``raw.a.b``, or of a raw or ``EventData`` key; else ``''``."""
     if name in ("timestamp", "timestamp_str", "event_ts"):
-        return ts_text("event_ts")
+        return EVENT_TIME
     if name == "raw":
-        return F.col("raw_json")
+        return "raw_json"
     if name in EVENT_COLUMNS:
-        return F.coalesce(F.col(name).cast("string"), F.lit(""))
-    raw = F.try_parse_json("raw_json")
+        return f"coalesce(cast({name} as string), '')"
+    raw = "try_parse_json(raw_json)"
     if name.startswith("raw."):
-        return F.coalesce(F.try_variant_get(raw, json_path(*name.split(".")[1:]), "string"), F.lit(""))
-    return F.coalesce(raw_text(raw, name), raw_text(raw, "EventData", name), F.lit(""))
+        return f"coalesce({raw_text_sql(raw, *name.split('.')[1:])}, '')"
+    return f"coalesce({raw_text_sql(raw, name)}, {raw_text_sql(raw, 'EventData', name)}, '')"
+
+
+def event_field(name: str) -> Column:
+    return F.expr(event_field_sql(name))
 
 
 def _number(value) -> float:
@@ -126,31 +129,24 @@ def split_field_rules(rules: Iterable[Mapping]) -> tuple[list[FieldRule], list[F
     return [r for r in made if r.per_event], [r for r in made if not r.per_event]
 
 
-def field_rule_groups(events: DataFrame, rule: FieldRule, watch=None) -> DataFrame:
-    """Groups of a counting rule that reach its threshold, with n, first_ts and evidence."""
-    rows = events.where(rule.test())
-    key = event_field(rule.group_by) if rule.group_by else F.lit("")
-    if rule.group_by and rule.window_seconds > 0:
-        keys, rows = ["key", "anchor"], anchored_windows(rows, key, rule.window_seconds)
-    else:
-        keys, rows = ["key"], rows.withColumn("key", key)
-    extra = {"group_key": "key"} if rule.group_by else {}
-    return summarize_groups(
-        rows, keys, evidence=evidence_struct(**rule.evidence(**extra)), having=F.col("n") >= rule.threshold, watch=watch
+def count_rule(rule: FieldRule) -> GroupRule:
+    """A counting rule: per key and anchored window, per key, or over everything."""
+    windowed = bool(rule.group_by) and rule.window_seconds > 0
+    key, tail = "''", lit(" matching event(s)")
+    more = {}
+    if rule.group_by:
+        key = event_field_sql(rule.group_by)
+        quote = chr(39)
+        tail = f"concat({lit(' matching event(s) for ' + rule.group_by + '=' + quote)}, key, {lit(quote)})"
+        more = {"group_key": key}
+    return GroupRule(
+        f"rule:{rule.name}", rule.test(), key, lit(rule.name), lit(rule.severity),
+        f"concat({lit(rule.description + ': ')}, cast(n as string), {tail})", rule.tactic, rule.technique,
+        lit(rule.recommendation), rule.evidence(**more), kind=DENSE if windowed else WHOLE,
+        width_seconds=rule.window_seconds if windowed else 0, having=f"n >= {rule.threshold}",
     )
 
 
-def field_rule_alerts(events: DataFrame, rule: FieldRule, watch=None) -> DataFrame:
-    """Alerts of a counting rule."""
-    tail = F.concat(F.lit(" matching event(s) for " + rule.group_by + "='"), F.col("key"), F.lit("'"))
-    tail = tail if rule.group_by else F.lit(" matching event(s)")
-    return finish_alerts(
-        field_rule_groups(events, rule, watch).select(
-            F.lit(f"rule:{rule.name}").alias("detector"), F.lit(rule.name).alias("rule_name"),
-            F.lit(rule.severity).alias("severity"),
-            F.concat(F.lit(rule.description + ": "), F.col("n").cast("string"), tail).alias("description"),
-            F.col("first_ts").alias("alert_ts"), F.lit(rule.tactic).alias("mitre_tactic"),
-            F.lit(rule.technique).alias("mitre_technique"), F.lit(rule.recommendation).alias("recommendation"),
-            F.col("n").alias("evidence_count"), "evidence", "watch_hits",
-        )
-    )
+def field_rule_alerts(events: DataFrame, rules: Iterable[FieldRule], watch=None) -> DataFrame:
+    """Alerts of counting rules."""
+    return run_group_rules(events, [count_rule(r) for r in rules], watch)

@@ -37,123 +37,147 @@ MICROS = 1_000_000
 BLOCK_WIDTHS = 8  # block length in window widths: bounds what one task holds of a hot key
 BEFORE_ALL = -(2**62)
 
+# Rows of the operators below carry the columns
+#   rule int, key string, t bigint (microseconds), width bigint (microseconds), minimum int
+# so that windows of many rules, each with its own width, are found in one pass.
+BY = ["rule", "key"]
+BLOCK_LEN = f"greatest(width * {BLOCK_WIDTHS}, 1L)"
+SLOT_LEN = "greatest(width, 1L)"
 
 # parts: [starts of the block, entry starts of its step function, last start reached from each]
-SUMMARY = pa.schema([("key", pa.string()), ("block", pa.int64()), ("parts", pa.list_(pa.list_(pa.int64())))])
+SUMMARY = pa.schema(
+    [
+        ("rule", pa.int32()), ("key", pa.string()), ("block", pa.int64()), ("width", pa.int64()),
+        ("parts", pa.list_(pa.list_(pa.int64()))),
+    ]
+)
+SUMMARY_DDL = "rule int, key string, block bigint, width bigint, parts array<array<bigint>>"
 
 
-def _block_summary(width: int, block_len: int, min_count: int):
-    """Kernel of step 2: one (key, block) group of (t, n) rows to at most one summary row.
+def _block_summary(group: tuple, rows: pa.Table) -> pa.Table:
+    """Kernel of step 2: one (rule, key, block) group of (t, n) rows to at most one summary row.
 
     Rows past the block's end are look-ahead copies from the next block: they count
     for density but are not starts of this block.
     """
-
-    def summarize(group: tuple, rows: pa.Table) -> pa.Table:
-        key, block = group[0].as_py(), group[1].as_py()
-        order = np.argsort(rows["t"].to_numpy(), kind="stable")
-        t = rows["t"].to_numpy()[order]
-        before = np.concatenate([[0], np.cumsum(rows["n"].to_numpy()[order])])
-        in_window = before[np.searchsorted(t, t + width, side="right")] - before[:-1]
-        starts = t[(in_window >= min_count) & (t < (block + 1) * block_len)]
-        if len(starts) == 0:
-            return SUMMARY.empty_table()
-        follower = np.searchsorted(starts, starts + width, side="right")
-        last = np.arange(len(starts))
-        step = follower
-        while (moving := step < len(starts)).any():
-            last = np.where(moving, np.minimum(step, len(starts) - 1), last)
-            step = np.where(moving, follower[last], step)
-        # A window from the left ends before block start + width, so the first window
-        # here starts no later than the first start from that point on.
-        entries = min(int(np.searchsorted(starts, block * block_len + width)), len(starts) - 1) + 1
-        exits = last[:entries]
-        keep = np.append(exits[1:] != exits[:-1], True)
-        return pa.Table.from_arrays(
-            [[key], [block], [[starts, starts[:entries][keep], starts[exits[keep]]]]], schema=SUMMARY
-        )
-
-    return summarize
-
-
-def _floor_div(value: str, length: int) -> str:
+    rule, key, block = (g.as_py() for g in group)
+    width, minimum = rows["width"][0].as_py(), rows["minimum"][0].as_py()
+    block_len = max(width * BLOCK_WIDTHS, 1)
+    order = np.argsort(rows["t"].to_numpy(), kind="stable")
+    t = rows["t"].to_numpy()[order]
+    before = np.concatenate([[0], np.cumsum(rows["n"].to_numpy()[order])])
+    in_window = before[np.searchsorted(t, t + width, side="right")] - before[:-1]
+    starts = t[(in_window >= minimum) & (t < (block + 1) * block_len)]
+    if len(starts) == 0:
+        return SUMMARY.empty_table()
+    follower = np.searchsorted(starts, starts + width, side="right")
+    last = np.arange(len(starts))
+    step = follower
+    while (moving := step < len(starts)).any():
+        last = np.where(moving, np.minimum(step, len(starts) - 1), last)
+        step = np.where(moving, follower[last], step)
+    # A window from the left ends before block start + width, so the first window
+    # here starts no later than the first start from that point on.
+    entries = min(int(np.searchsorted(starts, block * block_len + width)), len(starts) - 1) + 1
+    exits = last[:entries]
+    keep = np.append(exits[1:] != exits[:-1], True)
+    parts = [starts, starts[:entries][keep], starts[exits[keep]]]
+    return pa.Table.from_arrays([[rule], [key], [block], [width], [parts]], schema=SUMMARY)
+
+
+def _floor_div(value: str, length: str) -> str:
     """Integer floor division in SQL, exact for every bigint."""
-    return f"({value} - pmod({value}, {length}L)) div {length}L"
+    return f"({value} - pmod({value}, {length})) div {length}"
 
 
-def _with_blocks(instants: DataFrame, width: int, block_len: int) -> DataFrame:
+def _with_blocks(instants: DataFrame) -> DataFrame:
     """Rows with ``home`` block and ``block``: the first ``width`` of a block is also copied to the block before."""
-    homed = instants.selectExpr("*", f"{_floor_div('t', block_len)} AS home")
+    homed = instants.selectExpr("*", f"{_floor_div('t', BLOCK_LEN)} AS home")
     return homed.selectExpr(
-        "*",
-        f"explode(CASE WHEN t - home * {block_len}L <= {width}L THEN array(home, home - 1) ELSE array(home) END) AS block",
+        "*", f"explode(CASE WHEN t - home * {BLOCK_LEN} <= width THEN array(home, home - 1) ELSE array(home) END) AS block"
     )
 
 
-def greedy_windows(instants: DataFrame, width_seconds: int, min_count: int = 1) -> DataFrame:
-    """Window starts (key, anchor) of pre-aggregated (key, t, n) rows, t in microseconds."""
-    width = int(width_seconds) * MICROS
-    block_len = max(width * BLOCK_WIDTHS, MICROS)
-    blocks = _with_blocks(instants, width, block_len).select("key", "block", "t", "n")
+def greedy_windows(rows: DataFrame) -> DataFrame:
+    """Window starts (rule, key, anchor) of keyed rows."""
+    instants = rows.groupBy(*BY, "t", "width", "minimum").agg(F.expr("count(1) AS n"))
+    blocks = _with_blocks(instants).select(*BY, "block", "t", "n", "width", "minimum")
     # Both steps below read the summaries: partitioned once, the shuffle is shared.
-    summaries = (
-        blocks.groupBy("key", "block")
-        .applyInArrow(_block_summary(width, block_len, min_count), "key string, block bigint, parts array<array<bigint>>")
-        .repartition("key", "block")
-    )
+    summaries = blocks.groupBy(*BY, "block").applyInArrow(_block_summary, SUMMARY_DDL).repartition(*BY, "block")
     # Step 3: x is the end of the window reaching into the block, BEFORE_ALL for none.
-    reach = summaries.groupBy("key").agg(
+    reach = summaries.groupBy(*BY, "width").agg(
         F.expr("array_sort(collect_list(struct(block, parts[1] AS entry, parts[2] AS last))) AS line")
     ).selectExpr(
-        "key",
+        *BY,
         f"""explode(aggregate(
               line,
               named_struct('x', {BEFORE_ALL}L, 'seen', cast(array() as array<struct<block:bigint,x:bigint>>)),
               (acc, b) -> named_struct(
-                'x', coalesce(get(filter(arrays_zip(b.entry, b.last), p -> p.entry > acc.x), 0).last + {width}L, acc.x),
+                'x', coalesce(get(filter(arrays_zip(b.entry, b.last), p -> p.entry > acc.x), 0).last + width, acc.x),
                 'seen', array_append(acc.seen, named_struct('block', b.block, 'x', acc.x))),
               acc -> acc.seen)) AS at""",
-    ).select("key", "at.block", "at.x")
+    ).select(*BY, "at.block", "at.x")
     return (
-        summaries.selectExpr("key", "block", "parts[0] AS starts")
-        .join(reach, ["key", "block"])
+        summaries.selectExpr(*BY, "block", "width", "parts[0] AS starts")
+        .join(reach, [*BY, "block"])
         .selectExpr(
-            "key",
-            f"""explode(aggregate(
-                  starts,
-                  named_struct('x', x, 'out', cast(array() as array<bigint>)),
-                  (acc, s) -> if(s > acc.x, named_struct('x', s + {width}L, 'out', array_append(acc.out, s)), acc),
-                  acc -> acc.out)) AS anchor""",
+            *BY, "width",
+            """explode(aggregate(
+                 starts,
+                 named_struct('x', x, 'out', cast(array() as array<bigint>)),
+                 (acc, s) -> if(s > acc.x, named_struct('x', s + width, 'out', array_append(acc.out, s)), acc),
+                 acc -> acc.out)) AS anchor""",
         )
     )
 
 
-def keyed(events: DataFrame, key: str | Column) -> DataFrame:
-    """Add ``key`` (text) and ``t`` (microseconds) to events."""
-    return events.withColumns({"key": col(key), "t": epoch_micros("event_ts")})
+def first_stage_windows(rows: DataFrame, stages: int) -> DataFrame:
+    """Per key the earliest start whose window holds ``minimum`` distinct stages.
+
+    ``bits`` of a row has bit i set if the row is of stage i.
+    """
+    instants = rows.groupBy(*BY, "t", "width", "minimum").agg(F.expr("bit_or(bits) AS bits"))
+    # Looking back over descending time gives the next instant of every stage.
+    later = "OVER (PARTITION BY rule, key, block ORDER BY t DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
+    hits = " + ".join(
+        f"coalesce(cast(min(CASE WHEN bits & {1 << i} <> 0 THEN t END) {later} - t <= width AS int), 0)" for i in range(stages)
+    )
+    return (
+        _with_blocks(instants)
+        .selectExpr(*BY, "t", "width", "minimum", "home = block AS at_home", f"{hits} AS hits")
+        .where("hits >= minimum AND at_home")
+        .groupBy(*BY, "width").agg(F.expr("min(t) AS anchor"))
+    )
 
 
-def assign(keyed_events: DataFrame, anchors: DataFrame, width_seconds: int) -> DataFrame:
-    """Attach to each event the ``anchor`` of the window it lies in; others are dropped."""
-    width = int(width_seconds) * MICROS
-    slot_len = max(width, 1)
-    first = _floor_div("anchor", slot_len)
+def assign(rows: DataFrame, anchors: DataFrame) -> DataFrame:
+    """Attach to each keyed row the ``anchor`` of the window it lies in; others are dropped."""
+    first = _floor_div("anchor", SLOT_LEN)
     # Windows of one key start more than a width apart: at most one starts in a slot.
     # The explicit partitioning lets every use of the windows share one shuffle.
-    spread = anchors.selectExpr("key", "anchor", f"explode(array({first}, {first} + 1)) AS slot").repartition("key", "slot")
+    spread = anchors.selectExpr(*BY, "anchor", f"explode(array({first}, {first} + 1)) AS slot").repartition(*BY, "slot")
     return (
-        keyed_events.selectExpr("*", f"{_floor_div('t', slot_len)} AS slot")
-        .join(spread, ["key", "slot"])
-        .where(f"t BETWEEN anchor AND anchor + {width}L")
+        rows.selectExpr("*", f"{_floor_div('t', SLOT_LEN)} AS slot")
+        .join(spread, [*BY, "slot"])
+        .where("t BETWEEN anchor AND anchor + width")
         .drop("slot")
     )
 
 
+def keyed(events: DataFrame, key: str | Column, width_seconds: int, minimum: int) -> DataFrame:
+    """Events with the columns the operators above need, for one rule."""
+    return events.withColumns(
+        {
+            "rule": F.lit(0), "key": col(key), "t": epoch_micros("event_ts"),
+            "width": F.lit(int(width_seconds) * MICROS).cast("bigint"), "minimum": F.lit(int(minimum)),
+        }
+    )
+
+
 def dense_windows(events: DataFrame, key: str | Column, width_seconds: int, min_count: int) -> DataFrame:
     """Events in windows of at least ``min_count`` events, with ``key``, ``t`` and ``anchor``."""
-    rows = keyed(events, key)
-    instants = rows.groupBy("key", "t").agg(F.count(F.lit(1)).alias("n"))
-    return assign(rows, greedy_windows(instants, width_seconds, min_count), width_seconds)
+    rows = keyed(events, key, width_seconds, min_count)
+    return assign(rows, greedy_windows(rows))
 
 
 def anchored_windows(events: DataFrame, key: str | Column, width_seconds: int) -> DataFrame:
@@ -161,29 +185,17 @@ def anchored_windows(events: DataFrame, key: str | Column, width_seconds: int) -
     return dense_windows(events, key, width_seconds, 1)
 
 
-def first_stage_window(events: DataFrame, key: str | Column, stage: str | Column, stages: list[str],
-                       width_seconds: int, min_stages: int) -> DataFrame:
-    """Per key the earliest ``[t, t + width]`` that holds ``min_stages`` distinct stages.
+def stage_bits(stage: str, stages: list[str]) -> str:
+    """SQL for the bit of a stage name."""
+    arms = " ".join(f"WHEN {lit(name)} THEN {1 << i}" for i, name in enumerate(stages))
+    return f"CASE {stage} {arms} ELSE 0 END"
 
-    Returns the events of those windows with ``key``, ``t``, ``anchor`` and ``stage``.
-    """
-    width = int(width_seconds) * MICROS
-    block_len = max(width * BLOCK_WIDTHS, MICROS)
-    rows = keyed(events.withColumn("stage", col(stage)), key)
-    flags = {f"s{i}": name for i, name in enumerate(stages)}
-    instants = rows.groupBy("key", "t").agg(*[F.expr(f"max(stage = {lit(n)}) AS {flag}") for flag, n in flags.items()])
-    # Looking back over descending time gives the next instant of every stage.
-    later = "OVER (PARTITION BY key, block ORDER BY t DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
-    hits = " + ".join(
-        f"coalesce(cast(min(CASE WHEN {flag} THEN t END) {later} - t <= {width}L AS int), 0)" for flag in flags
-    )
-    anchors = (
-        _with_blocks(instants, width, block_len)
-        .selectExpr("key", "t", "home = block AS at_home", f"{hits} AS hits")
-        .where(f"hits >= {int(min_stages)} AND at_home")
-        .groupBy("key").agg(F.min("t").alias("anchor"))
-    )
-    return assign(rows, anchors, width_seconds)
+
+def first_stage_window(events: DataFrame, key: str | Column, stage: str, stages: list[str],
+                       width_seconds: int, min_stages: int) -> DataFrame:
+    """Events of the earliest window of each key with ``min_stages`` distinct stages, with ``anchor``."""
+    rows = keyed(events, key, width_seconds, min_stages).withColumn("bits", F.expr(stage_bits(stage, stages)))
+    return assign(rows, first_stage_windows(rows, len(stages)))
 
 
 def prefix_window(rows: DataFrame, keys: list[str], ts: str, width_seconds: int) -> DataFrame:

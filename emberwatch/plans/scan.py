@@ -8,9 +8,9 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
 
-from emberwatch.operators.alerts import watch_values
+from emberwatch.operators.alerts import run_group_rules, watch_values
 from emberwatch.operators.bursts import KEYED_DETECTORS
-from emberwatch.operators.fieldrules import field_rule_alerts, split_field_rules
+from emberwatch.operators.fieldrules import count_rule, split_field_rules
 from emberwatch.operators.rowrules import RowRule, run_row_rules
 from emberwatch.operators.sigma import sigma_row_rule
 from emberwatch.operators.settings import CATALOG, DetectorSettings
@@ -40,8 +40,9 @@ def _excluded(detector: str, name: str, config: ScanConfig) -> bool:
 def run_detections(events: DataFrame, config: ScanConfig | None = None) -> DataFrame:
     """All alerts of built-in detectors, rules and own detectors over ``events``.
 
-    Single-event detectors, per-event rules and Sigma rules share one pass. A detector
-    that cannot be built is skipped with a warning, the others still run.
+    Single-event detectors, per-event rules and Sigma rules share one pass; keyed detectors
+    and counting rules share another. A detector that cannot be built is skipped with a
+    warning, the others still run.
     """
     config = config or ScanConfig()
     names = {row[0]: row[1] for row in CATALOG}
@@ -65,13 +66,10 @@ def run_detections(events: DataFrame, config: ScanConfig | None = None) -> DataF
             single.append(made)
     if single:
         frames.append(run_row_rules(events, single))
-    for name, detect in KEYED_DETECTORS.items():
-        if not _excluded(name, names[name], config):
-            frames.append(detect(events, config.settings, watch))
-    for rule in grouped:
-        made = attempt(rule.name, lambda rule=rule: field_rule_alerts(events, rule, watch))
-        if made is not None:
-            frames.append(made)
+    several = [make(config.settings) for name, make in KEYED_DETECTORS.items() if not _excluded(name, names[name], config)]
+    several += [r for rule in grouped if (r := attempt(rule.name, lambda rule=rule: count_rule(rule))) is not None]
+    if several:
+        frames.append(run_group_rules(events, several, watch))
     for name, detect in config.detectors:
         made = attempt(name, lambda detect=detect: detect(events, config.settings).select(*ALERT_COLUMNS))
         if made is not None:

@@ -131,13 +131,17 @@ def severity_rank(severity: str | Column) -> Column:
     return (F.array_position(F.array(*[F.lit(s) for s in SEVERITIES]), col(severity)) - 1).cast("int")
 
 
-def evidence_struct(**fields: str) -> Column:
+def evidence_sql(**fields: str) -> str:
     """One evidence row from SQL expressions; fields a detector does not report stay NULL."""
     unknown = set(fields) - set(EVIDENCE_TYPES)
     if unknown:
         raise ValueError(f"not evidence fields: {sorted(unknown)}")
     items = [f"'{name}', cast({fields.get(name, 'null')} as {kind})" for name, kind in EVIDENCE_TYPES.items()]
-    return F.expr(f"named_struct({', '.join(items)})")
+    return f"named_struct({', '.join(items)})"
+
+
+def evidence_struct(**fields: str) -> Column:
+    return F.expr(evidence_sql(**fields))
 
 
 def alert_key(rule_name: Column, ts: Column, description: Column) -> Column:

@@ -3,38 +3,18 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from emberwatch.functions.sqltext import EVENT_TIME, TARGET_OR_USER
-from emberwatch.functions.text import parent_domain
-from emberwatch.operators import bursts as b
+from emberwatch.operators.bursts import KEYED_DETECTORS
 from emberwatch.operators.settings import DetectorSettings
-from emberwatch.schema import evidence_struct, first_text
 from emberwatch.streaming.live import live_bursts
 
+# The detectors whose groups are time windows.
+LIVE_DETECTORS = ["brute_force", "lateral_movement", "discovery", "dns_exfiltration"]
 
-def live_brute_force(events: DataFrame, s: DetectorSettings, delay: str = "10 minutes") -> DataFrame:
-    groups = live_bursts(
-        b.failed_logons(events), first_text("source_ip", F.lit("unknown")), b.target_or_user(),
-        b.brute_force_evidence(), s.brute_force_window, s.brute_force_threshold, delay=delay,
-    )
-    return b.brute_force_alerts(groups, s)
 
-
-def live_lateral_movement(events: DataFrame, s: DetectorSettings, delay: str = "10 minutes") -> DataFrame:
-    groups = live_bursts(
-        b.remote_logons(events), b.target_or_user(), F.col("computer"), b.lateral_evidence(TARGET_OR_USER),
-        s.lateral_window, 1, flag=F.col("logon_type") == 10, delay=delay,
-    )
-    many = groups.where(F.col("n_distinct") >= s.lateral_host_threshold)
-    return b.lateral_alerts(many.withColumnRenamed("flag", "by_desktop"), s)
-
-
-def live_dns_exfil(events: DataFrame, s: DetectorSettings, delay: str = "10 minutes") -> DataFrame:
-    groups = live_bursts(
-        b.odd_dns_rows(events, s), first_text("computer", F.lit("unknown")), parent_domain("query"),
-        evidence_struct(timestamp=EVENT_TIME, computer="computer", username="username",
-                        query="substring(query, 1, 200)", event_id="event_id"),
-        s.dns_window_seconds, s.dns_query_threshold, delay=delay,
-    )
-    return b.dns_alerts(groups.withColumn("names", F.slice("names", 1, 3)), s)
+def live_detector(events: DataFrame, detector: str, settings: DetectorSettings | None = None,
+                  delay: str = "10 minutes") -> DataFrame:
+    """Alerts of one windowed detector over a stream of events."""
+    if detector not in LIVE_DETECTORS:
+        raise ValueError(f"{detector} is not a windowed detector")
+    return live_bursts(events, KEYED_DETECTORS[detector](settings or DetectorSettings()), delay)

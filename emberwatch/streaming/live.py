@@ -12,19 +12,21 @@ from __future__ import annotations
 import json
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from emberwatch.functions.events import event_fingerprint
-from emberwatch.operators.alerts import NAMES_SHOWN
+from emberwatch.functions.sqltext import lit
+from emberwatch.operators.alerts import DENSE, GroupRule, group_alerts
 from emberwatch.operators.rowrules import RowRule, run_row_rules
 from emberwatch.operators.stateless import stateless_rules
-from emberwatch.operators.windows import MICROS, keyed
+from emberwatch.operators.windows import MICROS
 from emberwatch.plans.scan import ScanConfig, run_detections
-from emberwatch.schema import EVENT_DDL, EVIDENCE_CAP, EVIDENCE_DDL, computed_once, epoch_micros, ts_text
+from emberwatch.schema import EVENT_DDL, EVIDENCE_CAP, EVIDENCE_DDL, computed_once, epoch_micros, evidence_sql, ts_text
 from emberwatch.sources.json_logs import split_records
 from emberwatch.sources.syslog import parse_lines
 
@@ -80,23 +82,23 @@ def new_events(events: DataFrame, delay: str = "1 hour") -> DataFrame:
 
 
 BURST_DDL = (
-    "key string, anchor bigint, n bigint, n_distinct bigint, names array<string>, flag boolean, first_ts timestamp_ntz, "
+    "key string, anchor bigint, n bigint, n_distinct bigint, names array<string>, bits int, first_ts timestamp_ntz, "
     "items array<string>"
 )
 
 
 def _merge(pending: dict[int, dict], batch: pd.DataFrame) -> None:
-    """Add events to the per-instant state: counts per value, a flag, and the first few evidence rows."""
+    """Add events to the per-instant state: counts per value, bits, and the first few evidence rows."""
     for t, group in batch.groupby("t"):
-        at = pending.setdefault(int(t), {"values": {}, "flag": False, "items": []})
+        at = pending.setdefault(int(t), {"values": {}, "bits": 0, "items": []})
         for value, n in group["value"].value_counts().items():
             at["values"][value] = at["values"].get(value, 0) + int(n)
-        at["flag"] = at["flag"] or bool(group["flag"].any())
+        at["bits"] |= int(np.bitwise_or.reduce(group["bits"].to_numpy()))
         rows = [list(r) for r in group[["event_uid", "item"]].itertuples(index=False)]
         at["items"] = sorted(at["items"] + rows)[:EVIDENCE_CAP]
 
 
-def _close(pending: dict[int, dict], width: int, min_count: int, closed_before: int) -> Iterator[dict]:
+def _close(pending: dict[int, dict], width: int, min_count: int, names_shown: int, closed_before: int) -> Iterator[dict]:
     """Decide every window whose end lies before ``closed_before``, in time order."""
     times = sorted(pending)
     i = 0
@@ -112,22 +114,23 @@ def _close(pending: dict[int, dict], width: int, min_count: int, closed_before:
         values = sorted({v for m in members for v in m["values"]})
         items = [item for m in members for _, item in m["items"]][:EVIDENCE_CAP]
         yield {
-            "anchor": times[i], "n": n, "n_distinct": len(values), "names": values[:NAMES_SHOWN],
-            "flag": any(m["flag"] for m in members), "items": items,
+            "anchor": times[i], "n": n, "n_distinct": len(values), "names": values[:names_shown],
+            "bits": int(np.bitwise_or.reduce([m["bits"] for m in members])), "items": items,
         }
         i = j
     for t in times[:i]:
         del pending[t]
 
 
-def live_bursts(events: DataFrame, key: str | Column, value: Column, evidence: Column, width_seconds: int, min_count: int,
-                flag: Column | None = None, delay: str = "10 minutes") -> DataFrame:
-    """Dense windows per key over a stream: n, distinct values, evidence, as soon as a window is over.
+def live_bursts(events: DataFrame, rule: GroupRule, delay: str = "10 minutes") -> DataFrame:
+    """Alerts of a dense or anchored group rule over a stream, as soon as each window is over.
 
     State per key is what lies within one window width of the watermark, one entry per
-    instant. Use ``min_count=1`` for anchored windows.
+    instant, not per event.
     """
-    width = int(width_seconds) * MICROS
+    if rule.kind != DENSE:
+        raise ValueError(f"{rule.detector} is not a window rule")
+    width, minimum, names_shown = int(rule.width_seconds) * MICROS, rule.minimum, rule.names_shown
 
     def step(group: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         pending = {int(t): at for t, at in json.loads(state.get[0]).items()} if state.exists else {}
@@ -135,7 +138,7 @@ def live_bursts(events: DataFrame, key: str | Column, value: Column, evidence: C
             for batch in batches:
                 _merge(pending, batch)
         watermark = state.getCurrentWatermarkMs()
-        out = pd.DataFrame(list(_close(pending, width, min_count, watermark * 1000)))
+        out = pd.DataFrame(list(_close(pending, width, minimum, names_shown, watermark * 1000)))
         if pending:
             state.update((json.dumps(pending),))
             state.setTimeoutTimestamp(max((min(pending) + width) // 1000 + 1, watermark + 1))
@@ -144,18 +147,20 @@ def live_bursts(events: DataFrame, key: str | Column, value: Column, evidence: C
         if len(out):
             out.insert(0, "key", group[0])
             out["first_ts"] = pd.to_datetime(out["anchor"], unit="us")
-            yield out[["key", "anchor", "n", "n_distinct", "names", "flag", "first_ts", "items"]]
+            yield out[["key", "anchor", "n", "n_distinct", "names", "bits", "first_ts", "items"]]
 
-    rows = watermarked(keyed(events, key), "event_ts", delay).select(
-        "key", "t", "_at", "event_uid", value.alias("value"),
-        (flag if flag is not None else F.lit(False)).alias("flag"), F.to_json(evidence).alias("item"),
+    rows = watermarked(events.where(rule.test), "event_ts", delay).select(
+        F.expr(f"{rule.key} AS key"), epoch_micros("event_ts").alias("t"), "_at", "event_uid", F.expr(f"{rule.value} AS value"),
+        F.expr(f"cast({rule.bits} as int) AS bits"), F.expr(f"to_json({evidence_sql(**rule.evidence)}) AS item"),
     )
     found = rows.groupBy("key").applyInPandasWithState(
         step, BURST_DDL, "pending string", "append", GroupStateTimeout.EventTimeTimeout
     )
-    return found.withColumn("evidence", F.transform("items", lambda x: F.from_json(x, EVIDENCE_DDL))).drop("items").withColumn(
-        "watch_hits", F.array().cast("array<string>")
-    )
+    groups = found.selectExpr(
+        "0 AS rule", "*", f"transform(items, x -> from_json(x, {lit(EVIDENCE_DDL)})) AS evidence",
+        "cast(array() as array<string>) AS watch_hits", "first_ts AS last_ts",
+    ).where(rule.having)
+    return group_alerts(groups, [rule])
 
 
 def start_batch_scan(events: DataFrame, sink: Callable[[DataFrame, int], None], config: ScanConfig,

@@ -9,7 +9,8 @@ from emberwatch.functions import events as ev
 from emberwatch.functions import text as tx
 from emberwatch.functions.network import is_private_ip
 from emberwatch.operators import hashchain, windows
-from emberwatch.operators.bursts import REMOTE_LOGON_TYPES, STAGES, failed_logons, remote_logons, staged_rows, target_or_user
+from emberwatch.operators.bursts import FAILED, REMOTE, STAGE, STAGES, target_or_user
+from emberwatch.operators.stateless import QUIET
 from emberwatch.operators.fieldrules import FieldRule, field_rule_alerts, split_field_rules
 from emberwatch.operators.rowrules import run_row_rules
 from emberwatch.operators.settings import CATALOG
@@ -236,7 +237,7 @@ def _windows_sql(name: str, where: str, key: str, width: int, minimum: int) -> s
 
 @register("dense_windows", _windows_sql("dw", "event_id IN (4625, 4776)", "computer", 14400, 3))
 def dense_windows(spark, sf_dir):
-    return _window_view(windows.dense_windows(failed_logons(sec_events(spark, sf_dir)), "computer", 14400, 3))
+    return _window_view(windows.dense_windows(sec_events(spark, sf_dir).where(FAILED), "computer", 14400, 3))
 
 
 @register("anchored_windows", _windows_sql("aw", "event_id >= 0", "username", 3600, 1))
@@ -247,7 +248,7 @@ def anchored_windows(spark, sf_dir):
 @register("hot_key_windows", _windows_sql("hk", "event_id IN (4625, 4776)", "'all'", 3600, 4))
 def hot_key_windows(spark, sf_dir):
     """All failed logons under one key: the whole table is one hot group."""
-    return _window_view(windows.dense_windows(failed_logons(sec_events(spark, sf_dir)), F.lit("all"), 3600, 4))
+    return _window_view(windows.dense_windows(sec_events(spark, sf_dir).where(FAILED), F.lit("all"), 3600, 4))
 
 
 @register(
@@ -258,8 +259,9 @@ def hot_key_windows(spark, sf_dir):
     ),
 )
 def stage_windows(spark, sf_dir):
+    staged = sec_events(spark, sf_dir).withColumn("stage", F.expr(STAGE)).where(f"stage IS NOT NULL AND NOT {QUIET}")
     rows = windows.first_stage_window(
-        staged_rows(sec_events(spark, sf_dir)), target_or_user(), "stage", STAGES, SETTINGS.chain_window, SETTINGS.chain_min_stages
+        staged, target_or_user(), "stage", STAGES, SETTINGS.chain_window, SETTINGS.chain_min_stages
     )
     return rows.groupBy("key").agg(
         ts_text(F.min("event_ts")).alias("first_time"), F.count(F.lit(1)).alias("n"), F.count_distinct("stage").alias("stages")
@@ -287,7 +289,7 @@ def prefix_window(spark, sf_dir):
 )
 def remote_logon_hosts(spark, sf_dir):
     """Whole-group window: one group per account, no time limit."""
-    rows = remote_logons(sec_events(spark, sf_dir)).where(F.col("logon_type").isin(REMOTE_LOGON_TYPES))
+    rows = sec_events(spark, sf_dir).where(REMOTE)
     return rows.groupBy(target_or_user().alias("username")).agg(
         F.count(F.lit(1)).alias("n"), F.count_distinct("computer").alias("hosts")
     )
@@ -356,7 +358,7 @@ def _count_rule_sql(source: str, name: str, description: str, having: str, group
     over_events(_count_rule_sql("(SELECT * FROM sec_events WHERE event_id IN (1102, 104))", "r-total", "' matching event(s)'", "count(*) >= 10")),
 )
 def field_rule_total(spark, sf_dir):
-    return alert_view(field_rule_alerts(sec_events(spark, sf_dir), FieldRule.of(GLOBAL_RULE)))
+    return alert_view(field_rule_alerts(sec_events(spark, sf_dir), [FieldRule.of(GLOBAL_RULE)]))
 
 
 @register(
@@ -367,7 +369,7 @@ def field_rule_total(spark, sf_dir):
     ),
 )
 def field_rule_windows(spark, sf_dir):
-    return alert_view(field_rule_alerts(sec_events(spark, sf_dir), FieldRule.of(GROUP_RULE)))
+    return alert_view(field_rule_alerts(sec_events(spark, sf_dir), [FieldRule.of(GROUP_RULE)]))
 
 
 @register(
@@ -380,7 +382,7 @@ def field_rule_windows(spark, sf_dir):
     ),
 )
 def field_rule_groups(spark, sf_dir):
-    return alert_view(field_rule_alerts(sec_events(spark, sf_dir), FieldRule.of(WHOLE_RULE)))
+    return alert_view(field_rule_alerts(sec_events(spark, sf_dir), [FieldRule.of(WHOLE_RULE)]))
 
 
 def _sigma(title, detection, **more):

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from emberwatch.operators.bursts import KEYED_DETECTORS
+from emberwatch.operators.bursts import KEYED_DETECTORS, detect
 from emberwatch.operators.rowrules import run_row_rules
 from emberwatch.operators.stateless import stateless_rules
 from emberwatch.schema import ts_text
@@ -69,7 +69,7 @@ def _row_query(name: str, rule_name: str | None) -> Query:
 
 def _keyed_query(name: str) -> Query:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return alert_view(KEYED_DETECTORS[name](sec_events(spark, sf_dir), SETTINGS))
+        return alert_view(detect(sec_events(spark, sf_dir), name, SETTINGS))
 
     return run
 

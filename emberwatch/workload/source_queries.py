@@ -14,7 +14,7 @@ from emberwatch.sources.lines import discover_logs
 from emberwatch.sources.siem_export import newer_than, read_siem_export
 from emberwatch.sources.syslog import read_cef, read_syslog
 from emberwatch.streaming import live
-from emberwatch.streaming.detectors import live_brute_force, live_dns_exfil, live_lateral_movement
+from emberwatch.streaming.detectors import live_detector
 from emberwatch.workload.alert_sql import KEYED_SQL, ROW_SQL, SETTINGS, VIEW
 from emberwatch.workload.event_queries import over_events
 from emberwatch.workload.queries import alert_view, register
@@ -245,19 +245,20 @@ def stream_new_events(spark, sf_dir):
     return _run(spark, live.new_events(events, "60 days"), "stream_new_events").select("event_uid")
 
 
-def _live(detect, closing: str):
+def _live(detector: str, closing: str):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        folder = _stream_table(spark, sf_dir, f"stream_{detect.__name__}", closing=closing)
+        folder = _stream_table(spark, sf_dir, f"stream_{detector}", closing=closing)
         events = live.stream_event_table(spark, folder)
-        return alert_view(_run(spark, detect(events, SETTINGS, "1 minute"), detect.__name__))
+        return alert_view(_run(spark, live_detector(events, detector, SETTINGS, "1 minute"), f"live_{detector}"))
 
     return run
 
 
-for _name, _detect, _closing in (
-    ("brute_force", live_brute_force, "event_id = 4625"),
-    ("lateral_movement", live_lateral_movement, "event_id = 4624 AND logon_type = 3 AND username LIKE 'user%'"),
-    ("dns_exfiltration", live_dns_exfil, "event_id = 22 AND raw_json LIKE '%.x%'"),
+for _name, _closing in (
+    ("brute_force", "event_id = 4625"),
+    ("lateral_movement", "event_id = 4624 AND logon_type = 3 AND username LIKE 'user%'"),
+    ("discovery", "process_name LIKE '%ipconfig.exe'"),
+    ("dns_exfiltration", "event_id = 22 AND raw_json LIKE '%.x%'"),
 ):
     _ctes, _select = KEYED_SQL[_name]
-    register(f"stream_{_name}", over_events(f"SELECT {VIEW} FROM a", f"{_ctes}, a AS ({_select})"))(_live(_detect, _closing))
+    register(f"stream_{_name}", over_events(f"SELECT {VIEW} FROM a", f"{_ctes}, a AS ({_select})"))(_live(_name, _closing))
