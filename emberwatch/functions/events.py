@@ -90,9 +90,11 @@ def first_path(raw: str, *paths: str, default: str = "") -> Column:
 
 
 def dns_query_sql(raw: str) -> str:
-    tries = [raw_text_sql(raw, k) for k in QUERY_KEYS]
-    tries += [raw_text_sql(raw, "EventData", k) for k in QUERY_EVENT_DATA_KEYS]
-    return "coalesce(" + ", ".join(f"nullif({t}, '')" for t in tries) + ", '')"
+    """SQL for the query name; ``raw`` (a VARIANT expression) is evaluated once."""
+    tries = [raw_text_sql("r", k) for k in QUERY_KEYS]
+    tries += [raw_text_sql("r", "EventData", k) for k in QUERY_EVENT_DATA_KEYS]
+    found = f"filter(array({', '.join(tries)}), x -> x IS NOT NULL AND x <> '')"
+    return f"coalesce(get(transform(array({raw}), r -> get({found}, 0)), 0), '')"
 
 
 def dns_query(raw: str) -> Column:

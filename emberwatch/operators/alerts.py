@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from emberwatch.functions.sqltext import lit
 from emberwatch.operators.windows import BY, MICROS, assign, first_stage_windows, greedy_windows
 from emberwatch.schema import EVIDENCE_CAP, epoch_micros, evidence_sql, finish_alerts
+from emberwatch.sources.store import materialize
 
 DENSE, STAGES, WHOLE = "dense", "stages", "whole"
 GROUP = [*BY, "anchor"]
@@ -106,6 +107,9 @@ def grouped(rows: DataFrame, rules: list[GroupRule]) -> DataFrame:
     parts = []
     if windows:
         anchors = windows[0] if len(windows) == 1 else windows[0].unionByName(windows[1])
+        # The windows are few and every summary below needs them: found once and written to
+        # the shared folder, they also give the join its true size to choose a strategy by.
+        anchors = materialize(anchors, "windows")
         windowed = rows.where(F.col("rule").isin(of(DENSE) + of(STAGES))) if of(WHOLE) else rows
         parts.append(assign(windowed, anchors))
     if of(WHOLE):

@@ -40,8 +40,8 @@ CHAIN_EVIDENCE_CAP = 15
 LISTED = "array_join(names, ', ')"
 TOOL = r"replace(element_at(split(lower(process_name), '\\\\'), -1), '.exe', '')"
 QUERY = dns_query_sql("try_parse_json(raw_json)")
-LABEL = f"substring_index({QUERY}, '.', 1)"
-PARENT = f"substring({QUERY}, instr({QUERY}, '.') + 1)"
+LABEL = "substring_index(q, '.', 1)"
+PARENT = f"substring_index({QUERY}, '.', 1 - size(split({QUERY}, '[.]')))"
 REMOTE = (
     f"event_id IN (4624, 4648) AND logon_type IN (3, 10) AND {TARGET_OR_USER} <> '' "
     f"AND NOT {in_list(TARGET_OR_USER, QUIET_ACCOUNTS)}"  # compared as written, without changing case
@@ -133,8 +133,9 @@ def dns_exfiltration(s: DetectorSettings) -> GroupRule:
         "dns_exfiltration",
         # The id test comes first and guards the parse; rows that fail it are never parsed.
         F.expr(
-            f"CASE WHEN event_id IN (22, 5353) THEN contains({QUERY}, '.') AND length({LABEL}) >= {s.dns_min_label_length} "
-            f"AND {entropy_sql(LABEL)} >= {s.dns_min_entropy_bits} ELSE false END"
+            f"CASE WHEN event_id IN (22, 5353) THEN exists(array({QUERY}), q -> contains(q, '.') "
+            f"AND length(substring_index(q, '.', 1)) >= {s.dns_min_label_length} "
+            f"AND {entropy_sql(LABEL)} >= {s.dns_min_entropy_bits}) ELSE false END"
         ),
         first_text("computer", "'unknown'"), lit("DNS Exfiltration Burst"),
         f"CASE WHEN n >= {3 * s.dns_query_threshold} THEN 'critical' ELSE 'high' END",

@@ -101,7 +101,10 @@ def _with_blocks(instants: DataFrame) -> DataFrame:
 def greedy_windows(rows: DataFrame) -> DataFrame:
     """Window starts (rule, key, anchor) of keyed rows."""
     instants = rows.groupBy(*BY, "t", "width", "minimum").agg(F.expr("count(1) AS n"))
-    blocks = _with_blocks(instants).select(*BY, "block", "t", "n", "width", "minimum")
+    # A fixed number of partitions: by bytes alone, adaptive execution would merge these
+    # narrow rows into few tasks, but the kernel's cost is per group.
+    tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    blocks = _with_blocks(instants).select(*BY, "block", "t", "n", "width", "minimum").repartition(tasks, *BY, "block")
     # Both steps below read the summaries: partitioned once, the shuffle is shared.
     summaries = blocks.groupBy(*BY, "block").applyInArrow(_block_summary, SUMMARY_DDL).repartition(*BY, "block")
     # Step 3: x is the end of the window reaching into the block, BEFORE_ALL for none.
@@ -154,11 +157,10 @@ def assign(rows: DataFrame, anchors: DataFrame) -> DataFrame:
     """Attach to each keyed row the ``anchor`` of the window it lies in; others are dropped."""
     first = _floor_div("anchor", SLOT_LEN)
     # Windows of one key start more than a width apart: at most one starts in a slot.
-    # The explicit partitioning lets every use of the windows share one shuffle.
-    spread = anchors.selectExpr(*BY, "anchor", f"explode(array({first}, {first} + 1)) AS slot").repartition(*BY, "slot")
+    slots = anchors.selectExpr(*BY, "anchor", f"explode(array({first}, {first} + 1)) AS slot")
     return (
         rows.selectExpr("*", f"{_floor_div('t', SLOT_LEN)} AS slot")
-        .join(spread, [*BY, "slot"])
+        .join(slots, [*BY, "slot"])
         .where("t BETWEEN anchor AND anchor + width")
         .drop("slot")
     )

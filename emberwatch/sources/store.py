@@ -43,6 +43,12 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """At least one partition per core, so that a small input does not land as a single file."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
 def write_events(events: DataFrame, path: str, mode: str = "append") -> None:
     """Append events, one folder per day. Rows of a day are spread over many files."""
     events.withColumn(PARTITION_COLUMN, F.to_date("event_ts")).write.mode(mode).partitionBy(

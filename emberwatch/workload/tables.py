@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from emberwatch.schema import EVENT_DDL, normalize_events
-from emberwatch.sources.store import scratch_path
+from emberwatch.sources.store import scratch_path, spread
 
 _COMMANDS = [
     ("C:~Windows~System32~cmd.exe", "whoami /priv"),
@@ -131,7 +131,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def sec_events_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``sec_events`` with the helper columns ``user_id`` and ``k``."""
-    df = table(spark, sf_dir, "events")
+    df = spread(table(spark, sf_dir, "events"))
     for layer in (BASE, COLUMNS):
         df = df.selectExpr(*[f"{expr} AS {name}" for name, expr in layer.items()])
     return df.selectExpr("*", f"{CATEGORY} AS category", f"{RAW_JSON} AS raw_json")
