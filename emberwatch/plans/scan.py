@@ -8,7 +8,7 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
 
-from emberwatch.operators.alerts import run_group_rules, watch_values
+from emberwatch.operators.alerts import group_rows, run_group_rules, watch_values
 from emberwatch.operators.bursts import KEYED_DETECTORS
 from emberwatch.operators.fieldrules import count_rule, split_field_rules
 from emberwatch.operators.rowrules import RowRule, run_row_rules
@@ -58,16 +58,28 @@ def run_detections(events: DataFrame, config: ScanConfig | None = None) -> DataF
             log.warning("detector %s skipped: %s", name, exc)
             return None
 
+    def usable(rules: list, build: Callable[[list], DataFrame]) -> list:
+        """The rules Spark can analyze; they are tried one by one only if not all together pass."""
+        if not config.field_rules and not config.sigma_rules:
+            return rules
+        try:
+            build(rules)
+            return rules
+        except Exception:  # noqa: BLE001
+            return [r for r in rules if attempt(r.detector, lambda r=r: build([r])) is not None]
+
     per_event, grouped = split_field_rules(config.field_rules)
     single += [r for rule in per_event if (r := attempt(rule.name, rule.row_rule)) is not None]
     for i, rule in enumerate(config.sigma_rules):
         made = attempt(str(rule.get("title")), lambda i=i, rule=rule: sigma_row_rule(rule, i))
         if made is not None:
             single.append(made)
+    single = usable(single, lambda rules: run_row_rules(events, rules))
     if single:
         frames.append(run_row_rules(events, single))
     several = [make(config.settings) for name, make in KEYED_DETECTORS.items() if not _excluded(name, names[name], config)]
     several += [r for rule in grouped if (r := attempt(rule.name, lambda rule=rule: count_rule(rule))) is not None]
+    several = usable(several, lambda rules: group_rows(events, rules))
     if several:
         frames.append(run_group_rules(events, several, watch))
     for name, detect in config.detectors:
