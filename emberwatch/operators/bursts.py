@@ -14,13 +14,6 @@ from emberwatch.operators.settings import DetectorSettings
 from emberwatch.operators.stateless import QUIET, QUIET_ACCOUNTS
 from emberwatch.operators.windows import stage_bits
 
-# Event ids and logon types of the keyed detectors.
-FAILED_LOGON_IDS = [4625, 4776]
-LOGON_IDS = [4624, 4648]
-REMOTE_LOGON_TYPES = [3, 10]
-PRIVILEGE_IDS = [4672, 4673, 4674]
-DNS_IDS = [22, 5353]
-
 # Privileges worth an alert and accounts that hold them by design.
 SENSITIVE_PRIVILEGES = [
     "SeDebugPrivilege", "SeTcbPrivilege", "SeAssignPrimaryTokenPrivilege", "SeLoadDriverPrivilege",

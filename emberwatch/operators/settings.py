@@ -41,4 +41,3 @@ CATALOG = [
     ("initial_access", "Initial Access", "Remote logons from outside and logons after hours", "Initial Access", "T1078 - Valid Accounts"),
     ("attack_chain", "Attack Chain Correlation", "Several attack stages of one account close together", "Multiple", "Multi-stage"),
 ]
-DETECTORS = [row[0] for row in CATALOG]
