@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 SLICE_BYTES = 2 << 20
@@ -15,7 +16,7 @@ def text_slices(batch: pa.RecordBatch, column: str = "text", limit: int = SLICE_
     """Slices of whole rows with about ``limit`` text bytes each; a longer text is a slice of its own."""
     if batch.num_rows == 0:
         return
-    ends = np.cumsum(pa.compute.fill_null(pa.compute.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False))
+    ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False))
     start = 0
     while start < batch.num_rows:
         done = ends[start - 1] if start else 0
@@ -27,7 +28,7 @@ def text_slices(batch: pa.RecordBatch, column: str = "text", limit: int = SLICE_
 def text_buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes of a string column (null: empty) and its n + 1 offsets, without a copy per row."""
     if column.null_count:
-        column = pa.compute.fill_null(column, b"" if pa.types.is_binary(column.type) else "")
+        column = pc.fill_null(column, b"" if pa.types.is_binary(column.type) else "")
     wide = pa.types.is_large_string(column.type) or pa.types.is_large_binary(column.type)
     kind = np.int64 if wide else np.int32
     offsets = np.frombuffer(column.buffers()[1], kind, len(column) + 1 + column.offset)[column.offset :].astype(np.int64)
