@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from emberwatch.llm import bpe_codec, token_counts
+from emberwatch.llm import bpe_codec, exact_dedup, token_counts, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, tuple[Query, str | None]] = {}
@@ -36,3 +37,28 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     counted = token_counts.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY))
     return counted.selectExpr("doc_id", "n_bytes", "n_tokens", "n_tokens > 2048 AS over_limit")
+
+
+# -- exact duplicates --------------------------------------------------------------------
+
+OP5_SQL = """
+SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
+  doc_id = max(doc_id) OVER w AS kept, sha256(t) AS text_sha256
+FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents)
+WINDOW w AS (PARTITION BY t)
+"""
+
+
+@register("op5_exact_dedup", OP5_SQL)
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup.exact_duplicates(table(spark, sf_dir, "documents"))
+
+
+# -- toxicity ----------------------------------------------------------------------------
+
+
+@register("op4_toxicity")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = "crc32(CAST(doc_id AS STRING)) % 5 = 0"
+    scored = toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), F.expr(f"NOT ({held_out})"))
+    return scored.selectExpr("doc_id", f"{held_out} AS held_out", "score", "IF(score >= 0.5, 1, 0) AS predicted")
