@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from emberwatch.llm import bpe_codec, exact_dedup, token_counts, toxicity
+from emberwatch.llm import bpe_codec, exact_dedup, language_id, token_counts, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, tuple[Query, str | None]] = {}
@@ -62,3 +62,14 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     held_out = "crc32(CAST(doc_id AS STRING)) % 5 = 0"
     scored = toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), F.expr(f"NOT ({held_out})"))
     return scored.selectExpr("doc_id", f"{held_out} AS held_out", "score", "IF(score >= 0.5, 1, 0) AS predicted")
+
+
+# -- language ----------------------------------------------------------------------------
+
+LANGUAGE_HELD_OUT = "crc32(CAST(doc_id AS STRING)) % 4 = 2"
+
+
+@register("op3_language_crf")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labelled = language_id.identify(table(spark, sf_dir, "documents"), F.expr(f"NOT ({LANGUAGE_HELD_OUT})"))
+    return labelled.selectExpr("doc_id", f"{LANGUAGE_HELD_OUT} AS held_out", "lang_pred", "score", "n_words", "n_switches")
