@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from emberwatch.llm import bpe_codec, exact_dedup, language_id, token_counts, toxicity
+from emberwatch.llm import bpe_codec, exact_dedup, language_id, repeats, token_counts, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, tuple[Query, str | None]] = {}
@@ -73,3 +73,12 @@ LANGUAGE_HELD_OUT = "crc32(CAST(doc_id AS STRING)) % 4 = 2"
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     labelled = language_id.identify(table(spark, sf_dir, "documents"), F.expr(f"NOT ({LANGUAGE_HELD_OUT})"))
     return labelled.selectExpr("doc_id", f"{LANGUAGE_HELD_OUT} AS held_out", "lang_pred", "score", "n_words", "n_switches")
+
+
+# -- repeated passages -------------------------------------------------------------------
+
+
+@register("op8_suffix_repeats")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    left = repeats.remove_repeats(table(spark, sf_dir, "documents"))
+    return left.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
