@@ -31,6 +31,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -46,6 +47,11 @@ FLUSH = 1_000_000
 BUCKET_ANCHORS = 400_000
 BUCKET_CONTEXTS = 12_000
 H_BITS, H_BYTES, C_BYTES = 24, 5, 6
+# Anchors in more than this share of a hash sample of documents (and in 50 of them) are split further.
+HOT_SAMPLE = 20_000
+HOT_SHARE = 0.005
+HOT_LEAST = 50
+WINDOW_FLUSH = 300_000
 
 
 def anchors(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -92,8 +98,11 @@ def _group_starts(*columns: np.ndarray) -> np.ndarray:
 _PACKED = "bucket int, docs binary, counts binary, h binary, c binary, pos binary"
 
 
-def _packed_anchors(buckets: int):
-    """Anchors of whole tasks in packed rows, one per bucket and about a million anchors."""
+def _packed_anchors(buckets: int, hot: np.ndarray):
+    """Anchors of whole tasks in packed rows, one per bucket and about a million anchors.
+
+    Buckets from ``buckets`` on are for the hot anchors, dealt by their contexts.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, ...]] = []
@@ -112,6 +121,8 @@ def _packed_anchors(buckets: int):
     def flush(held: list[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]:
         ids, at, h, c = (np.concatenate(x) for x in zip(*held, strict=True))
         bucket = ((h & np.uint64((1 << H_BITS) - 1)) % np.uint64(buckets)).astype(np.int64)
+        warm = np.isin(h, hot)
+        bucket[warm] = buckets + (c[warm] % np.uint64(buckets)).astype(np.int64)
         order = np.lexsort((at, ids, bucket))
         bucket = bucket[order]
         edges = np.append(_group_starts(bucket), len(bucket))
@@ -135,8 +146,17 @@ def _packed_anchors(buckets: int):
 _FOUND = "id bigint, pos bigint, anchor bigint"
 
 
-def _meet(table: pa.Table) -> pa.Table:
-    """Anchors of one bucket: those in a context that a smaller document also has (``anchor`` null), and those to look into."""
+def _meet(buckets: int):
+    """Anchors of one bucket: those in a context that a smaller document also has (``anchor`` null), and those to
+    look into (``anchor`` -1 for hot ones)."""
+
+    def run(table: pa.Table) -> pa.Table:
+        return _met(table, table.column("bucket")[0].as_py() >= buckets)
+
+    return run
+
+
+def _met(table: pa.Table, hot: bool) -> pa.Table:
     parts = table.to_pylist()
     ids = np.concatenate([np.repeat(unpack(r["docs"], 8).view(np.int64), unpack(r["counts"], 3).astype(np.int64)) for r in parts])
     h, c, pos = (np.concatenate([unpack(r[n], w) for r in parts]) for n, w in (("h", H_BYTES), ("c", C_BYTES), ("pos", 5)))
@@ -151,9 +171,9 @@ def _meet(table: pa.Table) -> pa.Table:
         & (np.minimum.reduceat(c, starts) != np.maximum.reduceat(c, starts)), sizes
     )
     whole = ids > least
-    look = ~whole & several
+    look = ~whole & (several | hot)
     out = np.flatnonzero(whole | look)
-    name = (h + np.uint64(parts[0]["bucket"] << (8 * H_BYTES))).view(np.int64)
+    name = np.full(len(h), -1) if hot else (h + np.uint64(parts[0]["bucket"] << (8 * H_BYTES))).view(np.int64)
     return pa.table({"id": ids[out], "pos": pos[out], "anchor": pa.array(name[out], mask=whole[out])})
 
 
@@ -243,10 +263,12 @@ def _context_repeats(only_repeated: bool):
     """Maximal repeats of the contexts of one bucket; ``repeated`` marks occurrences that a smaller document also has."""
 
     def run(table: pa.Table) -> pa.Table:
+        known = table.filter(pc.is_null(table.column("context")))
+        table = table.filter(pc.is_valid(table.column("context")))
         raw, offsets = text_buffer(table.column("context").combine_chunks())
         ids = table.column("id").to_numpy()
         base = table.column("base").to_numpy()
-        groups = maximal_repeats(raw, offsets)
+        groups = maximal_repeats(raw, offsets) if len(ids) > 1 else []
         lengths = np.array([n for n, _ in groups], np.int64)
         sizes = np.array([len(s) for _, s in groups], np.int64)
         starts = np.concatenate([s for _, s in groups]) if groups else np.zeros(0, np.int64)
@@ -256,11 +278,19 @@ def _context_repeats(only_repeated: bool):
         repeated = doc > least
         keep = repeated if only_repeated else np.ones(len(doc), bool)
         place = base[context] + starts - offsets[context]
-        number = table.column("bucket")[0].as_py() * (1 << 32) + np.repeat(np.arange(len(groups)), sizes)
-        return pa.table({
+        number = np.repeat(np.arange(len(groups)), sizes)
+        if len(ids):
+            number += table.column("bucket")[0].as_py() << 32
+        found = pa.table({
             "repeat_id": number[keep], "length": np.repeat(lengths, sizes)[keep], "id": doc[keep], "start": place[keep],
             "repeated": repeated[keep],
         })
+        n = len(known)
+        sure = pa.table({
+            "repeat_id": pa.nulls(n, pa.int64()), "length": pa.array(np.full(n, LENGTH)), "id": known.column("id"),
+            "start": known.column("base"), "repeated": pa.array(np.ones(n, bool)),
+        })
+        return pa.concat_tables([found, sure])
 
     return run
 
@@ -269,10 +299,17 @@ _CONTEXT = "anchor bigint, id bigint, base bigint, context binary"
 
 
 def _cut_contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (id, text, found: list of (pos, anchor)) to contexts."""
+    """Rows (id, text, found: list of (pos, anchor)) to contexts; those of hot anchors to windows.
+
+    Of equal windows in a task only that of the smallest document goes on; the others are
+    known to be repeated (``context`` null).
+    """
+    windows: list[tuple[np.ndarray, np.ndarray, np.ndarray, list[bytes]]] = []
+    held = 0
     for batch in batches:
         for part in text_slices(batch):
             raw, offsets = text_buffer(part.column("text"))
+            ids = part.column("id").to_numpy()
             found = part.column("found")
             per_text = np.diff(found.offsets.to_numpy())
             flat = found.flatten()
@@ -281,13 +318,47 @@ def _cut_contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             lo = np.maximum(offsets[text], offsets[text] + pos - SIDE)
             hi = np.minimum(offsets[text + 1], offsets[text] + pos + LENGTH)
             data = raw.tobytes()
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(name), pa.array(part.column("id").to_numpy()[text]), pa.array(lo - offsets[text]),
-                    pa.array([data[a:b] for a, b in zip(lo.tolist(), hi.tolist(), strict=True)], pa.binary()),
-                ],
-                ["anchor", "id", "base", "context"],
+            cold = name != -1
+            yield _contexts(
+                name[cold], ids[text[cold]], (lo - offsets[text])[cold],
+                [data[a:b] for a, b in zip(lo[cold].tolist(), hi[cold].tolist(), strict=True)],
             )
+            if cold.all():
+                continue
+            lo, hi, text = lo[~cold], hi[~cold], text[~cold]
+            room = hi - lo - LENGTH + 1
+            start = np.unique(np.repeat(lo - (np.cumsum(room) - room), room) + np.arange(int(room.sum())))
+            owner = np.searchsorted(offsets, start, side="right") - 1
+            key = Substrings(raw).hash(start, start + LENGTH).view(np.int64)
+            windows.append((key, ids[owner], start - offsets[owner], [data[a : a + LENGTH] for a in start.tolist()]))
+            held += len(key)
+            if held >= WINDOW_FLUSH:
+                yield from _least_windows(windows)
+                windows, held = [], 0
+    if held:
+        yield from _least_windows(windows)
+
+
+def _contexts(anchor: np.ndarray, ids: np.ndarray, base: np.ndarray, context: list[bytes | None]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays(
+        [pa.array(anchor), pa.array(ids), pa.array(base), pa.array(context, pa.binary())], ["anchor", "id", "base", "context"]
+    )
+
+
+def _least_windows(windows: list[tuple[np.ndarray, np.ndarray, np.ndarray, list[bytes]]]) -> Iterator[pa.RecordBatch]:
+    key, ids, base = (np.concatenate([w[n] for w in windows]) for n in range(3))
+    data = [x for w in windows for x in w[3]]
+    order = np.lexsort((ids, key))
+    least = np.empty(len(order), np.int64)
+    first = _group_starts(key[order])
+    least[order] = np.repeat(ids[order][first], np.diff(np.append(first, len(order))))
+    for a in range(0, len(key), 50_000):
+        part = slice(a, a + 50_000)
+        same = ids[part] == least[part]
+        yield _contexts(
+            np.where(same, key[part], ids[part]), ids[part], base[part],
+            [x if s else None for x, s in zip(data[part], same.tolist(), strict=True)],
+        )
 
 
 def _remove(id_name: str):
@@ -322,17 +393,38 @@ def _remove(id_name: str):
     return run
 
 
+def hot_anchors(rows: DataFrame, count: int) -> np.ndarray:
+    """Anchors in a large share of the documents of a hash sample: a few thousand numbers at most.
+
+    Which anchors are hot decides where they meet, not what is found.
+    """
+    share = min(1.0, HOT_SAMPLE / max(1, count))
+    sample = rows.where(F.expr(f"pmod(xxhash64(id, 'sample'), 1000000) < {int(share * 1_000_000) + 1}"))
+    least = max(HOT_LEAST, HOT_SHARE * min(count, HOT_SAMPLE))
+    found = sample.mapInArrow(_distinct_anchors, "anchor bigint").groupBy("anchor").count().where(F.col("count") >= least)
+    return np.array([r.anchor for r in found.collect()], np.int64).view(np.uint64)
+
+
+def _distinct_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for part in text_slices(batch):
+            text, _, h, _ = anchors(*text_buffer(part.column("text")))
+            order = np.lexsort((h, text))
+            yield pa.RecordBatch.from_arrays([pa.array(h[order][_group_starts(text[order], h[order])].view(np.int64))], ["anchor"])
+
+
 def found_anchors(rows: DataFrame) -> DataFrame:
     """(id, pos, anchor): repeated contexts (``anchor`` null) and contexts to compare, for rows (id, text)."""
-    total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    buckets = max(1, int(total // (BUCKET_ANCHORS * 16)) + 1)
-    packed = rows.mapInArrow(_packed_anchors(buckets), _PACKED)
-    return packed.groupBy("bucket").applyInArrow(_meet, _FOUND)
+    count, total = rows.agg(F.count(F.lit(1)), F.sum(F.octet_length("text"))).first()
+    buckets = max(1, int((total or 0) // (BUCKET_ANCHORS * 16)) + 1)
+    packed = rows.mapInArrow(_packed_anchors(buckets, hot_anchors(rows, count)), _PACKED)
+    return packed.groupBy("bucket").applyInArrow(_meet(buckets), _FOUND)
 
 
 def compared_contexts(texts: DataFrame, look: DataFrame, only_repeated: bool) -> DataFrame:
     """Maximal repeats of the contexts of ``look`` (id, pos, anchor); ``texts`` is (id, text)."""
-    buckets = max(1, look.count() // BUCKET_CONTEXTS + 1)
+    work = look.agg(F.sum(F.when(F.col("anchor") == -1, SIDE + 1).otherwise(1))).first()[0] or 0
+    buckets = work // BUCKET_CONTEXTS + 1
     by_text = look.groupBy("id").agg(F.collect_list(F.struct("pos", "anchor")).alias("found"))
     contexts = texts.join(by_text, "id").select("id", "text", "found").mapInArrow(_cut_contexts, _CONTEXT)
     dealt = contexts.withColumn("bucket", F.expr(f"pmod(xxhash64(anchor), {buckets})"))
@@ -344,7 +436,7 @@ def remove_repeats(docs: DataFrame, id_column: str = "doc_id", text_column: str
     rows = docs.select(F.col(id_column).cast("bigint").alias("id"), F.coalesce(F.col(text_column), F.lit("")).alias("text"))
     named = rows.where("id IS NOT NULL")
     found = materialize(found_anchors(named), "anchors")
-    texts = named.repartition("id")
+    texts = named.repartition("id")  # both joins below read this one exchange
     compared = compared_contexts(texts, found.where("anchor IS NOT NULL"), True)
     spans = found.where("anchor IS NULL").select("id", (F.col("pos") - SIDE).alias("start"), (F.col("pos") + LENGTH).alias("stop")).unionByName(
         compared.select("id", "start", (F.col("start") + F.col("length")).alias("stop"))
