@@ -35,7 +35,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from emberwatch.llm.texts import Substrings, text_buffer, text_slices
+from emberwatch.llm.texts import Substrings, pack, text_buffer, text_slices, unpack
 from emberwatch.sources.store import materialize
 
 LENGTH = 50
@@ -75,18 +75,6 @@ def anchors(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return text, at - offsets[text], grams[at], strings.hash(lo, hi)
 
 
-def pack(values: np.ndarray, width: int) -> bytes:
-    """The low ``width`` bytes of 64-bit numbers, byte by byte, so that leading zeros compress away."""
-    return values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T.tobytes()
-
-
-def unpack(data: bytes, width: int) -> np.ndarray:
-    planes = np.frombuffer(data, np.uint8).reshape(width, -1)
-    out = np.zeros((planes.shape[1], 8), np.uint8)
-    out[:, :width] = planes.T
-    return out.view("<u8").ravel()
-
-
 def _group_starts(*columns: np.ndarray) -> np.ndarray:
     new = np.zeros(len(columns[0]), bool)
     new[:1] = True

@@ -112,6 +112,21 @@ ASCII_LOWER = np.arange(256, dtype=np.uint8)
 ASCII_LOWER[65:91] += 32
 
 
+# Packed columns -------------------------------------------------------------------------
+
+
+def pack(values: np.ndarray, width: int) -> bytes:
+    """The low ``width`` bytes of 64-bit numbers, byte by byte, so that leading zeros compress away."""
+    return values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T.tobytes()
+
+
+def unpack(data: bytes, width: int) -> np.ndarray:
+    planes = np.frombuffer(data, np.uint8).reshape(width, -1)
+    out = np.zeros((planes.shape[1], 8), np.uint8)
+    out[:, :width] = planes.T
+    return out.view("<u8").ravel()
+
+
 # Fixed-size filters -------------------------------------------------------------------
 
 BITMAP_BITS = 25
