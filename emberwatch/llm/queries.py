@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from emberwatch.llm import bpe_codec, exact_dedup, jaccard_join, language_id, repeats, token_counts, toxicity
+from emberwatch.llm import bpe_codec, exact_dedup, jaccard_join, language_id, mixing, repeats, token_counts, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, tuple[Query, str | None]] = {}
@@ -90,3 +90,46 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("op1_jaccard_join")
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.similar_components(table(spark, sf_dir, "documents"))
+
+
+# -- mixing ------------------------------------------------------------------------------
+
+OP2_SQL = r"""
+WITH RECURSIVE rows_ AS (
+  SELECT doc_id, source, coalesce(CAST(doc_id AS VARCHAR), '') AS k, coalesce('=' || source, '-') AS s,
+    CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS n_tokens
+  FROM documents),
+src AS (SELECT s, CAST(sum(n_tokens) AS BIGINT) AS tokens, count(*) AS n_docs FROM rows_ GROUP BY s),
+tot AS (SELECT CAST(sum(tokens) AS DOUBLE) AS total FROM src),
+p AS (SELECT tokens / total AS p FROM src, tot WHERE tokens > 0),
+bisect(i, low, high) AS (
+  SELECT 0, CAST(0 AS DOUBLE), CAST(1 AS DOUBLE)
+  UNION ALL
+  SELECT i + 1,
+    CASE WHEN ok THEN low ELSE (low + high) / 2 END, CASE WHEN ok THEN (low + high) / 2 ELSE high END
+  FROM (SELECT i, low, high,
+      (SELECT max(pow(p, (low + high) / 2) / p) / sum(pow(p, (low + high) / 2)) FROM p) <= 1.25 AS ok
+    FROM bisect WHERE i < 30)),
+a AS (SELECT high AS a FROM bisect WHERE i = 30),
+z AS (SELECT sum(pow(p, a)) AS z FROM p, a),
+w AS (SELECT s, tokens, n_docs, CAST(ceil(sqrt(n_docs)) AS BIGINT) AS n_blocks,
+    CAST(floor(round(pow(tokens / total, a) / z * total, 3)) AS BIGINT) AS share
+  FROM src, tot, a, z WHERE tokens > 0),
+q AS (SELECT *, share // tokens AS passes, share % tokens AS rest FROM w),
+d AS (SELECT r.*, q.passes, q.rest, CAST('0x' || substr(md5(k), 1, 8) AS BIGINT) % n_blocks AS block FROM rows_ r JOIN q USING (s)),
+b AS (SELECT s, block, passes, rest, sum(n_tokens) AS size FROM d GROUP BY ALL),
+b2 AS (SELECT *, row_number() OVER o AS block_rank, sum(size) OVER (o ROWS UNBOUNDED PRECEDING) AS upto
+  FROM b WINDOW o AS (PARTITION BY s ORDER BY md5(s || '/' || block || '/' || passes), block)),
+o AS (SELECT s, min(block_rank) AS block_rank FROM b2 WHERE upto > rest AND upto - size <= rest GROUP BY s),
+c AS (SELECT d.s, d.k, b2.upto - b2.size + sum(n_tokens) OVER (PARTITION BY d.s ORDER BY md5(k || '/' || d.passes), k) AS upto, d.rest
+  FROM d JOIN b2 USING (s, block) JOIN o ON o.s = b2.s AND o.block_rank = b2.block_rank)
+SELECT r.doc_id, r.source, r.n_tokens, d.block, CAST(b2.block_rank AS INTEGER) AS block_rank,
+  CAST(CASE WHEN d.s IS NULL THEN 0 ELSE d.passes + CASE WHEN b2.upto <= b2.rest OR EXISTS (
+    SELECT 1 FROM c WHERE c.s = r.s AND c.k = r.k AND c.upto <= c.rest) THEN 1 ELSE 0 END END AS BIGINT) AS copies
+FROM rows_ r LEFT JOIN d ON d.s = r.s AND d.k = r.k LEFT JOIN b2 ON b2.s = d.s AND b2.block = d.block
+"""
+
+
+@register("op2_temperature_mix", OP2_SQL)
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.decide(table(spark, sf_dir, "documents"))
