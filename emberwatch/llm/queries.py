@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from emberwatch.llm import bpe_codec, exact_dedup, jaccard_join, language_id, mixing, repeats, token_counts, toxicity
+from emberwatch.llm import bpe_codec, exact_dedup, jaccard_join, language_id, mixing, quality_rules, repeats, token_counts, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, tuple[Query, str | None]] = {}
@@ -133,3 +133,47 @@ FROM rows_ r LEFT JOIN d ON d.s = r.s AND d.k = r.k LEFT JOIN b2 ON b2.s = d.s A
 @register("op2_temperature_mix", OP2_SQL)
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.decide(table(spark, sf_dir, "documents"))
+
+
+# -- quality rules -----------------------------------------------------------------------
+
+OP6_SQL = r"""
+WITH t AS (SELECT doc_id, coalesce('=' || lang, '-') AS lang, coalesce('=' || source, '-') AS source, coalesce(text, '') AS t FROM documents),
+w AS (SELECT *, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS w,
+    list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l FROM t),
+g AS (SELECT doc_id, i, array_to_string(w[i : i + 4], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 3)) AS i FROM w)),
+h AS (SELECT doc_id, i FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, g) AS c FROM g) WHERE c > 1),
+r AS (SELECT doc_id, count(DISTINCT i + k) AS n FROM h, (SELECT unnest(range(0, 5)) AS k) GROUP BY doc_id),
+f AS (SELECT w.doc_id, lang, source, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) AS BIGINT) AS word_chars,
+    CAST(length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+    CAST(len(l) - len(list_distinct(l)) AS BIGINT) AS n_dup_lines, coalesce(r.n, 0) AS n_repeat_words, length(t) AS n_chars, len(l) AS n_lines
+  FROM w LEFT JOIN r USING (doc_id)),
+m AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,
+    1000 * n_symbols // greatest(n_chars, 1) AS symbols, 1000 * n_dup_lines // greatest(n_lines, 1) AS repeated_lines,
+    1000 * n_repeat_words // greatest(n_words, 1) AS repeated_words, 100 * word_chars // greatest(n_words, 1) AS word_length FROM f),
+v AS (SELECT lang, source, measure, v FROM (
+    SELECT lang, source, unnest(['symbols', 'repeated_lines', 'repeated_words', 'word_length']) AS measure,
+      unnest([symbols, repeated_lines, repeated_words, word_length]) AS v FROM m)),
+e AS (SELECT *, CASE WHEN v < 32 THEN v ELSE -- middle of the 16 equal parts of a power of two
+    (v >> (length(bin(v)) - 5)) * (1 << (length(bin(v)) - 5)) + (1 << (length(bin(v)) - 6)) END AS mid FROM v),
+levels AS (SELECT 1 AS level, lang, source, measure, mid FROM e
+  UNION ALL SELECT 2, lang, NULL, measure, mid FROM e UNION ALL SELECT 3, NULL, NULL, measure, mid FROM e),
+q AS (SELECT level, lang, source, measure, count(*) AS total, quantile_disc(mid, 0.1) AS q10, quantile_disc(mid, 0.5) AS q50, quantile_disc(mid, 0.9) AS q90
+  FROM levels GROUP BY ALL),
+x AS (SELECT a.lang, a.source, a.measure, unnest(CASE WHEN a.total >= 200 THEN [{'lo': a.q10, 'mi': a.q50, 'hi': a.q90}]
+      WHEN b.total >= 200 THEN [{'lo': b.q10, 'mi': b.q50, 'hi': b.q90}] ELSE [{'lo': c.q10, 'mi': c.q50, 'hi': c.q90}] END) AS q
+  FROM q a JOIN q b ON b.level = 2 AND b.lang = a.lang AND b.measure = a.measure JOIN q c ON c.level = 3 AND c.measure = a.measure WHERE a.level = 1),
+y AS (SELECT lang, source, measure, q.hi + 3 * (q.hi - q.mi) AS top, q.lo - 3 * (q.mi - q.lo) AS low FROM x)
+SELECT m.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  NOT base_failed AND symbols <= s.top + 20 AND repeated_lines <= l.top + 100 AND repeated_words <= r.top + 50
+    AND word_length <= o.top + 100 AND word_length >= o.low - 100 AS kept
+FROM m JOIN y s ON s.lang = m.lang AND s.source = m.source AND s.measure = 'symbols'
+JOIN y l ON l.lang = m.lang AND l.source = m.source AND l.measure = 'repeated_lines'
+JOIN y r ON r.lang = m.lang AND r.source = m.source AND r.measure = 'repeated_words'
+JOIN y o ON o.lang = m.lang AND o.source = m.source AND o.measure = 'word_length'
+"""
+
+
+@register("op6_quality_rules", OP6_SQL)
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.quality_rules(table(spark, sf_dir, "documents"))
