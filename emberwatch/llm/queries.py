@@ -8,7 +8,18 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from emberwatch.llm import bpe_codec, exact_dedup, jaccard_join, language_id, mixing, quality_rules, repeats, token_counts, toxicity
+from emberwatch.llm import (
+    bpe_codec,
+    exact_dedup,
+    jaccard_join,
+    language_id,
+    license_scan,
+    mixing,
+    quality_rules,
+    repeats,
+    token_counts,
+    toxicity,
+)
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, tuple[Query, str | None]] = {}
@@ -177,3 +188,11 @@ JOIN y o ON o.lang = m.lang AND o.source = m.source AND o.measure = 'word_length
 @register("op6_quality_rules", OP6_SQL)
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_rules(table(spark, sf_dir, "documents"))
+
+
+# -- licenses ----------------------------------------------------------------------------
+
+
+@register("op7_license_scan")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan_licenses(table(spark, sf_dir, "documents")).drop("spans")
