@@ -50,13 +50,13 @@ def _powers(base: int, prime: int, n: int) -> np.ndarray:
     return table
 
 
-def polynomials(raw: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
+def polynomials(raw: np.ndarray, offsets: np.ndarray, primes: tuple[int, int] = PRIMES) -> list[np.ndarray]:
     """Both hashes of every text in a buffer. Sums stay below 2**63 for texts under 2**23 bytes; longer ones are folded."""
     sizes = np.diff(offsets)
     filled = np.flatnonzero(sizes)
     out = []
     limit = 1 << 23
-    for base, prime in zip(BASES, PRIMES, strict=True):
+    for base, prime in zip(BASES, primes, strict=True):
         values = np.zeros(len(sizes), np.uint64)
         if len(filled) and sizes.max() <= limit:
             powers = _powers(base, prime, int(sizes.max()))
@@ -75,13 +75,17 @@ def polynomials(raw: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
     return out
 
 
-def _hash_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _hash_rows(primes: tuple[int, int]):
     """Replaces the column ``text`` by ``h1`` and ``h2``."""
-    for batch in batches:
-        for part in text_slices(batch):
-            h1, h2 = polynomials(*text_buffer(part.column("text")))
-            rest = [n for n in part.schema.names if n != "text"]
-            yield pa.RecordBatch.from_arrays([*[part.column(n) for n in rest], pa.array(h1), pa.array(h2)], [*rest, "h1", "h2"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in text_slices(batch):
+                h1, h2 = polynomials(*text_buffer(part.column("text")), primes)
+                rest = [n for n in part.schema.names if n != "text"]
+                yield pa.RecordBatch.from_arrays([*[part.column(n) for n in rest], pa.array(h1), pa.array(h2)], [*rest, "h1", "h2"])
+
+    return run
 
 
 def _shifts(column: str, base: int, prime: int) -> F.Column:
@@ -96,7 +100,8 @@ def _shifts(column: str, base: int, prime: int) -> F.Column:
     )
 
 
-def fingerprints(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", chunk: int = CHUNK) -> DataFrame:
+def fingerprints(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", chunk: int = CHUNK,
+                 primes: tuple[int, int] = PRIMES) -> DataFrame:
     """One row per document: ``id``, ``n_bytes``, ``h1``, ``h2``, ``text_sha256``."""
     text = F.coalesce(F.col(text_column), F.lit(""))
     rows = docs.select(
@@ -105,20 +110,20 @@ def fingerprints(docs: DataFrame, id_column: str = "doc_id", text_column: str =
     )
     kind = ddl_of(docs, id_column)
     ddl = f"id {kind}, n_bytes bigint, text_sha256 string, h1 bigint, h2 bigint"
-    whole = rows.where(F.octet_length("text") <= chunk).mapInArrow(_hash_rows, ddl)
-    huge = rows.where(F.octet_length("text") > chunk)
+    whole = rows.where(F.octet_length("text") <= chunk).mapInArrow(_hash_rows(primes), ddl)
+    huge = rows.where(F.octet_length("text") > chunk).withColumn("row_key", F.expr("uuid()"))  # one for all chunks of a text
     pieces = huge.select(
-        "id", "n_bytes", "text_sha256", F.expr("uuid()").alias("row_key"), "text",
+        "id", "n_bytes", "text_sha256", "row_key", "text",
         F.explode(F.expr(f"sequence(0L, (char_length(text) - 1) div {chunk})")).alias("chunk_no"),
     ).select(
         "id", "n_bytes", "text_sha256", "row_key", "chunk_no",
         F.expr(f"substring(text, CAST(chunk_no AS INT) * {chunk} + 1, {chunk})").alias("text"),
     ).withColumn("size", F.octet_length("text").cast("bigint"))
     hashed = pieces.repartition("row_key", "chunk_no").mapInArrow(
-        _hash_rows, f"id {kind}, n_bytes bigint, text_sha256 string, row_key string, chunk_no bigint, size bigint, h1 bigint, h2 bigint"
+        _hash_rows(primes), f"id {kind}, n_bytes bigint, text_sha256 string, row_key string, chunk_no bigint, size bigint, h1 bigint, h2 bigint"
     )
     for k in (0, 1):
-        hashed = hashed.withColumn(f"s{k + 1}", _shifts("size", BASES[k], PRIMES[k]))
+        hashed = hashed.withColumn(f"s{k + 1}", _shifts("size", BASES[k], primes[k]))
     # The list of one document's chunks is bounded by its length over the chunk size.
     folded = hashed.groupBy("row_key").agg(
         F.first("id").alias("id"), F.first("n_bytes").alias("n_bytes"), F.first("text_sha256").alias("text_sha256"),
@@ -126,7 +131,7 @@ def fingerprints(docs: DataFrame, id_column: str = "doc_id", text_column: str =
     )
     fold = "aggregate(parts, 0L, (h, p) -> (h * p.s{k} + p.h{k}) % {prime}L)"
     return whole.unionByName(folded.select(
-        "id", "n_bytes", "text_sha256", *[F.expr(fold.format(k=k + 1, prime=PRIMES[k])).alias(f"h{k + 1}") for k in (0, 1)]
+        "id", "n_bytes", "text_sha256", *[F.expr(fold.format(k=k + 1, prime=primes[k])).alias(f"h{k + 1}") for k in (0, 1)]
     ))
 
 
@@ -137,7 +142,7 @@ def _key_hash(h1: np.ndarray, h2: np.ndarray) -> np.ndarray:
     return (h1.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) ^ h2.astype(np.uint64)) >> np.uint64(7)
 
 
-def colliding(docs: DataFrame, groups: DataFrame, id_column: str, text_column: str) -> DataFrame:
+def colliding(docs: DataFrame, groups: DataFrame, text_column: str, primes: tuple[int, int]) -> DataFrame:
     """Fingerprints whose texts differ in some chunk, found by comparing all texts of groups of two rows or more."""
     twice = groups.where("group_size > 1")
     narrow = twice.mapInArrow(_with_key_hash, "key bigint")
@@ -146,7 +151,7 @@ def colliding(docs: DataFrame, groups: DataFrame, id_column: str, text_column: s
     def keep_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in text_slices(batch):
-                h1, h2 = polynomials(*text_buffer(part.column("text")))
+                h1, h2 = polynomials(*text_buffer(part.column("text")), primes)
                 chosen = pa.array(in_bitmap(bits.value, _key_hash(h1, h2)))
                 out = pa.RecordBatch.from_arrays(
                     [part.column("text"), part.column("n_bytes"), pa.array(h1), pa.array(h2)], ["text", "n_bytes", "h1", "h2"]
@@ -167,12 +172,13 @@ def _with_key_hash(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         yield pa.RecordBatch.from_arrays([pa.array(_key_hash(h1, h2).astype(np.int64))], ["key"])
 
 
-def exact_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", chunk: int = CHUNK) -> DataFrame:
+def exact_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", chunk: int = CHUNK,
+                     primes: tuple[int, int] = PRIMES) -> DataFrame:
     """One row per document: id, ``keep_id``, ``group_size``, ``kept``, ``text_sha256``. The largest id of a group stays."""
-    prints = fingerprints(docs, id_column, text_column, chunk).withColumn("row_no", F.monotonically_increasing_id())
+    prints = fingerprints(docs, id_column, text_column, chunk, primes).withColumn("row_no", F.monotonically_increasing_id())
     rows = materialize(prints, "fingerprints")
     groups = rows.groupBy(*KEY).agg(F.count(F.lit(1)).alias("group_size"), F.max(F.struct("id", "row_no")).alias("keep"))
-    clash = materialize(colliding(docs, groups, id_column, text_column), "collisions")
+    clash = materialize(colliding(docs, groups, text_column, primes), "collisions")
     if clash.take(1):
         split = rows.join(clash.withColumn("clash", F.lit(True)), KEY, "left").withColumn(
             "part", F.when(F.col("clash"), F.col("text_sha256")).otherwise(F.lit(""))
