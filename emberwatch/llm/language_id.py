@@ -283,6 +283,29 @@ def labelled_sample(docs: DataFrame, learn_from: F.Column, id_column: str, text_
     return texts, labels
 
 
+def _predict(m: Crf, texts: pa.Array) -> tuple[pa.Array, pa.Array, np.ndarray, np.ndarray, Words, np.ndarray]:
+    """Language, score, words and switches per text; the words and their most likely labels."""
+    n = len(texts)
+    w = words_of(texts)
+    sizes = np.bincount(w.text_of, minlength=n)
+    k = len(m.labels)
+    prob = marginals(emissions(m, w), sizes[sizes > 0], m.transitions) if k else np.zeros((0, 0))
+    some = (sizes > 0) & (k > 0)
+    share = np.zeros((n, max(1, k)))
+    for c in range(k):
+        share[:, c] = np.bincount(w.text_of, prob[:, c], minlength=n)
+    share /= np.maximum(sizes, 1)[:, None]
+    names = np.array([*m.labels, UNKNOWN], object)
+    best = np.where(some, share.argmax(axis=1), k)
+    score = np.where(some, np.clip(share.max(axis=1), 0, 1), 0.0)
+    top = prob.argmax(axis=1) if len(prob) else np.zeros(0, np.int64)
+    turns = np.zeros(n, np.int64)
+    if len(top):
+        turn = (top[1:] != top[:-1]) & (w.text_of[1:] == w.text_of[:-1])
+        turns = np.bincount(w.text_of[1:][turn], minlength=n)
+    return pa.array(names[best].tolist(), pa.string()), pa.array(score), sizes, turns, w, top
+
+
 def label_texts(docs: DataFrame, model: Crf, id_column: str = "doc_id", text_column: str = "text", spans: bool = False) -> DataFrame:
     """One row per document: id, ``lang_pred``, ``score``, ``n_words``, ``n_switches``; with ``spans`` also the
     runs of words of one language as ``spans`` array<struct<first_word, stop_word, lang>>."""
@@ -291,31 +314,12 @@ def label_texts(docs: DataFrame, model: Crf, id_column: str = "doc_id", text_col
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
-        names = np.array([*m.labels, UNKNOWN], object)
         for batch in batches:
             for part in text_slices(batch):
-                n = part.num_rows
-                w = words_of(part.column("text"))
-                sizes = np.bincount(w.text_of, minlength=n)
-                if not m.labels:
-                    sizes_known, prob = np.zeros(n, np.int64), np.zeros((0, 0))
-                else:
-                    sizes_known = sizes
-                    prob = marginals(emissions(m, w), sizes[sizes > 0], m.transitions)
-                some = sizes_known > 0
-                share = np.zeros((n, max(1, len(m.labels))))
-                for c in range(len(m.labels)):
-                    share[:, c] = np.bincount(w.text_of, prob[:, c], minlength=n)
-                share /= np.maximum(sizes, 1)[:, None]
-                best = np.where(some, share.argmax(axis=1), len(m.labels))
-                score = np.where(some, np.clip(share.max(axis=1), 0, 1), 0.0)
-                top = prob.argmax(axis=1) if len(prob) else np.zeros(0, np.int64)
-                same_text = w.text_of[1:] == w.text_of[:-1]
-                turn = (top[1:] != top[:-1]) & same_text if len(top) else np.zeros(0, bool)
-                turns = np.bincount(w.text_of[1:][turn], minlength=n) if len(top) else np.zeros(n, np.int64)
-                columns = [part.column("id"), pa.array(names[best].tolist(), pa.string()), pa.array(score), pa.array(sizes), pa.array(turns)]
+                lang, score, sizes, turns, w, top = _predict(m, part.column("text"))
+                columns = [part.column("id"), lang, score, pa.array(sizes), pa.array(turns)]
                 if spans:
-                    columns.append(pa.array(_spans(top, w.text_of, n, m.labels), span_type))
+                    columns.append(pa.array(_spans(top, w.text_of, part.num_rows, m.labels), span_type))
                 yield pa.RecordBatch.from_arrays(columns, names=out_names)
 
     out_names = [id_column, "lang_pred", "score", "n_words", "n_switches", *["spans"] * spans]
@@ -324,6 +328,21 @@ def label_texts(docs: DataFrame, model: Crf, id_column: str = "doc_id", text_col
     return docs.select(F.col(id_column).alias("id"), F.col(text_column).alias("text")).mapInArrow(run, ddl)
 
 
+def known_language(docs: DataFrame, model: Crf, text_column: str = "text") -> DataFrame:
+    """The rows of ``docs`` whose text has a language, unchanged and without a shuffle."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    at = docs.columns.index(text_column)
+    plain = docs.toDF(*[f"c{k}" for k in range(len(docs.columns))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in text_slices(batch, f"c{at}"):
+                lang = _predict(shared.value, part.column(at))[0]
+                yield part.filter(pc.not_equal(lang, UNKNOWN))
+
+    return plain.mapInArrow(run, plain.schema).toDF(*docs.columns)
+
+
 def _spans(top: np.ndarray, text_of: np.ndarray, n: int, labels: list[str]) -> list[list[dict]]:
     out: list[list[dict]] = [[] for _ in range(n)]
     if len(top) == 0:
