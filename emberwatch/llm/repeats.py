@@ -83,7 +83,7 @@ def _group_starts(*columns: np.ndarray) -> np.ndarray:
     return np.flatnonzero(new)
 
 
-_PACKED = "bucket int, docs binary, counts binary, h binary, c binary, pos binary"
+_PACKED = "bucket int, docs binary, tags binary, counts binary, h binary, c binary, pos binary"
 
 
 def _packed_anchors(buckets: int, hot: np.ndarray):
@@ -98,7 +98,7 @@ def _packed_anchors(buckets: int, hot: np.ndarray):
         for batch in batches:
             for part in text_slices(batch):
                 text, at, h, c = anchors(*text_buffer(part.column("text")))
-                held.append((part.column("id").to_numpy(zero_copy_only=False)[text], at, h, c))
+                held.append((part.column("id").to_numpy()[text], part.column("tag").to_numpy()[text], at, h, c))
                 size += len(at)
                 if size >= FLUSH:
                     yield from flush(held)
@@ -107,31 +107,31 @@ def _packed_anchors(buckets: int, hot: np.ndarray):
             yield from flush(held)
 
     def flush(held: list[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]:
-        ids, at, h, c = (np.concatenate(x) for x in zip(*held, strict=True))
+        ids, tags, at, h, c = (np.concatenate(x) for x in zip(*held, strict=True))
         bucket = ((h & np.uint64((1 << H_BITS) - 1)) % np.uint64(buckets)).astype(np.int64)
         warm = np.isin(h, hot)
         bucket[warm] = buckets + (c[warm] % np.uint64(buckets)).astype(np.int64)
-        order = np.lexsort((at, ids, bucket))
+        order = np.lexsort((at, tags, ids, bucket))
         bucket = bucket[order]
         edges = np.append(_group_starts(bucket), len(bucket))
         rows = []
         for a, b in zip(edges, edges[1:], strict=False):
             o = order[a:b]
-            first = _group_starts(ids[o])
+            first = _group_starts(ids[o], tags[o])
             rows.append((
-                int(bucket[a]), pack(ids[o][first].view(np.uint64), 8), pack(np.diff(np.append(first, b - a)), 3),
+                int(bucket[a]), pack(ids[o][first].view(np.uint64), 8), pack(tags[o][first].view(np.uint32), 4), pack(np.diff(np.append(first, b - a)), 3),
                 pack(h[o] >> np.uint64(H_BITS), H_BYTES), pack(c[o], C_BYTES), pack(at[o], 5),
             ))
         for k in range(0, len(rows), 64):
             yield pa.RecordBatch.from_arrays(
-                [pa.array(x, t) for x, t in zip(zip(*rows[k : k + 64], strict=True), [pa.int32(), *[pa.binary()] * 5], strict=True)],
-                ["bucket", "docs", "counts", "h", "c", "pos"],
+                [pa.array(x, t) for x, t in zip(zip(*rows[k : k + 64], strict=True), [pa.int32(), *[pa.binary()] * 6], strict=True)],
+                ["bucket", "docs", "tags", "counts", "h", "c", "pos"],
             )
 
     return run
 
 
-_FOUND = "id bigint, pos bigint, anchor bigint"
+_FOUND = "id bigint, tag int, pos bigint, anchor bigint"
 
 
 def _meet(buckets: int):
@@ -146,10 +146,14 @@ def _meet(buckets: int):
 
 def _met(table: pa.Table, hot: bool) -> pa.Table:
     parts = table.to_pylist()
-    ids = np.concatenate([np.repeat(unpack(r["docs"], 8).view(np.int64), unpack(r["counts"], 3).astype(np.int64)) for r in parts])
+    ids, tags = (
+        np.concatenate([np.repeat(unpack(r[n], w), unpack(r["counts"], 3).astype(np.int64)) for r in parts]) for n, w in (("docs", 8), ("tags", 4))
+    )
+    ids = ids.view(np.int64)
     h, c, pos = (np.concatenate([unpack(r[n], w) for r in parts]) for n, w in (("h", H_BYTES), ("c", C_BYTES), ("pos", 5)))
     order = np.lexsort((ids, c, h))
     ids, h, c, pos = ids[order], h[order], c[order], pos[order].astype(np.int64)
+    tags = tags[order].astype(np.uint32).view(np.int32)
     kinds = _group_starts(h, c)
     least = np.repeat(ids[kinds], np.diff(np.append(kinds, len(ids))))
     starts = _group_starts(h)
@@ -162,7 +166,7 @@ def _met(table: pa.Table, hot: bool) -> pa.Table:
     look = ~whole & (several | hot)
     out = np.flatnonzero(whole | look)
     name = np.full(len(h), -1) if hot else (h + np.uint64(parts[0]["bucket"] << (8 * H_BYTES))).view(np.int64)
-    return pa.table({"id": ids[out], "pos": pos[out], "anchor": pa.array(name[out], mask=whole[out])})
+    return pa.table({"id": ids[out], "tag": tags[out], "pos": pos[out], "anchor": pa.array(name[out], mask=whole[out])})
 
 
 def suffix_array(raw: np.ndarray, ends: np.ndarray, starts: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
@@ -244,7 +248,7 @@ def maximal_repeats(raw: np.ndarray, offsets: np.ndarray, least: int = LENGTH) -
     return out
 
 
-_REPEATS = "repeat_id bigint, length bigint, id bigint, start bigint, repeated boolean"
+_REPEATS = "repeat_id bigint, length bigint, id bigint, tag int, start bigint, repeated boolean"
 
 
 def _context_repeats(only_repeated: bool):
@@ -270,20 +274,21 @@ def _context_repeats(only_repeated: bool):
         if len(ids):
             number += table.column("bucket")[0].as_py() << 32
         found = pa.table({
-            "repeat_id": number[keep], "length": np.repeat(lengths, sizes)[keep], "id": doc[keep], "start": place[keep],
+            "repeat_id": number[keep], "length": np.repeat(lengths, sizes)[keep], "id": doc[keep],
+            "tag": table.column("tag").to_numpy()[context][keep], "start": place[keep],
             "repeated": repeated[keep],
         })
         n = len(known)
         sure = pa.table({
             "repeat_id": pa.nulls(n, pa.int64()), "length": pa.array(np.full(n, LENGTH)), "id": known.column("id"),
-            "start": known.column("base"), "repeated": pa.array(np.ones(n, bool)),
+            "tag": known.column("tag"), "start": known.column("base"), "repeated": pa.array(np.ones(n, bool)),
         })
         return pa.concat_tables([found, sure])
 
     return run
 
 
-_CONTEXT = "anchor bigint, id bigint, base bigint, context binary"
+_CONTEXT = "anchor bigint, id bigint, tag int, base bigint, context binary"
 
 
 def _cut_contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -292,12 +297,12 @@ def _cut_contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
     Of equal windows in a task only that of the smallest document goes on; the others are
     known to be repeated (``context`` null).
     """
-    windows: list[tuple[np.ndarray, np.ndarray, np.ndarray, list[bytes]]] = []
+    windows: list[tuple] = []
     held = 0
     for batch in batches:
         for part in text_slices(batch):
             raw, offsets = text_buffer(part.column("text"))
-            ids = part.column("id").to_numpy()
+            ids, tags = part.column("id").to_numpy(), part.column("tag").to_numpy()
             found = part.column("found")
             per_text = np.diff(found.offsets.to_numpy())
             flat = found.flatten()
@@ -308,7 +313,7 @@ def _cut_contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             data = raw.tobytes()
             cold = name != -1
             yield _contexts(
-                name[cold], ids[text[cold]], (lo - offsets[text])[cold],
+                name[cold], ids[text[cold]], tags[text[cold]], (lo - offsets[text])[cold],
                 [data[a:b] for a, b in zip(lo[cold].tolist(), hi[cold].tolist(), strict=True)],
             )
             if cold.all():
@@ -318,7 +323,7 @@ def _cut_contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             start = np.unique(np.repeat(lo - (np.cumsum(room) - room), room) + np.arange(int(room.sum())))
             owner = np.searchsorted(offsets, start, side="right") - 1
             key = Substrings(raw).hash(start, start + LENGTH).view(np.int64)
-            windows.append((key, ids[owner], start - offsets[owner], [data[a : a + LENGTH] for a in start.tolist()]))
+            windows.append((key, ids[owner], tags[owner], start - offsets[owner], [data[a : a + LENGTH] for a in start.tolist()]))
             held += len(key)
             if held >= WINDOW_FLUSH:
                 yield from _least_windows(windows)
@@ -327,15 +332,15 @@ def _cut_contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         yield from _least_windows(windows)
 
 
-def _contexts(anchor: np.ndarray, ids: np.ndarray, base: np.ndarray, context: list[bytes | None]) -> pa.RecordBatch:
+def _contexts(anchor: np.ndarray, ids: np.ndarray, tags: np.ndarray, base: np.ndarray, context: list[bytes | None]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(
-        [pa.array(anchor), pa.array(ids), pa.array(base), pa.array(context, pa.binary())], ["anchor", "id", "base", "context"]
+        [*[pa.array(x) for x in (anchor, ids, tags, base)], pa.array(context, pa.binary())], ["anchor", "id", "tag", "base", "context"]
     )
 
 
-def _least_windows(windows: list[tuple[np.ndarray, np.ndarray, np.ndarray, list[bytes]]]) -> Iterator[pa.RecordBatch]:
-    key, ids, base = (np.concatenate([w[n] for w in windows]) for n in range(3))
-    data = [x for w in windows for x in w[3]]
+def _least_windows(windows: list[tuple]) -> Iterator[pa.RecordBatch]:
+    key, ids, tags, base = (np.concatenate([w[n] for w in windows]) for n in range(4))
+    data = [x for w in windows for x in w[4]]
     order = np.lexsort((ids, key))
     least = np.empty(len(order), np.int64)
     first = _group_starts(key[order])
@@ -344,7 +349,7 @@ def _least_windows(windows: list[tuple[np.ndarray, np.ndarray, np.ndarray, list[
         part = slice(a, a + 50_000)
         same = ids[part] == least[part]
         yield _contexts(
-            np.where(same, key[part], ids[part]), ids[part], base[part],
+            np.where(same, key[part], ids[part]), ids[part], tags[part], base[part],
             [x if s else None for x, s in zip(data[part], same.tolist(), strict=True)],
         )
 
@@ -402,7 +407,7 @@ def _distinct_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBa
 
 
 def found_anchors(rows: DataFrame) -> DataFrame:
-    """(id, pos, anchor): repeated contexts (``anchor`` null) and contexts to compare, for rows (id, text)."""
+    """(id, tag, pos, anchor): repeated contexts (``anchor`` null) and contexts to compare, for rows (id, tag, text)."""
     count, total = rows.agg(F.count(F.lit(1)), F.sum(F.octet_length("text"))).first()
     buckets = max(1, int((total or 0) // (BUCKET_ANCHORS * 16)) + 1)
     packed = rows.mapInArrow(_packed_anchors(buckets, hot_anchors(rows, count)), _PACKED)
@@ -410,27 +415,29 @@ def found_anchors(rows: DataFrame) -> DataFrame:
 
 
 def compared_contexts(texts: DataFrame, look: DataFrame, only_repeated: bool) -> DataFrame:
-    """Maximal repeats of the contexts of ``look`` (id, pos, anchor); ``texts`` is (id, text)."""
+    """Maximal repeats of the contexts of ``look`` (id, tag, pos, anchor); ``texts`` is (id, tag, text)."""
     work = look.agg(F.sum(F.when(F.col("anchor") == -1, SIDE + 1).otherwise(1))).first()[0] or 0
     buckets = work // BUCKET_CONTEXTS + 1
-    by_text = look.groupBy("id").agg(F.collect_list(F.struct("pos", "anchor")).alias("found"))
-    contexts = texts.join(by_text, "id").select("id", "text", "found").mapInArrow(_cut_contexts, _CONTEXT)
+    by_text = look.groupBy("id", "tag").agg(F.collect_list(F.struct("pos", "anchor")).alias("found"))
+    contexts = texts.join(by_text, ["id", "tag"]).select("id", "tag", "text", "found").mapInArrow(_cut_contexts, _CONTEXT)
     dealt = contexts.withColumn("bucket", F.expr(f"pmod(xxhash64(anchor), {buckets})"))
     return dealt.groupBy("bucket").applyInArrow(_context_repeats(only_repeated), _REPEATS)
 
 
 def remove_repeats(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """One row per document: id, ``n_bytes``, ``n_removed``, ``n_spans`` and ``kept``, the bytes that stay."""
-    rows = docs.select(F.col(id_column).cast("bigint").alias("id"), F.coalesce(F.col(text_column), F.lit("")).alias("text"))
+    text = F.coalesce(F.col(text_column), F.lit(""))
+    # The tag tells texts with the same id apart.
+    rows = docs.select(F.col(id_column).cast("bigint").alias("id"), F.hash(text).alias("tag"), text.alias("text"))
     named = rows.where("id IS NOT NULL")
     found = materialize(found_anchors(named), "anchors")
-    texts = named.repartition("id")  # both joins below read this one exchange
+    texts = named.repartition("id", "tag")  # both joins below read this one exchange
     compared = compared_contexts(texts, found.where("anchor IS NOT NULL"), True)
-    spans = found.where("anchor IS NULL").select("id", (F.col("pos") - SIDE).alias("start"), (F.col("pos") + LENGTH).alias("stop")).unionByName(
-        compared.select("id", "start", (F.col("start") + F.col("length")).alias("stop"))
+    spans = found.where("anchor IS NULL").select("id", "tag", (F.col("pos") - SIDE).alias("start"), (F.col("pos") + LENGTH).alias("stop")).unionByName(
+        compared.select("id", "tag", "start", (F.col("start") + F.col("length")).alias("stop"))
     )
-    by_text = spans.groupBy("id").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
+    by_text = spans.groupBy("id", "tag").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
     nothing = F.expr("CAST(array() AS array<struct<start: bigint, stop: bigint>>)")
-    joined = texts.join(by_text, "id", "left").select("id", "text", F.coalesce("spans", nothing).alias("spans"))
+    joined = texts.join(by_text, ["id", "tag"], "left").select("id", "text", F.coalesce("spans", nothing).alias("spans"))
     every = joined.unionByName(rows.where("id IS NULL").select("id", "text", nothing.alias("spans")))
     return every.mapInArrow(_remove(id_column), f"`{id_column}` bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept binary")
