@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from emberwatch.functions.sqltext import lit
 from emberwatch.operators.windows import BY, MICROS, assign, first_stage_windows, greedy_windows
-from emberwatch.schema import EVIDENCE_CAP, epoch_micros, evidence_sql, finish_alerts
+from emberwatch.schema import EVIDENCE_CAP, alert_key, epoch_micros, evidence_sql, finish_alerts
 from emberwatch.sources.store import materialize
 
 DENSE, STAGES, WHOLE = "dense", "stages", "whole"
@@ -156,24 +156,35 @@ def summarize(rows: DataFrame, rules: list[GroupRule], watch: Mapping[str, list[
     return out.join(first_rows(values, GROUP, ["value"], "value", max(r.names_shown for r in rules), "names"), GROUP)
 
 
-def group_alerts(groups: DataFrame, rules: list[GroupRule]) -> DataFrame:
-    """Alerts of summarized groups."""
+def _described(groups: DataFrame, rules: list[GroupRule]) -> DataFrame:
+    """Summarized groups with the texts and labels of their alerts."""
     shown = groups.selectExpr(
         *[c for c in groups.columns if c not in ("names", "evidence")],
         f"slice(names, 1, {_case([str(r.names_shown) for r in rules])}) AS names",
         f"slice(evidence, 1, {_case([str(r.evidence_cap) for r in rules])}) AS evidence",
     )
-    return finish_alerts(
-        shown.selectExpr(
-            f"{_case([lit(r.detector) for r in rules])} AS detector", f"{_case([r.rule_name for r in rules])} AS rule_name",
-            f"{_case([r.severity for r in rules])} AS severity", f"{_case([r.description for r in rules])} AS description",
-            "first_ts AS alert_ts", f"{_case([lit(r.tactic) for r in rules])} AS mitre_tactic",
-            f"{_case([lit(r.technique) for r in rules])} AS mitre_technique",
-            f"{_case([r.recommendation for r in rules])} AS recommendation", "n AS evidence_count", "evidence", "watch_hits",
-        )
+    return shown.selectExpr(
+        *GROUP, f"{_case([lit(r.detector) for r in rules])} AS detector", f"{_case([r.rule_name for r in rules])} AS rule_name",
+        f"{_case([r.severity for r in rules])} AS severity", f"{_case([r.description for r in rules])} AS description",
+        "first_ts AS alert_ts", f"{_case([lit(r.tactic) for r in rules])} AS mitre_tactic",
+        f"{_case([lit(r.technique) for r in rules])} AS mitre_technique",
+        f"{_case([r.recommendation for r in rules])} AS recommendation", "n AS evidence_count", "evidence", "watch_hits",
     )
 
 
+def group_alerts(groups: DataFrame, rules: list[GroupRule]) -> DataFrame:
+    """Alerts of summarized groups."""
+    return finish_alerts(_described(groups, rules))
+
+
+def group_evidence(events: DataFrame, rules: list[GroupRule]) -> DataFrame:
+    """Every event of every alert: (alert_id, event_uid, event_ts, item). The alerts themselves carry a first few."""
+    rows = grouped(group_rows(events, rules), rules)
+    named = _described(summarize(rows, rules), rules)
+    ids = named.select(*GROUP, alert_key(F.col("rule_name"), F.col("alert_ts"), F.col("description")).alias("alert_id"))
+    return rows.join(ids, GROUP).select("alert_id", "event_uid", "event_ts", "item")
+
+
 def run_group_rules(events: DataFrame, rules: list[GroupRule], watch: Mapping[str, list[str]] | None = None) -> DataFrame:
     """Alerts of all rules over ``events``."""
     return group_alerts(summarize(grouped(group_rows(events, rules), rules), rules, watch), rules)

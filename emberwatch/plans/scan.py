@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from emberwatch.operators.alerts import group_rows, run_group_rules, watch_values
 from emberwatch.operators.bursts import KEYED_DETECTORS
 from emberwatch.operators.fieldrules import count_rule, split_field_rules
+from emberwatch.operators.post import apply_allowlist, at_least
 from emberwatch.operators.rowrules import RowRule, run_row_rules
 from emberwatch.operators.sigma import sigma_row_rule
 from emberwatch.operators.settings import CATALOG, DetectorSettings
@@ -38,6 +39,18 @@ def _excluded(detector: str, name: str, config: ScanConfig) -> bool:
 
 
 def run_detections(events: DataFrame, config: ScanConfig | None = None) -> DataFrame:
+    """Alerts of the scan that reach ``min_severity`` and are not on the allowlist."""
+    return scan_alerts(events, config)[0]
+
+
+def scan_alerts(events: DataFrame, config: ScanConfig | None = None) -> tuple[DataFrame, DataFrame]:
+    """(alerts kept, alerts the allowlist suppresses with ``reason``), both of ``min_severity`` and above."""
+    config = config or ScanConfig()
+    found = at_least(all_alerts(events, config), config.min_severity)
+    return apply_allowlist(found, config.allowlist)
+
+
+def all_alerts(events: DataFrame, config: ScanConfig | None = None) -> DataFrame:
     """All alerts of built-in detectors, rules and own detectors over ``events``.
 
     Single-event detectors, per-event rules and Sigma rules share one pass; keyed detectors

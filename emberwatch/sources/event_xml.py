@@ -39,6 +39,11 @@ XML_KEYS = {
 }
 
 
+# In the layout ``lines``: an event element, and what may stand around the elements.
+EVENT_LINE = r"^<([\w.-]+:)?Event[ >]"
+FRAME_LINE = r"^(<\?xml|<!--|</?([\w.-]+:)?Events[ >])"
+
+
 def _named_data():
     """``EventData`` as a map; without named data, the children of ``UserData``."""
     named = F.filter("EventData.Data", lambda d: F.coalesce(d["_Name"], F.lit("")) != "")
@@ -59,13 +64,17 @@ def read_event_xml(spark: SparkSession, path: str, layout: str = "documents", **
     """(events, quarantine) of XML exports.
 
     ``layout`` is ``documents`` (well-formed files, one task per file) or ``lines`` (one
-    ``<Event>`` element per line; long files are split over many tasks).
+    ``<Event>`` element per line; long files are split over many tasks; lines that are no
+    event and no frame of the export are set aside).
     """
     if layout == "lines":
-        lines = read_lines(spark, path, **options).where("value RLIKE '^<Event[ >]'")
+        lines = read_lines(spark, path, **options).where(~F.col("value").rlike(FRAME_LINE))
+        stray = lines.where(~F.col("value").rlike(EVENT_LINE)).select("value", "src_file", "line_id", F.lit("malformed").alias("reason"))
+        lines = lines.where(F.col("value").rlike(EVENT_LINE))
         parsed = F.from_xml("value", EVENT_SCHEMA, {"ignoreNamespace": "true", "columnNameOfCorruptRecord": "_corrupt"})
         xml = computed_once(lines, e=parsed).select("e.*", "src_file", "line_id")
     else:
+        stray = None
         xml = (
             spark.read.format("xml").options(**options).option("rowTag", "Event").option("ignoreNamespace", True)
             .option("columnNameOfCorruptRecord", "_corrupt").schema(EVENT_SCHEMA).load(path)
@@ -89,4 +98,4 @@ def read_event_xml(spark: SparkSession, path: str, layout: str = "documents", **
         F.coalesce("_corrupt", "value").alias("value"), "src_file", "line_id",
         F.when(F.col("_corrupt").isNotNull(), "malformed").otherwise("bad number").alias("reason"),
     )
-    return record_events(fields.where(ok).drop("_corrupt")), bad
+    return record_events(fields.where(ok).drop("_corrupt")), bad if stray is None else bad.unionByName(stray)

@@ -33,14 +33,28 @@ NUMBERS = ("event_id", "logon_type")
 ARRAY_FILE_LIMIT = 128 * 1024 * 1024
 
 
-def array_files(spark: SparkSession, path: str, **options: str) -> list[str]:
-    """Files that hold one JSON array. Only file names reach the driver, as in any file listing."""
-    opening = spark.read.options(**options).text(path).where(F.ltrim("value").startswith("["))
-    found = opening.select(F.col("_metadata.file_path"), F.col("_metadata.file_size")).distinct().collect()
-    large = [r[0] for r in found if r[1] >= ARRAY_FILE_LIMIT]
-    if large:
-        raise ValueError(f"JSON array files of {ARRAY_FILE_LIMIT} bytes or more; write one object per line: {large[:5]}")
-    return [r[0] for r in found]
+def array_files(spark: SparkSession, path: str, layout: str = "auto", **options: str) -> tuple[list[str], list[str]]:
+    """(files that hold one JSON array, those of them that are too large for one value).
+
+    A file is an array if its first character that is not white space is ``[``; with the
+    layout ``array`` all are. Only names of array files reach the driver.
+    """
+    lines = spark.read.options(**options).text(path).select(
+        F.col("_metadata.file_path").alias("src_file"), F.col("_metadata.file_size").alias("size"),
+        F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row"),
+        F.substring(F.ltrim("value"), 1, 1).alias("head"),
+    )
+    files = lines.where("head <> ''").groupBy("src_file", "size").agg(F.min_by("head", F.struct("block", "row")).alias("first"))
+    if layout == "auto":
+        files = files.where(F.col("first") == "[")
+    found = files.select("src_file", "size").collect()
+    return [r[0] for r in found if r[1] < ARRAY_FILE_LIMIT], [r[0] for r in found if r[1] >= ARRAY_FILE_LIMIT]
+
+
+def unread_files(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """One record without ``raw`` per file, which puts the file's name into quarantine."""
+    rows = spark.createDataFrame([(p, p, 0) for p in paths], "value string, src_file string, line_id bigint")
+    return rows.withColumn("raw", F.try_parse_json(F.lit("{")))
 
 
 def read_arrays(spark: SparkSession, paths: str | list[str], **options: str) -> DataFrame:
@@ -59,17 +73,20 @@ def read_arrays(spark: SparkSession, paths: str | list[str], **options: str) ->
 def read_records(spark: SparkSession, path: str, layout: str = "auto", **options: str) -> DataFrame:
     """Records as (value JSON text, src_file, line_id, raw VARIANT); raw is NULL for malformed ones.
 
-    ``layout`` is ``lines``, ``array`` or ``auto``. Naming it saves a look at the files.
+    ``layout`` is ``lines``, ``array`` or ``auto``. Naming ``lines`` saves a look at the
+    files. An array file that Spark cannot hold as one value goes to quarantine by name.
     """
-    arrays = array_files(spark, path, **options) if layout == "auto" else []
+    arrays, large = ([], []) if layout == "lines" else array_files(spark, path, layout, **options)
     frames = []
     if layout != "array":
         lines = read_lines(spark, path, **options)
-        if arrays:
-            lines = lines.where(~F.col("src_file").isin(arrays))
+        if arrays or large:
+            lines = lines.where(~F.col("src_file").isin(arrays + large))
         frames.append(computed_once(lines, raw=F.try_parse_json("value")))
-    if layout == "array" or arrays:
-        frames.append(read_arrays(spark, arrays or path, **options))
+    if arrays:
+        frames.append(read_arrays(spark, arrays, **options))
+    if large or not frames:
+        frames.append(unread_files(spark, large))
     return union_all(frames)
 
 
@@ -115,7 +132,8 @@ def split_records(records: DataFrame) -> tuple[DataFrame, DataFrame]:
     fields = record_fields(records)
     is_record = F.col("raw").isNotNull() & F.schema_of_variant("raw").startswith("OBJECT")
     ok = is_record & good_numbers()
-    reason = F.when(~F.coalesce(is_record, F.lit(False)), "malformed").otherwise("bad number")
+    broken = F.when(F.col("value") == F.col("src_file"), "unreadable file").otherwise("malformed")
+    reason = F.when(~F.coalesce(is_record, F.lit(False)), broken).otherwise("bad number")
     bad = fields.where(~F.coalesce(ok, F.lit(False))).select("value", "src_file", "line_id", reason.alias("reason"))
     return record_events(fields.where(ok)), bad
 

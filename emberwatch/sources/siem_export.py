@@ -95,8 +95,8 @@ def export_events(alerts: DataFrame) -> DataFrame:
     )
 
 
-def read_siem_export(spark: SparkSession, path: str, layout: str = "files", **options: str) -> DataFrame:
-    """Events of exported alerts. Each document is a list of alerts, or an object that wraps one.
+def read_siem_export(spark: SparkSession, path: str, layout: str = "files", **options: str) -> tuple[DataFrame, DataFrame]:
+    """(events, quarantine) of exported alerts. Each document is a list of alerts, or an object that wraps one.
 
     ``layout`` is ``files`` (one document per file) or ``lines`` (one page per line, which
     is the form to use for large exports: long files are split over many tasks).
@@ -105,9 +105,15 @@ def read_siem_export(spark: SparkSession, path: str, layout: str = "files", **op
         docs = computed_once(read_lines(spark, path, **options), raw=F.try_parse_json("value"))
     else:
         whole = spark.read.options(**options).option("multiLine", True).option("singleVariantColumn", "raw").json(path)
-        docs = whole.select("raw", F.col("_metadata.file_path").alias("src_file"))
-    items = docs.select(F.explode(unwrap(F.col("raw"))).alias("raw"), "src_file")
-    return normalize_events(export_events(items.withColumn("line_id", F.monotonically_increasing_id())))
+        docs = whole.select(
+            F.col("_metadata.file_path").alias("value"), F.col("_metadata.file_path").alias("src_file"), F.lit(0).cast("bigint").alias("line_id"), "raw"
+        )
+    docs = computed_once(docs, items=unwrap(F.col("raw")))
+    bad = docs.where("items IS NULL").select(
+        "value", "src_file", "line_id", F.when(F.col("raw").isNull(), "malformed").otherwise("no alerts").alias("reason")
+    )
+    items = docs.select(F.explode("items").alias("raw"), "src_file")
+    return normalize_events(export_events(items.withColumn("line_id", F.monotonically_increasing_id()))), bad
 
 
 def newer_than(alerts: DataFrame, last_id: int, id_column: str = "id") -> DataFrame:

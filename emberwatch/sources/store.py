@@ -6,6 +6,7 @@ Landing the parsed events once is what makes every later scan cheap: filters on
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -20,12 +21,15 @@ PARTITION_COLUMN = "event_date"
 def shared_folder(spark: SparkSession) -> str:
     """Folder for intermediate tables: ``spark.checkpoint.dir`` of the session.
 
-    Only a session without that setting (local tests) gets a temporary folder.
+    Only a local session without that setting (tests) gets a temporary folder: executors
+    of a cluster would each write to a folder of their own.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         folder = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not folder:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="emberwatch-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
@@ -43,6 +47,19 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def clear_scratch(spark: SparkSession, prefix: str = "") -> None:
+    """Delete this application's intermediate tables whose names begin with ``prefix``.
+
+    Call it when nothing reads them any more: at the end of a batch or of the application.
+    """
+    jvm = spark.sparkContext._jvm
+    top = jvm.org.apache.hadoop.fs.Path(f"{shared_folder(spark)}/{spark.sparkContext.applicationId}")
+    files = top.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    for found in files.listStatus(top) if files.exists(top) else []:
+        if found.getPath().getName().startswith(prefix):
+            files.delete(found.getPath(), True)
+
+
 def spread(df: DataFrame) -> DataFrame:
     """At least one partition per core, so that a small input does not land as a single file."""
     cores = df.sparkSession.sparkContext.defaultParallelism

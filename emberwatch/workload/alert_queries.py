@@ -10,7 +10,7 @@ from emberwatch.operators import post
 from emberwatch.operators.rowrules import run_row_rules
 from emberwatch.operators.stateless import stateless_rules
 from emberwatch.plans import payloads, reports
-from emberwatch.plans.scan import ScanConfig, run_detections
+from emberwatch.plans.scan import ScanConfig, run_detections, scan_alerts
 from emberwatch.schema import ts_text
 from emberwatch.sources import store
 from emberwatch.workload.alert_sql import ALERTS_CTE, SETTINGS, VIEW
@@ -81,8 +81,7 @@ REASON = (
 
 
 def _allowlisted(spark, sf_dir):
-    config = ScanConfig(settings=SETTINGS, allowlist=ALLOWLIST)
-    return post.apply_allowlist(run_detections(sec_events(spark, sf_dir), config), ALLOWLIST)
+    return scan_alerts(sec_events(spark, sf_dir), ScanConfig(settings=SETTINGS, allowlist=ALLOWLIST))
 
 
 @register("allowlist_kept", over_alerts(f"SELECT {VIEW} FROM alerts WHERE {REASON} IS NULL"))

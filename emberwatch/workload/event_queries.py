@@ -194,31 +194,6 @@ def count_by_field(spark, sf_dir):
     return windows.count_by_field(sec_events(spark, sf_dir), "source_ip")
 
 
-@register(
-    "detector_catalog",
-    over_events(
-        "SELECT c.detector, c.name, c.mitre_technique, count(s.detector) AS events_in_scope FROM (VALUES "
-        + ", ".join(f"({lit(d)}, {lit(n)}, {lit(t)})" for d, n, _, _, t in CATALOG)
-        + ") AS c(detector, name, mitre_technique) LEFT JOIN (SELECT CASE WHEN event_id IN (4625, 4776) THEN 'brute_force' "
-        "WHEN event_id IN (22, 5353) THEN 'dns_exfiltration' WHEN event_id IN (4768, 4769) THEN 'kerberos_attacks' END AS detector FROM sec_events) s "
-        "ON s.detector = c.detector GROUP BY 1, 2, 3"
-    ),
-)
-def detector_catalog(spark, sf_dir):
-    """The detector list with the number of events some of them look at."""
-    scope = F.expr(
-        "CASE WHEN event_id IN (4625, 4776) THEN 'brute_force' WHEN event_id IN (22, 5353) THEN 'dns_exfiltration' "
-        "WHEN event_id IN (4768, 4769) THEN 'kerberos_attacks' END"
-    )
-    counts = sec_events(spark, sf_dir).groupBy(scope.alias("detector")).agg(F.count("event_uid").alias("n"))
-    catalog = spark.createDataFrame(
-        [(d, n, t) for d, n, _, _, t in CATALOG], "detector string, name string, mitre_technique string"
-    )
-    return catalog.join(counts, "detector", "left").select(
-        "detector", "name", "mitre_technique", F.coalesce("n", F.lit(0)).alias("events_in_scope")
-    )
-
-
 # ---- windows ---------------------------------------------------------------------------
 
 

@@ -80,19 +80,6 @@ def quarantine(spark, sf_dir):
     return _json(spark, sf_dir)[1].groupBy("reason").agg(F.count(F.lit(1)).alias("n"))
 
 
-@register(
-    "discover_logs",
-    over_events("SELECT 'syslog' AS src_format, sum(50 + length(computer)) > 0 AS has_bytes FROM sec_events"),
-)
-def discovered(spark, sf_dir):
-    """Files of a folder of event logs with their formats; only names and sizes are read."""
-    path = log_files(spark, sf_dir, "logs", f"concat('<34>', {BSD}, ' ', computer, ' app: x')")
-    renamed = discover_logs(spark, path, recursive=True).union(
-        spark.read.format("binaryFile").load(path).select("path", F.lit("syslog").alias("src_format"), "length")
-    )
-    return renamed.groupBy("src_format").agg((F.sum("length") > 0).alias("has_bytes"))
-
-
 MESSAGE = "concat(CASE WHEN event_id = 4625 THEN 'Failed password for ' ELSE 'Accepted password for ' END, 'bob', ' from ', source_ip, ' port 22')"
 
 
@@ -165,7 +152,7 @@ SIEM_PAGE = (
     ),
 )
 def siem_export(spark, sf_dir):
-    events = read_siem_export(spark, log_files(spark, sf_dir, "siem", SIEM_PAGE), layout="lines")
+    events, _ = read_siem_export(spark, log_files(spark, sf_dir, "siem", SIEM_PAGE), layout="lines")
     return _time(events, "process_name", "event_id", "computer", "username", "source_ip", "event_source", "category")
 
 

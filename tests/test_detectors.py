@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import dataclasses
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -9,7 +11,7 @@ from emberwatch.operators.rowrules import run_row_rules
 from emberwatch.operators.settings import DetectorSettings
 from emberwatch.operators.stateless import stateless_rules
 from emberwatch.plans.registry import batch_detector, detector_catalog, window_detector
-from emberwatch.plans.scan import ScanConfig, run_detections
+from emberwatch.plans.scan import ScanConfig, all_alerts, run_detections, scan_alerts
 
 
 def single(events, rows, **settings):
@@ -141,13 +143,16 @@ def test_scan_excludes_skips_and_allows(spark, events):
                      {"name": "many", "description": "m", "conditions": [], "threshold": 3}),
         sigma_rules=({"title": "s", "detection": {"selection": {"EventID": 1102}}}, {"title": "bad", "detection": {"a": {}, "condition": "a and"}}),
     )
-    found = run_detections(events.frame(rows), config)
+    found = all_alerts(events.frame(rows), config)
     got = sorted((r.detector, r.evidence_count) for r in found.collect())
     assert got == [("brute_force", 12), ("defense_evasion", 1), ("own", 1), ("rule:many", 14), ("rule:procs", 1), ("sigma:s", 1)]
     # The host is only in the eleventh evidence row, which the alert does not show.
-    kept, dropped = post.apply_allowlist(found, allow)
+    kept, dropped = scan_alerts(events.frame(rows), config)
     assert sorted(r.detector for r in dropped.collect()) == ["brute_force", "rule:many"]
     assert kept.count() == 4
+    assert run_detections(events.frame(rows), config).count() == 4
+    severe = run_detections(events.frame(rows), dataclasses.replace(config, min_severity="high"))
+    assert all(r.severity in ("high", "critical") for r in severe.collect()) and severe.count() < 4
     assert watch_values(allow) == {"computer": ["hidden"]}
 
 

@@ -146,7 +146,7 @@ SIEM = {
     [[SIEM, 3], {"data": {"affected_items": [SIEM]}}, {"items": [SIEM, "x"]}, {"data": {"one": SIEM}}],
 )
 def test_siem_export(spark, tmp_path, payload):
-    got = read_siem_export(spark, put(tmp_path, "w.json", json.dumps(payload, indent=1))).collect()
+    got = read_siem_export(spark, put(tmp_path, "w.json", json.dumps(payload, indent=1)))[0].collect()
     assert len(got) == 1
     r = got[0]
     assert (r.event_id, r.computer, r.agent_id, r.username, r.target_username, r.source_ip, r.logon_type) == (
@@ -160,11 +160,12 @@ def test_siem_export(spark, tmp_path, payload):
 
 def test_siem_export_lines(spark, tmp_path):
     text = "\n".join(json.dumps({"items": [SIEM, SIEM]}) for _ in range(3)) + "\n{broken\n"
-    assert read_siem_export(spark, put(tmp_path, "w.jsonl", text), layout="lines").count() == 6
+    assert read_siem_export(spark, put(tmp_path, "w.jsonl", text), layout="lines")[0].count() == 6
 
 
 def test_siem_export_without_alerts(spark, tmp_path):
-    assert read_siem_export(spark, put(tmp_path, "w.json", json.dumps({"error": 0}))).count() == 0
+    events, bad = read_siem_export(spark, put(tmp_path, "w.json", json.dumps({"error": 0})))
+    assert events.count() == 0 and [r.reason for r in bad.collect()] == ["no alerts"]
     ids = spark.createDataFrame([("4",), ("5",), ("11",)], "id string")
     assert sorted(r.id for r in newer_than(ids, 4).collect()) == ["11", "5"]
 
@@ -202,3 +203,36 @@ def test_materialize_uses_the_shared_folder(spark):
     df = store.materialize(spark.range(5).select(F.col("id") * 2), "t")
     assert df.count() == 5
     assert store.shared_folder(spark) in df.inputFiles()[0]
+
+
+def test_auto_layout_looks_at_the_first_character_of_each_file(spark, tmp_path):
+    lines = "\n".join(json.dumps({"EventID": k}) for k in range(99)) + "\n[truncated"
+    (tmp_path / "lines.json").write_text(lines)
+    (tmp_path / "array.json").write_text("\n  [" + ",".join(json.dumps({"EventID": k}) for k in range(5)) + "]")
+    (tmp_path / "broken.json").write_text('[{"EventID": 1}, {"Ev')
+    events, bad = read_json_logs(spark, str(tmp_path))
+    assert events.count() == 104
+    assert sorted(r.value.rsplit("/", 1)[-1] for r in bad.collect()) == ["[truncated", "broken.json"]
+
+
+def test_too_large_arrays_go_to_quarantine(spark, tmp_path, monkeypatch):
+    from emberwatch.sources import json_logs
+
+    monkeypatch.setattr(json_logs, "ARRAY_FILE_LIMIT", 60)
+    (tmp_path / "small.json").write_text('[{"EventID": 1}]')
+    (tmp_path / "large.json").write_text("[" + ",".join(['{"EventID": 1}'] * 10) + "]")
+    for layout in ("auto", "array"):
+        events, bad = read_json_logs(spark, str(tmp_path), layout=layout)
+        assert events.count() == 1
+        assert [(r.value.rsplit("/", 1)[-1], r.reason) for r in bad.collect()] == [("large.json", "unreadable file")]
+
+
+def test_stray_xml_lines_and_binary_logs_are_set_aside(spark, tmp_path):
+    from emberwatch.sources.logs import read_logs
+
+    (tmp_path / "e.xml").write_text("<Events>\n<e:Event xmlns:e='urn:e'><e:System><e:EventID>7</e:EventID></e:System></e:Event>\nstray\n</Events>\n")
+    events, bad = read_event_xml(spark, str(tmp_path / "e.xml"), layout="lines")
+    assert [r.event_id for r in events.collect()] == [7] and [r.value for r in bad.collect()] == ["stray"]
+    (tmp_path / "b.evtx").write_bytes(b"ElfFile")
+    _, bad = read_logs(spark, str(tmp_path), default_year=2024)
+    assert "binary, export as XML" in [r.reason for r in bad.collect()]
