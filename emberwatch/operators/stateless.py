@@ -145,6 +145,9 @@ def suspicious_process(s: DetectorSettings) -> list[RowRule]:
     ]
 
 
+# Fixed values, here and below: rule names, labels and the beginnings of descriptions, which are part of an alert's key.
+
+
 def defense_evasion(s: DetectorSettings) -> list[RowRule]:
     tactic = "Defense Evasion"
     return [

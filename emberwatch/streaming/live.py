@@ -28,6 +28,7 @@ from emberwatch.operators.windows import MICROS
 from emberwatch.plans.scan import ScanConfig, run_detections
 from emberwatch.schema import EVENT_DDL, EVIDENCE_CAP, EVIDENCE_DDL, computed_once, epoch_micros, evidence_sql, ts_text
 from emberwatch.sources.json_logs import split_records
+from emberwatch.sources.store import scratch_scope
 from emberwatch.sources.syslog import parse_lines
 
 
@@ -167,10 +168,12 @@ def start_batch_scan(events: DataFrame, sink: Callable[[DataFrame, int], None],
                      checkpoint: str, **trigger) -> StreamingQuery:
     """Run all detectors on every micro-batch by itself and hand the alerts to ``sink(alerts, batch_id)``.
 
-    Bursts that span two micro-batches are missed here; :func:`live_bursts` finds them.
+    Bursts that span two micro-batches are missed here; :func:`live_bursts` finds them. The
+    sink has to write or collect the alerts: what they are computed from is deleted after it.
     """
 
     def scan(batch: DataFrame, batch_id: int) -> None:
-        sink(run_detections(batch, config), batch_id)
+        with scratch_scope(batch.sparkSession):
+            sink(run_detections(batch, config), batch_id)
 
     return events.writeStream.foreachBatch(scan).option("checkpointLocation", checkpoint).trigger(**trigger).start()

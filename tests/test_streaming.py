@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 from datetime import timedelta
+from pathlib import Path
 
 import pytest
 from conftest import START
@@ -13,6 +14,7 @@ from emberwatch.operators import bursts
 from emberwatch.operators.settings import DetectorSettings
 from emberwatch.operators.stateless import stateless_rules
 from emberwatch.plans.scan import ScanConfig
+from emberwatch.sources import store
 from emberwatch.streaming import live
 from emberwatch.streaming.detectors import LIVE_DETECTORS, live_detector
 
@@ -89,3 +91,16 @@ def test_batch_scan_sees_each_batch_alone(spark, events, tmp_path):
     )
     query.awaitTermination()
     assert seen == ["Log Clearing Detected"]
+
+
+def test_batches_leave_no_scratch_tables(spark, events, tmp_path):
+    scratch = Path(store.shared_folder(spark)) / spark.sparkContext.applicationId
+    before = set(scratch.glob("*"))
+    path, seen = str(tmp_path / "in"), []
+    land([events.frame([(i, 4625, {"source_ip": "9.9.9.9"}) for i in range(8)])], path)
+    query = live.start_batch_scan(
+        live.stream_event_table(spark, path, 1), lambda df, i: seen.extend(r.rule_name for r in df.collect()), ScanConfig(),
+        str(tmp_path / "cp"), availableNow=True,
+    )
+    query.awaitTermination()
+    assert len(seen) == 1 and set(scratch.glob("*")) == before
