@@ -5,6 +5,7 @@
 * :func:`live_bursts`: dense windows per key carried over micro-batches; the same windows
   as in batch as long as no event is later than the watermark.
 * :func:`start_batch_scan`: every detector on each micro-batch alone.
+* :func:`start_late_router`: what the watermark would drop goes to a table for the batch scan.
 """
 
 from __future__ import annotations
@@ -177,3 +178,31 @@ def start_batch_scan(events: DataFrame, sink: Callable[[DataFrame, int], None],
             sink(run_detections(batch, config), batch_id)
 
     return events.writeStream.foreachBatch(scan).option("checkpointLocation", checkpoint).trigger(**trigger).start()
+
+
+def start_late_router(events: DataFrame, folder: str, delay_seconds: int, checkpoint: str, **trigger) -> StreamingQuery:
+    """Write events that come more than the delay behind the newest one of earlier batches to ``folder``.
+
+    Those are the events that watermarks of that delay drop; :func:`late_events` reads them
+    for the batch scan. Each batch writes its own sub-folder, so a repeated batch changes nothing.
+    """
+
+    def route(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        newest = f"{folder}/newest"
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(newest)
+        before = None
+        if path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path):
+            seen = spark.read.schema("event_ts timestamp_ntz, batch bigint").parquet(newest).where(F.col("batch") < batch_id)
+            before = seen.agg(F.max("event_ts")).first()[0]
+        if before is not None:
+            late = F.col("event_ts") < F.lit(str(before)).cast("timestamp_ntz") - F.make_dt_interval(secs=F.lit(int(delay_seconds)))
+            batch.where(late).write.mode("overwrite").parquet(f"{folder}/events/batch={batch_id}")
+        batch.agg(F.max("event_ts").alias("event_ts")).write.mode("overwrite").parquet(f"{newest}/batch={batch_id}")
+
+    return events.writeStream.foreachBatch(route).option("checkpointLocation", checkpoint).trigger(**trigger).start()
+
+
+def late_events(spark: SparkSession, folder: str) -> DataFrame:
+    """Events that :func:`start_late_router` set aside."""
+    return spark.read.schema(EVENT_DDL).parquet(f"{folder}/events").drop("batch")

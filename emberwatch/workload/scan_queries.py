@@ -226,3 +226,22 @@ def stream_batch_scan(spark, sf_dir):
     )
     query.awaitTermination()
     return alert_view(spark.read.parquet(f"{out}/alerts"))
+
+
+def _late_files(events: DataFrame, path: str) -> None:
+    """A file of all events, and behind it one of failed logons as they would have come forty days earlier."""
+    events.coalesce(1).write.parquet(path)
+    late = events.where("event_id = 4625").withColumns({"event_uid": F.expr("concat('L', event_uid)"), "event_ts": F.expr("event_ts - INTERVAL '40' DAY")})
+    late.coalesce(1).write.mode("append").parquet(path)
+
+
+@register(
+    "late_events",
+    over_events("SELECT 'L' || event_uid AS event_uid, strftime(event_ts - INTERVAL 40 DAY, '%Y-%m-%d %H:%M:%S') AS event_time FROM sec_events WHERE event_id = 4625"),
+)
+def late_events(spark, sf_dir):
+    """Events behind the watermark are kept for the batch scan."""
+    out = store.scratch_path(spark, "late")
+    events = live.stream_event_table(spark, _written(spark, sf_dir, "late_input", _late_files), files_per_batch=1)
+    live.start_late_router(events, out, 3600, f"{out}/checkpoint", availableNow=True).awaitTermination()
+    return live.late_events(spark, out).select("event_uid", ts_text("event_ts").alias("event_time"))

@@ -104,3 +104,12 @@ def test_batches_leave_no_scratch_tables(spark, events, tmp_path):
     )
     query.awaitTermination()
     assert len(seen) == 1 and set(scratch.glob("*")) == before
+
+
+def test_late_events_are_set_aside(spark, events, tmp_path):
+    path = str(tmp_path / "in")
+    land([events.frame([(7200, 1, {})]), events.frame([(0, 1, {}), (3599, 1, {}), (3600, 1, {}), (9000, 1, {})]), events.frame([(5399, 1, {}), (5400, 1, {})])], path)
+    late = str(tmp_path / "late")
+    live.start_late_router(live.stream_event_table(spark, path, 1), late, 3600, str(tmp_path / "cp"), availableNow=True).awaitTermination()
+    got = sorted((r.event_ts - START).total_seconds() for r in live.late_events(spark, late).collect())
+    assert got == [0, 3599, 5399]
