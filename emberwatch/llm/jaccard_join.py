@@ -4,18 +4,22 @@ Two sets of sizes m and n are linked if they share at least T(m, n) = ceil(3 (m
 shingles (similarity 0.75). Then the rarest n - ceil(3n/4) + 1 shingles of each, its short
 lists, have one in common; the others are its long lists, which are only probed.
 
-1. One pass gives each text's set size and fingerprint, and a table of 2**20 counters of
-   shingles (4 MB, whatever the input) from which "rare" is judged. The order of shingles
+1. One pass gives each text's set size and fingerprint, and a table of 2**21 counters of
+   shingles (8 MB, whatever the input) from which "rare" is judged. The order of shingles
    steers the cost only; any fixed order gives the same links. Equal sets are one class.
 2. The short lists meet in packed rows; lists of one class are dropped. A list that the
    counters show to be very long is dealt over many tasks.
-3. First every class is paired with the least class of each of its lists only, so a group
-   of near copies costs its size, not its square. Links make components; then lists that
-   still hold several components are searched for pairs between different components that
-   pass the size and position bounds. Pairs inside a component need no test.
-4. Pairs are tested in cells: a query set and up to 400 others. The cell's inverted lists
-   over the query's shingles are searched by DivideSkip: the short lists are merged by a
-   heap that skips ids which cannot reach T, the long ones are probed by bisection.
+3. First every class is paired with one class of each of its lists only, so a group of near
+   copies costs its size, not its square. Links make components; lists with several
+   components left go round again with other classes as leaders, up to MAX_ROUNDS times and for
+   as long as links are found. Then the lists left are searched for all pairs between different
+   components that pass the size and position bounds. Pairs inside one need no test.
+4. Pairs are tested in cells. The shingle sets of all classes on the lists are written once;
+   a cell gets those of a leader and up to 400 others, or of the classes that a list brings
+   together. A leader's cell has their short lists only at first: a pair goes on if it
+   shares as many as the long ones cannot make up for. A cell's inverted lists are searched
+   by DivideSkip: the shorter ones are merged by a heap that skips ids which cannot reach
+   T, the longest are probed by bisection.
 
 Classes are told apart by 128-bit fingerprints, nodes of the graph by 64 bits of them.
 
@@ -30,6 +34,7 @@ from __future__ import annotations
 import heapq
 import zlib
 from bisect import bisect_left
+from collections import Counter
 from collections.abc import Iterator
 from math import log2
 
@@ -41,15 +46,17 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 from emberwatch.llm.components import components
 from emberwatch.llm.shingles import fingerprints, shingle_sets
-from emberwatch.llm.texts import ddl_of, in_bitmap, key_bitmap, pack, text_buffer, text_slices, unpack
-from emberwatch.sources.store import materialize
+from emberwatch.llm.texts import ddl_of, in_bitmap, key_bitmap, mix, pack, text_buffer, text_slices, unpack
+from emberwatch.sources.store import materialize, scratch_path
 
-COUNTER_BITS = 20
+COUNTER_BITS = 21
 PARTS = 64
-FLUSH = 1_000_000
-BUCKET_POSTINGS = 400_000
+FLUSH = 400_000
+BUCKET_POSTINGS = 1_000_000
 HOT_LIST = 100_000
 CELL = 400
+MAX_ROUNDS = 1
+SET_BYTES = 6  # the high bytes of a shingle's hash by which sets are compared in cells
 MU = 0.01  # weight of a probe against a merge step when lists are divided
 
 
@@ -62,6 +69,8 @@ def least_overlap(m, n):
 
 
 def _describe(id_type: pa.DataType):
+    """Rows (id, text_key, text) to sizes and fingerprints, and one counter table per task."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(1 << COUNTER_BITS, np.int64)
         seen = False
@@ -73,20 +82,20 @@ def _describe(id_type: pa.DataType):
                 n = part.num_rows
                 seen = True
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("id"), pa.array(np.diff(bounds)), pa.array(f1.view(np.int64)), pa.array(f2.view(np.int64)),
+                    [part.column("id"), part.column("text_key"), pa.array(np.diff(bounds)), pa.array(f1.view(np.int64)), pa.array(f2.view(np.int64)),
                      pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], _DESCRIBED
                 )
         if seen:
             rows = [zlib.compress(x.astype("<i8").tobytes(), 1) for x in np.split(counts, PARTS)]
             yield pa.RecordBatch.from_arrays(
-                [pa.nulls(PARTS, id_type), *[pa.nulls(PARTS, pa.int64())] * 3, pa.array(range(PARTS), pa.int32()), pa.array(rows, pa.binary())],
+                [pa.nulls(PARTS, id_type), *[pa.nulls(PARTS, pa.int64())] * 4, pa.array(range(PARTS), pa.int32()), pa.array(rows, pa.binary())],
                 _DESCRIBED,
             )
 
     return run
 
 
-_DESCRIBED = ["id", "n_shingles", "f1", "f2", "part", "counts"]
+_DESCRIBED = ["id", "text_key", "n_shingles", "f1", "f2", "part", "counts"]
 
 
 def _slot(hashes: np.ndarray) -> np.ndarray:
@@ -115,6 +124,18 @@ def counters(parts: DataFrame) -> np.ndarray:
 _PACKED = "bucket int, hot boolean, sets binary, sizes binary, counts binary, shingles binary, places binary"
 
 
+def _rare_first(hashes: np.ndarray, owner: np.ndarray, n_sets: int, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Order of the shingles of each set from rare to common, their owners and places in that order."""
+    order = np.lexsort((hashes, counts[_slot(hashes)], owner))
+    owner = owner[order]
+    return order, owner, np.arange(len(owner)) - np.searchsorted(owner, np.arange(n_sets))[owner]
+
+
+def _is_short(place: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Places among the rarest size - ceil(3 size / 4) + 1 shingles."""
+    return place <= size + (-3 * size // 4)
+
+
 def _short_lists(shared, buckets: int, hot_from: int):
     """The rarest shingles of each distinct set of a task, in packed rows per bucket."""
 
@@ -133,13 +154,10 @@ def _short_lists(shared, buckets: int, hot_from: int):
                 owner = np.repeat(np.arange(len(sizes)), sizes)
                 keep = once[owner]
                 hashes, owner = hashes[keep], owner[keep]
-                common = counts[_slot(hashes)]
-                order = np.lexsort((hashes, common, owner))
-                hashes, owner, common = hashes[order], owner[order], common[order]
-                begin = np.searchsorted(owner, np.arange(len(sizes)))
-                place = np.arange(len(owner)) - begin[owner]
-                short = place <= sizes[owner] + (-3 * sizes[owner] // 4)
-                held.append((f1[owner[short]], sizes[owner[short]], hashes[short], place[short], common[short] >= hot_from))
+                order, owner, place = _rare_first(hashes, owner, len(sizes), counts)
+                short = _is_short(place, sizes[owner])
+                hashes, owner, place = hashes[order][short], owner[short], place[short]
+                held.append((f1[owner], sizes[owner], hashes, place, counts[_slot(hashes)] >= hot_from))
                 size += int(short.sum())
                 if size >= FLUSH:
                     yield from _pack_lists(held, buckets)
@@ -190,13 +208,35 @@ def _merge_lists(table: pa.Table) -> pa.Table:
     new[1:] = (node[1:] != node[:-1]) | (shingle[1:] != shingle[:-1])
     node, size, shingle, place = node[new], size[new], shingle[new], place[new]
     if not parts[0]["hot"]:
-        again = np.zeros(len(node), bool)
-        again[1:] = shingle[1:] == shingle[:-1]
-        again[:-1] |= again[1:].copy()
-        node, size, shingle, place = node[again], size[again], shingle[again], place[again]
+        for _ in range(2):  # what stays can lose its only partner
+            if len(node):
+                live = _live(shingle, size.astype(np.int64), place.astype(np.int64))
+                node, size, shingle, place = node[live], size[live], shingle[live], place[live]
     return pa.table({n: pa.array(x.view(np.int64)) for n, x in (("shingle", shingle), ("node", node), ("size", size), ("place", place))})
 
 
+def _live(shingle: np.ndarray, size: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """Rows for which the bounds of :func:`_may_link` do not rule out every other row of their list.
+
+    ``reach`` is the largest size of a set that can still be linked through a row.
+    """
+    reach = 7 * (size - place) // 3 - size
+    number = np.cumsum(np.concatenate([[0], shingle[1:] != shingle[:-1]]))
+    ends = np.append(np.flatnonzero(np.diff(number)) + 1, len(number))
+    starts = np.concatenate([[0], ends[:-1]])
+
+    def best_other(values: np.ndarray) -> np.ndarray:
+        """The largest value of the other rows of each row's list."""
+        order = np.lexsort((values, number))
+        top = order[ends - 1]
+        second = np.where(ends - starts > 1, values[order[np.maximum(ends - 2, 0)]], -(1 << 60))
+        out = values[top][number]
+        out[top] = second
+        return out
+
+    return (best_other(reach) >= size) & (-best_other(-size) <= reach)
+
+
 # -- tests of pairs ----------------------------------------------------------------------
 
 
@@ -241,64 +281,209 @@ def divide_skip(lists: list[list[int]], least: int) -> dict[int, int]:
     return out
 
 
+SHORT, WHOLE = ["short"], ["short", "long"]
+
+
+class Cell:
+    """Sets of a cell, the hub's first, with their inverted lists."""
+
+    def __init__(self, table: pa.Table, columns: list[str]):
+        self.hub = table.column("hub")[0].as_py()
+        sets, self.root, sizes = {}, {}, {}
+        for node, r, n, *data in zip(*(table.column(c).to_pylist() for c in ("node", "root", "size", *columns)), strict=True):
+            if node not in sets:
+                sets[node], self.root[node], sizes[node] = np.concatenate([unpack(x, SET_BYTES) for x in data]), r, n
+        self.star = self.hub in sets
+        self.nodes = sorted(sets, key=lambda x: (x != self.hub, x))
+        self.sets = [sets[x] for x in self.nodes]
+        self.sizes = np.array([sizes[x] for x in self.nodes])
+        hashes = np.concatenate(self.sets)
+        owner = np.repeat(np.arange(len(self.sets)), [len(x) for x in self.sets])
+        order = np.argsort(hashes, kind="stable")  # owners ascend inside every list
+        hashes, self.owner = hashes[order], owner[order]
+        self.starts = np.flatnonzero(np.concatenate([[True], hashes[1:] != hashes[:-1]]))
+        self.stops = np.append(self.starts[1:], len(hashes))
+        self.keys = hashes[self.starts]
+        self.lists: dict[int, list[int]] = {}
+
+    def lists_of(self, q: int) -> list[list[int]]:
+        """Lists of a set's shingles that others are on, too."""
+        at = np.searchsorted(self.keys, self.sets[q])
+        out = []
+        for k in at[self.stops[at] - self.starts[at] > 1].tolist():
+            if k not in self.lists:
+                self.lists[k] = self.owner[self.starts[k] : self.stops[k]].tolist()
+            out.append(self.lists[k])
+        return out
+
+    def fitting(self, q: int) -> np.ndarray:
+        n = self.sizes[q]
+        fits = 4 * np.minimum(self.sizes, n) >= 3 * np.maximum(self.sizes, n)
+        fits[q] = False
+        return fits
+
+
+def _pairs_table(pairs: list[tuple[int, int]]) -> pa.Table:
+    a, b = zip(*pairs, strict=True) if pairs else ((), ())
+    return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+
+def _short_survivors(table: pa.Table) -> pa.Table:
+    """Pairs of the hub with sets that share enough of its short lists: at least what their long lists cannot make up for."""
+    cell = Cell(table, SHORT)
+    if not cell.star:
+        return _pairs_table([])
+    n, fits = cell.sizes[0], cell.fitting(0)
+    need = least_overlap(n, cell.sizes) - -(-3 * np.maximum(n, cell.sizes) // 4) + 1
+    if not fits.any():
+        return _pairs_table([])
+    found = divide_skip(cell.lists_of(0), int(max(1, need[fits].min())))
+    return _pairs_table([(cell.hub, cell.nodes[k]) for k, shared in found.items() if fits[k] and shared >= need[k]])
+
+
 def _cell_links(table: pa.Table) -> pa.Table:
-    """Links of a cell: rows (hub, node, shingles as packed sorted hashes)."""
-    hub = table.column("hub")[0].as_py()
-    sets = {}
-    for node, data in zip(table.column("node").to_pylist(), table.column("shingles"), strict=True):
-        if node not in sets:
-            sets[node] = np.frombuffer(data.as_py(), "<u8")
-    query = sets.pop(hub, None)
-    out: list[int] = []
-    if query is not None and sets:
-        nodes = list(sets)
-        sizes = np.array([len(sets[x]) for x in nodes])
-        rows, members = [], []
-        for k, x in enumerate(nodes):
-            at = np.searchsorted(query, sets[x])
-            at[at == len(query)] = 0
-            hit = at[query[at] == sets[x]]
-            rows.append(hit)
-            members.append(np.full(len(hit), k))
-        rows, members = np.concatenate(rows), np.concatenate(members)
-        order = np.argsort(rows, kind="stable")
-        lists = [x.tolist() for x in np.split(members[order], np.cumsum(np.bincount(rows, minlength=len(query)))[:-1])]
-        n = len(query)
-        for k, shared in divide_skip(lists, int(least_overlap(n, sizes).min())).items():
-            if 4 * shared >= 3 * (n + sizes[k] - shared):
-                out.append(nodes[k])
-    return pa.table({"a": pa.array([hub] * len(out), pa.int64()), "b": pa.array(out, pa.int64())})
-
-
-def _sets_of(shared):
+    """What a cell's links join: (least node, other node) of every component that grew.
+
+    First the hub's set is searched for, if it is there, then all sets that are not in the
+    cell's largest component. Nodes of one ``root`` count as joined before.
+    """
+    cell = Cell(table, WHOLE)
+    nodes, root = cell.nodes, cell.root
+    parent: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while parent.get(x, x) != x:
+            x = parent[x]
+        return x
+
+    largest = root[cell.hub] if cell.star else Counter(root.values()).most_common(1)[0][0]
+    touched: set[int] = set()
+    for q, node in enumerate(nodes):
+        if find(root[node]) == find(largest) and not (cell.star and q == 0):
+            continue
+        fits = cell.fitting(q)
+        if not fits.any():
+            continue
+        n = cell.sizes[q]
+        for k, shared in divide_skip(cell.lists_of(q), int(least_overlap(n, cell.sizes[fits]).min())).items():
+            if fits[k] and 4 * shared >= 3 * (n + cell.sizes[k] - shared):
+                one, other = find(root[node]), find(root[nodes[k]])
+                if one != other:
+                    parent[one] = other
+                    touched |= {node, nodes[k]}
+    grown: dict[int, list[int]] = {}
+    for node in sorted(touched):
+        grown.setdefault(find(root[node]), []).append(node)
+    return _pairs_table([(least, other) for least, *others in grown.values() for other in others])
+
+
+def _rep_key(node: np.ndarray, id_hash: np.ndarray) -> np.ndarray:
+    return mix(node.view(np.uint64) ^ id_hash.view(np.uint64))
+
+
+def _rep_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        node, id_hash = (batch.column(n).to_numpy() for n in ("node", "id_hash"))
+        yield pa.RecordBatch.from_arrays([pa.array(_rep_key(node, id_hash).view(np.int64))], ["key"])
+
+
+_SETS = "node bigint, size bigint, short binary, long binary"
+
+
+def _sets_of(shared, counts):
+    """Sets of the wanted classes, packed, and their short lists, each from the text with the class's least id."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         done: set[int] = set()
         for batch in batches:
             for part in text_slices(batch):
                 hashes, bounds = shingle_sets(*text_buffer(part.column("text")))
                 f1, _ = fingerprints(hashes, bounds)
-                nodes, data = [], []
-                for k in np.flatnonzero(in_bitmap(shared.value, f1)):
+                wanted = [
+                    k for k in np.flatnonzero(in_bitmap(shared.value, _rep_key(f1, part.column("id_hash").to_numpy()))).tolist()
+                    if int(f1[k].view(np.int64)) not in done
+                ]
+                rows = []
+                for k in wanted:
                     node = int(f1[k].view(np.int64))
-                    if node not in done:
-                        done.add(node)
-                        nodes.append(node)
-                        data.append(hashes[bounds[k] : bounds[k + 1]].astype("<u8").tobytes())
-                yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(data, pa.binary())], ["node", "shingles"])
+                    if node in done:
+                        continue
+                    done.add(node)
+                    own = hashes[bounds[k] : bounds[k + 1]]
+                    order, _, place = _rare_first(own, np.zeros(len(own), np.int64), 1, counts.value)
+                    short = _is_short(place, np.full(len(own), len(own)))
+                    parts = (np.sort(own[order[side]]) >> np.uint64(64 - 8 * SET_BYTES) for side in (short, ~short))
+                    rows.append((node, len(own), *(pack(x, SET_BYTES) for x in parts)))
+                if rows:
+                    columns = [pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.binary(), pa.binary()), strict=True)]
+                    yield pa.RecordBatch.from_arrays(columns, ["node", "size", "short", "long"])
 
     return run
 
 
-def linked_pairs(texts: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The pairs (a, b) that are linked. Cells hold a hub ``a`` and at most about ``CELL`` others."""
-    hubs = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / CELL).cast("int").alias("cells"))
-    others = pairs.join(hubs, "a").select(F.col("b").alias("node"), F.col("a").alias("hub"), F.expr("pmod(xxhash64(b), cells)").alias("cell"))
-    own = hubs.select(F.col("a").alias("node"), F.col("a").alias("hub"), F.explode(F.expr("sequence(0L, cells - 1L)")).alias("cell"))
-    seats = materialize(others.unionByName(own), "cells")
-    bits = texts.sparkSession.sparkContext.broadcast(key_bitmap(seats.select("node"), "node"))
-    sets = texts.mapInArrow(_sets_of(bits), "node bigint, shingles binary")
-    dealt = sets.join(seats, "node").select("hub", "cell", "node", "shingles")
-    return dealt.groupBy("hub", "cell").applyInArrow(_cell_links, "a bigint, b bigint")
+def shingle_sets_of(rows: DataFrame, nodes: DataFrame, sets: DataFrame, counts) -> DataFrame:
+    """(node, size, short, long) of the classes ``nodes``, written once; ``rows`` is (id, text_key, text), ``sets`` describes them."""
+    least = sets.join(nodes, F.col("f1") == F.col("node"), "left_semi").groupBy(F.col("f1").alias("node")).agg(
+        F.min(F.xxhash64("id", "text_key")).alias("id_hash")
+    )
+    bits = rows.sparkSession.sparkContext.broadcast(key_bitmap(least.mapInArrow(_rep_keys, "key bigint"), "key"))
+    keyed = rows.where("text IS NOT NULL").select(F.xxhash64("id", "text_key").alias("id_hash"), "text")
+    path = scratch_path(rows.sparkSession, "shingle-sets")
+    keyed.mapInArrow(_sets_of(bits, counts), _SETS).write.option("compression", "zstd").parquet(path)
+    return rows.sparkSession.read.schema(_SETS).parquet(path)
+
+
+def _in_cells(seats: DataFrame, sets: DataFrame, columns: list[str], search) -> DataFrame:
+    """Pairs (a, b) found in cells; ``seats`` is (hub, cell, node, root). Only sets with a seat are shuffled."""
+    seats = materialize(seats, "seats")
+    bits = sets.sparkSession.sparkContext.broadcast(key_bitmap(seats, "node"))
+
+    def seated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(in_bitmap(bits.value, batch.column("node").to_numpy())))
+
+    few = sets.select("node", "size", *columns)
+    near = few.mapInArrow(seated, few.schema)
+    return near.join(seats, "node").select("hub", "cell", "node", "root", "size", *columns).groupBy("hub", "cell").applyInArrow(
+        search, "a bigint, b bigint"
+    )
+
+
+def _star_seats(pairs: DataFrame) -> DataFrame:
+    """Cells of pairs (a, b) with the roots of both: a leader ``a`` and about ``CELL`` others at most."""
+    hubs = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / CELL).cast("int").alias("cells"), F.first("root_a").alias("root"))
+    others = pairs.join(hubs.drop("root"), "a").select(
+        F.col("a").alias("hub"), F.expr("pmod(xxhash64(b), cells)").alias("cell"), F.col("b").alias("node"), F.col("root_b").alias("root")
+    )
+    own = hubs.select(F.col("a").alias("hub"), F.explode(F.expr("sequence(0L, cells - 1L)")).alias("cell"), F.col("a").alias("node"), "root")
+    return others.unionByName(own)
+
+
+def star_links(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links that join components, among leaders ``a`` and the sets ``b`` paired with them (with ``root_a``, ``root_b``).
+
+    The short lists go first, a quarter of the data; whole sets follow for the pairs left.
+    """
+    close = _in_cells(_star_seats(pairs), sets, SHORT, _short_survivors)
+    close = materialize(close.join(pairs, ["a", "b"]), "close-pairs")
+    return _in_cells(_star_seats(close), sets, WHOLE, _cell_links)
+
+
+def list_links(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links that join components, among classes that lists bring together; ``pairs`` is (shingle, a, b) with the
+    components ``root_a`` and ``root_b``, every pair with one list.
+
+    A list's classes are dealt into parts of about ``CELL``; every two parts are a cell.
+    """
+    ends = F.array(*[F.struct(F.col(x).alias("node"), F.col(f"root_{x}").alias("root")) for x in ("a", "b")])
+    seats = pairs.select("shingle", F.explode(ends).alias("end")).select("shingle", "end.*").distinct()
+    parts = seats.groupBy("shingle").agg(F.ceil(F.count(F.lit(1)) / CELL).cast("int").alias("parts"))
+    # Nodes and shingles are both hashes; the complement keeps a list's name from being taken for a member.
+    dealt = seats.join(parts, "shingle").select(
+        F.expr("~shingle").alias("hub"), "node", "root", "parts", F.expr("pmod(xxhash64(node), parts)").alias("part")
+    )
+    cells = F.expr("transform(sequence(0L, parts - 1L), o -> least(o, part) * parts + greatest(o, part))")
+    return _in_cells(dealt.select("hub", F.explode(cells).alias("cell"), "node", "root"), sets, WHOLE, _cell_links)
 
 
 def _may_link(x: str, y: str) -> str:
@@ -309,45 +494,66 @@ def _may_link(x: str, y: str) -> str:
     )
 
 
-def _linked(texts: DataFrame, lists: DataFrame) -> DataFrame:
-    """(node, root) of all classes that are linked to another one."""
-    least = lists.groupBy("shingle").agg(F.min(F.struct("node", "size", "place")).alias("y"))
-    stars = lists.alias("x").join(least, "shingle").where("x.node <> y.node").where(_may_link("x", "y"))
-    tried = materialize(stars.select(F.col("y.node").alias("a"), F.col("x.node").alias("b")).distinct(), "star-pairs")
-    links = materialize(linked_pairs(texts, tried), "star-links")
-    roots = materialize(components(links), "roots")
-    named = lists.join(roots, "node", "left").select("shingle", "node", "size", "place", F.coalesce("root", "node").alias("root"))
-    named = materialize(named, "named-lists")
+def _open_lists(lists: DataFrame, roots: DataFrame) -> DataFrame:
+    """Rows of lists that still hold several components, with their ``root``."""
+    named = lists.drop("root").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     mixed = named.groupBy("shingle").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("shingle")
+    return named.join(mixed, "shingle").select("shingle", "node", "size", "place", "root")
+
+
+def _linked(lists: DataFrame, sets: DataFrame) -> DataFrame:
+    """(node, root) of all classes that are linked to another one."""
+    left = lists.withColumn("root", F.col("node"))
+    tried = links = roots = None
+    for turn in range(MAX_ROUNDS):
+        order = F.struct(F.xxhash64("node", F.lit(turn)).alias("o"), "node", "size", "place", "root")
+        leaders = left.groupBy("shingle").agg(F.min(order).alias("y"))
+        led = materialize(left.join(leaders, "shingle").where("node <> y.node"), "led-lists")
+        pairs = led.alias("x").where("x.root <> y.root").where(_may_link("x", "y")).select(
+            F.col("y.node").alias("a"), F.col("x.node").alias("b"), F.col("y.root").alias("root_a"), F.col("x.root").alias("root_b")
+        ).distinct()
+        if tried is not None:
+            pairs = pairs.join(tried, ["a", "b"], "left_anti")
+        pairs = materialize(pairs, "star-pairs")
+        both = pairs.select("a", "b").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        tried = both if tried is None else tried.unionByName(both)
+        found = materialize(star_links(pairs, sets), "star-links")
+        links = found if links is None else links.unionByName(found)
+        roots = materialize(components(links), "roots")
+        # A leader has met its whole list and leaves it, so lists of two are done after one round.
+        left = materialize(_open_lists(led.drop("y"), roots), "open-lists")
+        if not left.take(1) or turn and not found.take(1):
+            break
+    if not left.take(1):
+        return roots
     # Sizes within 4:3 fall in the same or in neighbouring classes of powers of 4/3.
-    open_ = named.join(mixed, "shingle").withColumn("size_class", F.floor(F.log(F.col("size").cast("double")) / F.log(F.lit(4 / 3))).cast("int"))
-    near = open_.withColumn("size_class", F.explode(F.expr("sequence(size_class - 1, size_class + 1)")))
+    classed = left.withColumn("size_class", F.floor(F.log(F.col("size").cast("double")) / F.log(F.lit(4 / 3))).cast("int"))
+    near = classed.withColumn("size_class", F.explode(F.expr("sequence(size_class - 1, size_class + 1)")))
     rest = (
-        open_.alias("x").join(near.alias("y"), ["shingle", "size_class"])
+        classed.alias("x").join(near.alias("y"), ["shingle", "size_class"])
         .where("x.node < y.node AND x.root <> y.root").where(_may_link("x", "y"))
-        .select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
+        .groupBy(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
+        .agg(F.min("shingle").alias("shingle"), F.first("x.root").alias("root_a"), F.first("y.root").alias("root_b"))
     )
-    tested = tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    rest = materialize(rest.join(tested, ["a", "b"], "left_anti"), "other-pairs")
-    if not rest.take(1):
-        return roots
-    more = materialize(linked_pairs(texts, rest), "other-links")
+    rest = materialize(rest.join(tried, ["a", "b"], "left_anti"), "other-pairs")
+    more = materialize(list_links(rest, sets), "other-links")
     if not more.take(1):
         return roots
     return materialize(components(links.unionByName(more)), "all-roots")
 
 
 def similar_components(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """One row per document: id, ``n_shingles`` and ``component_id``."""
-    rows = docs.select(F.col(id_column).alias("id"), F.col(text_column).alias("text"))
+    """One row per document: id, ``n_shingles``, ``component_id`` and ``text_key``, the xxhash64 of its text."""
+    text = F.col(text_column)
+    rows = docs.select(F.col(id_column).alias("id"), F.xxhash64(text).alias("text_key"), text.alias("text"))
     kind = ddl_of(docs, id_column)
     described = materialize(
         rows.mapInArrow(
             _describe(to_arrow_type(rows.schema["id"].dataType)),
-            f"id {kind}, n_shingles bigint, f1 bigint, f2 bigint, part int, counts binary",
+            f"id {kind}, text_key bigint, n_shingles bigint, f1 bigint, f2 bigint, part int, counts binary",
         ), "sets",
     )
-    sets = described.where("part IS NULL").select("id", "n_shingles", "f1", "f2")
+    sets = described.where("part IS NULL").select("id", "text_key", "n_shingles", "f1", "f2")
     counts = counters(described.where("part IS NOT NULL").select("part", "counts"))
     texts = rows.where("text IS NOT NULL").select("text")
     buckets = int(counts.sum() // 4 // BUCKET_POSTINGS) + 1
@@ -355,13 +561,13 @@ def similar_components(docs: DataFrame, id_column: str = "doc_id", text_column:
     hot_from = int(counts.mean()) + HOT_LIST
     packed = texts.mapInArrow(_short_lists(shared, buckets, hot_from), _PACKED)
     lists = materialize(packed.groupBy("bucket", "hot").applyInArrow(_merge_lists, _LISTS), "short-lists")
-    roots = _linked(texts, lists)
+    roots = _linked(lists, shingle_sets_of(rows, lists.select("node").distinct(), sets, shared))
     named = sets.join(roots.withColumnRenamed("node", "f1"), "f1", "left").select(
-        "id", "n_shingles", F.coalesce("root", "f1").alias("root"), F.when(F.col("root").isNull(), F.col("f2")).otherwise(F.lit(0)).alias("side")
+        "id", "text_key", "n_shingles", F.coalesce("root", "f1").alias("root"),
+        F.when(F.col("root").isNull(), F.col("f2")).otherwise(F.lit(0)).alias("side"),
     )
     full = named.where("n_shingles > 0")
     ids = full.groupBy("root", "side").agg(F.min("id").alias("component_id"))
-    out = full.join(ids, ["root", "side"]).select("id", "n_shingles", "component_id")
-    none = named.where("n_shingles = 0").select("id", "n_shingles", F.col("id").alias("component_id"))
+    out = full.join(ids, ["root", "side"]).select("id", "n_shingles", "component_id", "text_key")
+    none = named.where("n_shingles = 0").select("id", "n_shingles", F.col("id").alias("component_id"), "text_key")
     return out.unionByName(none).withColumnRenamed("id", id_column)
-

@@ -100,7 +100,7 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("op1_jaccard_join")
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard_join.similar_components(table(spark, sf_dir, "documents"))
+    return jaccard_join.similar_components(table(spark, sf_dir, "documents")).drop("text_key")
 
 
 # -- mixing ------------------------------------------------------------------------------

@@ -60,7 +60,7 @@ def corpus(words, edited):
     return [(order[k], t) for k, t in enumerate(texts)]
 
 
-@pytest.mark.parametrize(("rounds", "cell"), [(8, 400), (1, 25)])
+@pytest.mark.parametrize(("rounds", "cell"), [(3, 400), (1, 25)])
 def test_equals_brute_force(make_docs, corpus, monkeypatch, rounds, cell):
     monkeypatch.setattr(jaccard_join, "MAX_ROUNDS", rounds)
     monkeypatch.setattr(jaccard_join, "CELL", cell)
