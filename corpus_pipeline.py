@@ -1,22 +1,56 @@
-"""Documents to training tokens: the stages of the corpus pipeline."""
+"""Documents to training tokens: language, exact and near duplicates, mixing, encoding."""
 
 from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from emberwatch.llm import bpe_codec
+from emberwatch.llm import bpe_codec, exact_dedup, jaccard_join, language_id, mixing
+from emberwatch.llm.queries import LANGUAGE_HELD_OUT, VOCABULARY
 from emberwatch.sources.store import materialize
 
-COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+REPEATS = 1.25
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the language model can name a language for; those without a letter go."""
+    sample = language_id.labelled_sample(docs, F.expr(f"NOT ({LANGUAGE_HELD_OUT})"), "doc_id", "text", "lang")
+    return language_id.known_language(docs, language_id.fit(*sample))
+
+
+def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of equal texts: the one with the largest id.
+
+    Kept rows are found again by id and SHA-256 of the text; of rows equal in both, one stays.
+    """
+    kept = exact_dedup.exact_duplicates(docs).where("kept").select(F.col("doc_id").alias("kept_id"), F.col("text_sha256").alias("sha"))
+    keyed = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("row"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("sha"))
+    same = (keyed["sha"] == kept["sha"]) & keyed["row.doc_id"].eqNullSafe(kept["kept_id"])
+    once = keyed.join(kept, same, "left_semi").withColumn("doc_id", F.col("row.doc_id")).dropDuplicates(["sha", "doc_id"])
+    return once.select("row.*")
+
+
+def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each component of similar texts: the one with the least id. Documents without words stay."""
+    found = jaccard_join.similar_components(docs).where("doc_id <=> component_id")
+    kept = found.select(F.col("doc_id").alias("kept_id"), F.col("text_key").alias("kept_key")).distinct()
+    same = docs["doc_id"].eqNullSafe(kept["kept_id"]) & (F.xxhash64(docs["text"]) == kept["kept_key"])
+    return docs.join(kept, same, "left_semi")
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the temperature mix of their sources has them."""
+    return mixing.realise(docs, repeats=REPEATS)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Ids and decoded text of every document as digests."""
-    return bpe_codec.token_digests(bpe_codec.encode_decode(docs, public_tokenizers.path("word_bpe_49k.json")))
+    return bpe_codec.token_digests(bpe_codec.encode_decode(docs, public_tokenizers.path(VOCABULARY)))
 
 
-STAGES = [("bpe_codec", encode)]
+STAGES = [("language_crf", language), ("exact_dedup", exact), ("jaccard_join", near), ("temperature_mix", mix), ("bpe_codec", encode)]
+# The language model, similarity components and BPE cannot be expressed in SQL.
 ORACLE_SQL = None
 
 
