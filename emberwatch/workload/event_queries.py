@@ -13,7 +13,6 @@ from emberwatch.operators.bursts import FAILED, REMOTE, STAGE, STAGES, target_or
 from emberwatch.operators.stateless import QUIET
 from emberwatch.operators.fieldrules import FieldRule, field_rule_alerts, split_field_rules
 from emberwatch.operators.rowrules import run_row_rules
-from emberwatch.operators.settings import CATALOG
 from emberwatch.operators.sigma import detect_sigma
 from emberwatch.schema import computed_once, ts_text
 from emberwatch.sources import store

@@ -10,7 +10,6 @@ from emberwatch.schema import ts_text
 from emberwatch.sources import store
 from emberwatch.sources.event_xml import read_event_xml
 from emberwatch.sources.json_logs import read_json_logs
-from emberwatch.sources.lines import discover_logs
 from emberwatch.sources.siem_export import newer_than, read_siem_export
 from emberwatch.sources.syslog import read_cef, read_syslog
 from emberwatch.streaming import live

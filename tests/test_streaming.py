@@ -8,7 +8,6 @@ from pathlib import Path
 
 import pytest
 from conftest import START
-from pyspark.sql import functions as F
 
 from emberwatch.operators import bursts
 from emberwatch.operators.settings import DetectorSettings
