@@ -31,8 +31,8 @@ from pyspark.sql import functions as F
 
 from emberwatch.llm.texts import LETTER_LIKE, Substrings, ddl_of, runs, text_buffer, text_slices
 
-SAMPLE_PER_LABEL = 400
-SAMPLE_BYTES = 12_000_000
+SAMPLE_PER_LABEL = 200
+SAMPLE_BYTES = 2_000_000
 SLOTS = 1 << 16
 AFFIXES = (1, 2, 3)
 LEXICON_MIN = 3
@@ -104,6 +104,18 @@ def words_of(texts: pa.Array) -> Words:
     )
 
 
+def words_in_parts(texts: list[str], size: int = 100) -> Words:
+    """Words of a list of texts, computed for ``size`` texts at a time to keep buffers small."""
+    parts = [words_of(pa.array(texts[a : a + size], pa.string())) for a in range(0, len(texts), size)] or [words_of(pa.array([], pa.string()))]
+    bi, tri = (np.cumsum([0, *[len(getattr(p, n)) for p in parts]]) for n in ("bigram_slots", "trigram_slots"))
+    return Words(
+        np.concatenate([p.text_of + k * size for k, p in enumerate(parts)]), np.concatenate([p.hashes for p in parts]),
+        np.concatenate([p.bigram_slots.astype(np.int32) for p in parts]), np.concatenate([p.bigram_starts + b for p, b in zip(parts, bi, strict=False)]),
+        np.concatenate([p.trigram_slots.astype(np.int32) for p in parts]), np.concatenate([p.trigram_starts + t for p, t in zip(parts, tri, strict=False)]),
+        np.concatenate([p.affix_slots.astype(np.int32) for p in parts]),
+    )
+
+
 def emissions(model: Crf, w: Words) -> np.ndarray:
     """Scores (words, labels)."""
     if len(w.hashes) == 0:
@@ -183,7 +195,7 @@ def fit(texts: list[str], labels: list[str], rounds: int = 6, rate: float = 0.15
     names = sorted(set(labels))
     k = len(names)
     code = np.array([names.index(x) for x in labels], np.int64)
-    w = words_of(pa.array(texts, pa.string()))
+    w = words_in_parts(texts)
     kinds, counts = np.unique(w.hashes, return_counts=True)
     model = Crf.empty(names, kinds[counts >= LEXICON_MIN])
     if k < 2 or len(w.hashes) < 2 * PIECE:
