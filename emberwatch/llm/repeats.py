@@ -43,7 +43,7 @@ GRAM = 20
 SIDE = LENGTH - GRAM
 STRIDE = 1 << 21
 POSITION = np.uint64((1 << 22) - 1)
-FLUSH = 1_000_000
+FLUSH = 400_000
 BUCKET_ANCHORS = 400_000
 BUCKET_CONTEXTS = 12_000
 H_BITS, H_BYTES, C_BYTES = 24, 5, 6
@@ -87,7 +87,7 @@ _PACKED = "bucket int, docs binary, tags binary, counts binary, h binary, c bina
 
 
 def _packed_anchors(buckets: int, hot: np.ndarray):
-    """Anchors of whole tasks in packed rows, one per bucket and about a million anchors.
+    """Anchors of whole tasks in packed rows, one per bucket and FLUSH anchors.
 
     Buckets from ``buckets`` on are for the hot anchors, dealt by their contexts.
     """
