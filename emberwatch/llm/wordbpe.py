@@ -17,7 +17,7 @@ from functools import lru_cache
 import numpy as np
 
 END = "\ue000"  # stands for the word-end suffix inside this module
-CACHE_WORDS = 400_000
+CACHE_WORDS = 160_000  # words of a generation; two are kept, so words in use outlive the change
 SHORT_WORD = 24
 # Up to this code point normalisation is plain lower-casing and the character classes are spelled out.
 LATIN = 0x250
@@ -63,6 +63,7 @@ class WordBpe:
         self.special = re.compile("|".join(map(re.escape, sorted(self.specials, key=len, reverse=True)))) if self.specials else None
         self.pairs: dict[int, bool] = {}
         self.ids: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     # -- text to words ---------------------------------------------------------------------
 
@@ -194,10 +195,13 @@ class WordBpe:
     def encode_words(self, documents: list[list[str | int]]) -> list[bytes]:
         """Little-endian 32-bit ids of each document's words and special ids."""
         if len(self.ids) > CACHE_WORDS:
-            self.ids.clear()
-        if len(self.pairs) > 4 * CACHE_WORDS:
+            self.ids, self.older = {}, self.ids
+        if len(self.pairs) > 2 * CACHE_WORDS:
             self.pairs.clear()
         new = {w for words in documents for w in set(words) if w not in self.ids}
+        known = new & self.older.keys()
+        self.ids.update((w, self.older[w]) for w in known)
+        new -= known
         for token in [w for w in new if isinstance(w, int)]:
             new.discard(token)
             self.ids[token] = np.array([token], "<u4").tobytes()
