@@ -6,7 +6,7 @@ gives each word's probability of each language, so code-switched text is labelle
 word; a document's language is the one with the largest expected share of words.
 
 The model is fitted on the driver by gradient steps on the sequence likelihood, from a
-bounded sample of labelled texts, cut into pieces that are spliced across languages so
+bounded sample with an equal share for every label, cut into pieces that are spliced across languages so
 that the transitions see switches. Labelling is a pure map over the documents.
 
 Long texts need no long loop: words stand in blocks of 64 whose transfer matrices are
@@ -20,19 +20,21 @@ multiplied for all blocks at once, then block ends are chained, then blocks are
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from emberwatch.llm.texts import LETTER_LIKE, Substrings, ddl_of, runs, text_buffer, text_slices
 
 SAMPLE_PER_LABEL = 200
 SAMPLE_BYTES = 2_000_000
+STRETCH = 2_000  # bytes of a piece of a long training text
 SLOTS = 1 << 16
 AFFIXES = (1, 2, 3)
 LEXICON_MIN = 3
@@ -203,10 +205,8 @@ def fit(texts: list[str], labels: list[str], rounds: int = 6, rate: float = 0.15
     rng = np.random.default_rng(seed)
     sizes = np.bincount(w.text_of, minlength=len(texts))
     first = np.cumsum(sizes) - sizes
-    usable = np.flatnonzero(sizes >= PIECE)
-    if len(usable) == 0:
-        usable = np.flatnonzero(sizes > 0)
-    by_label = [usable[code[usable] == c] for c in range(k)]
+    # A label's texts of a piece's length; if it has none, its shorter ones.
+    by_label = [g if len(g := np.flatnonzero((code == c) & (sizes >= PIECE))) else np.flatnonzero((code == c) & (sizes > 0)) for c in range(k)]
     by_label = [g for g in by_label if len(g)]
     row_of = lexicon_rows(model.lexicon, w.hashes)
     bi_n = np.diff(np.append(w.bigram_starts, len(w.bigram_slots)))
@@ -271,28 +271,66 @@ def _pair_marginals(prob: np.ndarray, transitions: np.ndarray, i: np.ndarray) ->
     return joint.sum(axis=0)
 
 
-def labelled_sample(docs: DataFrame, learn_from: F.Column, id_column: str, text_column: str, label_column: str,
+def labelled_sample(docs: DataFrame, learn_from: F.Column, id_column: str = "doc_id", text_column: str = "text", label_column: str = "lang",
                     per_label: int = SAMPLE_PER_LABEL) -> tuple[list[str], list[str]]:
-    """At most ``per_label`` texts of each label, those with the least id hashes, whole; ``SAMPLE_BYTES`` in all."""
+    """At most ``per_label`` texts of each label, those with the least id hashes, in an equal share of ``SAMPLE_BYTES`` per label.
+
+    If a label's texts do not fit its share, the longest ones are cut to one common length: pieces of about
+    ``STRETCH`` bytes at hashed places all over the text. So no text and no label takes from another.
+    """
     usable = docs.where(F.col(label_column).isNotNull() & F.col(text_column).isNotNull() & F.col(id_column).isNotNull() & learn_from)
     counts = {r[0]: r[1] for r in usable.groupBy(label_column).count().collect()}
     if not counts:
         return [], []
-    # The expected number of candidates is twice the sample; ids are hashed, so no text is sorted.
-    bounds = F.create_map(*[x for name, n in counts.items() for x in (F.lit(name), F.lit(min(1.0, 2 * per_label / n)))])
     order = F.xxhash64(F.lit("sample"), F.col(id_column))
-    share = (order.cast("double") + 2.0**63) / 2.0**64
-    near = usable.where(share <= F.element_at(bounds, F.col(label_column)))
-    rows = near.select(F.col(text_column).alias("text"), F.col(label_column).alias("label"), order.alias("o")).orderBy("o", "label", "text")
-    taken: dict[str, int] = {}
-    texts, labels, size = [], [], 0
-    for r in rows.limit(2 * per_label * len(counts)).toLocalIterator():
-        if taken.get(r.label, 0) < per_label and size + len(r.text) <= SAMPLE_BYTES:
-            taken[r.label] = taken.get(r.label, 0) + 1
-            size += len(r.text)
-            texts.append(r.text)
-            labels.append(r.label)
-    return texts, labels
+    raw = F.col(text_column).cast("binary")
+    rows = usable.select(F.col(label_column).alias("label"), order.alias("o"), F.xxhash64(raw).alias("h"), F.octet_length(raw).alias("n"), raw.alias("raw"))
+    first = Window.partitionBy("label").orderBy("o", "h", "n")
+
+    def of_label(values: dict) -> F.Column:
+        return F.element_at(F.create_map(*[F.lit(x) for pair in values.items() for x in pair]), F.col("label"))
+
+    def chosen(bounds: dict[str, float], *columns: F.Column) -> list:
+        near = rows.where((F.col("o").cast("double") + 2.0**63) / 2.0**64 <= of_label(bounds)).where(F.col("label").isin(*bounds))
+        return near.select("label", "o", "h", "n", *columns).withColumn("rank", F.row_number().over(first)).where(F.col("rank") <= per_label).collect()
+
+    # The expected number of candidates is twice the sample. Only many rows of one id can leave fewer: then all are candidates.
+    bounds = {name: min(1.0, 2 * per_label / n) for name, n in counts.items()}
+    found = chosen(bounds)
+    got = Counter(r.label for r in found)
+    scarce = {name: 1.0 for name, n in counts.items() if got[name] < min(per_label, n)}
+    if scarce:
+        bounds |= scarce
+        found = [r for r in found if r.label not in scarce] + chosen(scarce)
+    sizes: dict[str, list[int]] = {}
+    for r in found:
+        sizes.setdefault(r.label, []).append(r.n)
+    caps = {name: common_length(n, max(1, SAMPLE_BYTES // len(counts))) for name, n in sizes.items()}
+    picked = sorted(chosen(bounds, _pieces(of_label(caps)).alias("pieces")), key=lambda r: (r.o, r.label, r.h))
+    return [" ".join(bytes(x).decode("utf-8", "ignore") for x in r.pieces) for r in picked], [r.label for r in picked]
+
+
+def common_length(sizes: list[int], share: int) -> int:
+    """The largest length to which all longer texts can be cut so that the sum is at most ``share``; one byte at least."""
+    left = share
+    for k, n in enumerate(sorted(sizes)):
+        level = left // (len(sizes) - k)
+        if n > level:
+            return max(1, level)
+        left -= n
+    return max(1, *sizes)
+
+
+def _pieces(cap: F.Column) -> F.Column:
+    """Binary pieces of ``raw``: the whole, or of each equal stretch one piece at a hashed place, with a byte each for a space between them."""
+    count = F.greatest(F.lit(1), cap.cast("bigint") / STRETCH).cast("int")
+    stretch, size = (F.col("n") / count).cast("int"), F.greatest(F.lit(1), (cap / count).cast("int") - F.when(count > 1, 1).otherwise(0))
+
+    def piece(k: F.Column) -> F.Column:
+        at = k * stretch + F.pmod(F.xxhash64(F.col("o"), F.col("h"), k), stretch - size + 1)
+        return F.substring(F.col("raw"), at.cast("int") + 1, size)
+
+    return F.when(F.col("n") <= cap, F.array("raw")).otherwise(F.transform(F.sequence(F.lit(0), count - 1), piece))
 
 
 def _predict(m: Crf, texts: pa.Array) -> tuple[pa.Array, pa.Array, np.ndarray, np.ndarray, Words, np.ndarray]:

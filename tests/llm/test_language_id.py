@@ -83,3 +83,29 @@ def test_words_and_features():
     w = L.words_of(pa.array(["Ab c", "", None, "é1f"]))
     assert w.text_of.tolist() == [0, 0, 3, 3]
     assert np.diff(np.append(w.bigram_starts, len(w.bigram_slots))).tolist() == [3, 2, 3, 2]
+
+
+def test_every_label_has_its_share_of_the_sample(make_docs, words, monkeypatch):
+    monkeypatch.setattr(L, "SAMPLE_BYTES", 40_000)
+    rare = [(10_000 + k, f"selten{k} " * 30, "de") for k in range(5)]
+    rows = [(k, "the long one é " * 20_000, "en") for k in range(300)] + rare + [(20_000, "é" * 50_000, "fr"), (20_001, "petit", "fr")]
+    rows += [(7, f"mismo {k}", "es") for k in range(1000)]  # one id: all or none below a bound
+    texts, labels = L.labelled_sample(make_docs(rows), F.lit(True), "doc_id", "text", "lang", per_label=20)
+    by_label = {name: [t for t, x in zip(texts, labels, strict=True) if x == name] for name in set(labels)}
+    assert {name: len(t) for name, t in by_label.items()} == {"en": 20, "de": 5, "fr": 2, "es": 20}
+    assert sorted(by_label["de"]) == sorted(t for _, t, _ in rare)
+    assert all(sum(len(t.encode()) for t in g) <= 10_000 for g in by_label.values())
+    assert all(450 <= len(t.encode()) <= 500 for t in by_label["en"]) and len(set(by_label["en"])) > 1
+    assert "petit" in by_label["fr"] and max(len(t.encode()) for t in by_label["fr"]) > 9_900
+    again = L.labelled_sample(make_docs(rows, parts=5), F.lit(True), "doc_id", "text", "lang", per_label=20)
+    assert again == (texts, labels)
+
+
+def test_common_length():
+    assert L.common_length([5, 1, 9], 100) == 9 and L.common_length([5, 1, 9], 11) == 5 and L.common_length([5, 1, 9], 10) == 4
+    assert L.common_length([0], 10) == 1 and L.common_length([10**9], 10) == 10
+
+
+def test_label_with_short_texts_only_is_learned():
+    model = L.fit(["the of and to in is " * 20] * 5 + ["der die das und ist"] * 5, ["en"] * 5 + ["de"] * 5)
+    assert L._predict(model, pa.array(["das ist der die", "the of and to"]))[0].to_pylist() == ["de", "en"]
