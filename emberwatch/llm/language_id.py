@@ -12,7 +12,8 @@ that the transitions see switches. Labelling is a pure map over the documents.
 Long texts need no long loop: words stand in blocks of 64 whose transfer matrices are
 multiplied for all blocks at once, then block ends are chained, then blocks are filled in.
 
-* Null text, or no letter: ``und`` with score 0. Null labels are not learned from; with no
+* Null text, or no Unicode letter: ``und`` with score 0 and no words. In other texts a word is
+  a run of ASCII letters and characters beyond ASCII. Null labels are not learned from; with no
   labelled row every text is ``und``. One label only: texts with letters get it, score 1.
 * Ties go to the label first in order. Very long texts are labelled whole. Repeated rows
   and null ids: one row each. Empty table: no rows. Other columns are ignored.
@@ -333,9 +334,17 @@ def _pieces(cap: F.Column) -> F.Column:
     return F.when(F.col("n") <= cap, F.array("raw")).otherwise(F.transform(F.sequence(F.lit(0), count - 1), piece))
 
 
+def has_letter(texts: pa.Array) -> pa.Array:
+    """Whether a text has a Unicode letter; signs, digits and emoji beyond ASCII are none."""
+    return pc.fill_null(pc.match_substring_regex(texts, r"\p{L}"), False)
+
+
 def _predict(m: Crf, texts: pa.Array) -> tuple[pa.Array, pa.Array, np.ndarray, np.ndarray, Words, np.ndarray]:
-    """Language, score, words and switches per text; the words and their most likely labels."""
+    """Language, score, words and switches per text; the words and their most likely labels. No letter, no words."""
     n = len(texts)
+    letters = has_letter(texts)
+    if not all(letters.to_numpy(zero_copy_only=False)):
+        texts = pc.if_else(letters, texts, pa.scalar("", texts.type))
     w = words_of(texts)
     sizes = np.bincount(w.text_of, minlength=n)
     k = len(m.labels)

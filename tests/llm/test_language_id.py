@@ -109,3 +109,16 @@ def test_common_length():
 def test_label_with_short_texts_only_is_learned():
     model = L.fit(["the of and to in is " * 20] * 5 + ["der die das und ist"] * 5, ["en"] * 5 + ["de"] * 5)
     assert L._predict(model, pa.array(["das ist der die", "the of and to"]))[0].to_pylist() == ["de", "en"]
+
+
+LETTERLESS = ["— 12 —", "€ 100", "🙂", "\u00a0", "٣٤٥", "12 « »", "1 ½ ²", "\u0301"]
+
+
+def test_texts_without_a_letter(make_docs, labelled):
+    _, model = labelled
+    rows = [(k, t) for k, t in enumerate(LETTERLESS)] + [(100, "日本"), (101, "é"), (102, "— я —"), (103, "1ª"), (104, None)]
+    docs = make_docs(rows)
+    out = {r.doc_id: (r.lang_pred == "und", r.score == 0, r.n_words == 0, r.n_switches, r.spans == []) for r in L.label_texts(docs, model, spans=True).collect()}
+    assert {i for i, r in out.items() if r == (True, True, True, 0, True)} == {*range(len(LETTERLESS)), 104}
+    assert {i for i, r in out.items() if r[:3] == (False, False, False)} == {100, 101, 102, 103}
+    assert {r.doc_id for r in L.known_language(docs, model).collect()} == {100, 101, 102, 103}
