@@ -14,7 +14,8 @@ REPEATS = 1.25
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the language model can name a language for; those without a letter go."""
+    """Documents with a main language by the model; those without a letter go, and those of which no language
+    has 0.35 of the words (``language_id.LEAST_SCORE``). If nothing could be learned, all with a letter stay."""
     sample = language_id.labelled_sample(docs, F.expr(f"NOT ({LANGUAGE_HELD_OUT})"), "doc_id", "text", "lang")
     return language_id.known_language(docs, language_id.fit(*sample))
 

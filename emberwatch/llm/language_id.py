@@ -42,6 +42,7 @@ LEXICON_MIN = 3
 BLOCK = 64
 PIECE = 40
 UNKNOWN = "und"
+LEAST_SCORE = 0.35  # below this score ``known_language`` rejects a text
 
 
 @dataclass
@@ -60,6 +61,9 @@ class Crf:
         table = lambda n: np.zeros((n, k), np.float32)
         return cls(labels, table(SLOTS), table(SLOTS), table(SLOTS), lexicon, table(len(lexicon) + 1), np.eye(k, dtype=np.float32))
 
+    def learned(self) -> bool:
+        return any(table.any() for table in (self.bigrams, self.trigrams, self.affixes, self.words))
+
 
 @dataclass
 class Words:
@@ -387,17 +391,25 @@ def label_texts(docs: DataFrame, model: Crf, id_column: str = "doc_id", text_col
     return docs.select(F.col(id_column).alias("id"), F.col(text_column).alias("text")).mapInArrow(run, ddl)
 
 
-def known_language(docs: DataFrame, model: Crf, text_column: str = "text") -> DataFrame:
-    """The rows of ``docs`` whose text has a language, unchanged and without a shuffle."""
+def known_language(docs: DataFrame, model: Crf, text_column: str = "text", least: float = LEAST_SCORE) -> DataFrame:
+    """The rows of ``docs`` whose text has a letter and a main language, unchanged and without a shuffle.
+
+    A text has none if the model gives no language ``least`` of its words, as in a mix of all of them. A
+    model that has learned nothing rejects no text with letters, nor does one of a single language.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index(text_column)
     plain = docs.toDF(*[f"c{k}" for k in range(len(docs.columns))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = shared.value
+        learned = m.learned()
         for batch in batches:
             for part in text_slices(batch, f"c{at}"):
-                lang = _predict(shared.value, part.column(at))[0]
-                yield part.filter(pc.not_equal(lang, UNKNOWN))
+                keep = has_letter(part.column(at))
+                if learned:
+                    keep = pc.and_(keep, pc.greater_equal(_predict(m, part.column(at))[1], least))
+                yield part.filter(keep)
 
     return plain.mapInArrow(run, plain.schema).toDF(*docs.columns)
 

@@ -121,4 +121,13 @@ def test_texts_without_a_letter(make_docs, labelled):
     out = {r.doc_id: (r.lang_pred == "und", r.score == 0, r.n_words == 0, r.n_switches, r.spans == []) for r in L.label_texts(docs, model, spans=True).collect()}
     assert {i for i, r in out.items() if r == (True, True, True, 0, True)} == {*range(len(LETTERLESS)), 104}
     assert {i for i, r in out.items() if r[:3] == (False, False, False)} == {100, 101, 102, 103}
-    assert {r.doc_id for r in L.known_language(docs, model).collect()} == {100, 101, 102, 103}
+    assert {r.doc_id for r in L.known_language(docs, model, least=0).collect()} == {100, 101, 102, 103}
+
+
+def test_known_language_uses_the_verdict(make_docs, labelled):
+    held_out, model = labelled
+    clean = [(k, t) for k, (_, t, _) in enumerate(held_out) if any(c.isalpha() for c in t)]
+    docs = make_docs([*clean, (-1, "the of le la der die el los " * 9), (-2, "12"), (-3, None)])
+    assert sorted(r.doc_id for r in L.known_language(docs, model).collect()) == [k for k, _ in clean]
+    for untaught in (L.fit([], []), L.fit(["a", "b", "c", "d"], ["de", "en", "es", "fr"])):
+        assert sorted(r.doc_id for r in L.known_language(docs, untaught).collect()) == [-1, *[k for k, _ in clean]]

@@ -7,6 +7,7 @@ from collections import Counter, defaultdict
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline as P
 from emberwatch.llm import language_id
@@ -37,6 +38,11 @@ def test_language_stage(spark, docs):
     assert listed(out) == Counter({r: n for r, n in listed(docs).items() if r[1] and any(c.isalpha() for c in r[1])})
 
 
+def test_language_stage_without_labels(spark, docs):
+    out = P.language(spark, docs.withColumn("lang", F.lit(None).cast("string")), None)
+    assert Counter(r.doc_id for r in out.collect()) == Counter(r.doc_id for r in docs.collect() if r.text and any(c.isalpha() for c in r.text))
+
+
 def test_exact_stage(spark, docs):
     groups = defaultdict(list)
     for r in docs.collect():
