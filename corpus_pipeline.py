@@ -33,11 +33,21 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of similar texts: the one with the least id. Documents without words stay."""
-    found = jaccard_join.similar_components(docs).where("doc_id <=> component_id")
-    kept = found.select(F.col("doc_id").alias("kept_id"), F.col("text_key").alias("kept_key")).distinct()
-    same = docs["doc_id"].eqNullSafe(kept["kept_id"]) & (F.xxhash64(docs["text"]) == kept["kept_key"])
-    return docs.join(kept, same, "left_semi")
+    """One document of each component of similar texts: the first by id (null ids last), then by xxhash64 of the text.
+
+    Of rows equal in id and text one stays; each document without words stays, whatever its id.
+    """
+    kept = materialize(jaccard_join.first_documents(docs).withColumnsRenamed({"doc_id": "kept_id", "text_key": "kept_key"}), "kept")
+    key = F.xxhash64(docs["text"])
+
+    def rows_of(keys: DataFrame) -> DataFrame:
+        return docs.join(keys, docs["doc_id"].eqNullSafe(keys["kept_id"]) & (key == keys["kept_key"]), "left_semi")
+
+    repeated = kept.where("copies > 1")
+    if repeated.isEmpty():
+        return rows_of(kept)
+    once = rows_of(repeated).withColumn("near_key", key).dropDuplicates(["doc_id", "near_key"]).drop("near_key")
+    return rows_of(kept.where("copies = 1")).unionByName(once)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

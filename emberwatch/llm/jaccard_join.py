@@ -544,6 +544,27 @@ def _linked(lists: DataFrame, sets: DataFrame) -> DataFrame:
 
 def similar_components(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """One row per document: id, ``n_shingles``, ``component_id`` and ``text_key``, the xxhash64 of its text."""
+    named = _rooted(docs, id_column, text_column)
+    full = named.where("n_shingles > 0")
+    ids = full.groupBy("root", "side").agg(F.min("id").alias("component_id"))
+    out = full.join(ids, ["root", "side"]).select("id", "n_shingles", "component_id", "text_key")
+    none = named.where("n_shingles = 0").select("id", "n_shingles", F.col("id").alias("component_id"), "text_key")
+    return out.unionByName(none).withColumnRenamed("id", id_column)
+
+
+def first_documents(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """The first document of each component in order of id (nulls last), then ``text_key``: id, ``text_key`` and
+    ``copies``, the rows equal in both. Each document without words is one of its own and has ``copies`` 1."""
+    named = _rooted(docs, id_column, text_column)
+    full = named.where("n_shingles > 0").groupBy("root", "side", "id", "text_key").agg(F.count(F.lit(1)).alias("copies"))
+    place = F.struct(F.col("id").isNull().alias("no_id"), "id", "text_key", "copies")
+    first = full.groupBy("root", "side").agg(F.min(place).alias("first")).select("first.id", "first.text_key", "first.copies")
+    none = named.where("n_shingles = 0").select("id", "text_key", F.lit(1).cast("bigint").alias("copies")).distinct()
+    return first.unionByName(none).withColumnRenamed("id", id_column)
+
+
+def _rooted(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
+    """One row per document: id, ``text_key``, ``n_shingles`` and its component as (``root``, ``side``)."""
     text = F.col(text_column)
     rows = docs.select(F.col(id_column).alias("id"), F.xxhash64(text).alias("text_key"), text.alias("text"))
     kind = ddl_of(docs, id_column)
@@ -562,12 +583,7 @@ def similar_components(docs: DataFrame, id_column: str = "doc_id", text_column:
     packed = texts.mapInArrow(_short_lists(shared, buckets, hot_from), _PACKED)
     lists = materialize(packed.groupBy("bucket", "hot").applyInArrow(_merge_lists, _LISTS), "short-lists")
     roots = _linked(lists, shingle_sets_of(rows, lists.select("node").distinct(), sets, shared))
-    named = sets.join(roots.withColumnRenamed("node", "f1"), "f1", "left").select(
+    return sets.join(roots.withColumnRenamed("node", "f1"), "f1", "left").select(
         "id", "text_key", "n_shingles", F.coalesce("root", "f1").alias("root"),
         F.when(F.col("root").isNull(), F.col("f2")).otherwise(F.lit(0)).alias("side"),
     )
-    full = named.where("n_shingles > 0")
-    ids = full.groupBy("root", "side").agg(F.min("id").alias("component_id"))
-    out = full.join(ids, ["root", "side"]).select("id", "n_shingles", "component_id", "text_key")
-    none = named.where("n_shingles = 0").select("id", "n_shingles", F.col("id").alias("component_id"), "text_key")
-    return out.unionByName(none).withColumnRenamed("id", id_column)

@@ -64,6 +64,23 @@ def test_near_stage(spark, docs):
     assert set(listed(out)) <= set(listed(once))
 
 
+def test_near_stage_keeps_one_row_of_each_component(spark, make_docs, words, edited):
+    a, b, c, d, e = (words(40, 70 + k) for k in range(5))
+    copy = [" ".join(edited(w, 1, 9)) for w in (a, b, c, d, e)]
+    rows = [(1, " ".join(a)), (1, copy[0]), (1, copy[0])]  # the least id with different and equal texts
+    rows += [(1, " ".join(b)), (2, copy[1])]  # the same least id in another component
+    rows += [(None, " ".join(c)), (None, copy[2]), (None, " ".join(c))]  # no id at all
+    rows += [(None, " ".join(d)), (9, copy[3])]
+    rows += [(5, " ".join(e))] * 3  # equal rows
+    rows += [(6, ""), (6, ""), (None, None), (None, ""), (None, None)]  # no words: all stay
+    out = [(r.doc_id, r.text) for r in P.near(spark, make_docs(rows), None).collect()]
+    texts = Counter(t for _, t in out)
+    assert sum(n for t, n in texts.items() if t) == 5
+    assert [sum(texts[t] for t in (" ".join(w), k)) for w, k in zip((a, b, c, d, e), copy, strict=True)] == [1] * 5
+    assert (1, " ".join(b)) in out and (9, copy[3]) in out and (5, " ".join(e)) in out
+    assert Counter(r for r in out if not r[1]) == {(6, ""): 2, (None, None): 2, (None, ""): 1}
+
+
 def test_mix_stage(spark, docs):
     want = Counter()
     for (i, _, _, c) in mixed([(r.doc_id, r.text, r.lang, r.source) for r in docs.collect()], P.REPEATS)[0]:
