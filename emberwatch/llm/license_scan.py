@@ -161,7 +161,7 @@ def _notices() -> Iterator[Rule]:
         (60, "public-domain", "public domain", r"public domain", HINT),
         (30, "proprietary", "proprietary and confidential", r"proprietary and confidential", NAME),
         (30, "proprietary", "confidential and proprietary", r"confidential and proprietary", NAME),
-        (30, "proprietary", "unauthorized copying", r"unauthori[sz]ed copying of this (?:file|document|work)", NAME),
+        (30, "proprietary", "copying of this", r"unauthori[sz]ed copying of this (?:file|document|work)", NAME),
         (30, "no-redistribution", "may not be reproduced", r"may not be reproduced,? (?:or )?(?:distributed|transmitted|stored)", NAME),
         (30, "no-redistribution", "no part of this", r"no part of this (?:publication|book|work|document) may be", NAME),
         (35, "eula", "end user license agreement", r"end[ -]user license agreement", NAME),

@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import random
 import re
+from re import _parser as sre_parser
 
 import pytest
 
@@ -60,6 +61,43 @@ def test_every_rule_has_its_keyword_gate():
         assert rule.keyword == rule.keyword.lower() and pattern.flags
 
 
+def spellings(parsed):
+    """Texts that a parsed pattern matches: each branch, member of a set or optional part in turn, the others at their first."""
+    choices = []
+    for op, value in parsed:
+        name = str(op)
+        if name == "LITERAL":
+            choices.append([chr(value)])
+        elif name == "IN":
+            members = [chr(v) for o, v in value if str(o) == "LITERAL"] + [chr(v[0]) for o, v in value if str(o) == "RANGE"]
+            choices.append(members + [" " if str(v) == "CATEGORY_SPACE" else "1" if str(v) == "CATEGORY_DIGIT" else "a" for o, v in value if str(o) == "CATEGORY"] or ["x"])
+        elif name in ("ANY", "NOT_LITERAL"):
+            choices.append(["x"])
+        elif name == "SUBPATTERN":
+            choices.append(spellings(value[-1]))
+        elif name == "BRANCH":
+            choices.append([t for branch in value[1] for t in spellings(branch)])
+        elif name in ("MAX_REPEAT", "MIN_REPEAT"):
+            low, _, inner = value
+            choices.append([t * low for t in spellings(inner)] if low else ["", *spellings(inner)])
+        elif name not in ("AT", "ASSERT", "ASSERT_NOT"):
+            raise AssertionError(name)
+    first = [c[0] for c in choices]
+    return ["".join([*first[:k], t, *first[k + 1 :]]) for k, c in enumerate(choices) for t in c] or [""]
+
+
+def test_every_spelling_of_a_rule_passes_its_gate():
+    scanner, tested = _scanner(), set()
+    for k, (rule, pattern) in enumerate(scanner.rules):
+        for text in spellings(sre_parser.parse(pattern.pattern)):
+            if pattern.search(text):
+                tested.add(k)
+                assert any(k in numbers for _, numbers in scanner.automaton.iter(text)), (rule, text)
+    assert len(tested) >= 0.95 * len(scanner.rules), [scanner.rules[k][1].pattern for k in range(len(scanner.rules)) if k not in tested][:20]
+    for word in ("unauthorized", "unauthorised"):
+        assert {r.label for _, _, r in scanner.detections(f"{word} copying\nof this file")} == {"proprietary"}
+
+
 def test_suppression():
     rng = random.Random(2)
     for _ in range(300):
