@@ -59,7 +59,9 @@ class WordBpe:
         self.ascii_letters = ascii_map
         letter, digit = _latin_class("L"), _latin_class("N")
         self.words = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{letter}]+|[{digit}]|[^{SPACES}{letter}{digit}]+")
-        self.beyond = re.compile(f"[^\x00-{chr(LATIN - 1)}]")
+        # Some letters below LATIN have lower-case forms from it on.
+        plain = "".join(re.escape(chr(c)) for c in range(LATIN) if max(chr(c).lower()) < chr(LATIN))
+        self.beyond = re.compile(f"[^{plain}]")
         self.special = re.compile("|".join(map(re.escape, sorted(self.specials, key=len, reverse=True)))) if self.specials else None
         self.pairs: dict[int, bool] = {}
         self.ids: dict[str, bytes] = {}

@@ -38,6 +38,18 @@ def test_encoder_equals_library(library, vocabulary):
         assert bpe.decode(ids) == library.decode(want, skip_special_tokens=False)
 
 
+@pytest.mark.parametrize("text", ["Ⱥbc", "xȾy", "ȺȾ é 1Ⱥ", "Ⱥ" * 40, *[f"a{chr(c)}b C" for c in (0x130, 0x149, 0x1F0, 0x1C5, 0x243, 0x244, 0x245)]])
+def test_letters_with_lower_case_far_beyond(library, vocabulary, text):
+    assert np.frombuffer(wordbpe.WordBpe(vocabulary).encode([text])[0], "<u4").tolist() == encode(library, text)
+
+
+def test_all_latin_letters(library, vocabulary):
+    bpe = wordbpe.WordBpe(vocabulary)
+    texts = [f"b{chr(c)}b" for c in range(1, wordbpe.LATIN)]
+    got = [np.frombuffer(ids, "<u4").tolist() for ids in bpe.encode(texts)]
+    assert [t for t, ids in zip(texts, got, strict=True) if ids != encode(library, t)] == []
+
+
 def test_both_merges_agree(vocabulary):
     bpe = wordbpe.WordBpe(vocabulary)
     rng = random.Random(4)
