@@ -218,7 +218,7 @@ def own_detector(spark, sf_dir):
 def stream_batch_scan(spark, sf_dir):
     """All detectors over a stream's micro-batches; here one batch holds all events."""
     out = store.scratch_path(spark, "batch_scan")
-    folder = _written(spark, sf_dir, "scan_input", lambda events, path: events.coalesce(4).write.parquet(path))
+    folder = _written(spark, sf_dir, "scan_input", lambda events, path: events.write.parquet(path))
     events = live.stream_event_table(spark, folder)
     query = live.start_batch_scan(
         events, lambda found, number: found.write.mode("append").parquet(f"{out}/alerts"), ScanConfig(settings=SETTINGS), f"{out}/checkpoint",
@@ -229,10 +229,10 @@ def stream_batch_scan(spark, sf_dir):
 
 
 def _late_files(events: DataFrame, path: str) -> None:
-    """A file of all events, and behind it one of failed logons as they would have come forty days earlier."""
-    events.coalesce(1).write.parquet(path)
+    """A folder of all events, and one of failed logons as they would have come forty days earlier."""
+    events.write.parquet(f"{path}/first")
     late = events.where("event_id = 4625").withColumns({"event_uid": F.expr("concat('L', event_uid)"), "event_ts": F.expr("event_ts - INTERVAL '40' DAY")})
-    late.coalesce(1).write.mode("append").parquet(path)
+    late.write.parquet(f"{path}/behind")
 
 
 @register(
@@ -242,6 +242,8 @@ def _late_files(events: DataFrame, path: str) -> None:
 def late_events(spark, sf_dir):
     """Events behind the watermark are kept for the batch scan."""
     out = store.scratch_path(spark, "late")
-    events = live.stream_event_table(spark, _written(spark, sf_dir, "late_input", _late_files), files_per_batch=1)
-    live.start_late_router(events, out, 3600, f"{out}/checkpoint", availableNow=True).awaitTermination()
+    landed = _written(spark, sf_dir, "late_input", _late_files)
+    for folders in ("{first}", "{first,behind}"):  # a run and a batch for each folder; one checkpoint knows the files it has seen
+        events = live.stream_event_table(spark, f"{landed}/{folders}")
+        live.start_late_router(events, out, 3600, f"{out}/checkpoint", availableNow=True).awaitTermination()
     return live.late_events(spark, out).select("event_uid", ts_text("event_ts").alias("event_time"))

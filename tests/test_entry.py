@@ -43,3 +43,8 @@ def test_query_matches_sql(spark, con, name):
         return sorted(tuple(map(str, r)) for r in df[columns].itertuples(index=False))
 
     assert rows(got) == rows(want)
+
+
+@pytest.mark.parametrize("name", ["late_events", "stream_batch_scan"])
+def test_stream_queries_match_sql(spark, con, name):
+    test_query_matches_sql(spark, con, name)

@@ -16,6 +16,7 @@ from emberwatch.plans.scan import ScanConfig
 from emberwatch.sources import store
 from emberwatch.streaming import live
 from emberwatch.streaming.detectors import LIVE_DETECTORS, live_detector
+from emberwatch.workload import scan_queries
 
 
 def run(spark, stream, folder):
@@ -112,3 +113,8 @@ def test_late_events_are_set_aside(spark, events, tmp_path):
     live.start_late_router(live.stream_event_table(spark, path, 1), late, 3600, str(tmp_path / "cp"), availableNow=True).awaitTermination()
     got = sorted((r.event_ts - START).total_seconds() for r in live.late_events(spark, late).collect())
     assert got == [0, 3599, 5399]
+
+
+def test_late_files_keep_the_partitions_of_their_table(spark, events, tmp_path):
+    scan_queries._late_files(events.frame([(i, 4625, {}) for i in range(60)]).repartition(3), str(tmp_path / "in"))
+    assert [len(list((tmp_path / "in" / folder).glob("part-*"))) for folder in ("first", "behind")] == [3, 3]
