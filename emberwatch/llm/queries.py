@@ -17,6 +17,7 @@ from emberwatch.llm import (
     mixing,
     quality_rules,
     repeats,
+    sketch_dedup,
     token_counts,
     toxicity,
 )
@@ -196,3 +197,11 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("op7_license_scan")
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan_licenses(table(spark, sf_dir, "documents")).drop("spans")
+
+
+# -- near duplicates by sketches ---------------------------------------------------------
+
+
+@register("op12_setsketch_dedup")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sketch_dedup.similar_documents(table(spark, sf_dir, "documents"))

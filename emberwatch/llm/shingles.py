@@ -1,4 +1,4 @@
-"""Sets of 5-word shingles as sorted 64-bit hashes, computed for whole batches of texts."""
+"""Sets of word shingles as sorted 64-bit hashes, computed for whole batches of texts."""
 
 from __future__ import annotations
 
@@ -11,10 +11,10 @@ _STEP = np.uint64(0xD1342543DE82EF95)
 _SHORT = np.uint64(0x632BE59BD9B4E019)
 
 
-def shingle_sets(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct shingle hashes of each text, sorted, and the n + 1 bounds of the texts' sets.
+def shingle_sets(raw: np.ndarray, offsets: np.ndarray, width: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct hashes of each text's shingles of ``width`` words, sorted, and the n + 1 bounds of the texts' sets.
 
-    A text of fewer than five words has its whole sequence as one shingle; without a word, none.
+    A text of fewer words has its whole sequence as one shingle; without a word, none.
     """
     raw = ASCII_LOWER[raw]
     starts, stops = runs(NOT_SPACE[raw], offsets)
@@ -22,12 +22,12 @@ def shingle_sets(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     text = np.searchsorted(offsets, starts, side="right") - 1
     n_texts = len(offsets) - 1
     sizes = np.bincount(text, minlength=n_texts)
-    rolled = np.zeros(max(0, len(words) - WORDS + 1), np.uint64)
-    for k in range(WORDS):
+    rolled = np.zeros(max(0, len(words) - width + 1), np.uint64)
+    for k in range(width):
         rolled = rolled * _STEP + words[k : k + len(rolled)]
-    one_text = text[: len(rolled)] == text[WORDS - 1 :] if len(rolled) else np.zeros(0, bool)
+    one_text = text[: len(rolled)] == text[width - 1 :] if len(rolled) else np.zeros(0, bool)
     hashes, owner = mix(rolled[one_text]), text[: len(rolled)][one_text]
-    short = np.flatnonzero((sizes > 0) & (sizes < WORDS))
+    short = np.flatnonzero((sizes > 0) & (sizes < width))
     if len(short):
         first = np.cumsum(sizes) - sizes
         whole = []
