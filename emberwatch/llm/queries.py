@@ -9,7 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from emberwatch.llm import (
+    alignment,
     bpe_codec,
+    collocations,
     exact_dedup,
     jaccard_join,
     language_id,
@@ -205,3 +207,46 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("op12_setsketch_dedup")
 def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sketch_dedup.similar_documents(table(spark, sf_dir, "documents"))
+
+
+# -- two tokenizers side by side ---------------------------------------------------------
+
+
+@register("op13_token_alignment")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.aligned_documents(
+        table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"),
+        public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN,
+    )
+
+
+# -- collocations ------------------------------------------------------------------------
+
+OP11_SQL = r"""
+WITH p AS (SELECT coalesce(lang, 'und') AS lang,
+    regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]') AS pieces FROM documents),
+s AS (SELECT lang, regexp_extract_all(unnest(pieces), '[^\x20\x09]+') AS w FROM p),
+i AS (SELECT lang, unnest(w) AS x, unnest(list_append(w[2 :], NULL)) AS y, unnest(list_concat(w[3 :], [NULL, NULL])[1 : len(w)]) AS z FROM s),
+n AS (SELECT lang, count(*) AS n FROM i WHERE x IS NOT NULL GROUP BY lang),
+f1 AS (SELECT lang, x, count(*) AS f FROM i WHERE x IS NOT NULL GROUP BY ALL),
+f2 AS (SELECT lang, x, y, count(*) AS f FROM i WHERE y IS NOT NULL GROUP BY ALL),
+f3 AS (SELECT lang, x, y, z, count(*) AS f FROM i WHERE z IS NOT NULL GROUP BY ALL HAVING count(*) >= 10),
+cuts AS (
+  SELECT c.lang, c.x || ' ' || c.y AS phrase, c.f AS a, 1 AS k, l.f AS l, r.f AS r
+  FROM f2 c JOIN f1 l ON l.lang = c.lang AND l.x = c.x JOIN f1 r ON r.lang = c.lang AND r.x = c.y WHERE c.f >= 10
+  UNION ALL SELECT c.lang, c.x || ' ' || c.y || ' ' || c.z, c.f, 1, l.f, r.f
+  FROM f3 c JOIN f1 l ON l.lang = c.lang AND l.x = c.x JOIN f2 r ON r.lang = c.lang AND r.x = c.y AND r.y = c.z
+  UNION ALL SELECT c.lang, c.x || ' ' || c.y || ' ' || c.z, c.f, 2, l.f, r.f
+  FROM f3 c JOIN f2 l ON l.lang = c.lang AND l.x = c.x AND l.y = c.y JOIN f1 r ON r.lang = c.lang AND r.x = c.z),
+v AS (SELECT *, CAST((1000000::HUGEINT * a * a) // (l::HUGEINT * r) AS BIGINT) AS score FROM cuts),
+b AS (SELECT * FROM v QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+d AS (SELECT lang, phrase, max(f) AS f FROM (SELECT lang, x || ' ' || y AS phrase, f FROM f3 UNION ALL SELECT lang, y || ' ' || z, f FROM f3) GROUP BY ALL),
+k AS (SELECT b.* FROM b LEFT JOIN d USING (lang, phrase) WHERE d.f IS NULL OR 100 * d.f < 50 * b.a),
+o AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM k)
+SELECT lang, rank, phrase, a, l, r, n, score FROM o JOIN n USING (lang) WHERE rank <= 2000
+"""
+
+
+@register("op11_collocations", OP11_SQL)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
