@@ -156,13 +156,16 @@ def test_scan_excludes_skips_and_allows(spark, events):
     assert watch_values(allow) == {"computer": ["hidden"]}
 
 
-def test_hot_key_is_split_over_tasks(spark, events):
-    """One source with nearly all events: no task may get more than its time blocks."""
-    from emberwatch.operators.windows import _with_blocks, keyed
+def test_hot_key_is_split_over_tasks(spark, events, monkeypatch):
+    """One source with nearly all events: no task may get more than its cell of rows."""
+    from emberwatch.operators import windows
 
+    monkeypatch.setattr(windows, "CELL_ROWS", 200)
     rows = events.frame([(i * 30, 4625, {"source_ip": "6.6.6.6", "username": "u"}) for i in range(3000)])
-    blocks = _with_blocks(keyed(rows, "source_ip", 300, 5)).groupBy("rule", "key", "block").count()
-    assert blocks.count() > 30 and blocks.agg(F.max("count")).first()[0] <= 3000 / 30
+    instants = windows.keyed(rows, "source_ip", 300, 5)
+    cells, n_cells = windows._in_cells(windows._with_ends(instants), windows.ORDER, "cells")
+    sizes = cells.groupBy("rule", "key", "cell").count()
+    assert n_cells == 30 == sizes.count() and sizes.agg(F.max("count")).first()[0] <= 2 * 200
     got = bursts.detect(rows, "brute_force").collect()
     assert len(got) == 273 and {r.evidence_count for r in got} == {11, 8}
 

@@ -58,8 +58,9 @@ def random_data():
     return data
 
 
-@pytest.mark.parametrize("width,minimum", [(10, 1), (10, 4), (37, 1), (37, 6), (300, 5)])
-def test_dense_windows_match_brute_force(spark, random_data, width, minimum):
+@pytest.mark.parametrize("width,minimum,cell", [(10, 1, 500), (37, 6, 200_000), (300, 5, 150), (37, 5, 900)])
+def test_dense_windows_match_brute_force(spark, random_data, monkeypatch, width, minimum, cell):
+    monkeypatch.setattr(w, "CELL_ROWS", cell)
     got = (
         w.dense_windows(make(spark, random_data), "key", width, minimum)
         .groupBy("key", "anchor").agg(F.count(F.lit(1)).alias("n")).collect()
@@ -70,8 +71,9 @@ def test_dense_windows_match_brute_force(spark, random_data, width, minimum):
     assert got == want
 
 
-@pytest.mark.parametrize("width,minimum", [(3, 2), (10, 3), (60, 4)])
-def test_first_stage_window_matches_brute_force(spark, random_data, width, minimum):
+@pytest.mark.parametrize("width,minimum,cell", [(3, 2, 200_000), (10, 3, 700), (60, 4, 300)])
+def test_first_stage_window_matches_brute_force(spark, random_data, monkeypatch, width, minimum, cell):
+    monkeypatch.setattr(w, "CELL_ROWS", cell)
     got = (
         w.first_stage_window(make(spark, random_data), "key", "stage", list("abcd"), width, minimum)
         .groupBy("key", "anchor").agg(F.count(F.lit(1)).alias("n")).collect()
@@ -82,6 +84,27 @@ def test_first_stage_window_matches_brute_force(spark, random_data, width, minim
     assert got == want
 
 
+def test_dense_key_has_no_long_row_or_task(spark, monkeypatch):
+    """One key with 200 events a second: windows reach over several cells, and nothing is collected per key."""
+    monkeypatch.setattr(w, "CELL_ROWS", 10_000)
+    seen = {}
+    real = w.materialize
+
+    def watched(df, name):
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        assert "collect_list" not in plan and "collect_set" not in plan
+        out = real(df, name)
+        if "cell" in out.columns and name.endswith("cells"):
+            seen[name] = out.groupBy("cell").count().agg(F.max("count")).first()[0]
+        return out
+
+    monkeypatch.setattr(w, "materialize", watched)
+    rows = spark.range(60_000).selectExpr("0 AS rule", "'k' AS key", "id * 5000 AS t", "60000000L AS width", "5000 AS minimum")
+    got = [r.anchor for r in w.greedy_windows(rows).orderBy("anchor").collect()]
+    assert got == [k * 60_005_000 for k in range(5)]
+    assert set(seen) == {"counted-cells", "starts-cells"} and max(seen.values()) <= 2 * 10_000
+
+
 def test_anchored_windows_restart_after_the_window(spark):
     data = {"a": [(0, "x"), (10, "x"), (600, "x")]}
     got = w.anchored_windows(make(spark, data), "key", 300).groupBy("anchor").count().orderBy("anchor").collect()
