@@ -4,11 +4,13 @@ import random
 import re
 from collections import defaultdict
 
+import numpy as np
 import pytest
 
 from emberwatch.llm import jaccard_join
 from emberwatch.llm.components import components
 from emberwatch.llm.jaccard_join import divide_skip, similar_components
+from emberwatch.llm.texts import pack
 from tests.llm.conftest import rows_of
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -60,9 +62,8 @@ def corpus(words, edited):
     return [(order[k], t) for k, t in enumerate(texts)]
 
 
-@pytest.mark.parametrize(("rounds", "cell"), [(3, 400), (1, 25)])
-def test_equals_brute_force(make_docs, corpus, monkeypatch, rounds, cell):
-    monkeypatch.setattr(jaccard_join, "MAX_ROUNDS", rounds)
+@pytest.mark.parametrize("cell", [400, 25])
+def test_equals_brute_force(make_docs, corpus, monkeypatch, cell):
     monkeypatch.setattr(jaccard_join, "CELL", cell)
     assert rows_of(similar_components(make_docs(corpus)).drop("text_key")) == brute(corpus)
 
@@ -111,3 +112,38 @@ def test_components(spark):
     want = {x: find(x) for x in parent if x not in loops}
     got = components(spark.createDataFrame(edges, "a bigint, b bigint")).collect()
     assert {r.node: r.root for r in got} == want and len(got) == len(want)
+
+
+def test_unlinked_members_of_a_list_take_few_seats(spark, monkeypatch):
+    """2,000 classes on one list, four of them linked: rows grow with members times parts, no pair is listed."""
+    rng = random.Random(8)
+    members = [sorted(rng.sample(range(1 << 40), 40)) for _ in range(2_000)]
+    members[1500] = sorted(members[3][:38] + [1, 2])
+    members[700] = sorted(members[1500][:38] + [3, 4])
+    members[41] = sorted(members[40][:39] + [5])
+    packed = [np.array(x, np.uint64) for x in members]
+    sets = spark.createDataFrame(
+        [(k, 40, pack(x[:10], jaccard_join.SET_BYTES), pack(x[10:], jaccard_join.SET_BYTES)) for k, x in enumerate(packed)],
+        "node bigint, size bigint, short binary, long binary",
+    )
+    lists = spark.createDataFrame([(s, k, 40, k) for s in (11, 12) for k in range(2_000)], "shingle bigint, node bigint, size bigint, root bigint")
+    seen = {}
+    real = jaccard_join.materialize
+
+    def counted(df, name):
+        out = real(df, name)
+        seen[name] = out.count()
+        return out
+
+    monkeypatch.setattr(jaccard_join, "materialize", counted)
+    found = {frozenset((r.a, r.b)) for r in jaccard_join.list_links(lists, sets).collect()}
+    assert found == {frozenset((3, 1500)), frozenset((700, 1500)), frozenset((40, 41))} or components_of(found) == [{3, 700, 1500}, {40, 41}]
+    assert seen["seats"] <= 2_000 * 6 and seen["sub-lists"] <= 8_000
+
+
+def components_of(pairs):
+    out = []
+    for pair in pairs:
+        joined = [c for c in out if c & pair]
+        out = [c for c in out if not c & pair] + [set(pair).union(*joined)]
+    return sorted(out, key=min)
