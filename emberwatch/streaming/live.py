@@ -2,35 +2,33 @@
 
 * :func:`live_alerts`: single-event rules in append mode, state-free.
 * :func:`new_alerts`, :func:`new_events`: de-duplication with state bounded by a watermark.
-* :func:`live_bursts`: dense windows per key carried over micro-batches; the same windows
-  as in batch as long as no event is later than the watermark.
+* :func:`live_windows`: window rules per key carried over micro-batches, the attack chain
+  among them; the same windows as in batch as long as no event is later than the watermark.
+* :func:`tumbling_counts`, :func:`sessions`: counts per tumbling window and per session.
 * :func:`start_batch_scan`: every detector on each micro-batch alone.
 * :func:`start_late_router`: what the watermark would drop goes to a table for the batch scan.
 """
 
 from __future__ import annotations
 
-import json
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from emberwatch.functions.events import event_fingerprint
 from emberwatch.functions.sqltext import lit
-from emberwatch.operators.alerts import DENSE, GroupRule, group_alerts
+from emberwatch.operators.alerts import DENSE, STAGES, GroupRule, group_alerts
 from emberwatch.operators.rowrules import RowRule, run_row_rules
 from emberwatch.operators.stateless import stateless_rules
 from emberwatch.operators.windows import MICROS
 from emberwatch.plans.scan import ScanConfig, run_detections
-from emberwatch.schema import EVENT_DDL, EVIDENCE_CAP, EVIDENCE_DDL, computed_once, epoch_micros, evidence_sql, ts_text
+from emberwatch.schema import EVENT_DDL, EVIDENCE_DDL, computed_once, epoch_micros, evidence_sql, ts_text
 from emberwatch.sources.json_logs import split_records
 from emberwatch.sources.store import scratch_scope
 from emberwatch.sources.syslog import parse_lines
+from emberwatch.streaming.stateful import FOUND_DDL, WindowProcessor
 
 
 def stream_lines(spark: SparkSession, path: str, files_per_batch: int | None = None) -> DataFrame:
@@ -83,93 +81,56 @@ def new_events(events: DataFrame, delay: str = "1 hour") -> DataFrame:
     return watermarked(hashed, "event_ts", delay).dropDuplicatesWithinWatermark(["event_hash"]).drop("_at")
 
 
-BURST_DDL = (
-    "key string, anchor bigint, n bigint, n_distinct bigint, names array<string>, bits int, first_ts timestamp_ntz, "
-    "items array<string>"
-)
-
-
-def _merge(pending: dict[int, dict], batch: pd.DataFrame) -> None:
-    """Add events to the per-instant state: counts per value, bits, and the first few evidence rows."""
-    for t, group in batch.groupby("t"):
-        at = pending.setdefault(int(t), {"values": {}, "bits": 0, "items": []})
-        for value, n in group["value"].value_counts().items():
-            at["values"][value] = at["values"].get(value, 0) + int(n)
-        at["bits"] |= int(np.bitwise_or.reduce(group["bits"].to_numpy()))
-        rows = [list(r) for r in group[["event_uid", "item"]].itertuples(index=False)]
-        at["items"] = sorted(at["items"] + rows)[:EVIDENCE_CAP]
-
-
-def _close(pending: dict[int, dict], width: int, min_count: int, names_shown: int, closed_before: int) -> Iterator[dict]:
-    """Decide every window whose end lies before ``closed_before``, in time order."""
-    times = sorted(pending)
-    i = 0
-    while i < len(times) and times[i] + width < closed_before:
-        j, n = i, 0
-        while j < len(times) and times[j] <= times[i] + width:
-            n += sum(pending[times[j]]["values"].values())
-            j += 1
-        if n < min_count:
-            i += 1
-            continue
-        members = [pending[t] for t in times[i:j]]
-        values = sorted({v for m in members for v in m["values"]})
-        items = [item for m in members for _, item in m["items"]][:EVIDENCE_CAP]
-        yield {
-            "anchor": times[i], "n": n, "n_distinct": len(values), "names": values[:names_shown],
-            "bits": int(np.bitwise_or.reduce([m["bits"] for m in members])), "items": items,
-        }
-        i = j
-    for t in times[:i]:
-        del pending[t]
-
-
-def live_bursts(events: DataFrame, rule: GroupRule, delay: str = "10 minutes") -> DataFrame:
-    """Alerts of a dense or anchored group rule over a stream, as soon as each window is over.
-
-    State per key is what lies within one window width of the watermark, one entry per
-    instant, not per event.
+STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def live_windows(events: DataFrame, rule: GroupRule, delay: str = "10 minutes") -> DataFrame:
+    """Alerts of a window rule over a stream, as soon as each window is over.
+
+    Dense and anchored rules give every window, stage rules the first one of each key. State
+    is kept in slots of an eighth of the width (:mod:`emberwatch.streaming.stateful`) in
+    RocksDB, which is set for the session's next streams; running checkpoints keep theirs.
     """
-    if rule.kind != DENSE:
+    if rule.kind not in (DENSE, STAGES):
         raise ValueError(f"{rule.detector} is not a window rule")
-    width, minimum, names_shown = int(rule.width_seconds) * MICROS, rule.minimum, rule.names_shown
-
-    def step(group: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        pending = {int(t): at for t, at in json.loads(state.get[0]).items()} if state.exists else {}
-        if not state.hasTimedOut:
-            for batch in batches:
-                _merge(pending, batch)
-        watermark = state.getCurrentWatermarkMs()
-        out = pd.DataFrame(list(_close(pending, width, minimum, names_shown, watermark * 1000)))
-        if pending:
-            state.update((json.dumps(pending),))
-            state.setTimeoutTimestamp(max((min(pending) + width) // 1000 + 1, watermark + 1))
-        else:
-            state.remove()
-        if len(out):
-            out.insert(0, "key", group[0])
-            out["first_ts"] = pd.to_datetime(out["anchor"], unit="us")
-            yield out[["key", "anchor", "n", "n_distinct", "names", "bits", "first_ts", "items"]]
-
+    events.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
+    width = int(rule.width_seconds) * MICROS
+    processor = WindowProcessor(width, rule.minimum, rule.names_shown, rule.evidence_cap, rule.kind == STAGES)
     rows = watermarked(events.where(rule.test), "event_ts", delay).select(
         F.expr(f"{rule.key} AS key"), epoch_micros("event_ts").alias("t"), "_at", "event_uid", F.expr(f"{rule.value} AS value"),
         F.expr(f"cast({rule.bits} as int) AS bits"), F.expr(f"to_json({evidence_sql(**rule.evidence)}) AS item"),
     )
-    found = rows.groupBy("key").applyInPandasWithState(
-        step, BURST_DDL, "pending string", "append", GroupStateTimeout.EventTimeTimeout
-    )
+    found = rows.groupBy("key").transformWithStateInPandas(processor, FOUND_DDL, "Append", "EventTime")
     groups = found.selectExpr(
-        "0 AS rule", "*", f"transform(items, x -> from_json(x, {lit(EVIDENCE_DDL)})) AS evidence",
-        "cast(array() as array<string>) AS watch_hits", "first_ts AS last_ts",
+        "0 AS rule", "*", f"transform(items, x -> from_json(x, {lit(EVIDENCE_DDL)})) AS evidence", "cast(array() as array<string>) AS watch_hits",
     ).where(rule.having)
     return group_alerts(groups, [rule])
 
 
+def tumbling_counts(events: DataFrame, keys: list[str], width: str, delay: str = "10 minutes") -> DataFrame:
+    """(keys, window_start, n) of each closed tumbling window; times are zone-less. :func:`start_late_router` keeps what comes too late."""
+    counted = watermarked(events, "event_ts", delay).groupBy(F.window("_at", width), *keys).agg(F.count(F.lit(1)).alias("n"))
+    return counted.select(*keys, _zoneless("window.start").alias("window_start"), "n")
+
+
+def sessions(events: DataFrame, keys: list[str], gap: str, delay: str = "10 minutes") -> DataFrame:
+    """(keys, session_start, session_end, n) of each closed session: a pause of ``gap`` ends it; the end is that of the last event."""
+    counted = watermarked(events, "event_ts", delay).groupBy(F.session_window("_at", gap), *keys).agg(
+        F.count(F.lit(1)).alias("n"), F.max("event_ts").alias("session_end")
+    )
+    return counted.select(*keys, _zoneless("session_window.start").alias("session_start"), "session_end", "n")
+
+
+def _zoneless(instant: str) -> Column:
+    """Zone-less time of an instant that :func:`watermarked` made."""
+    return F.expr(f"TIMESTAMP_NTZ '1970-01-01 00:00:00' + make_dt_interval(0, 0, 0, cast(unix_micros({instant}) / 1000000BD as decimal(18, 6)))")
+
+
 def start_batch_scan(events: DataFrame, sink: Callable[[DataFrame, int], None], config: ScanConfig,
                      checkpoint: str, **trigger) -> StreamingQuery:
     """Run all detectors on every micro-batch by itself and hand the alerts to ``sink(alerts, batch_id)``.
 
-    Bursts that span two micro-batches are missed here; :func:`live_bursts` finds them. The
+    Bursts that span two micro-batches are missed here; :func:`live_windows` finds them. The
     sink has to write or collect the alerts: what they are computed from is deleted after it.
     """
 

@@ -245,6 +245,36 @@ for _name, _closing in (
     ("lateral_movement", "event_id = 4624 AND logon_type = 3 AND username LIKE 'user%'"),
     ("discovery", "process_name LIKE '%ipconfig.exe'"),
     ("dns_exfiltration", "event_id = 22 AND raw_json LIKE '%.x%'"),
+    ("attack_chain", "event_id = 4625 AND username LIKE 'user%'"),
 ):
     _ctes, _select = KEYED_SQL[_name]
     register(f"stream_{_name}", over_events(f"SELECT {VIEW} FROM a", f"{_ctes}, a AS ({_select})"))(_live(_name, _closing))
+
+
+def _closed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return live.stream_event_table(spark, _stream_table(spark, sf_dir, "stream_closed", closing="event_id >= 0"))
+
+
+@register(
+    "stream_tumbling",
+    over_events("SELECT computer, strftime(date_trunc('hour', event_ts), '%Y-%m-%d %H:%M:%S') AS window_start, count(*) AS n FROM sec_events GROUP BY ALL"),
+)
+def stream_tumbling(spark, sf_dir):
+    """Events per host and hour, each hour once, when the watermark has passed it."""
+    found = _run(spark, live.tumbling_counts(_closed(spark, sf_dir), ["computer"], "1 hour", "1 minute"), "stream_tumbling")
+    return found.select("computer", ts_text("window_start").alias("window_start"), "n")
+
+
+@register(
+    "stream_sessions",
+    over_events(
+        "SELECT username, strftime(min(event_ts), '%Y-%m-%d %H:%M:%S') AS session_start, strftime(max(event_ts), '%Y-%m-%d %H:%M:%S') AS session_end, "
+        "count(*) AS n FROM (SELECT *, sum(fresh) OVER (PARTITION BY username ORDER BY event_ts RANGE UNBOUNDED PRECEDING) AS session FROM s) GROUP BY username, session",
+        "s AS (SELECT username, event_ts, CASE WHEN event_ts <= lag(event_ts) OVER (PARTITION BY username ORDER BY event_ts, event_uid) + INTERVAL 30 MINUTE "
+        "THEN 0 ELSE 1 END AS fresh FROM sec_events)",
+    ),
+)
+def stream_sessions(spark, sf_dir):
+    """Sessions of every user: a pause of half an hour ends one."""
+    found = _run(spark, live.sessions(_closed(spark, sf_dir), ["username"], "30 minutes", "1 minute"), "stream_sessions")
+    return found.select("username", ts_text("session_start").alias("session_start"), ts_text("session_end").alias("session_end"), "n")

@@ -7,6 +7,7 @@ from datetime import timedelta
 from pathlib import Path
 
 import pytest
+from pyspark.sql import functions as F
 from conftest import START
 
 from emberwatch.operators import bursts
@@ -51,10 +52,40 @@ def test_only_windowed_detectors_stream(spark, events, tmp_path):
     path = str(tmp_path / "in")
     land([events.frame([(0, 1, {})])], path)
     with pytest.raises(ValueError):
-        live_detector(live.stream_event_table(spark, path), "attack_chain")
+        live_detector(live.stream_event_table(spark, path), "privilege_escalation")
     assert set(LIVE_DETECTORS) < set(bursts.KEYED_DETECTORS)
 
 
+def test_attack_chain_over_batch_borders(spark, events, tmp_path):
+    """Stages of a chain that come in different micro-batches; only the first window of a user counts, late events do not."""
+    fields = {"username": "u", "target_username": "u"}
+    stages = [(0, 4625, fields), (600, 4672, fields), (900, 4624, {**fields, "logon_type": 3})]
+    later = [(90000, 4625, fields), (90060, 4672, fields)]
+    other = [(30, 4625, {"username": "v", "target_username": "v"})]
+    path = str(tmp_path / "in")
+    batches = [stages[:1] + other, stages[1:2], stages[2:] + later, [(10, 4672, {"username": "v", "target_username": "v"})], [(900000, 4625, {**fields, "username": "w"})]]
+    land([events.frame(b).withColumn("event_uid", F.concat(F.lit(f"{k}-"), "event_uid")) for k, b in enumerate(batches)], path)
+    folders = sorted(Path(path).glob("*.parquet"), key=lambda f: f.stat().st_mtime)
+    assert len(folders) == len(batches)
+    got = run(spark, live_detector(live.stream_event_table(spark, path, 1), "attack_chain", delay="1 minute"), tmp_path).collect()
+    want = bursts.detect(events.frame(stages), "attack_chain").collect()
+    assert [(r.description, r.alert_ts, r.evidence_count, len(r.evidence)) for r in got] == [
+        (r.description, r.alert_ts, r.evidence_count, len(r.evidence)) for r in want
+    ]
+
+
+def test_state_is_one_entry_per_slot():
+    """The processor reads a slot and those its windows reach, never all slots of a key."""
+    import numpy as np
+
+    from emberwatch.streaming.stateful import SLOTS, dense_start, slot_length, stage_start
+
+    ts = np.array([0, 5, 9, 20, 21, 22, 40])
+    assert dense_start(ts, np.arange(7), 3, 3) == 3 and dense_start(ts, np.arange(3), 3, 3) is None
+    assert stage_start(ts, np.array([1, 1, 2, 1, 2, 4, 1]), np.arange(7), 10, 3) == 3
+    assert slot_length(80) * SLOTS == 80 and slot_length(3) == 1
+
+
 def test_lines_to_alerts_once(spark, tmp_path):
     line = {"TimeCreated": START.isoformat() + "Z", "EventID": 1102, "Computer": "H"}
     folder = tmp_path / "logs"
