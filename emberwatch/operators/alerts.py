@@ -2,7 +2,8 @@
 
 A :class:`GroupRule` selects events, gives each a key, and says what makes a group: a
 dense or anchored window, the first window with enough stages, or the whole key. All
-rules share one scan of the events, one search for windows and one summary. A group can
+rules share one scan of the events (:func:`find_groups` writes its hits), one search for
+windows and one summary. A group can
 hold any share of the data, so nothing collects a whole group: counts and distinct
 counts are aggregated in two steps, and the few evidence rows and names an alert shows
 come from a rank filter, which Spark also applies before the shuffle.
@@ -177,14 +178,25 @@ def group_alerts(groups: DataFrame, rules: list[GroupRule]) -> DataFrame:
     return finish_alerts(_described(groups, rules))
 
 
+def find_groups(events: DataFrame, rules: list[GroupRule]) -> DataFrame:
+    """Rows of all groups of all rules, written to the shared folder.
+
+    This is the step of the group pass that runs jobs: one scan of the events writes the
+    hits, the windows are found in them, and the hits in windows are written. Counts, names
+    and evidence read what is written.
+    """
+    hits = materialize(group_rows(events, rules), "hits")
+    return materialize(grouped(hits, rules), "grouped-hits")
+
+
 def group_evidence(events: DataFrame, rules: list[GroupRule]) -> DataFrame:
     """Every event of every alert: (alert_id, event_uid, event_ts, item). The alerts themselves carry a first few."""
-    rows = grouped(group_rows(events, rules), rules)
+    rows = find_groups(events, rules)
     named = _described(summarize(rows, rules), rules)
     ids = named.select(*GROUP, alert_key(F.col("rule_name"), F.col("alert_ts"), F.col("description")).alias("alert_id"))
     return rows.join(ids, GROUP).select("alert_id", "event_uid", "event_ts", "item")
 
 
 def run_group_rules(events: DataFrame, rules: list[GroupRule], watch: Mapping[str, list[str]] | None = None) -> DataFrame:
-    """Alerts of all rules over ``events``."""
-    return group_alerts(summarize(grouped(group_rows(events, rules), rules), rules, watch), rules)
+    """Alerts of all rules over ``events``; runs :func:`find_groups`."""
+    return group_alerts(summarize(find_groups(events, rules), rules, watch), rules)

@@ -50,12 +50,13 @@ BY = ["rule", "key"]
 SLOT_LEN = "greatest(width, 1L)"
 
 
-def _in_cells(rows: DataFrame, order: list[str], name: str) -> tuple[DataFrame, int]:
-    """Rows with the number of their ``cell``, and the number of cells: a cell is a range of the rows sorted by ``order``."""
-    written = materialize(rows, name)
-    n_cells = max(1, -(-written.count() // CELL_ROWS))
-    ranged = written.repartitionByRange(n_cells, *order) if n_cells > 1 else written.coalesce(1)
-    return materialize(ranged.withColumn("cell", F.spark_partition_id()), f"{name}-cells"), n_cells
+def _in_cells(written: DataFrame, n_rows: int, order: list[str], name: str) -> tuple[DataFrame, int]:
+    """Rows of a written table with the number of their ``cell``, and the number of cells: a cell is a range of the rows sorted by ``order``."""
+    n_cells = max(1, -(-n_rows // CELL_ROWS))
+    if n_cells == 1:
+        return written.coalesce(1).withColumn("cell", F.lit(0)), 1
+    ranged = written.repartitionByRange(n_cells, *order).withColumn("cell", F.spark_partition_id())
+    return materialize(ranged, f"{name}-cells"), n_cells
 
 
 def _with_ends(rows: DataFrame) -> DataFrame:
@@ -149,7 +150,7 @@ def _count_cell(several: bool):
 
 def _dense_starts(instants: DataFrame) -> DataFrame:
     """(rule, key, t, width) of the instants whose window holds ``minimum`` events."""
-    cells, n_cells = _in_cells(_with_ends(instants), ORDER, "counted")
+    cells, n_cells = _in_cells(_with_ends(instants), 2 * instants.count(), ORDER, "counted")
     counted = cells.groupBy("cell").applyInArrow(_count_cell(n_cells > 1), _COUNTED)
     if n_cells == 1:
         return counted.select(*BY, "t", "width")
@@ -262,8 +263,8 @@ def greedy_windows(rows: DataFrame) -> DataFrame:
     """Window starts (rule, key, width, anchor) of keyed rows."""
     instants = materialize(rows.where("key IS NOT NULL").groupBy(*BY, "t", "width", "minimum").agg(F.expr("count(1) AS n")), "instants")
     single = instants.where("minimum <= 1").select(*BY, "t", "width")
-    starts = single.unionByName(_dense_starts(instants.where("minimum > 1")))
-    cells, n_cells = _in_cells(_with_ends(starts), ORDER, "starts")
+    starts = materialize(single.unionByName(_dense_starts(instants.where("minimum > 1"))), "starts")
+    cells, n_cells = _in_cells(_with_ends(starts), 2 * starts.count(), ORDER, "starts")
     linked = cells.groupBy("cell").applyInArrow(_link_cell(n_cells > 1), _LINKED)
     if n_cells > 1:
         linked = materialize(linked, "links")
@@ -281,8 +282,8 @@ def first_stage_windows(rows: DataFrame, stages: int) -> DataFrame:
     ``bits`` of a row has bit i set if the row is of stage i. The next instant of every
     stage is looked for inside a cell; from later cells only their first ones are needed.
     """
-    instants = rows.groupBy(*BY, "t", "width", "minimum").agg(F.expr("bit_or(bits) AS bits"))
-    cells, _ = _in_cells(instants, [*BY, "t"], "stages")
+    instants = materialize(rows.groupBy(*BY, "t", "width", "minimum").agg(F.expr("bit_or(bits) AS bits")), "stage-instants")
+    cells, _ = _in_cells(instants, instants.count(), [*BY, "t"], "stages")
     of = [f"min(CASE WHEN bits & {1 << i} <> 0 THEN t END)" for i in range(stages)]
     later = "OVER (PARTITION BY rule, key ORDER BY cell ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING)"
     firsts = cells.groupBy(*BY, "cell").agg(*[F.expr(f"{e} AS f{i}") for i, e in enumerate(of)])

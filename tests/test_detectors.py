@@ -163,7 +163,7 @@ def test_hot_key_is_split_over_tasks(spark, events, monkeypatch):
     monkeypatch.setattr(windows, "CELL_ROWS", 200)
     rows = events.frame([(i * 30, 4625, {"source_ip": "6.6.6.6", "username": "u"}) for i in range(3000)])
     instants = windows.keyed(rows, "source_ip", 300, 5)
-    cells, n_cells = windows._in_cells(windows._with_ends(instants), windows.ORDER, "cells")
+    cells, n_cells = windows._in_cells(windows._with_ends(instants), 6000, windows.ORDER, "cells")
     sizes = cells.groupBy("rule", "key", "cell").count()
     assert n_cells == 30 == sizes.count() and sizes.agg(F.max("count")).first()[0] <= 2 * 200
     got = bursts.detect(rows, "brute_force").collect()
