@@ -22,6 +22,7 @@ from emberwatch.functions.sqltext import EVENT_TIME, USER_OR_TARGET, lit
 from emberwatch.functions.text import number_or_zero, search
 from emberwatch.operators.alerts import DENSE, WHOLE, GroupRule, run_group_rules
 from emberwatch.operators.rowrules import RowRule
+from emberwatch.operators.ruleindex import Literal, Literals, all_of
 from emberwatch.schema import EVENT_COLUMNS, SEVERITIES
 
 
@@ -81,6 +82,18 @@ def conditions_test(conditions: Iterable[Mapping]) -> Column:
     return reduce(lambda a, b: a & b, tests, F.lit(True))
 
 
+def condition_literals(conditions: Iterable[Mapping]) -> Literals | None:
+    """Texts of which one is there if all conditions hold."""
+    found: list[Literals | None] = []
+    for c in conditions:
+        field, op, value = event_field_sql(c.get("field", "")), c.get("operator", "equals"), c.get("value", "")
+        if op in ("contains", "startswith", "endswith"):
+            found.append(frozenset([Literal(field, str(value).lower())]))
+        elif op in ("equals", "in"):
+            found.append(frozenset(Literal(field, str(v).lower(), True) for v in (value if op == "in" else [value])))
+    return all_of(found)
+
+
 @dataclass(frozen=True)
 class FieldRule:
     name: str
@@ -119,7 +132,7 @@ class FieldRule:
     def row_rule(self) -> RowRule:
         return RowRule(
             f"rule:{self.name}", self.test(), self.name, self.severity, F.lit(self.description),
-            self.tactic, self.technique, self.recommendation, self.evidence(),
+            self.tactic, self.technique, self.recommendation, self.evidence(), literals=condition_literals(self.conditions),
         )
 
 

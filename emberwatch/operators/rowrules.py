@@ -1,22 +1,27 @@
 """One pass over the events for any number of single-event rules.
 
-Each rule is a predicate plus the alert it raises. All predicates are evaluated in one
-array expression over one scan; rows without a hit are dropped before any alert text is
-built.
+Each rule is a predicate plus the alert it raises. Up to ``RULES_PER_ARRAY`` predicates are
+evaluated in one array expression over one scan; rows without a hit are dropped before any
+alert text is built. Of more rules, those that name fixed texts (:attr:`RowRule.literals`)
+go through an index: one scan finds which groups of rules an event can match at all and
+writes these few events, and each group is evaluated on its own ones only.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from itertools import compress
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from emberwatch.functions.sqltext import lit
 from emberwatch.functions.text import first_match
-from emberwatch.schema import evidence_struct, finish_alerts
+from emberwatch.operators.ruleindex import Literals, RuleIndex
+from emberwatch.schema import evidence_struct, finish_alerts, union_all
+from emberwatch.sources.store import materialize
 
-RULES_PER_PASS = 100  # predicates per generated array; keeps the generated code compilable
+RULES_PER_ARRAY = 100  # predicates per generated array; keeps the generated code compilable
 
 
 @dataclass(frozen=True)
@@ -33,6 +38,7 @@ class RowRule:
     recommendation: str
     evidence: dict[str, str] = field(default_factory=dict)  # evidence field to SQL expression
     inputs: dict[str, Column] = field(default_factory=dict)  # helper columns the others refer to by name
+    literals: Literals | None = None  # texts of which an event that matches holds one; None if there are none to name
 
 
 def _value(x: str | Column) -> Column:
@@ -51,7 +57,10 @@ def _per_rule(rules: list[RowRule], pick) -> Column:
 def _hits(events: DataFrame, rules: list[RowRule]) -> DataFrame:
     # The array goes straight into explode: as a column of its own, the filter Spark
     # infers from explode would evaluate every predicate a second time.
-    found = F.array_compact(F.array(*[F.when(rule.test, F.lit(i)) for i, rule in enumerate(rules)]))
+    arrays = [
+        F.array(*[F.when(rules[i].test, F.lit(i)) for i in range(k, min(k + RULES_PER_ARRAY, len(rules)))]) for k in range(0, len(rules), RULES_PER_ARRAY)
+    ]
+    found = F.array_compact(F.concat(*arrays) if len(arrays) > 1 else arrays[0])
     inputs = {name: column for rule in rules for name, column in rule.inputs.items()}
     return events.select("*", *[c.alias(n) for n, c in inputs.items()]).select("*", F.explode(found).alias("hit"))
 
@@ -81,11 +90,22 @@ def _alerts(events: DataFrame, rules: list[RowRule]) -> DataFrame:
 
 
 def run_row_rules(events: DataFrame, rules: list[RowRule]) -> DataFrame:
-    """Alerts of all rules over ``events``: one row per (event, matching rule)."""
+    """Alerts of all rules over ``events``: one row per (event, matching rule).
+
+    With more than ``RULES_PER_ARRAY`` rules this runs the job of the rule index; a stream evaluates all rules in one pass.
+    """
     if not rules:
         raise ValueError("no rules")
-    parts = [rules[i : i + RULES_PER_PASS] for i in range(0, len(rules), RULES_PER_PASS)]
-    out = _alerts(events, parts[0])
-    for part in parts[1:]:
-        out = out.unionByName(_alerts(events, part))
-    return out
+    if len(rules) <= RULES_PER_ARRAY or events.isStreaming:
+        return _alerts(events, rules)
+    named = [r.literals is not None and all(x.usable for x in r.literals) for r in rules]
+    indexed, rest = list(compress(rules, named)), [r for r, n in zip(rules, named, strict=True) if not n]
+    frames = [_alerts(events, rest)] if rest else []
+    return union_all(frames + _indexed_alerts(events, indexed)) if indexed else frames[0]
+
+
+def _indexed_alerts(events: DataFrame, rules: list[RowRule]) -> list[DataFrame]:
+    groups = [rules[k : k + RULES_PER_ARRAY] for k in range(0, len(rules), RULES_PER_ARRAY)]
+    index = RuleIndex([[r.literals for r in group] for group in groups])
+    candidates = materialize(index.candidates(events), "rule-candidates", partition_by="rule_group")
+    return [_alerts(candidates.where(F.col("rule_group") == k).drop("rule_group"), group) for k, group in enumerate(groups)]

@@ -61,12 +61,15 @@ def scratch_scope(spark: SparkSession) -> Iterator[None]:
             path.getFileSystem(conf).delete(path, True)
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: cuts lineage, survives executor loss."""
+def materialize(df: DataFrame, name: str, partition_by: str | None = None) -> DataFrame:
+    """Write ``df`` to the shared folder and read it back: cuts lineage, survives executor loss.
+
+    With ``partition_by`` each value of that column gets a folder, which filters on it read alone.
+    """
     path = scratch_path(df.sparkSession, name)
     if (made := _scope.get()) is not None:
         made.append(path)
-    df.write.parquet(path)
+    df.write.parquet(path, partitionBy=partition_by)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

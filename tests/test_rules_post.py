@@ -6,9 +6,10 @@ import pytest
 from conftest import START
 from pyspark.sql import functions as F
 
-from emberwatch.operators import correlate, hashchain, post
+from emberwatch.operators import correlate, hashchain, post, rowrules
 from emberwatch.operators.fieldrules import OPERATORS, FieldRule, conditions_test, event_field
-from emberwatch.operators.sigma import detect_sigma, merge_selections
+from emberwatch.operators.ruleindex import Literal, RuleIndex, of_condition
+from emberwatch.operators.sigma import detect_sigma, merge_selections, sigma_row_rule
 from emberwatch.plans import payloads, reports
 from emberwatch.schema import ALERT_COLUMNS, evidence_struct, finish_alerts
 from emberwatch.sources import store
@@ -103,6 +104,47 @@ def test_sigma_labels(three):
     assert detect_sigma(three, many).count() == 0
 
 
+def _many_rules(n):
+    out = []
+    for k in range(n):
+        selections = [
+            {"selection": {"CommandLine|contains": f"tool{k % 97}x"}},
+            {"selection": {"EventID": 4000 + k, "User": f"User{k % 13}"}},
+            {"selection": {"Image": f"*\\\\app{k}.exe"}, "other": {"EventID": [k, k + 1]}, "condition": "selection or other"},
+            {"selection": {"EventID": k}, "no": {"User|startswith": "user1"}, "condition": "selection and not no"},
+            {"selection": {"CommandLine|re": f"tool{k}x+$"}},
+        ]
+        out.append({"title": f"r{k}", "detection": selections[k % 5]})
+    return out
+
+
+def test_rule_index_gives_what_all_rules_give(spark, events, monkeypatch):
+    rows = [(k, k * 7 % 300, {"command_line": f"run TOOL{k % 120}xx", "username": f"user{k % 17}", "process_name": f"C:\\app{k}.exe"}) for k in range(200)]
+    rows += [(k, 4000 + k, {"username": f"USER{k % 13}"}) for k in range(300)]
+    frame, rules = events.frame(rows), [sigma_row_rule(r, k) for k, r in enumerate(_many_rules(300))]
+    columns = ["rule_name", "alert_ts", "evidence"]
+    got = sorted(map(str, rowrules.run_row_rules(frame, rules).select(columns).collect()))
+    monkeypatch.setattr(rowrules, "RULES_PER_ARRAY", 1000)
+    assert got == sorted(map(str, rowrules.run_row_rules(frame, rules).select(columns).collect())) and len(got) > 300
+
+
+def test_rule_index_reads_the_events_once(spark, events):
+    """Whatever the number of rules: one scan finds the candidates, and an event costs its own tokens."""
+    frame = events.frame([(0, 1, {"command_line": "tool5x"})])
+    for n in (150, 600):
+        rules = [sigma_row_rule({"title": f"r{k}", "detection": {"selection": {"CommandLine|contains": f"tool{k}x"}}}, k) for k in range(n)]
+        index = RuleIndex([[r.literals for r in rules[k : k + 100]] for k in range(0, n, 100)])
+        assert spark.sql("SELECT 'tool5x' AS command_line").selectExpr(f"size({index.event_tokens()}) AS n").first().n <= 2 + 4
+        assert [r.rule_name for r in rowrules.run_row_rules(frame, rules).collect()] == ["Sigma: r5"]
+
+
+def test_texts_of_conditions():
+    a, b = frozenset([Literal("f", "aaa")]), frozenset([Literal("f", "bbbb"), Literal("f", "cc")])
+    values = {"s_a": a, "s_b": b, "s_n": None}
+    for sql, want in (("(`s_a` AND `s_b`)", a), ("(`s_a` OR `s_b`)", a | b), ("(`s_n` OR `s_b`)", None), ("(`s_n` AND NOT `s_a`)", None), ("(`s_b` AND NOT `s_n`)", b), ("(false)", frozenset())):
+        assert of_condition(sql, values) == want
+
+
 @pytest.fixture(scope="module")
 def alerts(spark):
     rows = [
