@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from emberwatch.schema import computed_once
 from emberwatch.sources.json_logs import good_numbers, record_events, record_fields
-from emberwatch.sources.lines import read_lines
+from emberwatch.sources.lines import numbered, read_lines
 
 EVENT_SCHEMA = """
   System struct<
@@ -75,10 +75,10 @@ def read_event_xml(spark: SparkSession, path: str, layout: str = "documents", **
         xml = computed_once(lines, e=parsed).select("e.*", "src_file", "line_id")
     else:
         stray = None
-        xml = (
+        xml = numbered(
             spark.read.format("xml").options(**options).option("rowTag", "Event").option("ignoreNamespace", True)
             .option("columnNameOfCorruptRecord", "_corrupt").schema(EVENT_SCHEMA).load(path)
-        ).select("*", F.col("_metadata.file_path").alias("src_file"), F.monotonically_increasing_id().alias("line_id"))
+        )
     data = _named_data()
     record = F.struct(
         F.coalesce("System.Provider._Name", F.lit("")).alias("Source"),

@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 
 from emberwatch.functions.events import event_category, first_field
 from emberwatch.functions.timestamps import event_time, or_unknown
-from emberwatch.schema import computed_once, normalize_events, union_all
+from emberwatch.schema import computed_once, normalize_events
+from emberwatch.sources.arrays import array_elements, pieces_of
 from emberwatch.sources.lines import line_uid, read_lines
+from emberwatch.sources.store import materialize
 
 # Record keys per event column, in order of preference.
 FIELD_KEYS = {
@@ -29,65 +31,32 @@ FIELD_KEYS = {
 NUMBERS = ("event_id", "logon_type")
 
 
-# Spark's limit for one VARIANT value. An array file is parsed as one value.
-ARRAY_FILE_LIMIT = 128 * 1024 * 1024
-
-
-def array_files(spark: SparkSession, path: str, layout: str = "auto", **options: str) -> tuple[list[str], list[str]]:
-    """(files that hold one JSON array, those of them that are too large for one value).
-
-    A file is an array if its first character that is not white space is ``[``; with the
-    layout ``array`` all are. Only names of array files reach the driver.
-    """
-    lines = spark.read.options(**options).text(path).select(
-        F.col("_metadata.file_path").alias("src_file"), F.col("_metadata.file_size").alias("size"),
-        F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row"),
-        F.substring(F.ltrim("value"), 1, 1).alias("head"),
-    )
-    files = lines.where("head <> ''").groupBy("src_file", "size").agg(F.min_by("head", F.struct("block", "row")).alias("first"))
-    if layout == "auto":
-        files = files.where(F.col("first") == "[")
-    found = files.select("src_file", "size").collect()
-    return [r[0] for r in found if r[1] < ARRAY_FILE_LIMIT], [r[0] for r in found if r[1] >= ARRAY_FILE_LIMIT]
-
-
-def unread_files(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """One record without ``raw`` per file, which puts the file's name into quarantine."""
-    rows = spark.createDataFrame([(p, p, 0) for p in paths], "value string, src_file string, line_id bigint")
-    return rows.withColumn("raw", F.try_parse_json(F.lit("{")))
-
-
-def read_arrays(spark: SparkSession, paths: str | list[str], **options: str) -> DataFrame:
-    """Elements of array files as (value, raw, src_file, line_id); one row without raw for a broken file."""
-    whole = (
-        spark.read.options(**options).option("multiLine", True).option("singleVariantColumn", "raw").json(paths)
-    )
-    items = F.coalesce(F.try_variant_get("raw", "$", "array<variant>"), F.array(F.lit(None).cast("variant")))
-    one = whole.select(F.explode(items).alias("raw"), F.col("_metadata.file_path").alias("src_file"))
-    return one.select(
-        F.coalesce(F.to_json("raw"), "src_file").alias("value"), "src_file",
-        F.monotonically_increasing_id().alias("line_id"), "raw",
-    )
+def array_files(pieces: DataFrame) -> DataFrame:
+    """(src_file) of files whose first character that is not white space is ``[``."""
+    head = pieces.select("src_file", "block", F.monotonically_increasing_id().alias("row"), F.substring(F.ltrim(F.translate("value", "\n\r\t\ufeff", "   ")), 1, 1).alias("head"))
+    first = head.where("head <> ''").groupBy("src_file").agg(F.min_by("head", F.struct("block", "row")).alias("first"))
+    return first.where(F.col("first") == "[").select("src_file")
 
 
 def read_records(spark: SparkSession, path: str, layout: str = "auto", **options: str) -> DataFrame:
     """Records as (value JSON text, src_file, line_id, raw VARIANT); raw is NULL for malformed ones.
 
-    ``layout`` is ``lines``, ``array`` or ``auto``. Naming ``lines`` saves a look at the
-    files. An array file that Spark cannot hold as one value goes to quarantine by name.
+    ``layout`` is ``lines``, ``array`` or ``auto``. Naming it saves a look at the files. An
+    array is cut into its elements wherever it is long (:mod:`emberwatch.sources.arrays`).
     """
-    arrays, large = ([], []) if layout == "lines" else array_files(spark, path, layout, **options)
-    frames = []
-    if layout != "array":
-        lines = read_lines(spark, path, **options)
-        if arrays or large:
-            lines = lines.where(~F.col("src_file").isin(arrays + large))
-        frames.append(computed_once(lines, raw=F.try_parse_json("value")))
-    if arrays:
-        frames.append(read_arrays(spark, arrays, **options))
-    if large or not frames:
-        frames.append(unread_files(spark, large))
-    return union_all(frames)
+    if layout == "lines":
+        rows = read_lines(spark, path, **options)
+    else:
+        pieces = pieces_of(spark, path, **options)
+        if layout == "array":
+            rows = array_elements(pieces)
+        else:
+            # Names of files, written once: both sides below ask for them.
+            arrays = materialize(array_files(pieces), "array-files")
+            rows = read_lines(spark, path, **options).join(arrays, "src_file", "left_anti")
+            if arrays.take(1):
+                rows = rows.unionByName(array_elements(pieces, arrays))
+    return computed_once(rows, raw=F.try_parse_json("value"))
 
 
 def record_fields(records: DataFrame, field_keys: dict[str, list[str]] = FIELD_KEYS) -> DataFrame:

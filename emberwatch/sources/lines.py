@@ -45,19 +45,27 @@ def discover_logs(spark: SparkSession, path: str, recursive: bool = False) -> Da
     return files.select(F.col("path").alias("src_file"), format_of("path").alias("src_format"), "length")
 
 
-def stamp(df: DataFrame, value: Column) -> DataFrame:
-    """Add file name and a line id that grows in file order."""
-    return df.select(
-        value.alias("value"),
-        F.col("_metadata.file_path").alias("src_file"),
-        F.monotonically_increasing_id().alias("line_id"),
+def numbered(rows: DataFrame) -> DataFrame:
+    """Rows of a file reader with ``src_file`` and ``line_id``, the number of the row in its file.
+
+    The numbers depend neither on other files nor on how files are split: a first pass counts
+    the rows of each byte range, which reads no column, and running sums over a file's ranges
+    tell where each begins.
+    """
+    placed = rows.select(
+        "*", F.col("_metadata.file_path").alias("src_file"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_at")
+    )
+    ranges = placed.groupBy("src_file", "_block").agg(F.min("_at").alias("_first"), F.count(F.lit(1)).alias("_n"))
+    begins = ranges.selectExpr(
+        "src_file", "_block", "_first", "coalesce(sum(_n) OVER (PARTITION BY src_file ORDER BY _block ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS _begin"
     )
+    return placed.join(begins, ["src_file", "_block"]).withColumn("line_id", F.expr("_begin + _at - _first")).select(*rows.columns, "src_file", "line_id")
 
 
 def read_lines(spark: SparkSession, path: str | list[str], **options: str) -> DataFrame:
     """Non-blank lines, trimmed. Long files are split over many tasks."""
-    text = spark.read.options(**options).text(path)
-    return stamp(text, F.trim("value")).where(F.col("value") != "")
+    lines = numbered(spark.read.options(**options).text(path))
+    return lines.select(F.trim("value").alias("value"), "src_file", "line_id").where(F.col("value") != "")
 
 
 def line_uid() -> Column:

@@ -112,8 +112,9 @@ def read_siem_export(spark: SparkSession, path: str, layout: str = "files", **op
     bad = docs.where("items IS NULL").select(
         "value", "src_file", "line_id", F.when(F.col("raw").isNull(), "malformed").otherwise("no alerts").alias("reason")
     )
-    items = docs.select(F.explode("items").alias("raw"), "src_file")
-    return normalize_events(export_events(items.withColumn("line_id", F.monotonically_increasing_id()))), bad
+    # Numbered by document and place in it: pages hold less than 2**24 alerts.
+    items = docs.select(F.posexplode("items").alias("at", "raw"), "src_file", "line_id").withColumn("line_id", F.expr("line_id * 16777216 + at"))
+    return normalize_events(export_events(items.drop("at"))), bad
 
 
 def newer_than(alerts: DataFrame, last_id: int, id_column: str = "id") -> DataFrame:

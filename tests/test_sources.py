@@ -215,16 +215,50 @@ def test_auto_layout_looks_at_the_first_character_of_each_file(spark, tmp_path):
     assert sorted(r.value.rsplit("/", 1)[-1] for r in bad.collect()) == ["[truncated", "broken.json"]
 
 
-def test_too_large_arrays_go_to_quarantine(spark, tmp_path, monkeypatch):
-    from emberwatch.sources import json_logs
-
-    monkeypatch.setattr(json_logs, "ARRAY_FILE_LIMIT", 60)
-    (tmp_path / "small.json").write_text('[{"EventID": 1}]')
-    (tmp_path / "large.json").write_text("[" + ",".join(['{"EventID": 1}'] * 10) + "]")
-    for layout in ("auto", "array"):
-        events, bad = read_json_logs(spark, str(tmp_path), layout=layout)
-        assert events.count() == 1
-        assert [(r.value.rsplit("/", 1)[-1], r.reason) for r in bad.collect()] == [("large.json", "unreadable file")]
+@pytest.fixture
+def small_splits(spark):
+    def cut(size):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        spark.conf.set("spark.sql.files.openCostInBytes", 1)
+
+    yield cut
+    for name in ("maxPartitionBytes", "openCostInBytes"):
+        spark.conf.unset(f"spark.sql.files.{name}")
+
+
+def test_long_arrays_are_cut_over_tasks(spark, tmp_path, small_splits):
+    """An array over many byte ranges gives the rows of the same data as lines, with the same numbers for any split."""
+    odd = ['a"b', "x\\", "[{", "}]", ",", "é\n", '\\"', "{" * 3, ""]
+    rows = [{"EventID": k, "Source": odd[k % 9] + "}" * (k % 3), "EventData": {"a": [k, {"b": "]"}], "c": odd[(k + 4) % 9]}} for k in range(3000)]
+    (tmp_path / "a").mkdir()
+    (tmp_path / "l").mkdir()
+    (tmp_path / "a" / "one.json").write_text("\ufeff [\n" + ",\n ".join(map(json.dumps, rows)) + "\n]\n")
+    (tmp_path / "a" / "two.json").write_text("[" + json.dumps(rows[3]) + "]")
+    (tmp_path / "a" / "none.json").write_text(" [ ] ")
+    (tmp_path / "l" / "one.json").write_text("\n".join(map(json.dumps, rows + [rows[3]])))
+    want = sorted((r.event_id, r.source) for r in read_json_logs(spark, str(tmp_path / "l"))[0].collect())
+    seen = []
+    for size in (3_000, 20_000, 1 << 27):
+        small_splits(size)
+        for layout in ("auto", "array"):
+            events, bad = read_json_logs(spark, str(tmp_path / "a"), layout=layout)
+            got = events.select("event_id", "source", "event_uid").collect()
+            assert sorted((r.event_id, r.source) for r in got) == want and bad.count() == 0
+            seen.append(sorted((r.event_uid, r.event_id) for r in got))
+    assert all(s == seen[0] for s in seen) and len({u for u, _ in seen[0]}) == 3001
+
+
+def test_ids_do_not_change_with_files_and_splits(spark, tmp_path, small_splits):
+    (tmp_path / "m.json").write_text("\n".join(json.dumps({"EventID": k % 50}) for k in range(2000)))
+    ids = []
+    for size, more in ((1_000, None), (1 << 27, None), (7_000, "a.json"), (7_000, "z.json")):
+        small_splits(size)
+        if more:
+            (tmp_path / more).write_text(json.dumps({"EventID": 7}) + "\n" * 3 + json.dumps({"EventID": 8}))
+        events = read_json_logs(spark, str(tmp_path), layout="lines")[0].where("event_uid LIKE '%m.json'")
+        ids.append(sorted((r.event_uid, r.event_id) for r in events.select("event_uid", "event_id").collect()))
+    assert all(i == ids[0] for i in ids) and len({u for u, _ in ids[0]}) == 2000
+    assert [e for _, e in ids[0]] == [k % 50 for k in range(2000)]
 
 
 def test_stray_xml_lines_and_binary_logs_are_set_aside(spark, tmp_path):
