@@ -26,9 +26,10 @@ from emberwatch.operators.windows import MICROS
 from emberwatch.plans.scan import ScanConfig, run_detections
 from emberwatch.schema import EVENT_DDL, EVIDENCE_DDL, computed_once, epoch_micros, evidence_sql, ts_text
 from emberwatch.sources.json_logs import split_records
+from emberwatch.sources.siem_export import unwrap
 from emberwatch.sources.store import scratch_scope
 from emberwatch.sources.syslog import parse_lines
-from emberwatch.streaming.stateful import FOUND_DDL, WindowProcessor
+from emberwatch.streaming.stateful import FOUND_DDL, HighWater, WindowProcessor
 
 
 def stream_lines(spark: SparkSession, path: str, files_per_batch: int | None = None) -> DataFrame:
@@ -107,6 +108,25 @@ def live_windows(events: DataFrame, rule: GroupRule, delay: str = "10 minutes")
     return group_alerts(groups, [rule])
 
 
+def stream_siem_alerts(spark: SparkSession, path: str, files_per_batch: int | None = None) -> DataFrame:
+    """(id, raw JSON text) of the alerts in new export files, one page per line; pages that cannot be read give none."""
+    pages = computed_once(stream_lines(spark, path, files_per_batch), page=F.try_parse_json("value"))
+    items = pages.select(F.explode(unwrap(F.col("page"))).alias("alert"))
+    return items.select(F.try_variant_get("alert", "$.id", "bigint").alias("id"), F.to_json("alert").alias("raw")).where("id IS NOT NULL")
+
+
+def pulled_once(alerts: DataFrame, id_column: str = "id", shards: int = 64) -> DataFrame:
+    """Incremental pull of a stream of alerts: what re-delivered pages bring again is dropped.
+
+    The highest id seen is kept as state, one mark for each of ``shards`` classes of ids, so
+    the pull spreads over tasks. Ids grow at the source: one below its shard's mark counts as
+    seen. ``id_column`` is a bigint; all columns have types that pandas knows.
+    """
+    alerts.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
+    sharded = alerts.withColumn("shard", F.expr(f"cast(pmod({id_column}, {shards}) as int)"))
+    return sharded.groupBy("shard").transformWithStateInPandas(HighWater(id_column), alerts.schema, "Append", "None")
+
+
 def tumbling_counts(events: DataFrame, keys: list[str], width: str, delay: str = "10 minutes") -> DataFrame:
     """(keys, window_start, n) of each closed tumbling window; times are zone-less. :func:`start_late_router` keeps what comes too late."""
     counted = watermarked(events, "event_ts", delay).groupBy(F.window("_at", width), *keys).agg(F.count(F.lit(1)).alias("n"))

@@ -128,3 +128,31 @@ class WindowProcessor(StatefulProcessor):
 
     def close(self) -> None:
         pass
+
+
+class HighWater(StatefulProcessor):
+    """Rows of a shard with an id above the highest one of earlier batches, each id once."""
+
+    def __init__(self, id_column: str):
+        self.id_column = id_column
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.mark = handle.getValueState("mark", "id bigint")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        before = self.mark.get()[0] if self.mark.exists() else None
+        seen: set[int] = set()
+        for frame in rows:
+            ids = frame[self.id_column]
+            fresh = ~ids.isin(seen) & ~ids.duplicated()
+            if before is not None:
+                fresh &= ids > before
+            new = frame[fresh]
+            seen.update(new[self.id_column].tolist())
+            if len(new):
+                yield new.drop(columns="shard")
+        if seen:
+            self.mark.update((max(seen) if before is None else max(before, *seen),))
+
+    def close(self) -> None:
+        pass

@@ -278,3 +278,35 @@ def stream_sessions(spark, sf_dir):
     """Sessions of every user: a pause of half an hour ends one."""
     found = _run(spark, live.sessions(_closed(spark, sf_dir), ["username"], "30 minutes", "1 minute"), "stream_sessions")
     return found.select("username", ts_text("session_start").alias("session_start"), ts_text("session_end").alias("session_end"), "n")
+
+
+def _export_folders(spark: SparkSession, sf_dir: str) -> str:
+    """Export pages in two folders: the older alerts, and all alerts with the older pages delivered again."""
+    key = (spark.sparkContext.applicationId, sf_dir, "export_pull")
+    if key not in _written:
+        path = store.scratch_path(spark, "export_pull")
+        item = "to_json(named_struct('id', cast(event_uid as bigint), 'agent', named_struct('name', computer), 'data', named_struct('user', username)))"
+        events = sec_events(spark, sf_dir)
+        half = events.agg(F.max(F.expr("cast(event_uid as bigint)"))).first()[0] // 2
+        for folder, rows in (("first", events.where(f"cast(event_uid as bigint) <= {half}")), ("second", events)):
+            rows.select(F.expr(f"concat('{{\"data\":[', {item}, ',', {item}, ']}}') AS value")).write.text(f"{path}/{folder}")
+        _written[key] = path
+    return _written[key]
+
+
+@register("siem_export_pull", over_events("SELECT CAST(event_uid AS BIGINT) AS id, computer, username FROM sec_events"))
+def siem_export_pull(spark, sf_dir):
+    """Exports read in two runs with one checkpoint; pages of the first come again in the second, and every alert twice a page."""
+    out = store.scratch_path(spark, "siem_pull")
+    folder = _export_folders(spark, sf_dir)
+    for folders in ("{first}", "{first,second}"):
+        alerts = live.pulled_once(live.stream_siem_alerts(spark, f"{folder}/{folders}"))
+        query = (
+            alerts.writeStream.format("parquet").option("path", f"{out}/data").option("checkpointLocation", f"{out}/checkpoint")
+            .outputMode("append").trigger(availableNow=True).start()
+        )
+        query.awaitTermination()
+    raw = F.try_parse_json("raw")
+    return spark.read.parquet(f"{out}/data").select(
+        "id", F.try_variant_get(raw, "$.agent.name", "string").alias("computer"), F.try_variant_get(raw, "$.data.user", "string").alias("username")
+    )
