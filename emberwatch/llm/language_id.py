@@ -144,9 +144,14 @@ def lexicon_rows(lexicon: np.ndarray, hashes: np.ndarray) -> np.ndarray:
 
 def marginals(scores: np.ndarray, sizes: np.ndarray, transitions: np.ndarray) -> np.ndarray:
     """Probability of each label for each word; ``sizes`` are the words per text, in order."""
+    return forward_backward(scores, sizes, transitions)[0]
+
+
+def forward_backward(scores: np.ndarray, sizes: np.ndarray, transitions: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Probability of each label for each word, and the same given only the words up to it."""
     n, k = scores.shape
     if n == 0:
-        return scores
+        return scores, scores
     blocks = -(-sizes // BLOCK)
     first_block = np.cumsum(blocks) - blocks
     total = int(blocks.sum())
@@ -187,6 +192,7 @@ def marginals(scores: np.ndarray, sizes: np.ndarray, transitions: np.ndarray) ->
         step /= step.sum(axis=1, keepdims=True)
         v = np.where(real[:, t, None], step, v)
         forward[:, t] = v
+    past = forward.reshape(-1, k)[place]
     v = out_of
     for t in range(BLOCK - 1, -1, -1):
         forward[:, t] *= v
@@ -194,7 +200,7 @@ def marginals(scores: np.ndarray, sizes: np.ndarray, transitions: np.ndarray) ->
         step /= step.sum(axis=1, keepdims=True)
         v = np.where(real[:, t, None], step, v)
     both = forward.reshape(-1, k)[place]
-    return both / both.sum(axis=1, keepdims=True)
+    return both / both.sum(axis=1, keepdims=True), past
 
 
 def fit(texts: list[str], labels: list[str], rounds: int = 6, rate: float = 0.15, seed: int = 7) -> Crf:
@@ -248,7 +254,7 @@ def fit(texts: list[str], labels: list[str], rounds: int = 6, rate: float = 0.15
         part = Words(w.text_of[at], w.hashes[at], w.bigram_slots[bi], np.cumsum(bi_n[at]) - bi_n[at], w.trigram_slots[tri],
                      np.cumsum(tri_n[at]) - tri_n[at], w.affix_slots[at])
         scores = emissions(model, part)
-        prob = marginals(scores, lengths, model.transitions)
+        prob, past = forward_backward(scores, lengths, model.transitions)
         error = prob.copy()
         error[np.arange(len(at)), gold] -= 1
         descend("bigrams", part.bigram_slots, np.repeat(error, bi_n[at], axis=0))
@@ -256,12 +262,12 @@ def fit(texts: list[str], labels: list[str], rounds: int = 6, rate: float = 0.15
         for column in range(part.affix_slots.shape[1]):
             descend("affixes", part.affix_slots[:, column], error)
         descend("words", row_of[at], error)
-        # Transitions: observed pairs against the pairs that the marginals of neighbours expect.
+        # Transitions: observed pairs against expected ones.
         ends = np.cumsum(lengths) - 1
         pair = np.ones(len(at), bool)
         pair[ends] = False
         i = np.flatnonzero(pair)
-        expected = _pair_marginals(prob, model.transitions, i)
+        expected = pair_marginals(prob, past, model.transitions, i)
         observed = np.bincount(gold[i] * k + gold[i + 1], minlength=k * k).reshape(k, k)
         grad = ((expected - observed) / len(i)).astype(np.float32)
         seen["transitions"] += grad**2
@@ -269,11 +275,15 @@ def fit(texts: list[str], labels: list[str], rounds: int = 6, rate: float = 0.15
     return model
 
 
-def _pair_marginals(prob: np.ndarray, transitions: np.ndarray, i: np.ndarray) -> np.ndarray:
-    """Expected label pairs of neighbours: marginals tied by the transitions and scaled to both sides once."""
-    joint = prob[i][:, :, None] * np.exp(transitions)[None] * prob[i + 1][:, None, :]
-    joint /= joint.sum(axis=(1, 2), keepdims=True)
-    return joint.sum(axis=0)
+def pair_marginals(prob: np.ndarray, past: np.ndarray, transitions: np.ndarray, i: np.ndarray) -> np.ndarray:
+    """Expected number of label pairs at the words ``i`` and those behind them.
+
+    Given the label behind it, a word's label depends on the words up to it only: forward
+    probability times transition, scaled to one, times the probability of the label behind.
+    """
+    joint = past[i][:, :, None] * np.exp(transitions - transitions.max())[None]
+    joint /= joint.sum(axis=1, keepdims=True)
+    return (joint * prob[i + 1][:, None, :]).sum(axis=0)
 
 
 def labelled_sample(docs: DataFrame, learn_from: F.Column, id_column: str = "doc_id", text_column: str = "text", label_column: str = "lang",

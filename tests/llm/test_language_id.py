@@ -131,3 +131,46 @@ def test_known_language_uses_the_verdict(make_docs, labelled):
     assert sorted(r.doc_id for r in L.known_language(docs, model).collect()) == [k for k, _ in clean]
     for untaught in (L.fit([], []), L.fit(["a", "b", "c", "d"], ["de", "en", "es", "fr"])):
         assert sorted(r.doc_id for r in L.known_language(docs, untaught).collect()) == [-1, *[k for k, _ in clean]]
+
+
+def test_gradient_of_the_likelihood():
+    """Gradients by scores and by transitions against finite differences of the log-likelihood of a labelled chain."""
+    from emberwatch.llm.language_id import forward_backward, pair_marginals
+
+    rng = np.random.default_rng(3)
+    sizes, k = np.array([70, 12]), 3
+    scores, transitions = rng.normal(size=(82, k)), rng.normal(size=(k, k))
+    gold = rng.integers(0, k, 82)
+    inner = np.array([x for x in range(81) if x != 69])
+
+    def likelihood(scores, transitions):
+        total, at = 0.0, 0
+        for n in sizes:
+            forward = scores[at].copy()
+            for x in range(at + 1, at + n):
+                forward = scores[x] + np.logaddexp.reduce(forward[:, None] + transitions, axis=0)
+            total -= np.logaddexp.reduce(forward)
+            at += n
+        return total + scores[np.arange(82), gold].sum() + transitions[gold[inner], gold[inner + 1]].sum()
+
+    # The operator gives a text's first word a uniform label before it; its transition is taken out for the plain chain.
+    prob, past = forward_backward(scores, sizes, transitions)
+    heads = np.array([0, 70])
+    even = scores.copy()
+    even[heads] += np.log(np.exp(transitions).mean(axis=0))
+    expected = pair_marginals(prob, past, transitions, inner)
+    observed = np.bincount(gold[inner] * k + gold[inner + 1], minlength=k * k).reshape(k, k)
+    eps = 1e-5
+    for a in range(k):
+        for b in range(k):
+            step = np.zeros((k, k))
+            step[a, b] = eps
+            slope = (likelihood(even, transitions + step) - likelihood(even, transitions - step)) / (2 * eps)
+            assert abs(slope - (observed - expected)[a, b]) < 2e-2
+    for x in (0, 5, 69, 70, 81):
+        for c in range(k):
+            step = np.zeros((82, k))
+            step[x, c] = eps
+            slope = (likelihood(even + step, transitions) - likelihood(even - step, transitions)) / (2 * eps)
+            assert abs(slope - ((gold[x] == c) - prob[x, c])) < 1e-3
+    assert np.allclose(pair_marginals(prob, past, transitions, inner).sum(axis=0), prob[inner + 1].sum(axis=0), atol=1e-3)
