@@ -4,8 +4,8 @@
    ``MIN_COUNT`` times are told by slot counts, then pairs of frequent neighbours, so only
    what may be frequent is a candidate; three-word candidates hold two frequent pairs.
 2. Candidates, the words among them included, are dealt by hash into shards of about
-   ``SHARD_PHRASES``. A shard is a double-array trie over word numbers: from state s, word c
-   leads to base[s] + c if check[base[s] + c] = s. Beginnings of its phrases are added.
+   ``SHARD_PHRASES``. A shard is a double-array trie over the bytes of word numbers: from
+   state s, byte d leads to base[s] + d if check[base[s] + d] = s. Beginnings of its phrases are added.
 3. A trie is broadcast (its size is bounded by the shard's: about 100 bytes a phrase), and
    the states of all positions of a text slice advance together, one level at a time; visits
    are counted per state and summed over all tasks. One pass over the texts per shard: their
@@ -41,6 +41,7 @@ TOP = 2_000
 COVER_PERCENT = 50
 SHARD_PHRASES = 1_000_000
 MOST_DONE = 1_000_000
+WINDOW = 1024  # bases that are tried at once when a trie is built
 SLICE = 1 << 20
 
 _ENDS = byte_table(b".,;:!?\n\x0b\x0c\r")
@@ -201,89 +202,112 @@ def _candidates(words_filter, pairs_filter):
 
 
 class Trie:
-    """Double array over word numbers 1, 2, ...; state 0 is the root and word c's state is c."""
+    """Double array over the digits (base 256) of word numbers: from state s, digit d leads to base[s] + d if check says s.
+
+    State 0 is the root. A word takes as many digits as the alphabet's size asks for.
+    """
 
     def __init__(self, alphabet: np.ndarray, base: np.ndarray, check: np.ndarray):
         self.alphabet, self.base, self.check = alphabet, base, check
-        self.first = np.zeros(1 << 16, bool)
-        self.first[(alphabet & np.uint64(0xFFFF)).astype(np.int64)] = True
+        self.digits = digits_of(len(alphabet))
+        self.near = np.zeros(1 << 16, bool)
+        self.near[(alphabet & np.uint64(0xFFFF)).astype(np.int64)] = True
 
     @classmethod
     def build(cls, phrases: list[np.ndarray]) -> tuple[Trie, list[np.ndarray]]:
         """Trie of phrases and their beginnings, and each phrase's state; ``phrases[k]`` has rows of k + 1 word hashes."""
         alphabet = np.unique(np.concatenate([p.ravel() for p in phrases]))
-        n = len(alphabet)
-        wanted = [np.searchsorted(alphabet, p) + 1 for p in phrases]
-        numbers = [np.unique(np.concatenate([p[:, : k + 1] for p in wanted[k:]]), axis=0) for k in range(len(wanted))]
-        total = sum(map(len, numbers))
-        size = 2 * n + 2 * total + 1024
-        base, check = np.zeros(size, np.int64), np.full(size, -1, np.int64)
-        check[numbers[0][:, 0]] = 0
-        used = np.zeros(size, bool)
-        used[: n + 1] = True
-        free_from = n + 1
-        for level in range(1, len(numbers)):
-            words = numbers[level]
-            parent = walk_states(base, check, words[:, :level])
-            order = np.lexsort((words[:, -1], parent))
-            edges = np.append(np.flatnonzero(np.diff(parent[order], prepend=-1)), len(order))
-            if not len(words):
-                continue
-            groups = sorted(zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True), key=lambda g: g[0] - g[1])
-            for a, b in groups:  # the widest first
-                codes = words[order[a:b], -1]
-                start = _fit(used, codes, free_from)
-                at = start + codes
-                if at[-1] >= len(used):
-                    grow = int(at[-1]) + total + 1
-                    used = np.append(used, np.zeros(grow - len(used), bool))
-                    base, check = np.append(base, np.zeros(grow - len(base), np.int64)), np.append(check, np.full(grow - len(check), -1, np.int64))
-                used[at] = True
-                base[parent[order[a]]], check[at] = start, parent[order[a]]
-                while free_from < len(used) and used[free_from]:
-                    free_from += 1
-        last = int(np.flatnonzero(used)[-1]) + 1
-        # Words lead to places up to the alphabet's size past any base: no test of bounds is needed then.
-        last = max(last, int(base.max()) + n + 1)
-        base, check = (np.append(x, np.full(max(0, last - len(x)), f, np.int64))[:last] for x, f in ((base, 0), (check, -1)))
-        return cls(alphabet, base, check), [walk_states(base, check, w) for w in wanted]
+        n = digits_of(len(alphabet))
+        numbers = [np.searchsorted(alphabet, p) for p in phrases]
+        codes = [np.concatenate([(x[:, [w]] >> (8 * np.arange(n)[::-1])) & 255 for w in range(x.shape[1])], axis=1) for x in numbers]
+        states = [np.zeros(len(x), np.int64) for x in numbers]
+        places = _Places()
+        for level in range(n * len(phrases)):
+            deep = [k for k in range(len(phrases)) if n * (k + 1) > level]
+            pairs = np.concatenate([states[k] * 256 + codes[k][:, level] for k in deep])
+            steps, at = np.unique(pairs, return_inverse=True)
+            children = places.add(steps // 256, steps % 256)[at]
+            for k, part in zip(deep, np.split(children, np.cumsum([len(states[k]) for k in deep])[:-1]), strict=True):
+                states[k] = part
+        return cls(alphabet, *places.arrays()), states
 
     def numbers(self, hashes: np.ndarray) -> np.ndarray:
-        """Word numbers of hashed words, 0 for words of no phrase."""
-        out = np.zeros(len(hashes), np.int64)
-        near = np.flatnonzero(self.first[(hashes & np.uint64(0xFFFF)).astype(np.int64)])
+        """Numbers of hashed words, -1 for words of no phrase."""
+        out = np.full(len(hashes), -1)
+        near = np.flatnonzero(self.near[(hashes & np.uint64(0xFFFF)).astype(np.int64)])
         at = np.minimum(np.searchsorted(self.alphabet, hashes[near]), len(self.alphabet) - 1)
-        out[near] = np.where(self.alphabet[at] == hashes[near], at + 1, 0)
+        out[near] = np.where(self.alphabet[at] == hashes[near], at, -1)
         return out
 
     def advance(self, states: np.ndarray, words: np.ndarray) -> np.ndarray:
-        """The next state of every position, 0 where the trie has none."""
-        to = self.base[states] + words
-        return np.where((states > 0) & (words > 0) & (self.check[to] == states), to, 0)
-
-
-def walk_states(base: np.ndarray, check: np.ndarray, words: np.ndarray) -> np.ndarray:
-    """States of number sequences that are in the trie."""
-    state = words[:, 0]
-    for k in range(1, words.shape[1]):
-        state = base[state] + words[:, k]
-    return state
-
-
-def _fit(used: np.ndarray, codes: np.ndarray, free_from: int, window: int = 2048) -> int:
-    """Least base, from the first free place on, at which all codes fall on free places; codes ascend."""
-    at = free_from - int(codes[0])
-    at = max(at, 0)
-    while True:
-        ok = np.ones(window, bool)
-        for c in codes.tolist():
-            part = used[at + c : at + c + window]
-            ok[: len(part)] &= ~part  # beyond the end all places are free
-            if not ok.any():
-                break
-        else:
-            return at + int(np.argmax(ok))
-        at += window
+        """The state of every position one word on, -1 where the trie has none."""
+        out = np.full(len(states), -1)
+        live = np.flatnonzero((states >= 0) & (words >= 0))
+        state, number = states[live], words[live]
+        for k in range(self.digits - 1, -1, -1):
+            to = self.base[state] + (number >> (8 * k) & 255)
+            ok = self.check[to] == state
+            live, state, number = live[ok], to[ok], number[ok]
+        out[live] = state
+        return out
+
+
+def digits_of(n_words: int) -> int:
+    return max(1, -(-max(1, n_words - 1).bit_length() // 8))
+
+
+class _Places:
+    """The two arrays of a trie while it grows; nodes with many children are placed first, each near the one before."""
+
+    def __init__(self):
+        self.used, self.base, self.check = np.zeros(1 << 16, bool), np.zeros(1 << 16, np.int64), np.full(1 << 16, -1, np.int64)
+        self.used[:256] = True
+        self.free_from = 256
+
+    def _grow(self, size: int) -> None:
+        if size > len(self.used):
+            more = max(size, 2 * len(self.used)) - len(self.used)
+            self.used, self.base = np.append(self.used, np.zeros(more, bool)), np.append(self.base, np.zeros(more, np.int64))
+            self.check = np.append(self.check, np.full(more, -1, np.int64))
+
+    def add(self, parents: np.ndarray, codes: np.ndarray) -> np.ndarray:
+        """States of children (parent, code), which are sorted and distinct."""
+        edges = np.append(np.flatnonzero(np.diff(parents, prepend=-1)), len(parents))
+        width = np.diff(edges)
+        out = np.zeros(len(parents), np.int64)
+        cursor = self.free_from
+        several = np.flatnonzero(width > 1)
+        for g in several[np.argsort(-width[several], kind="stable")].tolist():
+            own = codes[edges[g] : edges[g + 1]]
+            start = self._fit(own, cursor)
+            cursor = max(self.free_from, start)
+            self.base[parents[edges[g]]] = start
+            out[edges[g] : edges[g + 1]] = start + own
+            self.used[start + own] = True
+        single = edges[:-1][width == 1]
+        self._grow(self.free_from + len(single) + int(self.used.sum()) + 256)
+        at = np.flatnonzero(~self.used)[: len(single)]
+        self.used[at] = True
+        self.base[parents[single]], out[single] = at - codes[single], at
+        self.check[out] = parents
+        return out
+
+    def _fit(self, codes: np.ndarray, at: int) -> int:
+        """The first base from ``at`` on at which all codes fall on free places."""
+        while True:
+            self._grow(at + 256 + WINDOW)
+            ok = np.ones(WINDOW, bool)
+            for c in codes.tolist():
+                ok &= ~self.used[at + c : at + c + WINDOW]
+            if ok.any():
+                return at + int(np.argmax(ok))
+            at += WINDOW
+
+    def arrays(self) -> tuple[np.ndarray, np.ndarray]:
+        """Both arrays as far as any step can lead."""
+        size = int(max(np.flatnonzero(self.used)[-1], self.base.max())) + 257
+        self._grow(size)
+        return self.base[:size], self.check[:size]
 
 
 def _build_shard(table: pa.Table) -> pa.Table:
@@ -316,12 +340,13 @@ def _visits(shared, with_langs: bool):
         total: dict[str, int] = {}
         for words, langs in _words(batches):
             number = trie.numbers(words.hashes)
-            states = number
+            states = np.zeros(len(number), np.int64)  # all positions at the root
             for level in range(MAX_WORDS):
                 if level:
                     n = max(0, len(number) - level)
-                    states = trie.advance(np.where(words.follows[level:], states[:n], 0), number[level:])
-                alive = states[states > 0]
+                    states = np.where(words.follows[level:], states[:n], -1)
+                states = trie.advance(states, number[level:])
+                alive = states[states >= 0]
                 if not len(alive):
                     break
                 hit, n = np.unique(alive, return_counts=True)
