@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from emberwatch.functions.sqltext import lit
 from emberwatch.operators.windows import BY, MICROS, assign, first_stage_windows, greedy_windows
-from emberwatch.schema import EVIDENCE_CAP, alert_key, epoch_micros, evidence_sql, finish_alerts
+from emberwatch.schema import EVIDENCE_CAP, alert_key, epoch_micros, evidence_sql, finish_alerts, with_raw
 from emberwatch.sources.store import materialize
 
 DENSE, STAGES, WHOLE = "dense", "stages", "whole"
@@ -57,6 +57,7 @@ class GroupRule:
     having: str = "true"
     names_shown: int = 5
     evidence_cap: int = EVIDENCE_CAP
+    raw: bool = False  # whether it reads the column RAW_COLUMN
 
 
 def watch_token(field: str, value: str) -> str:
@@ -84,7 +85,7 @@ def _case(values: list[str]) -> str:
 def group_rows(events: DataFrame, rules: list[GroupRule]) -> DataFrame:
     """One row per (event, rule it matches), ready for the window search."""
     found = F.array_compact(F.array(*[F.when(r.test, F.lit(i)) for i, r in enumerate(rules)]))
-    hits = events.select("*", F.explode(found).alias("rule"))
+    hits = with_raw(events, any(r.raw for r in rules)).select("*", F.explode(found).alias("rule"))
     return hits.select(
         "rule", F.expr(f"{_case([r.key for r in rules])} AS key"), epoch_micros("event_ts").alias("t"),
         F.expr(f"{_case([f'{int(r.width_seconds) * MICROS}L' for r in rules])} AS width"),

@@ -23,25 +23,32 @@ from emberwatch.functions.text import number_or_zero, search
 from emberwatch.operators.alerts import DENSE, WHOLE, GroupRule, run_group_rules
 from emberwatch.operators.rowrules import RowRule
 from emberwatch.operators.ruleindex import Literal, Literals, all_of
-from emberwatch.schema import EVENT_COLUMNS, SEVERITIES
+from emberwatch.schema import EVENT_COLUMNS, RAW_COLUMN, SEVERITIES
 
 
-def event_field_sql(name: str) -> str:
-    """Text of an event column, of ``raw.a.b``, or of a raw or ``EventData`` key; else ``''``."""
+def is_raw_field(name: str) -> bool:
+    """Whether a field stands in the raw record."""
+    return name not in ("timestamp", "timestamp_str", "event_ts", "raw") and name not in EVENT_COLUMNS
+
+
+def event_field_sql(name: str, raw: str = "try_parse_json(raw_json)") -> str:
+    """Text of an event column, of ``raw.a.b``, or of a raw or ``EventData`` key; else ``''``.
+
+    ``raw`` is the parsed record; rules name the column ``RAW_COLUMN``, which a pass makes once.
+    """
     if name in ("timestamp", "timestamp_str", "event_ts"):
         return EVENT_TIME
     if name == "raw":
         return "raw_json"
     if name in EVENT_COLUMNS:
         return f"coalesce(cast({name} as string), '')"
-    raw = "try_parse_json(raw_json)"
     if name.startswith("raw."):
         return f"coalesce({raw_text_sql(raw, *name.split('.')[1:])}, '')"
     return f"coalesce({raw_text_sql(raw, name)}, {raw_text_sql(raw, 'EventData', name)}, '')"
 
 
-def event_field(name: str) -> Column:
-    return F.expr(event_field_sql(name))
+def event_field(name: str, raw: str = "try_parse_json(raw_json)") -> Column:
+    return F.expr(event_field_sql(name, raw))
 
 
 def _number(value) -> float:
@@ -72,10 +79,10 @@ OPERATORS = {
 }
 
 
-def conditions_test(conditions: Iterable[Mapping]) -> Column:
+def conditions_test(conditions: Iterable[Mapping], raw: str = "try_parse_json(raw_json)") -> Column:
     """All conditions hold; an unknown operator is skipped and no condition matches all."""
     tests = [
-        OPERATORS[op](event_field(c.get("field", "")), c.get("value", ""))
+        OPERATORS[op](event_field(c.get("field", ""), raw), c.get("value", ""))
         for c in conditions
         if (op := c.get("operator", "equals")) in OPERATORS
     ]
@@ -86,7 +93,7 @@ def condition_literals(conditions: Iterable[Mapping]) -> Literals | None:
     """Texts of which one is there if all conditions hold."""
     found: list[Literals | None] = []
     for c in conditions:
-        field, op, value = event_field_sql(c.get("field", "")), c.get("operator", "equals"), c.get("value", "")
+        field, op, value = event_field_sql(c.get("field", ""), RAW_COLUMN), c.get("operator", "equals"), c.get("value", "")
         if op in ("contains", "startswith", "endswith"):
             found.append(frozenset([Literal(field, str(value).lower())]))
         elif op in ("equals", "in"):
@@ -124,7 +131,11 @@ class FieldRule:
         return not self.group_by and self.threshold <= 1
 
     def test(self) -> Column:
-        return conditions_test(self.conditions)
+        return conditions_test(self.conditions, RAW_COLUMN)
+
+    @property
+    def raw(self) -> bool:
+        return any(is_raw_field(f) for f in [c.get("field", "") for c in self.conditions] + [self.group_by] * bool(self.group_by))
 
     def evidence(self, **more: str) -> dict[str, str]:
         return {"timestamp": EVENT_TIME, "event_id": "event_id", "computer": "computer", "username": USER_OR_TARGET, **more}
@@ -132,7 +143,7 @@ class FieldRule:
     def row_rule(self) -> RowRule:
         return RowRule(
             f"rule:{self.name}", self.test(), self.name, self.severity, F.lit(self.description),
-            self.tactic, self.technique, self.recommendation, self.evidence(), literals=condition_literals(self.conditions),
+            self.tactic, self.technique, self.recommendation, self.evidence(), literals=condition_literals(self.conditions), raw=self.raw,
         )
 
 
@@ -148,7 +159,7 @@ def count_rule(rule: FieldRule) -> GroupRule:
     key, tail = "''", lit(" matching event(s)")
     more = {}
     if rule.group_by:
-        key = event_field_sql(rule.group_by)
+        key = event_field_sql(rule.group_by, RAW_COLUMN)
         quote = chr(39)
         tail = f"concat({lit(' matching event(s) for ' + rule.group_by + '=' + quote)}, key, {lit(quote)})"
         more = {"group_key": key}
@@ -156,7 +167,7 @@ def count_rule(rule: FieldRule) -> GroupRule:
         f"rule:{rule.name}", rule.test(), key, lit(rule.name), lit(rule.severity),
         f"concat({lit(rule.description + ': ')}, cast(n as string), {tail})", rule.tactic, rule.technique,
         lit(rule.recommendation), rule.evidence(**more), kind=DENSE if windowed else WHOLE,
-        width_seconds=rule.window_seconds if windowed else 0, having=f"n >= {rule.threshold}",
+        width_seconds=rule.window_seconds if windowed else 0, having=f"n >= {rule.threshold}", raw=rule.raw,
     )
 
 

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from emberwatch.functions.sqltext import lit
 from emberwatch.functions.text import first_match
 from emberwatch.operators.ruleindex import Literals, RuleIndex
-from emberwatch.schema import evidence_struct, finish_alerts, union_all
+from emberwatch.schema import evidence_struct, finish_alerts, union_all, with_raw
 from emberwatch.sources.store import materialize
 
 RULES_PER_ARRAY = 100  # predicates per generated array; keeps the generated code compilable
@@ -38,6 +38,7 @@ class RowRule:
     recommendation: str
     evidence: dict[str, str] = field(default_factory=dict)  # evidence field to SQL expression
     inputs: dict[str, Column] = field(default_factory=dict)  # helper columns the others refer to by name
+    raw: bool = False  # whether it reads the column RAW_COLUMN
     literals: Literals | None = None  # texts of which an event that matches holds one; None if there are none to name
 
 
@@ -62,6 +63,7 @@ def _hits(events: DataFrame, rules: list[RowRule]) -> DataFrame:
     ]
     found = F.array_compact(F.concat(*arrays) if len(arrays) > 1 else arrays[0])
     inputs = {name: column for rule in rules for name, column in rule.inputs.items()}
+    events = with_raw(events, any(rule.raw for rule in rules))
     return events.select("*", *[c.alias(n) for n, c in inputs.items()]).select("*", F.explode(found).alias("hit"))
 
 
@@ -107,5 +109,5 @@ def run_row_rules(events: DataFrame, rules: list[RowRule]) -> DataFrame:
 def _indexed_alerts(events: DataFrame, rules: list[RowRule]) -> list[DataFrame]:
     groups = [rules[k : k + RULES_PER_ARRAY] for k in range(0, len(rules), RULES_PER_ARRAY)]
     index = RuleIndex([[r.literals for r in group] for group in groups])
-    candidates = materialize(index.candidates(events), "rule-candidates", partition_by="rule_group")
+    candidates = materialize(index.candidates(with_raw(events, any(r.raw for r in rules))), "rule-candidates", partition_by="rule_group")
     return [_alerts(candidates.where(F.col("rule_group") == k).drop("rule_group"), group) for k, group in enumerate(groups)]

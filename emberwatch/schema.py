@@ -50,6 +50,10 @@ EVENT_TYPES = {
 EVENT_COLUMNS = list(EVENT_TYPES)
 EVENT_DDL = ", ".join(f"{name} {kind}" for name, kind in EVENT_TYPES.items())
 
+# The parsed raw record, a VARIANT column that passes with rules over raw fields make once;
+# tables landed with it are read as they are.
+RAW_COLUMN = "raw_record"
+
 # Time given to a record whose timestamp cannot be read (``ts_valid`` is false).
 UNKNOWN_TIME = "0001-01-01 00:00:00"
 
@@ -197,3 +201,10 @@ def computed_once(df: DataFrame, **columns: Column) -> DataFrame:
     """
     bound = F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))
     return df.select("*", F.explode(bound).alias("_once")).select(*df.columns, "_once.*")
+
+
+def with_raw(events: DataFrame, needed: bool = True) -> DataFrame:
+    """Events with the raw record parsed once, unless it is not ``needed`` or there already."""
+    if not needed or RAW_COLUMN in events.columns:
+        return events
+    return computed_once(events, **{RAW_COLUMN: F.try_parse_json("raw_json")})

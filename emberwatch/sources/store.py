@@ -16,7 +16,7 @@ from contextvars import ContextVar
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from emberwatch.schema import ts_text
+from emberwatch.schema import ts_text, with_raw
 
 PARTITION_COLUMN = "event_date"
 
@@ -92,9 +92,13 @@ def spread(df: DataFrame) -> DataFrame:
     return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
 
 
-def write_events(events: DataFrame, path: str, mode: str = "append") -> None:
-    """Append events, one folder per day. Rows of a day are spread over many files."""
-    events.withColumn(PARTITION_COLUMN, F.to_date("event_ts")).write.mode(mode).partitionBy(
+def write_events(events: DataFrame, path: str, mode: str = "append", parsed: bool = False) -> None:
+    """Append events, one folder per day. Rows of a day are spread over many files.
+
+    With ``parsed`` the raw record is stored as VARIANT too: passes with rules over raw fields
+    then read it instead of parsing the text.
+    """
+    with_raw(events, parsed).withColumn(PARTITION_COLUMN, F.to_date("event_ts")).write.mode(mode).partitionBy(
         PARTITION_COLUMN
     ).parquet(path)
 

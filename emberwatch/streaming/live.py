@@ -24,7 +24,7 @@ from emberwatch.operators.rowrules import RowRule, run_row_rules
 from emberwatch.operators.stateless import stateless_rules
 from emberwatch.operators.windows import MICROS
 from emberwatch.plans.scan import ScanConfig, run_detections
-from emberwatch.schema import EVENT_DDL, EVIDENCE_DDL, computed_once, epoch_micros, evidence_sql, ts_text
+from emberwatch.schema import EVENT_DDL, EVIDENCE_DDL, computed_once, epoch_micros, evidence_sql, ts_text, with_raw
 from emberwatch.sources.json_logs import split_records
 from emberwatch.sources.siem_export import unwrap
 from emberwatch.sources.store import scratch_scope
@@ -97,7 +97,7 @@ def live_windows(events: DataFrame, rule: GroupRule, delay: str = "10 minutes")
     events.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
     width = int(rule.width_seconds) * MICROS
     processor = WindowProcessor(width, rule.minimum, rule.names_shown, rule.evidence_cap, rule.kind == STAGES)
-    rows = watermarked(events.where(rule.test), "event_ts", delay).select(
+    rows = watermarked(with_raw(events, rule.raw).where(rule.test), "event_ts", delay).select(
         F.expr(f"{rule.key} AS key"), epoch_micros("event_ts").alias("t"), "_at", "event_uid", F.expr(f"{rule.value} AS value"),
         F.expr(f"cast({rule.bits} as int) AS bits"), F.expr(f"to_json({evidence_sql(**rule.evidence)}) AS item"),
     )

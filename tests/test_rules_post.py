@@ -138,6 +138,26 @@ def test_rule_index_reads_the_events_once(spark, events):
         assert [r.rule_name for r in rowrules.run_row_rules(frame, rules).collect()] == ["Sigma: r5"]
 
 
+def test_raw_records_are_parsed_once_per_pass(spark, three, tmp_path):
+    """Three rules over five raw fields: one parse in the plan, none if the landed table has the parsed record."""
+    rules = [{"title": f"s{k}", "detection": {"selection": {f"K{k}": "v", "K": "v"}, "other": {"A.b": 5, "K": "v"}, "condition": "selection or other"}} for k in range(3)]
+
+    def parses(df):
+        spark.conf.set("spark.sql.debug.maxToStringFields", 10_000)
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        spark.conf.unset("spark.sql.debug.maxToStringFields")
+        return plan.lower().replace("_", "").count("parsejson")
+
+    found = detect_sigma(three, rules)
+    assert parses(found) == 1
+    store.write_events(three, str(tmp_path / "e"), parsed=True)
+    landed = detect_sigma(store.read_events(spark, str(tmp_path / "e")), rules)
+    assert parses(landed) == 0
+    assert sorted(r.rule_name for r in landed.collect()) == sorted(r.rule_name for r in found.collect())
+    many = [{"title": f"m{k}", "detection": {"selection": {"K": f"w{k}" if k else "v"}}} for k in range(150)]
+    assert [r.rule_name for r in detect_sigma(three, many).collect()] == ["Sigma: m0"]
+
+
 def test_texts_of_conditions():
     a, b = frozenset([Literal("f", "aaa")]), frozenset([Literal("f", "bbbb"), Literal("f", "cc")])
     values = {"s_a": a, "s_b": b, "s_n": None}
