@@ -78,3 +78,48 @@ def window_detector(name: str, find: Callable[[pd.DataFrame], pd.DataFrame], key
         return _as_alerts(name, rows.groupBy("key", "anchor").applyInPandas(find, FINDING_DDL))
 
     return detect
+
+
+class Sequence:
+    """What :func:`sequence_detector` carries along one group; subclass it."""
+
+    def add(self, events: pd.DataFrame) -> None:
+        """The group's next events in order of time and id; a group comes in many parts."""
+        raise NotImplementedError
+
+    def finding(self) -> dict | None:
+        """The group's finding (columns of ``FINDING_DDL``) after its last event, or None."""
+        raise NotImplementedError
+
+
+def sequence_detector(name: str, start: Callable[[], Sequence], key: str | Column, columns: list[str], window_seconds: int) -> Detector:
+    """Detector that reads the events of one key in one anchored window in order, a batch at a time.
+
+    ``start`` makes the carried state of a group. A window of any number of events takes the
+    memory of a batch: Spark sorts the rows of a task, spilling to disk, and hands them on in parts.
+    """
+
+    def detect(events: DataFrame, settings: DetectorSettings) -> DataFrame:
+        rows = anchored_windows(events, key, window_seconds).select("key", "anchor", "t", "event_uid", *[F.col(c).alias(f"c_{c}") for c in columns])
+        ordered = rows.repartition("key", "anchor").sortWithinPartitions("key", "anchor", "t", "event_uid")
+
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            group, state = None, None
+            for batch in batches:
+                out = []
+                new = (batch["key"].ne(batch["key"].shift()) | batch["anchor"].ne(batch["anchor"].shift())).cumsum()
+                for _, part in batch.groupby(new, sort=False):
+                    at = (part["key"].iloc[0], part["anchor"].iloc[0])
+                    if at != group:
+                        if state is not None and (found := state.finding()) is not None:
+                            out.append(found)
+                        group, state = at, start()
+                    state.add(part[[f"c_{c}" for c in columns]].set_axis(columns, axis=1))
+                if out:
+                    yield pd.DataFrame(out)
+            if state is not None and (found := state.finding()) is not None:
+                yield pd.DataFrame([found])
+
+        return _as_alerts(name, ordered.mapInPandas(run, FINDING_DDL))
+
+    return detect

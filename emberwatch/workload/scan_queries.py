@@ -20,7 +20,7 @@ from emberwatch.sources.logs import read_logs
 from emberwatch.sources.siem_export import read_siem_export
 from emberwatch.streaming import live
 from emberwatch.workload.alert_queries import ALLOWLIST, REASON, alerts, over_alerts
-from emberwatch.workload.alert_sql import SETTINGS, VIEW
+from emberwatch.workload.alert_sql import SETTINGS, VIEW, window_ctes
 from emberwatch.workload.event_queries import over_events
 from emberwatch.workload.queries import alert_view, register
 from emberwatch.workload.source_queries import BSD, ISO_SECOND, log_files
@@ -247,3 +247,46 @@ def late_events(spark, sf_dir):
         events = live.stream_event_table(spark, f"{landed}/{folders}")
         live.start_late_router(events, out, 3600, f"{out}/checkpoint", availableNow=True).awaitTermination()
     return live.late_events(spark, out).select("event_uid", ts_text("event_ts").alias("event_time"))
+
+
+class HostHops(registry.Sequence):
+    """How often a user's events move on to another host."""
+
+    def __init__(self):
+        self.last = self.first = None
+        self.hops = self.n = 0
+
+    def add(self, events: pd.DataFrame) -> None:
+        hosts = events["computer"]
+        before = hosts.shift(fill_value=self.last if self.last is not None else hosts.iloc[0])
+        self.hops += int((hosts != before).sum())
+        self.n += len(hosts)
+        self.last = hosts.iloc[-1]
+        if self.first is None:
+            self.first = events.iloc[0]
+
+    def finding(self) -> dict | None:
+        if self.hops < 3:
+            return None
+        return {
+            "rule_name": "Host hopping", "severity": "low", "description": f"{self.first.username} moved {self.hops} times", "alert_ts": self.first.event_ts,
+            "mitre_tactic": "", "mitre_technique": "", "recommendation": "", "evidence_count": self.n, "username": self.first.username,
+            "computer": self.last, "source_ip": "",
+        }
+
+
+@register(
+    "sequence_detector",
+    over_events(
+        "SELECT 'host_hops' AS detector, gk || ' moved ' || sum(hop) || ' times' AS description, strftime(w, '%Y-%m-%d %H:%M:%S') AS alert_time, count(*) AS n FROM ("
+        "SELECT *, CASE WHEN computer <> lag(computer) OVER (PARTITION BY gk, w ORDER BY event_ts, event_uid) THEN 1 ELSE 0 END AS hop FROM hh_rows) "
+        "GROUP BY gk, w HAVING sum(hop) >= 3",
+        "hh AS (SELECT *, username AS gk FROM sec_events WHERE event_id = 4624), " + window_ctes("hh", "hh", 43200, 1),
+    ),
+)
+def sequence_detector(spark, sf_dir):
+    """An own detector over the logons of a user in order, one window of half a day at a time."""
+    hops = registry.sequence_detector("host_hops", HostHops, "username", ["event_ts", "username", "computer"], 43200)
+    config = ScanConfig(settings=SETTINGS, detectors=(("host_hops", hops),), exclude=tuple(d for d, *_ in CATALOG))
+    found = run_detections(sec_events(spark, sf_dir).where("event_id = 4624"), config)
+    return found.select("detector", "description", ts_text("alert_ts").alias("alert_time"), F.col("evidence_count").alias("n"))

@@ -192,3 +192,27 @@ def test_own_python_detectors(spark, events):
     got = window_detector("w", window, "username", needed, 60)(rows, s).collect()
     assert [(r.rule_name, r.evidence_count, r.evidence[0].username) for r in got] == [("pair", 2, "jdoe")]
     assert detector_catalog(spark).count() == 13
+
+
+def test_sequence_detector_gets_a_long_window_in_parts(spark):
+    """One window of 300,000 events comes in order and in batches, none of which holds the group."""
+    from emberwatch.operators.settings import DetectorSettings
+    from emberwatch.plans.registry import Sequence, sequence_detector
+
+    class Order(Sequence):
+        def __init__(self):
+            self.n, self.largest, self.last, self.sorted = 0, 0, None, True
+
+        def add(self, events):
+            t = events["event_ts"]
+            self.sorted &= t.is_monotonic_increasing and (self.last is None or t.iloc[0] >= self.last)
+            self.n, self.largest, self.last = self.n + len(t), max(self.largest, len(t)), t.iloc[-1]
+
+        def finding(self):
+            return {"rule_name": "r", "severity": "low", "description": f"{self.sorted} {self.largest <= 10_000}", "alert_ts": self.last, "mitre_tactic": "",
+                    "mitre_technique": "", "recommendation": "", "evidence_count": self.n, "username": "u", "computer": "", "source_ip": ""}
+
+    at = "timestamp_ntz '2024-01-15 00:00:00' + make_dt_interval(0, 0, 0, cast(pmod(id * 7919, 300000) / 1000.0 as decimal(18, 6)))"
+    frame = spark.range(300_000).selectExpr("cast(id as string) AS event_uid", f"{at} AS event_ts", "'u' AS username")
+    found = sequence_detector("order", Order, "username", ["event_ts"], 3600)(frame, DetectorSettings()).collect()
+    assert [(r.description, r.evidence_count) for r in found] == [("True True", 300_000)]
