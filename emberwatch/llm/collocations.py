@@ -1,8 +1,8 @@
 """Phrase collocations: contiguous phrases of two and three words that occur together more than their parts suggest.
 
 1. Levels are filtered first as Apriori allows. Words that surely occur less than
-   ``MIN_COUNT`` times are told by slot counts, then pairs of frequent neighbours, so only
-   what may be frequent is a candidate; three-word candidates hold two frequent pairs.
+   ``MIN_COUNT`` times are told by slot counts, then pairs of frequent neighbours, then
+   triples of two frequent pairs, so only what may be frequent is a candidate.
 2. Candidates, the words among them included, are dealt by hash into shards of about
    ``SHARD_PHRASES``. A shard is a double-array trie over the bytes of word numbers: from
    state s, byte d leads to base[s] + d if check[base[s] + d] = s. Beginnings of its phrases are added.
@@ -127,19 +127,31 @@ def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[Words, list[str]
 # -- candidates --------------------------------------------------------------------------
 
 
-def _slot_pass(plan: SlotPlan, frequent_words):
-    """Slots of all words, or of pairs of words that pass the filter."""
+def _level(words: Words, filters: list) -> list[np.ndarray]:
+    """Positions of candidates of 1, 2, ... words; ``filters`` are those of the levels known so far, the last level has none yet."""
+    found: list[np.ndarray] = []
+    places = words.neighbours(len(filters) + 1)
+    for n, at in enumerate(places, start=1):
+        if found:
+            alive = np.zeros(len(words.hashes) + 1, bool)
+            alive[found[-1]] = True
+            at = at[alive[at] & alive[at + 1]]  # both parts of one word less may be frequent
+        if n <= len(filters):
+            plan, often = filters[n - 1].value
+            at = at[often(plan.slots(joined([words.hashes[at + k] for k in range(n)])))]
+        found.append(at)
+    return found
+
+
+def _slot_pass(plan: SlotPlan, filters: list):
+    """Slots of the phrases one word longer than the filters know, if all their parts pass."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
         for words, _ in _words(batches):
-            keys = words.hashes
-            if frequent_words is not None:
-                ok, at = _frequent(words, frequent_words), words.neighbours(2)[1]
-                at = at[ok[at] & ok[at + 1]]
-                keys = joined([words.hashes[at], words.hashes[at + 1]])
-            held.append(keys)
-            size += len(keys)
+            at = _level(words, filters)[-1]
+            held.append(joined([words.hashes[at + k] for k in range(len(filters) + 1)]))
+            size += len(at)
             if size >= FLUSH:
                 yield from plan.packed(held)
                 held, size = [], 0
@@ -149,55 +161,45 @@ def _slot_pass(plan: SlotPlan, frequent_words):
     return run
 
 
-def _frequent(words: Words, shared) -> np.ndarray:
-    plan, often = shared.value
-    return often(plan.slots(words.hashes))
-
-
-_CANDIDATE = "lang string, phrase string, key bigint, n_words int, h1 bigint, h2 bigint, h3 bigint, k12 bigint, k23 bigint"
+_CANDIDATE = "lang string, phrase string, key bigint, n_words int, h1 bigint, h2 bigint, h3 bigint"
 
 
-def _candidates(words_filter, pairs_filter):
-    """Phrases of one to three words that may be frequent, once per task and flush."""
+def _candidates(filters: list):
+    """Phrases of one to three words that may be frequent, once per task and flush; words of no longer one are left out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         done: set[int] = set()
         for words, langs in _words(batches):
-            ok = _frequent(words, words_filter)
-            _, pair_at, _ = places = words.neighbours(MAX_WORDS)
-            plan, often = pairs_filter.value
-            pair_at = pair_at[ok[pair_at] & ok[pair_at + 1]]
-            pair_at = pair_at[often(plan.slots(joined([words.hashes[pair_at], words.hashes[pair_at + 1]])))]
-            is_pair = np.zeros(len(ok) + 1, bool)
-            is_pair[pair_at] = True
-            triple_at = places[2][is_pair[places[2]] & is_pair[places[2] + 1]]
-            in_pair = np.zeros(len(ok), bool)  # words of no candidate pair are not needed
-            in_pair[pair_at] = True
-            in_pair[pair_at + 1] = True
-            parts = []
-            for n, at in enumerate((np.flatnonzero(in_pair), pair_at, triple_at), start=1):
+            _, *longer = _level(words, filters)[:MAX_WORDS]
+            in_pair = np.zeros(len(words.hashes), bool)
+            in_pair[longer[0]] = True
+            in_pair[longer[0] + 1] = True
+            for n, at in enumerate((np.flatnonzero(in_pair), *longer), start=1):
                 h = [words.hashes[at + k] for k in range(n)]
                 keys, first = np.unique(joined(h), return_index=True)
                 new = np.array([k not in done for k in keys.tolist()], bool)
                 keys, first = keys[new], first[new]
                 done.update(keys.tolist())
-                h = [x[first] for x in h]
-                both = [joined(h[k : k + 2]) for k in range(n - 1)]
-                numbers = [*h, *[None] * (MAX_WORDS - n), *both, *[None] * (MAX_WORDS - n if n > 1 else 2)]
                 rows, starts = len(keys), at[first].tolist()
-                parts.append([
-                    pa.array([langs[words.row[k]] for k in starts], pa.string()), pa.array([words.phrase(k, n) for k in starts], pa.string()),
-                    pa.array(keys.view(np.int64)), pa.array(np.full(rows, n, np.int32)),
-                    *(pa.nulls(rows, pa.int64()) if x is None else pa.array(x.view(np.int64)) for x in numbers),
-                ])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([langs[words.row[k]] for k in starts], pa.string()), pa.array([words.phrase(k, n) for k in starts], pa.string()),
+                     pa.array(keys.view(np.int64)), pa.array(np.full(rows, n, np.int32)), *(pa.array(x[first].view(np.int64)) for x in h),
+                     *[pa.nulls(rows, pa.int64())] * (MAX_WORDS - n)], [x.split()[0] for x in _CANDIDATE.split(", ")],
+                )
             if len(done) > MOST_DONE:
                 done = set()
-            for columns in parts:
-                yield pa.RecordBatch.from_arrays(columns, [x.split()[0] for x in _CANDIDATE.split(", ")])
 
     return run
 
 
+def _with_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Candidates with the keys of their first and last two words."""
+    for batch in batches:
+        h1, h2, h3 = (batch.column(c).fill_null(0).to_numpy().view(np.uint64) for c in ("h1", "h2", "h3"))
+        pairs = [joined([h1, h2]), joined([h2, h3])]
+        yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(x.view(np.int64)) for x in pairs)], [*batch.schema.names, "k12", "k23"])
+
+
 # -- double-array tries ------------------------------------------------------------------
 
 
@@ -371,14 +373,15 @@ def _candidate_phrases(texts: DataFrame, min_count: int) -> DataFrame:
     """Phrases that may have ``min_count`` or more, and the words they hold."""
     share = texts.sparkSession.sparkContext.broadcast
     n_bytes = texts.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    filters = []
-    for _ in range(2):
+    filters: list = []
+    for _ in range(MAX_WORDS):
         plan = SlotPlan(n_bytes // 4, min_count)
-        slots = materialize(plan.frequent(texts.mapInArrow(_slot_pass(plan, filters[0] if filters else None), PACKED)), "frequent-slots")
-        filters.append(share((plan, Filter(slots, "slot", slots.count()))))
-    found = texts.mapInArrow(_candidates(*filters), _CANDIDATE)
+        slots = materialize(plan.frequent(texts.mapInArrow(_slot_pass(plan, filters), PACKED)), "frequent-slots")
+        filters = [*filters, share((plan, Filter(slots, "slot", slots.count())))]
+    found = texts.mapInArrow(_candidates(filters), _CANDIDATE)
     names = [c.split()[0] for c in _CANDIDATE.split(", ")]
-    return materialize(found.groupBy("key").agg(*[F.first(c).alias(c) for c in names if c != "key"]), "candidates")
+    once = found.groupBy("key").agg(*[F.first(c).alias(c) for c in names if c != "key"]).select(*names)
+    return materialize(once.mapInArrow(_with_pairs, f"{_CANDIDATE}, k12 bigint, k23 bigint"), "candidates")
 
 
 def phrase_counts(texts: DataFrame, min_count: int = MIN_COUNT, shard_phrases: int = SHARD_PHRASES) -> tuple[DataFrame, DataFrame] | None:
