@@ -10,14 +10,17 @@ Jaccard similarity says.
 2. Registers are banded by fours, 32 bands in all: sets of similarity 0.85 share none with
    a chance of (1 - 0.85**4)**32 = 6e-11. Bands that surely hold one class only are told by
    slot counts and never shuffled.
-3. In a round every class of a bucket is paired with a few leaders of it that belong to
-   another component; the leaders have then met the whole bucket and leave it. The number
-   of leaders grows from round to round, and members outside a bucket's largest component
-   lead first, so a bucket with few outsiders is done after a few rounds. Rounds go on
-   until no bucket holds two components: no link is lost to a bucket's size.
+3. In a round every class of a bucket is paired with one or a few leaders of it that belong
+   to another component (``LEADERS``); these have then met the whole bucket and leave it.
+   Members outside a bucket's largest component lead first.
 4. A pair's similarity is estimated jointly from the registers above, below and equal and
    both set sizes by maximum likelihood; a pair goes on unless the likelihood ratio
    against 0.85 is beyond exp(20). What is left is confirmed on the full sets.
+5. Buckets that still hold several components are cut by size and dealt into parts; every two
+   parts are a cell, in which all members outside the cell's largest component are compared
+   with all others on their sets. No pair is listed: a cell gives the links that join
+   components, and a bucket of n unlinked classes takes n * n / ``PART`` seats. So no link is
+   lost to a bucket's size.
 
 Classes are told apart by 128-bit fingerprints, nodes of the graph by 64 bits of them and
 shingles by 64 bits: of n distinct sets some two share a node with a chance of n**2 / 2**65,
@@ -33,7 +36,7 @@ shingles by 64 bits: of n distinct sets some two share a node with a chance of n
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from math import log
 
 import numpy as np
@@ -53,9 +56,9 @@ ROWS, BANDS = 4, 32
 REGISTERS = ROWS * BANDS
 BASE, RATE, TOP = 1.001, 20.0, (1 << 16) - 1
 RATIO = 20.0  # log-likelihood ratio from which a pair is ruled out
-CELL_SKETCHES = 2_000
-CELL_SHINGLES = 400_000
-MORE_LEADERS, MOST_LEADERS = 4, 256
+CELL_SHINGLES = 400_000  # a leader's cell
+PART = 300  # members of a part
+LEADERS = (1, 4)
 
 _FACTORS = np.random.default_rng(711).integers(1, 1 << 63, REGISTERS, dtype=np.uint64) | np.uint64(1)
 _MASKS = np.random.default_rng(712).integers(1, 1 << 63, REGISTERS, dtype=np.uint64)
@@ -118,7 +121,7 @@ def may_be_similar(m, n, one: np.ndarray, others: np.ndarray) -> np.ndarray:
     """Pairs that their registers and sizes do not rule out."""
     above, below = (one > others).sum(axis=1), (one < others).sum(axis=1)
     equal = REGISTERS - above - below
-    n = n.astype(np.float64)
+    m, n = m.astype(np.float64), n.astype(np.float64)
     best = estimate(m, n, above, below, equal)
     goal = np.minimum(PERCENT / 100, np.minimum(m / n, n / m))
     lost = log_likelihood(best, m, n, above, below, equal) - log_likelihood(goal, m, n, above, below, equal)
@@ -201,44 +204,102 @@ def _sets_of(wanted):
 # -- pairs in cells ----------------------------------------------------------------------
 
 
-def _in_cells(pairs: DataFrame, data: DataFrame, weight: str, budget: int, test: Callable) -> DataFrame:
-    """Pairs (a, b) that pass ``test(hub row, other rows)``.
-
-    A cell holds a leader ``a`` and others ``b`` of about ``budget`` by ``weight``, so no cell
-    grows with a leader's partners. ``data`` is (node, size, data).
-    """
-    sizes = pairs.join(data.select(F.col("node").alias("b"), F.expr(f"{weight} AS weight")), "b")
-    hubs = sizes.groupBy("a").agg(F.ceil(F.sum("weight") / budget).cast("int").alias("cells"))
-    seats = spread_join(pairs, hubs, ["a"], "b").selectExpr("a AS hub", "pmod(xxhash64(b), cells) AS cell", "b AS node", "false AS leads")
-    own = hubs.selectExpr("a AS hub", "explode(sequence(0L, cells - 1L)) AS cell", "a AS node", "true AS leads")
-
-    def run(table: pa.Table) -> pa.Table:
-        leads = table.column("leads").to_numpy()
-        others = table.filter(pa.array(~leads))
-        ok = np.zeros(0, bool)
-        if others.num_rows and leads.any():
-            ok = test(table.filter(pa.array(leads)).slice(0, 1), others)
-        found = others.column("node").to_numpy()[: len(ok)][ok]
-        return pa.table({"a": pa.array(np.full(len(found), table.column("hub")[0].as_py(), np.int64)), "b": pa.array(found)})
+def _by_sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        if batch.num_rows:
+            m, n = (batch.column(c).to_numpy() for c in ("m", "n"))
+            ok = may_be_similar(m, n, _registers(batch.column("one")), _registers(batch.column("two")))
+            yield batch.select(["a", "b", "m", "n"]).filter(pa.array(ok))
 
-    seated = own.unionByName(seats).join(data, "node")
-    return seated.groupBy("hub", "cell").applyInArrow(run, "a bigint, b bigint")
 
+def close_pairs(pairs: DataFrame, sketched: DataFrame) -> DataFrame:
+    """Pairs (a, b, m, n) with their set sizes that sketches do not rule out; ``sketched`` is (node, size, sketch)."""
+    two = pairs.join(sketched.select(F.col("node").alias("b"), F.col("size").alias("n"), F.col("sketch").alias("two")), "b")
+    one = sketched.select(F.col("node").alias("a"), F.col("size").alias("m"), F.col("sketch").alias("one"))
+    both = spread_join(two, one, ["a"], "b").select("a", "b", "m", "n", "one", "two")
+    return both.mapInArrow(_by_sketch, "a bigint, b bigint, m bigint, n bigint")
 
-def _by_sketch(hub: pa.Table, others: pa.Table) -> np.ndarray:
-    return may_be_similar(
-        float(hub.column("size")[0].as_py()), others.column("size").to_numpy(), _registers(hub.column("data")), _registers(others.column("data"))
-    )
 
+def _seated(seats: DataFrame, sets: DataFrame) -> DataFrame:
+    """Seats with the sets of their nodes. Only sets with a seat are shuffled."""
+    nodes = materialize(seats.select("node").distinct(), "seated-nodes")
+    wanted = sets.sparkSession.sparkContext.broadcast(Filter(nodes, "node", nodes.count()))
 
-def _by_sets(hub: pa.Table, others: pa.Table) -> np.ndarray:
-    own = np.frombuffer(hub.column("data")[0].as_py(), np.uint64)
-    sets = [np.frombuffer(x.as_py(), np.uint64) for x in others.column("data")]
-    values, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), list(map(len, sets)))
-    at = np.minimum(np.searchsorted(own, values), len(own) - 1)
-    shared = np.bincount(owner[own[at] == values], minlength=len(sets))
-    union = len(own) + np.array(list(map(len, sets))) - shared
-    return 100 * shared >= PERCENT * union
+    def chosen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(wanted.value(batch.column("node").to_numpy().view(np.uint64))))
+
+    return sets.mapInArrow(chosen, sets.schema).join(seats, "node")
+
+
+def _leader_cell(table: pa.Table) -> pa.Table:
+    """Links of a leader with the others of its cell."""
+    leads = table.column("leads").to_numpy()
+    own, others = table.filter(pa.array(leads)).slice(0, 1), table.filter(pa.array(~leads))
+    found = np.zeros(0, np.int64)
+    if own.num_rows and others.num_rows:
+        one = np.frombuffer(own.column("data")[0].as_py(), np.uint64)
+        sets = [np.frombuffer(x.as_py(), np.uint64) for x in others.column("data")]
+        sizes = np.array([len(x) for x in sets])
+        values, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), sizes)
+        at = np.minimum(np.searchsorted(one, values), len(one) - 1)
+        shared = np.bincount(owner[one[at] == values], minlength=len(sets))
+        found = others.column("node").to_numpy()[100 * shared >= PERCENT * (len(one) + sizes - shared)]
+    return pa.table({"a": pa.array(np.full(len(found), table.column("hub")[0].as_py(), np.int64)), "b": pa.array(found)})
+
+
+def leader_links(close: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links among close pairs. A cell holds a leader ``a`` and others of about ``CELL_SHINGLES`` shingles in all."""
+    hubs = close.groupBy("a").agg(F.ceil(F.sum("n") / CELL_SHINGLES).cast("int").alias("cells"))
+    seats = spread_join(close, hubs, ["a"], "b").selectExpr("a AS hub", "pmod(xxhash64(b), cells) AS cell", "b AS node", "false AS leads")
+    own = hubs.selectExpr("a AS hub", "explode(sequence(0L, cells - 1L)) AS cell", "a AS node", "true AS leads")
+    return _seated(materialize(own.unionByName(seats), "seats"), sets).groupBy("hub", "cell").applyInArrow(_leader_cell, "a bigint, b bigint")
+
+
+def _part_cell(table: pa.Table) -> pa.Table:
+    """Links that join components in a cell: members outside the largest one against all others, by inverted lists."""
+    nodes, roots = table.column("node").to_numpy(), table.column("root").to_numpy()
+    _, first = np.unique(nodes, return_index=True)
+    nodes, roots = nodes[first], roots[first]
+    data = table.column("data")
+    sets = [np.frombuffer(data[int(k)].as_py(), np.uint64) for k in first]
+    sizes = np.array([len(x) for x in sets])
+    names, group = np.unique(roots, return_inverse=True)
+    largest = np.bincount(group).argmax()
+    values, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), sizes)
+    order = np.argsort(values, kind="stable")
+    values, owner = values[order], owner[order]
+    links = []
+    for q in np.flatnonzero(group != largest).tolist():
+        low, high = np.searchsorted(values, sets[q]), np.searchsorted(values, sets[q], side="right")
+        n = high - low
+        shared = np.bincount(owner[np.repeat(low - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))], minlength=len(sets))
+        linked = np.flatnonzero((100 * shared >= PERCENT * (sizes[q] + sizes - shared)) & (group != group[q]))
+        for k in linked.tolist():
+            if group[k] != group[q]:  # joined by a link of this turn
+                links.append((int(nodes[q]), int(nodes[k])))
+                group[group == group[k]] = group[q]
+    a, b = zip(*links, strict=True) if links else ((), ())
+    return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+
+def part_links(left: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links that join components, among the members of each open bucket; ``left`` is (key, node, size, root).
+
+    Sizes within 20:17 fall in the same or in neighbouring classes of its powers, so each member
+    takes part in two sub-buckets. Those of one component go; of equal ones one stays.
+    """
+    by_size = F.floor(F.log(F.col("size").cast("double")) / F.log(F.lit(100 / PERCENT))).cast("int")
+    cut = materialize(left.withColumn("c", by_size).selectExpr("key", "node", "root", "explode(array(c, c + 1)) AS size_class"), "sub-buckets")
+    state = cut.groupBy("key", "size_class").agg(
+        F.count(F.lit(1)).alias("n"), F.min("root").alias("low"), F.max("root").alias("high"),
+        F.expr("bit_xor(xxhash64(node))").alias("one"), F.expr("bit_xor(xxhash64(node, 1))").alias("two"),
+    ).where("low <> high")
+    once = state.groupBy("one", "two", "n").agg(F.min(F.struct("key", "size_class")).alias("first")).selectExpr("first.*", f"cast(ceil(n / {PART}) as int) AS parts")
+    dealt = spread_join(cut, once, ["key", "size_class"], "node").selectExpr("key AS hub", "size_class", "node", "root", "parts", "pmod(xxhash64(node), parts) AS part")
+    cells = F.expr("transform(sequence(0L, parts - 1L), o -> least(o, part) * parts + greatest(o, part))")
+    seats = materialize(dealt.select("hub", "size_class", F.explode(cells).alias("cell"), "node", "root"), "part-seats")
+    return _seated(seats, sets).groupBy("hub", "size_class", "cell").applyInArrow(_part_cell, "a bigint, b bigint")
 
 
 # -- rounds ------------------------------------------------------------------------------
@@ -257,18 +318,16 @@ def _open_buckets(buckets: DataFrame, roots: DataFrame | None) -> DataFrame:
     return spread_join(named, state, ["key"], "node").selectExpr("key", "node", "size", "root", "root = largest AS inside")
 
 
-def _links(buckets: DataFrame, sketched: DataFrame, sets_of: Callable[[DataFrame], DataFrame]) -> DataFrame | None:
-    """(node, root) of all classes that are linked to another one."""
+def _links(left: DataFrame, sketched: DataFrame, sets: DataFrame) -> DataFrame | None:
+    """(node, root) of all classes that are linked to another one; ``left`` are the open buckets of single classes."""
     roots = links = tried = None
-    leaders, turn = 1, 0
-    while True:
-        left = materialize(_open_buckets(buckets, roots), "open-buckets")
+    for turn, leaders in enumerate(LEADERS):
         if not left.take(1):
             return roots
         first = "node" if turn == 0 else f"inside, xxhash64(node, {turn})"
         ranked = left.selectExpr("*", f"row_number() OVER (PARTITION BY key ORDER BY {first}) AS rank").where(f"rank <= {leaders}")
         led = materialize(ranked.select("key", "node", "size", "root"), "leaders")
-        lists = led.groupBy("key").agg(F.collect_list(F.struct("node", "size", "root")).alias("leads"))  # at most MOST_LEADERS
+        lists = led.groupBy("key").agg(F.collect_list(F.struct("node", "size", "root")).alias("leads"))  # a few leaders each
         met = spread_join(left, lists, ["key"], "node").selectExpr("node AS b", "size AS m", "root", "explode(leads) AS x")
         fits = met.where(f"x.root <> root AND 100 * least(m, x.size) >= {PERCENT} * greatest(m, x.size)")
         pairs = fits.selectExpr("x.node AS a", "b").distinct()
@@ -276,13 +335,19 @@ def _links(buckets: DataFrame, sketched: DataFrame, sets_of: Callable[[DataFrame
             pairs = pairs.join(tried, ["a", "b"], "left_anti").join(tried.selectExpr("b AS a", "a AS b"), ["a", "b"], "left_anti")
         pairs = materialize(pairs, "pairs")
         tried = pairs if tried is None else tried.unionByName(pairs)
-        close = materialize(_in_cells(pairs, sketched, "1", CELL_SKETCHES, _by_sketch), "close-pairs")
-        if close.take(1):
-            found = materialize(_in_cells(close, sets_of(close), "size", CELL_SHINGLES, _by_sets), "links")
+        close = materialize(close_pairs(pairs, sketched), "close-pairs")
+        found = materialize(leader_links(close, sets), "links")
+        if found.take(1):
             links = found if links is None else links.unionByName(found)
             roots = materialize(components(links), "roots")
         buckets = left.select("key", "node", "size").join(led.select("key", "node"), ["key", "node"], "left_anti")
-        leaders, turn = min(MOST_LEADERS, leaders * MORE_LEADERS), turn + 1
+        left = materialize(_open_buckets(buckets, roots), "open-buckets")
+    if not left.take(1):
+        return roots
+    more = materialize(part_links(left, sets), "part-links")
+    if not more.take(1):
+        return roots
+    return materialize(components(more if links is None else links.unionByName(more)), "roots")
 
 
 def similar_documents(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -306,17 +371,17 @@ def similar_documents(docs: DataFrame, id_column: str = "doc_id", text_column: s
     found = classes.select("node", "size", "sketch").mapInArrow(_shared_bands(plan, keep), "key bigint, node bigint, size bigint")
     buckets = materialize(found, "buckets")
 
-    def sets_of(pairs: DataFrame) -> DataFrame:
-        ends = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-        reps = materialize(classes.join(ends, "node", "left_semi").select("node", "side", "id_hash", "size"), "wanted-classes")
-        keys = reps.mapInArrow(_rep_keys, "key bigint")
-        wanted = share(Filter(keys, "key", reps.count()))
-        texts = rows.where("text IS NOT NULL").select("id_hash", "text")
-        sets = texts.mapInArrow(_sets_of(wanted), "node bigint, side bigint, id_hash bigint, data binary")
-        once = sets.join(reps, ["node", "side", "id_hash"]).dropDuplicates(["node"])
-        return materialize(once.select("node", "size", "data"), "sets")
-
-    roots = _links(buckets, classes.selectExpr("node", "size", "sketch AS data"), sets_of)
+    # A filter passes some bands of one class too: only now are buckets known exactly.
+    first = materialize(_open_buckets(buckets, None), "open-buckets")
+    # Sets of all classes that share a band, from the text with each one's least id hash.
+    reps = materialize(classes.join(first.select("node").distinct(), "node", "left_semi").select("node", "side", "id_hash", "size"), "wanted-classes")
+    wanted = share(Filter(reps.select("node", "id_hash").mapInArrow(_rep_keys, "key bigint"), "key", reps.count()))
+    texts = rows.where("text IS NOT NULL").select("id_hash", "text")
+    sets = texts.mapInArrow(_sets_of(wanted), "node bigint, side bigint, id_hash bigint, data binary")
+    rep = ["node", "side", "id_hash"]  # repeated rows have equal ones: one exchange serves both steps
+    once = sets.dropDuplicates(rep).join(reps.select(*rep, "size"), rep)
+    sets = materialize(once.select("node", "size", "data"), "sets")
+    roots = _links(first, classes.select("node", "size", "sketch"), sets)
     named = classes.select("node", "side", "class_id")
     if roots is None:
         named = named.withColumn("component_id", F.col("class_id"))

@@ -64,9 +64,9 @@ def test_equals_brute_force(make_docs, corpus):
 
 
 def test_small_cells_and_late_rounds_change_nothing(make_docs, corpus, monkeypatch):
-    monkeypatch.setattr(sketch_dedup, "CELL_SKETCHES", 5)
     monkeypatch.setattr(sketch_dedup, "CELL_SHINGLES", 300)
-    monkeypatch.setattr(sketch_dedup, "MOST_LEADERS", 2)
+    monkeypatch.setattr(sketch_dedup, "PART", 7)
+    monkeypatch.setattr(sketch_dedup, "LEADERS", (1,))
     few = corpus[:60] + corpus[-12:]
     assert rows_of(similar_documents(make_docs(few))) == brute(few)
 
@@ -91,8 +91,8 @@ def test_sketches_merge_and_estimate():
     found = estimate(float(len(a)), np.array([len(b)], float), above, below, sketch_dedup.REGISTERS - above - below)[0]
     assert abs(found - 600 / 700) < 0.12
     unlike = sketches(two, np.array([0, 40]))
-    assert may_be_similar(float(len(a)), np.array([len(b)]), s[0], s[1][None]).all()
-    assert not may_be_similar(40.0, np.array([60]), unlike[0], sketches(one, np.array([0, 60]))).any()
+    assert may_be_similar(np.array([len(a)]), np.array([len(b)]), s[0][None], s[1][None]).all()
+    assert not may_be_similar(np.array([40]), np.array([60]), unlike, sketches(one, np.array([0, 60]))).any()
 
 
 def test_truncated_minima_are_locality_sensitive():
