@@ -11,12 +11,14 @@ lists, have one in common; the others are its long lists, which are only probed.
    counters show to be very long is dealt over many tasks.
 3. First every class is paired with one class of each of its lists only, so a group of near
    copies costs its size, not its square. Links make components; lists with several
-   components left go round again with other classes as leaders, up to MAX_ROUNDS times and for
-   as long as links are found. Then the lists left are searched for all pairs between different
-   components that pass the size and position bounds. Pairs inside one need no test.
-4. Pairs are tested in cells. The shingle sets of all classes on the lists are written once;
-   a cell gets those of a leader and up to 400 others, or of the classes that a list brings
-   together. A leader's cell has their short lists only at first: a pair goes on if it
+   components left go round again with more classes as leaders (``LEADERS``) while links are
+   found. Leaders come from outside a list's largest component if they can. No list of pairs
+   is made for what is left then: lists are cut by size class, lists of equal members are
+   taken once, and their classes are seated in cells, whose search finds links between
+   different components. Pairs inside one need no test.
+4. Links are found in cells. The shingle sets of all classes on the lists are written once;
+   a cell gets those of a leader and up to 400 others, or of two parts of about 400 classes
+   of a list, so a list of n unlinked classes takes n * n / 400 seats. A leader's cell has their short lists only at first: a pair goes on if it
    shares as many as the long ones cannot make up for. A cell's inverted lists are searched
    by DivideSkip: the shorter ones are merged by a heap that skips ids which cannot reach
    T, the longest are probed by bisection.
@@ -46,6 +48,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 from emberwatch.llm.components import components
 from emberwatch.llm.shingles import fingerprints, shingle_sets
+from emberwatch.llm.slots import spread_join
 from emberwatch.llm.texts import ddl_of, in_bitmap, key_bitmap, mix, pack, text_buffer, text_slices, unpack
 from emberwatch.sources.store import materialize, scratch_path
 
@@ -55,7 +58,7 @@ FLUSH = 400_000
 BUCKET_POSTINGS = 1_000_000
 HOT_LIST = 100_000
 CELL = 400
-MAX_ROUNDS = 1
+LEADERS = (1, 4)  # classes of each list that the others are paired with, round by round
 SET_BYTES = 6  # the high bytes of a shingle's hash by which sets are compared in cells
 MU = 0.01  # weight of a probe against a merge step when lists are divided
 
@@ -469,18 +472,25 @@ def star_links(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return _in_cells(_star_seats(close), sets, WHOLE, _cell_links)
 
 
-def list_links(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Links that join components, among classes that lists bring together; ``pairs`` is (shingle, a, b) with the
-    components ``root_a`` and ``root_b``, every pair with one list.
+def list_links(lists: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links that join components, among the classes of each list; ``lists`` is (shingle, node, size, root).
 
-    A list's classes are dealt into parts of about ``CELL``; every two parts are a cell.
+    Sizes within 4:3 fall in the same or in neighbouring classes of powers of 4/3, so each
+    class takes part in two sub-lists. Those of one component go, and of sub-lists with
+    equal members one stays. Members are dealt into parts of about ``CELL``; every two parts are a cell.
     """
-    ends = F.array(*[F.struct(F.col(x).alias("node"), F.col(f"root_{x}").alias("root")) for x in ("a", "b")])
-    seats = pairs.select("shingle", F.explode(ends).alias("end")).select("shingle", "end.*").distinct()
-    parts = seats.groupBy("shingle").agg(F.ceil(F.count(F.lit(1)) / CELL).cast("int").alias("parts"))
+    by_size = F.floor(F.log(F.col("size").cast("double")) / F.log(F.lit(4 / 3))).cast("int")
+    cut = materialize(lists.withColumn("size_class", by_size).selectExpr("shingle", "node", "root", "explode(array(size_class, size_class + 1)) AS size_class"), "sub-lists")
+    state = cut.groupBy("shingle", "size_class").agg(
+        F.count(F.lit(1)).alias("n"), F.min("root").alias("low"), F.max("root").alias("high"),
+        F.expr("bit_xor(xxhash64(node))").alias("one"), F.expr("bit_xor(xxhash64(node, 1))").alias("two"),
+    ).where("low <> high")
+    once = state.groupBy("one", "two", "n").agg(F.min(F.struct("shingle", "size_class")).alias("first")).selectExpr(
+        "first.*", f"cast(ceil(n / {CELL}) as int) AS parts"
+    )
     # Nodes and shingles are both hashes; the complement keeps a list's name from being taken for a member.
-    dealt = seats.join(parts, "shingle").select(
-        F.expr("~shingle").alias("hub"), "node", "root", "parts", F.expr("pmod(xxhash64(node), parts)").alias("part")
+    dealt = spread_join(cut, once, ["shingle", "size_class"], "node").selectExpr(
+        "~xxhash64(shingle, size_class) AS hub", "node", "root", "parts", "pmod(xxhash64(node), parts) AS part"
     )
     cells = F.expr("transform(sequence(0L, parts - 1L), o -> least(o, part) * parts + greatest(o, part))")
     return _in_cells(dealt.select("hub", F.explode(cells).alias("cell"), "node", "root"), sets, WHOLE, _cell_links)
@@ -495,21 +505,25 @@ def _may_link(x: str, y: str) -> str:
 
 
 def _open_lists(lists: DataFrame, roots: DataFrame) -> DataFrame:
-    """Rows of lists that still hold several components, with their ``root``."""
-    named = lists.drop("root").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    mixed = named.groupBy("shingle").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("shingle")
-    return named.join(mixed, "shingle").select("shingle", "node", "size", "place", "root")
+    """Rows of lists that still hold several components, with their ``root`` and whether it is the list's largest one."""
+    named = materialize(lists.select("shingle", "node", "size", "place").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "named-lists")
+    members = named.groupBy("shingle", "root").agg(F.count(F.lit(1)).alias("n"))
+    state = members.groupBy("shingle").agg(F.count(F.lit(1)).alias("n_roots"), F.max(F.struct("n", "root")).alias("top"))
+    state = state.where("n_roots > 1").selectExpr("shingle", "top.root AS largest")
+    return spread_join(named, state, ["shingle"], "node").selectExpr("shingle", "node", "size", "place", "root", "root = largest AS inside")
 
 
 def _linked(lists: DataFrame, sets: DataFrame) -> DataFrame:
     """(node, root) of all classes that are linked to another one."""
-    left = lists.withColumn("root", F.col("node"))
+    left = lists.selectExpr("*", "node AS root", "true AS inside")
     tried = links = roots = None
-    for turn in range(MAX_ROUNDS):
-        order = F.struct(F.xxhash64("node", F.lit(turn)).alias("o"), "node", "size", "place", "root")
-        leaders = left.groupBy("shingle").agg(F.min(order).alias("y"))
-        led = materialize(left.join(leaders, "shingle").where("node <> y.node"), "led-lists")
-        pairs = led.alias("x").where("x.root <> y.root").where(_may_link("x", "y")).select(
+    for turn, leaders in enumerate(LEADERS):
+        order = f"row_number() OVER (PARTITION BY shingle ORDER BY inside, xxhash64(node, {turn})) AS rank"
+        first = left.selectExpr("*", order).where(f"rank <= {leaders}").select("shingle", F.struct("node", "size", "place", "root").alias("y"))
+        first = materialize(first, "leaders")
+        led = spread_join(left, first.groupBy("shingle").agg(F.collect_list("y").alias("ys")), ["shingle"], "node")
+        led = led.select(F.struct("node", "size", "place", "root").alias("x"), F.explode("ys").alias("y"))
+        pairs = led.where("x.root <> y.root").where(_may_link("x", "y")).select(
             F.col("y.node").alias("a"), F.col("x.node").alias("b"), F.col("y.root").alias("root_a"), F.col("x.root").alias("root_b")
         ).distinct()
         if tried is not None:
@@ -519,24 +533,17 @@ def _linked(lists: DataFrame, sets: DataFrame) -> DataFrame:
         tried = both if tried is None else tried.unionByName(both)
         found = materialize(star_links(pairs, sets), "star-links")
         links = found if links is None else links.unionByName(found)
-        roots = materialize(components(links), "roots")
-        # A leader has met its whole list and leaves it, so lists of two are done after one round.
-        left = materialize(_open_lists(led.drop("y"), roots), "open-lists")
-        if not left.take(1) or turn and not found.take(1):
+        some = bool(found.take(1))
+        if some or roots is None:
+            roots = materialize(components(links), "roots")
+        # Leaders have met their whole list and leave it, so lists of two are done after one round.
+        met = first.select("shingle", F.col("y.node").alias("node"))
+        left = materialize(_open_lists(left.join(met, ["shingle", "node"], "left_anti"), roots), "open-lists")
+        if not left.take(1):
+            return roots
+        if not some:
             break
-    if not left.take(1):
-        return roots
-    # Sizes within 4:3 fall in the same or in neighbouring classes of powers of 4/3.
-    classed = left.withColumn("size_class", F.floor(F.log(F.col("size").cast("double")) / F.log(F.lit(4 / 3))).cast("int"))
-    near = classed.withColumn("size_class", F.explode(F.expr("sequence(size_class - 1, size_class + 1)")))
-    rest = (
-        classed.alias("x").join(near.alias("y"), ["shingle", "size_class"])
-        .where("x.node < y.node AND x.root <> y.root").where(_may_link("x", "y"))
-        .groupBy(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
-        .agg(F.min("shingle").alias("shingle"), F.first("x.root").alias("root_a"), F.first("y.root").alias("root_b"))
-    )
-    rest = materialize(rest.join(tried, ["a", "b"], "left_anti"), "other-pairs")
-    more = materialize(list_links(rest, sets), "other-links")
+    more = materialize(list_links(left, sets), "other-links")
     if not more.take(1):
         return roots
     return materialize(components(links.unionByName(more)), "all-roots")
@@ -547,7 +554,7 @@ def similar_components(docs: DataFrame, id_column: str = "doc_id", text_column:
     named = _rooted(docs, id_column, text_column)
     full = named.where("n_shingles > 0")
     ids = full.groupBy("root", "side").agg(F.min("id").alias("component_id"))
-    out = full.join(ids, ["root", "side"]).select("id", "n_shingles", "component_id", "text_key")
+    out = spread_join(full, ids, ["root", "side"], "id").select("id", "n_shingles", "component_id", "text_key")
     none = named.where("n_shingles = 0").select("id", "n_shingles", F.col("id").alias("component_id"), "text_key")
     return out.unionByName(none).withColumnRenamed("id", id_column)
 
@@ -583,7 +590,8 @@ def _rooted(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
     packed = texts.mapInArrow(_short_lists(shared, buckets, hot_from), _PACKED)
     lists = materialize(packed.groupBy("bucket", "hot").applyInArrow(_merge_lists, _LISTS), "short-lists")
     roots = _linked(lists, shingle_sets_of(rows, lists.select("node").distinct(), sets, shared))
-    return sets.join(roots.withColumnRenamed("node", "f1"), "f1", "left").select(
+    named = sets.join(roots.withColumnRenamed("node", "f1"), "f1", "left").select(
         "id", "text_key", "n_shingles", F.coalesce("root", "f1").alias("root"),
         F.when(F.col("root").isNull(), F.col("f2")).otherwise(F.lit(0)).alias("side"),
     )
+    return materialize(named, "rooted")
