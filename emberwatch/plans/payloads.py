@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from emberwatch.functions.events import severity_level
 from emberwatch.functions.text import first_match
 from emberwatch.plans.reports import severity_summary
-from emberwatch.schema import epoch_micros, ts_iso, ts_text
+from emberwatch.schema import computed_once, epoch_micros, ts_iso, ts_text
 
 TOOL = "emberwatch"
 
@@ -118,13 +118,17 @@ def custom_event_rows(alerts: DataFrame, total_events: int) -> DataFrame:
 
 
 def name_uuid(seed: Column) -> Column:
-    """Version-5 UUID text of ``seed`` in :data:`NAMESPACE`."""
+    """Version-5 UUID text of ``seed`` in :data:`NAMESPACE`. The digest is bound to a name, so it is made once."""
+
+    def text(digest: Column) -> Column:
+        variant = F.substring(F.lit("89ab"), (F.conv(F.substring(digest, 17, 1), 16, 10).cast("int") % 4) + 1, F.lit(1))
+        return F.concat_ws(
+            "-", F.substring(digest, 1, 8), F.substring(digest, 9, 4), F.concat(F.lit("5"), F.substring(digest, 14, 3)),
+            F.concat(variant, F.substring(digest, 18, 3)), F.substring(digest, 21, 12),
+        )
+
     digest = F.sha1(F.concat(F.unhex(F.lit(NAMESPACE.hex)), F.encode(seed, "UTF-8")))
-    variant = F.substring(F.lit("89ab"), (F.conv(F.substring(digest, 17, 1), 16, 10).cast("int") % 4) + 1, F.lit(1))
-    return F.concat_ws(
-        "-", F.substring(digest, 1, 8), F.substring(digest, 9, 4), F.concat(F.lit("5"), F.substring(digest, 14, 3)),
-        F.concat(variant, F.substring(digest, 18, 3)), F.substring(digest, 21, 12),
-    )
+    return F.get(F.transform(F.array(digest), text), F.lit(0))
 
 
 def indicator_pattern() -> Column:
@@ -153,8 +157,10 @@ def intel_objects(alerts: DataFrame, creator: str = TOOL) -> DataFrame:
     seed = F.concat_ws(
         "|", "rule_name", ts_iso("alert_ts"), "mitre_technique", F.substring(F.sha2("description", 256), 1, 16)
     )
-    indicator_id = F.concat(F.lit("indicator--"), name_uuid(seed))
-    sighting_id = F.concat(F.lit("sighting--"), name_uuid(F.concat(seed, F.lit("|sighting"))))
+    # The objects name the ids several times; they are made once per alert.
+    alerts = computed_once(alerts, _seed=seed)
+    alerts = computed_once(alerts, _indicator=name_uuid(F.col("_seed")), _sighting=name_uuid(F.concat("_seed", F.lit("|sighting"))))
+    indicator_id, sighting_id = F.concat(F.lit("indicator--"), "_indicator"), F.concat(F.lit("sighting--"), "_sighting")
     author = f"identity--{uuid.uuid5(NAMESPACE, creator)}"
     seen = F.concat(ts_iso("alert_ts"), F.lit("Z"))
     now = F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss.000'Z'")
@@ -193,8 +199,10 @@ def intel_objects(alerts: DataFrame, creator: str = TOOL) -> DataFrame:
             F.when(F.col("recommendation") != "", F.col("recommendation")).otherwise(F.col("description")).alias("description"),
         )
     )
-    objects = F.array(
-        F.struct(F.lit("indicator").alias("kind"), indicator_id.alias("id"), indicator.alias("value")),
-        F.struct(F.lit("sighting").alias("kind"), sighting_id.alias("id"), sighting.alias("value")),
+    # One row per kind first: an object is built for the kinds that are asked for only.
+    kinds = alerts.select("*", F.explode(F.array(F.lit("indicator"), F.lit("sighting"))).alias("kind"))
+    is_indicator = F.col("kind") == "indicator"
+    return kinds.select(
+        "alert_id", "kind", F.when(is_indicator, indicator_id).otherwise(sighting_id).alias("id"),
+        F.when(is_indicator, indicator).otherwise(sighting).alias("value"),
     )
-    return alerts.select("alert_id", F.explode(objects).alias("o")).select("alert_id", "o.*")

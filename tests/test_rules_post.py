@@ -1,6 +1,9 @@
 from __future__ import annotations
 
-from datetime import timedelta
+import hashlib
+import json
+import uuid
+from datetime import datetime, timedelta
 
 import pytest
 from conftest import START
@@ -11,7 +14,7 @@ from emberwatch.operators.fieldrules import OPERATORS, FieldRule, conditions_tes
 from emberwatch.operators.ruleindex import Literal, RuleIndex, of_condition
 from emberwatch.operators.sigma import detect_sigma, merge_selections, sigma_row_rule
 from emberwatch.plans import payloads, reports
-from emberwatch.schema import ALERT_COLUMNS, evidence_struct, finish_alerts
+from emberwatch.schema import ALERT_COLUMNS, EVIDENCE_DDL, evidence_struct, finish_alerts
 from emberwatch.sources import store
 
 
@@ -264,3 +267,16 @@ def test_chain_detects_changes_and_cuts(events, spark):
     cut = records.join(heads.select("chain_id", "day", "shard", "seq"), ["chain_id", "day", "shard", "seq"], "left_anti")
     assert hashchain.verify_chain(cut).count() == 0
     assert hashchain.verify_heads(cut, heads).count() == 4 and hashchain.verify_heads(records, heads).count() == 0
+
+
+def test_ids_of_intel_objects_are_made_once(spark):
+    rows = [("a1", "R", "low", "d", datetime(2024, 1, 1), "T", "T1", "", 1)]
+    made = spark.createDataFrame(rows, "alert_id string, rule_name string, severity string, description string, alert_ts timestamp_ntz, "
+                                 "mitre_tactic string, mitre_technique string, recommendation string, evidence_count bigint")
+    made = made.selectExpr("*", f"cast(array() as array<{EVIDENCE_DDL}>) AS evidence")
+    objects = payloads.intel_objects(made)
+    assert objects._jdf.queryExecution().optimizedPlan().toString().count("sha1(") == 2
+    found = {r.kind: (r.id, json.loads(r.value)) for r in objects.collect()}
+    seed = f"R|2024-01-01T00:00:00|T1|{hashlib.sha256(b'd').hexdigest()[:16]}"
+    assert found["indicator"][0] == f"indicator--{uuid.uuid5(payloads.NAMESPACE, seed)}" == found["sighting"][1]["sighting_of_ref"]
+    assert found["sighting"][0] == f"sighting--{uuid.uuid5(payloads.NAMESPACE, seed + '|sighting')}" == found["sighting"][1]["id"]
