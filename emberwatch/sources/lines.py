@@ -59,7 +59,8 @@ def numbered(rows: DataFrame) -> DataFrame:
     begins = ranges.selectExpr(
         "src_file", "_block", "_first", "coalesce(sum(_n) OVER (PARTITION BY src_file ORDER BY _block ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS _begin"
     )
-    return placed.join(begins, ["src_file", "_block"]).withColumn("line_id", F.expr("_begin + _at - _first")).select(*rows.columns, "src_file", "line_id")
+    # One row per byte range; a broadcast join leaves the rows with the task that read them.
+    return placed.join(F.broadcast(begins), ["src_file", "_block"]).withColumn("line_id", F.expr("_begin + _at - _first")).select(*rows.columns, "src_file", "line_id")
 
 
 def read_lines(spark: SparkSession, path: str | list[str], **options: str) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from emberwatch.sources import store
 from emberwatch.sources.event_xml import read_event_xml
 from emberwatch.sources.json_logs import read_json_logs
-from emberwatch.sources.lines import discover_logs
+from emberwatch.sources.lines import discover_logs, read_lines
 from emberwatch.sources.logs import read_logs
 from emberwatch.sources.siem_export import newer_than, read_siem_export
 from emberwatch.sources.syslog import read_cef, read_syslog
@@ -270,3 +270,9 @@ def test_stray_xml_lines_and_binary_logs_are_set_aside(spark, tmp_path):
     (tmp_path / "b.evtx").write_bytes(b"ElfFile")
     _, bad = read_logs(spark, str(tmp_path), default_year=2024)
     assert "binary, export as XML" in [r.reason for r in bad.collect()]
+
+
+def test_rows_of_a_file_stay_with_the_task_that_read_them(spark, tmp_path):
+    (tmp_path / "a.log").write_text("one\ntwo\n")
+    plan = read_lines(spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString()
+    assert "strategy=broadcast" in plan
