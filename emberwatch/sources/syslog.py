@@ -28,12 +28,12 @@ BSD_CLOCK_IN_HEADER = r"(?U)(\w{3}\s+\d{1,2}\s+\d{2}:\d{2}:\d{2})"
 
 
 def _groups(text: Column, pattern: str, count: int) -> Column:
-    """All groups of the match as an array, NULL if the line does not match.
+    """All groups of the match as an array inside an array, which is empty if the line does not match.
 
     The leading line feed, which no line has, tells a rewritten line from an unmatched one.
     """
     rewritten = F.split(F.regexp_replace(text, pattern, "\n" + "\n".join(f"${i}" for i in range(1, count + 1))), "\n", count + 1)
-    return F.get(F.filter(F.array(rewritten), lambda g: F.size(g) == count + 1), F.lit(0))
+    return F.filter(F.array(rewritten), lambda g: F.size(g) == count + 1)
 
 
 # Position of the named parts in the group arrays (0 is the marker).
@@ -43,11 +43,17 @@ PARTS_CEF = ["version", "vendor", "product", "device_version", "signature_id", "
 PARTS = sorted({*PARTS_5424, *PARTS_3164, *PARTS_CEF})
 
 
-def _parts(groups: Column, names: list[str], kind: str) -> Column:
-    """Named parts of a match as a struct with the same fields for every line format; NULL without a match."""
+def _parts(text: Column, pattern: str, names: list[str], kind: str) -> Column:
+    """Named parts of a match as a struct with the same fields for every line format; NULL without a match.
+
+    The groups are bound to a name first, so the line is matched once and not once for each part.
+    """
     at = {name: i + 1 for i, name in enumerate(names)}
-    fields = [F.get(groups, F.lit(at.get(name, -1))).alias(name) for name in PARTS]
-    return F.when(groups.isNotNull(), F.struct(F.lit(kind).alias("kind"), *fields))
+
+    def named(groups: Column) -> Column:
+        return F.struct(F.lit(kind).alias("kind"), *[F.get(groups, F.lit(at.get(name, -1))).alias(name) for name in PARTS])
+
+    return F.get(F.transform(_groups(text, pattern, len(names)), named), F.lit(0))
 
 
 def cef_pairs(extension: Column) -> Column:
@@ -72,10 +78,10 @@ def match_lines(lines: DataFrame, cef_only: bool = False) -> DataFrame:
     value = F.col("value")
     cef_part = F.when(value.contains("CEF:"), F.expr("substring(value, instr(value, 'CEF:'))"))
     tries = [] if cef_only else [
-        _parts(_groups(value, RFC5424, len(PARTS_5424)), PARTS_5424, "rfc5424"),
-        _parts(_groups(value, RFC3164, len(PARTS_3164)), PARTS_3164, "rfc3164"),
+        _parts(value, RFC5424, PARTS_5424, "rfc5424"),
+        _parts(value, RFC3164, PARTS_3164, "rfc3164"),
     ]
-    tries.append(_parts(_groups(cef_part, CEF, len(PARTS_CEF)), PARTS_CEF, "cef"))
+    tries.append(_parts(cef_part, CEF, PARTS_CEF, "cef"))
     matched = computed_once(lines, p=F.coalesce(*tries))
     return matched.select("value", "src_file", "line_id", "p.*")
 

@@ -12,7 +12,7 @@ from emberwatch.sources.json_logs import read_json_logs
 from emberwatch.sources.lines import discover_logs, read_lines
 from emberwatch.sources.logs import read_logs
 from emberwatch.sources.siem_export import newer_than, read_siem_export
-from emberwatch.sources.syslog import read_cef, read_syslog
+from emberwatch.sources.syslog import match_lines, read_cef, read_syslog
 
 RECORD = {
     "TimeCreated": "2024-01-15T08:30:01Z", "EventID": 4625, "Source": "Auditing", "Computer": "WS-PC01",
@@ -276,3 +276,12 @@ def test_rows_of_a_file_stay_with_the_task_that_read_them(spark, tmp_path):
     (tmp_path / "a.log").write_text("one\ntwo\n")
     plan = read_lines(spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString()
     assert "strategy=broadcast" in plan
+
+
+def test_a_line_is_matched_once_per_format(spark):
+    lines = spark.createDataFrame([("<34>Jan  5 08:30:01 h app[1]: x", "f", 0), ("no format", "f", 1)], "value string, src_file string, line_id bigint")
+    matched = match_lines(lines)
+    assert matched._jdf.queryExecution().optimizedPlan().toString().count("regexp_replace(") == 3
+    assert [(r.kind, r.host, r.pid, r.message, r.vendor) for r in matched.orderBy("line_id").collect()] == [
+        ("rfc3164", "h", "1", "x", None), (None, None, None, None, None),
+    ]
