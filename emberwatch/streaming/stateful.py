@@ -1,10 +1,11 @@
 """Window rules over streams with state in slots of time.
 
 State of a key is a map from slot to the slot's events, an eighth of the window's width each,
-a map from event to its evidence, and where the last window ended. A batch touches only the
-slots its events fall in. A slot's timer fires when the watermark has passed every window
+a map from slot to the evidence of its events, and where the last window ended. A batch touches
+only the slots its events fall in, each once per ``ADDED_ROWS`` rows. A slot's timer fires when the watermark has passed every window
 that can start in it; it reads the slots those windows reach, finds the at most one window
-that starts in the slot, and removes the slot. Nothing walks over all of a key's state.
+that starts in the slot, and removes the slot. Slots that were read stay at hand for the next
+timers of the batch, up to ``KEPT_EVENTS`` events. Nothing walks over all of a key's state.
 """
 
 from __future__ import annotations
@@ -15,6 +16,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+ADDED_ROWS = 200_000  # rows of a key that are put into their slots at a time
+KEPT_EVENTS = 500_000  # events of slots that a task keeps at hand
 SLOTS = 8  # per window width: windows that start in one slot overlap, so it holds one start at most
 
 FOUND_DDL = (
@@ -22,6 +25,7 @@ FOUND_DDL = (
     "last_ts timestamp_ntz, items array<string>"
 )
 _SLOT_DDL = "ts array<bigint>, uids array<string>, vals array<string>, bits array<int>"
+_ITEMS_DDL = "items array<string>"  # in the order of the slot's events
 
 
 def slot_length(width: int) -> int:
@@ -57,36 +61,74 @@ class WindowProcessor(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.slots = handle.getMapState("slots", "slot bigint", _SLOT_DDL)
-        self.evidence = handle.getMapState("evidence", "t bigint, uid string", "item string")
+        self.items = handle.getMapState("items", "slot bigint", _ITEMS_DDL)
         self.last = handle.getValueState("last_end", "end bigint, done boolean")
+        self._forget()
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        self._forget()
         watermark = timerValues.getCurrentWatermarkInMs() * 1000
         done = self.last.exists() and self.last.get()[1]
+        held, n_held = [], 0
         for frame in rows:
             frame = frame[frame["t"] > watermark]
             if done or not len(frame):
                 continue
-            for slot, part in frame.groupby(frame["t"] // self.length):
-                self._add(int(slot), part)
+            held.append(frame)
+            n_held += len(frame)
+            if n_held >= ADDED_ROWS:
+                self._add_all(held)
+                held, n_held = [], 0
+        if held:
+            self._add_all(held)
         return iter(())
 
+    def _add_all(self, frames: list[pd.DataFrame]) -> None:
+        frame = pd.concat(frames, ignore_index=True)
+        for slot, part in frame.groupby(frame["t"] // self.length):
+            self._add(int(slot), part)
+
     def _add(self, slot: int, part: pd.DataFrame) -> None:
         new = (part["t"].tolist(), part["event_uid"].tolist(), part["value"].tolist(), part["bits"].tolist())
+        items = part["item"].tolist()
         if self.slots.containsKey((slot,)):
             new = tuple(list(old) + more for old, more in zip(self.slots.getValue((slot,)), new, strict=True))
+            items = list(self.items.getValue((slot,))[0]) + items
         else:
             self.handle.registerTimer(((slot + 1) * self.length + self.width) // 1000 + 1)
         self.slots.updateValue((slot,), new)
-        for t, uid, item in zip(part["t"].tolist(), part["event_uid"], part["item"], strict=True):
-            self.evidence.updateValue((t, uid), (item,))
-
-    def _events(self, slots) -> tuple[np.ndarray, list[str], list[str], np.ndarray]:
-        """Events of slots in order of time and id."""
-        held = [self.slots.getValue((s,)) for s in slots if self.slots.containsKey((s,))]
-        ts, uids, vals, bits = ([x for part in column for x in part] for column in zip(*held, strict=True))
-        order = sorted(range(len(ts)), key=lambda k: (ts[k], uids[k]))
-        return np.array(ts, np.int64)[order], [uids[k] for k in order], [vals[k] for k in order], np.array(bits, np.int64)[order]
+        self.items.updateValue((slot,), (items,))
+
+    def _forget(self) -> None:
+        self.kept, self.n_kept = {}, 0
+
+    def _slot(self, key: str, slot: int) -> tuple[np.ndarray, list[str], list[str], np.ndarray] | None:
+        """Events of a slot in order of time and id, None if it has none."""
+        if (key, slot) not in self.kept:
+            if self.n_kept > KEPT_EVENTS:
+                self._forget()
+            found = None
+            if self.slots.containsKey((slot,)):
+                ts, uids, vals, bits = self.slots.getValue((slot,))
+                order = sorted(range(len(ts)), key=lambda k: (ts[k], uids[k]))
+                found = np.array(ts, np.int64)[order], [uids[k] for k in order], [vals[k] for k in order], np.array(bits, np.int64)[order]
+            self.kept[key, slot] = found
+            self.n_kept += 1 if found is None else 1 + len(found[1])
+        return self.kept[key, slot]
+
+    def _events(self, key: str, slots) -> tuple[np.ndarray, list[str], list[str], np.ndarray]:
+        """Events of slots, which ascend, in order of time and id."""
+        held = [found for s in slots if (found := self._slot(key, s)) is not None]
+        ts, uids, vals, bits = zip(*held, strict=True)
+        return np.concatenate(ts), [x for part in uids for x in part], [x for part in vals for x in part], np.concatenate(bits)
+
+    def _evidence(self, ts: list[int], uids: list[str]) -> list[str]:
+        """Evidence of events by time and id."""
+        items = {}
+        for slot in sorted({t // self.length for t in ts}):
+            of_slot = self.slots.getValue((slot,))
+            items |= zip(zip(of_slot[0], of_slot[1], strict=True), self.items.getValue((slot,))[0], strict=True)
+        return [items[event] for event in zip(ts, uids, strict=True)]
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         slot = (expiredTimerInfo.getExpiryTimeInMs() * 1000 - self.width) // self.length - 1
@@ -102,7 +144,7 @@ class WindowProcessor(StatefulProcessor):
         end, done = self.last.get() if self.last.exists() else (None, False)
         found = None
         if not done:
-            ts, uids, vals, bits = self._events(range(slot, slot + self.width // self.length + 2))
+            ts, uids, vals, bits = self._events(key, range(slot, slot + self.width // self.length + 2))
             open_ = np.flatnonzero((ts // self.length == slot) & (ts > end if end is not None else True))
             at = None
             if len(open_):
@@ -113,9 +155,10 @@ class WindowProcessor(StatefulProcessor):
                 stop = int(np.searchsorted(ts, ts[at] + self.width, side="right"))
                 found = self._window(key, ts[at:stop], uids[at:stop], vals[at:stop], bits[at:stop])
                 self.last.update((int(ts[at]) + self.width, self.by_stages))
-        for event in set(zip(*self.slots.getValue((slot,))[:2], strict=True)):
-            self.evidence.removeKey(event)
+        self.items.removeKey((slot,))
         self.slots.removeKey((slot,))
+        dropped = self.kept.pop((key, slot), None)
+        self.n_kept -= 0 if dropped is None else 1 + len(dropped[1])
         return found
 
     def _window(self, key: str, ts: np.ndarray, uids: list[str], vals: list[str], bits: np.ndarray) -> dict:
@@ -123,7 +166,7 @@ class WindowProcessor(StatefulProcessor):
         return {
             "key": key, "anchor": int(ts[0]), "n": len(ts), "n_distinct": len(names), "names": names[: self.names_shown],
             "bits": int(np.bitwise_or.reduce(bits)), "first_ts": pd.Timestamp(int(ts[0]), unit="us"), "last_ts": pd.Timestamp(int(ts[-1]), unit="us"),
-            "items": [self.evidence.getValue(event)[0] for event in zip(ts[: self.evidence_cap].tolist(), uids, strict=False)],
+            "items": self._evidence(ts[: self.evidence_cap].tolist(), uids[: self.evidence_cap]),
         }
 
     def close(self) -> None:

@@ -86,6 +86,58 @@ def test_state_is_one_entry_per_slot():
     assert slot_length(80) * SLOTS == 80 and slot_length(3) == 1
 
 
+class _State(dict):
+    """A state variable that counts how often it is written and read."""
+
+    writes = reads = 0
+
+    def containsKey(self, key):
+        return key in self
+
+    def getValue(self, key):
+        self.reads += 1
+        return self[key]
+
+    def updateValue(self, key, value):
+        self.writes += 1
+        self[key] = value
+
+    removeKey = dict.pop
+
+    def exists(self):
+        return () in self
+
+    def get(self):
+        return self[()]
+
+    def update(self, value):
+        self[()] = value
+
+
+def test_state_is_written_and_read_by_slot_not_by_event():
+    from types import SimpleNamespace
+
+    import pandas as pd
+
+    from emberwatch.streaming.stateful import WindowProcessor
+
+    states, timers = {}, set()
+    handle = SimpleNamespace(
+        getMapState=lambda name, *_: states.setdefault(name, _State()), getValueState=lambda name, *_: states.setdefault(name, _State()), registerTimer=timers.add,
+    )
+    processor = WindowProcessor(80_000_000, 3, 5, 10, False)
+    processor.init(handle)
+    ts = [1_000_000 + 100_000 * k for k in range(1200)]
+    frame = pd.DataFrame({"t": ts, "event_uid": [f"{k:05}" for k in range(1200)], "value": "v", "bits": 1, "item": [f"i{k}" for k in range(1200)]})
+    clock = SimpleNamespace(getCurrentWatermarkInMs=lambda: 0)
+    processor.handleInputRows(("k",), iter([frame[k::40] for k in range(40)]), clock)
+    n_slots = len({t // 10_000_000 for t in ts})
+    assert sum(s.writes for s in states.values()) <= 2 * n_slots
+    out = [row for at in sorted(timers) for found in processor.handleExpiredTimer(("k",), clock, SimpleNamespace(getExpiryTimeInMs=lambda at=at: at)) for row in found.itertuples()]
+    assert [(r.anchor, r.n, r.items) for r in out] == [(ts[0], 801, [f"i{k}" for k in range(10)]), (ts[801], 399, [f"i{k}" for k in range(801, 811)])]
+    assert states["slots"].reads <= 2 * n_slots and not states["slots"] and not states["items"]
+
+
 def test_lines_to_alerts_once(spark, tmp_path):
     line = {"TimeCreated": START.isoformat() + "Z", "EventID": 1102, "Computer": "H"}
     folder = tmp_path / "logs"
