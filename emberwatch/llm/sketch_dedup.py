@@ -10,17 +10,17 @@ Jaccard similarity says.
 2. Registers are banded by fours, 32 bands in all: sets of similarity 0.85 share none with
    a chance of (1 - 0.85**4)**32 = 6e-11. Bands that surely hold one class only are told by
    slot counts and never shuffled.
-3. In a round every class of a bucket is paired with one or a few leaders of it that belong
-   to another component (``LEADERS``); these have then met the whole bucket and leave it.
-   Members outside a bucket's largest component lead first.
+3. Every class of a bucket is paired with the bucket's leader, the least class of its smallest
+   component, which has then met the whole bucket and leaves it (``LEADERS``, one a round).
 4. A pair's similarity is estimated jointly from the registers above, below and equal and
    both set sizes by maximum likelihood; a pair goes on unless the likelihood ratio
    against 0.85 is beyond exp(20). What is left is confirmed on the full sets.
-5. Buckets that still hold several components are cut by size and dealt into parts; every two
-   parts are a cell, in which all members outside the cell's largest component are compared
-   with all others on their sets. No pair is listed: a cell gives the links that join
-   components, and a bucket of n unlinked classes takes n * n / ``PART`` seats. So no link is
-   lost to a bucket's size.
+5. Buckets that still hold several components are cut by size. Their members outside the
+   largest component are dealt into parts that meet each other and every part of the largest
+   one, each two in a cell; there members of different components are compared on their sets.
+   No pair is listed: a cell gives the links that join components. A member of the largest
+   component has a seat per part outside; only a bucket of n unlinked classes takes
+   n * n / ``PART`` seats. So no link is lost to a bucket's size.
 
 Classes are told apart by 128-bit fingerprints, nodes of the graph by 64 bits of them and
 shingles by 64 bits: of n distinct sets some two share a node with a chance of n**2 / 2**65,
@@ -58,7 +58,7 @@ BASE, RATE, TOP = 1.001, 20.0, (1 << 16) - 1
 RATIO = 20.0  # log-likelihood ratio from which a pair is ruled out
 CELL_SHINGLES = 400_000  # a leader's cell
 PART = 300  # members of a part
-LEADERS = (1, 4)
+LEADERS = (1,)  # leaders of a bucket, one in each round
 
 _FACTORS = np.random.default_rng(711).integers(1, 1 << 63, REGISTERS, dtype=np.uint64) | np.uint64(1)
 _MASKS = np.random.default_rng(712).integers(1, 1 << 63, REGISTERS, dtype=np.uint64)
@@ -215,6 +215,7 @@ def _by_sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def close_pairs(pairs: DataFrame, sketched: DataFrame) -> DataFrame:
     """Pairs (a, b, m, n) with their set sizes that sketches do not rule out; ``sketched`` is (node, size, sketch)."""
     two = pairs.join(sketched.select(F.col("node").alias("b"), F.col("size").alias("n"), F.col("sketch").alias("two")), "b")
+    two = materialize(two, "half-pairs")  # the join below reads it twice
     one = sketched.select(F.col("node").alias("a"), F.col("size").alias("m"), F.col("sketch").alias("one"))
     both = spread_join(two, one, ["a"], "b").select("a", "b", "m", "n", "one", "two")
     return both.mapInArrow(_by_sketch, "a bigint, b bigint, m bigint, n bigint")
@@ -284,20 +285,28 @@ def _part_cell(table: pa.Table) -> pa.Table:
 
 
 def part_links(left: DataFrame, sets: DataFrame) -> DataFrame:
-    """Links that join components, among the members of each open bucket; ``left`` is (key, node, size, root).
+    """Links that join components, among the members of each open bucket; ``left`` is (key, node, size, root, inside).
 
     Sizes within 20:17 fall in the same or in neighbouring classes of its powers, so each member
-    takes part in two sub-buckets. Those of one component go; of equal ones one stays.
+    takes part in two sub-buckets. Those of one component go; of equal ones one stays. Cells are
+    (part outside, part inside) and, of the parts outside, every two, numbered -1 and below.
     """
     by_size = F.floor(F.log(F.col("size").cast("double")) / F.log(F.lit(100 / PERCENT))).cast("int")
-    cut = materialize(left.withColumn("c", by_size).selectExpr("key", "node", "root", "explode(array(c, c + 1)) AS size_class"), "sub-buckets")
+    cut = materialize(left.withColumn("c", by_size).selectExpr("key", "node", "root", "inside", "explode(array(c, c + 1)) AS size_class"), "sub-buckets")
     state = cut.groupBy("key", "size_class").agg(
-        F.count(F.lit(1)).alias("n"), F.min("root").alias("low"), F.max("root").alias("high"),
+        F.count(F.lit(1)).alias("n"), F.count_if("inside").alias("n_in"), F.min("root").alias("low"), F.max("root").alias("high"),
         F.expr("bit_xor(xxhash64(node))").alias("one"), F.expr("bit_xor(xxhash64(node, 1))").alias("two"),
     ).where("low <> high")
-    once = state.groupBy("one", "two", "n").agg(F.min(F.struct("key", "size_class")).alias("first")).selectExpr("first.*", f"cast(ceil(n / {PART}) as int) AS parts")
-    dealt = spread_join(cut, once, ["key", "size_class"], "node").selectExpr("key AS hub", "size_class", "node", "root", "parts", "pmod(xxhash64(node), parts) AS part")
-    cells = F.expr("transform(sequence(0L, parts - 1L), o -> least(o, part) * parts + greatest(o, part))")
+    least = F.min(F.struct("key", "size_class", "n_in")).alias("first")
+    once = state.groupBy("one", "two", "n").agg(least).selectExpr(
+        "first.key", "first.size_class", f"ceil((n - first.n_in) / {PART}) AS n_out", f"greatest(ceil(first.n_in / {PART}), 1L) AS n_in"
+    )
+    part = "pmod(xxhash64(node), IF(inside, n_in, n_out)) AS part"
+    dealt = spread_join(cut, once, ["key", "size_class"], "node").selectExpr("key AS hub", "size_class", "node", "root", "inside", "n_out", "n_in", part)
+    others = "transform(filter(sequence(0L, n_out - 1L), o -> o <> part), o -> -1L - (least(o, part) * n_out + greatest(o, part)))"
+    cells = F.expr(
+        f"IF(inside, transform(sequence(0L, n_out - 1L), o -> o * n_in + part), concat(transform(sequence(0L, n_in - 1L), i -> part * n_in + i), {others}))"
+    )
     seats = materialize(dealt.select("hub", "size_class", F.explode(cells).alias("cell"), "node", "root"), "part-seats")
     return _seated(seats, sets).groupBy("hub", "size_class", "cell").applyInArrow(_part_cell, "a bigint, b bigint")
 
@@ -306,31 +315,28 @@ def part_links(left: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def _open_buckets(buckets: DataFrame, roots: DataFrame | None) -> DataFrame:
-    """Rows of buckets that hold several components, with ``root`` and whether it is the bucket's largest one."""
-    if roots is None:
+    """Rows of buckets that hold several components, with ``root``, whether it is the bucket's largest one, and the bucket's leader."""
+    if roots is None:  # each class is a component of its own
         named = buckets.withColumn("root", F.col("node"))
+        by_root = named.selectExpr("key", "root", "1L AS n", "struct(node, size) AS least")
     else:
-        named = buckets.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    named = materialize(named, "named-buckets")
-    by_root = named.groupBy("key", "root").agg(F.count(F.lit(1)).alias("n"))
-    state = by_root.groupBy("key").agg(F.count(F.lit(1)).alias("n_roots"), F.max(F.struct("n", "root")).alias("largest"))
-    state = state.where("n_roots > 1").selectExpr("key", "largest.root AS largest")
-    return spread_join(named, state, ["key"], "node").selectExpr("key", "node", "size", "root", "root = largest AS inside")
+        named = materialize(buckets.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "named-buckets")
+        by_root = named.groupBy("key", "root").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("node", "size")).alias("least"))
+    state = by_root.groupBy("key").agg(
+        F.count(F.lit(1)).alias("n_roots"), F.max(F.struct("n", "root")).alias("largest"), F.min(F.struct("n", "root", "least")).alias("lead")
+    )
+    state = state.where("n_roots > 1").selectExpr("key", "largest.root AS largest", "struct(lead.least.*, lead.root) AS lead")
+    return spread_join(named, state, ["key"], "node").selectExpr("key", "node", "size", "root", "root = largest AS inside", "lead")
 
 
 def _links(left: DataFrame, sketched: DataFrame, sets: DataFrame) -> DataFrame | None:
     """(node, root) of all classes that are linked to another one; ``left`` are the open buckets of single classes."""
     roots = links = tried = None
-    for turn, leaders in enumerate(LEADERS):
+    for _ in LEADERS:
         if not left.take(1):
             return roots
-        first = "node" if turn == 0 else f"inside, xxhash64(node, {turn})"
-        ranked = left.selectExpr("*", f"row_number() OVER (PARTITION BY key ORDER BY {first}) AS rank").where(f"rank <= {leaders}")
-        led = materialize(ranked.select("key", "node", "size", "root"), "leaders")
-        lists = led.groupBy("key").agg(F.collect_list(F.struct("node", "size", "root")).alias("leads"))  # a few leaders each
-        met = spread_join(left, lists, ["key"], "node").selectExpr("node AS b", "size AS m", "root", "explode(leads) AS x")
-        fits = met.where(f"x.root <> root AND 100 * least(m, x.size) >= {PERCENT} * greatest(m, x.size)")
-        pairs = fits.selectExpr("x.node AS a", "b").distinct()
+        fits = left.where(f"lead.root <> root AND 100 * least(size, lead.size) >= {PERCENT} * greatest(size, lead.size)")
+        pairs = fits.selectExpr("lead.node AS a", "node AS b").distinct()
         if tried is not None:
             pairs = pairs.join(tried, ["a", "b"], "left_anti").join(tried.selectExpr("b AS a", "a AS b"), ["a", "b"], "left_anti")
         pairs = materialize(pairs, "pairs")
@@ -340,8 +346,7 @@ def _links(left: DataFrame, sketched: DataFrame, sets: DataFrame) -> DataFrame |
         if found.take(1):
             links = found if links is None else links.unionByName(found)
             roots = materialize(components(links), "roots")
-        buckets = left.select("key", "node", "size").join(led.select("key", "node"), ["key", "node"], "left_anti")
-        left = materialize(_open_buckets(buckets, roots), "open-buckets")
+        left = materialize(_open_buckets(left.where("node <> lead.node").select("key", "node", "size"), roots), "open-buckets")
     if not left.take(1):
         return roots
     more = materialize(part_links(left, sets), "part-links")

@@ -104,3 +104,39 @@ def test_truncated_minima_are_locality_sensitive():
         a, b = sketches(x[:190], np.array([0, 190])), sketches(x[10:], np.array([0, 190]))
         agree.append((a == b).mean())
     assert abs(np.mean(agree) - 180 / 200) < 0.02 and PERCENT == 85
+
+
+def test_a_large_component_is_seated_once_beside_few_others(spark, monkeypatch):
+    """One class outside a component of 99: before, every two parts of the bucket were a cell, 1,500 seats."""
+    monkeypatch.setattr(sketch_dedup, "PART", 7)
+    seats, materialize = [], sketch_dedup.materialize
+
+    def counted(df, name):
+        out = materialize(df, name)
+        seats.extend([out.count()] if name == "part-seats" else [])
+        return out
+
+    monkeypatch.setattr(sketch_dedup, "materialize", counted)
+    one, other = (np.arange(20, dtype=np.uint64) + np.uint64(k) for k in (0, 100))
+    sets = [(k, 20, bytearray((one if k in (50, 99) else other).tobytes())) for k in range(100)]
+    left = spark.createDataFrame([(1, k, 20, 0 if k < 99 else 99, k < 99) for k in range(100)], "key long, node long, size long, root long, inside boolean")
+    links = sketch_dedup.part_links(left, spark.createDataFrame(sets, "node long, size long, data binary")).collect()
+    assert {tuple(sorted(x)) for x in links} == {(50, 99)}
+    assert seats == [99 + 15]
+
+
+def test_one_leader_a_bucket_and_all_links(make_docs, words, edited, monkeypatch):
+    """Many near copies: every bucket lists a pair for each member with one leader, not with four more in a second round."""
+    pairs, materialize = [], sketch_dedup.materialize
+
+    def counted(df, name):
+        out = materialize(df, name)
+        if name in ("pairs", "buckets"):
+            pairs.append((name, out.count()))
+        return out
+
+    monkeypatch.setattr(sketch_dedup, "materialize", counted)
+    hub = words(150, 99)
+    rows = [(k, " ".join(edited(hub, k % 6, 700 + k))) for k in range(150)]
+    assert rows_of(similar_documents(make_docs(rows))) == brute(rows)
+    assert [name for name, _ in pairs] == ["buckets", "pairs"] and pairs[1][1] < pairs[0][1]
