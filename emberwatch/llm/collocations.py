@@ -43,6 +43,7 @@ SHARD_PHRASES = 1_000_000
 MOST_DONE = 1_000_000
 WINDOW = 1024  # bases that are tried at once when a trie is built
 SLICE = 1 << 20
+STATE = np.int32  # a shard's states are a few times its phrases
 
 _ENDS = byte_table(b".,;:!?\n\x0b\x0c\r")
 _WORD = ~(_ENDS | byte_table(b" \t"))
@@ -168,7 +169,7 @@ def _candidates(filters: list):
     """Phrases of one to three words that may be frequent, once per task and flush; words of no longer one are left out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        done: set[int] = set()
+        done = np.zeros(0, np.uint64)  # keys given so far, sorted
         for words, langs in _words(batches):
             _, *longer = _level(words, filters)[:MAX_WORDS]
             in_pair = np.zeros(len(words.hashes), bool)
@@ -177,9 +178,10 @@ def _candidates(filters: list):
             for n, at in enumerate((np.flatnonzero(in_pair), *longer), start=1):
                 h = [words.hashes[at + k] for k in range(n)]
                 keys, first = np.unique(joined(h), return_index=True)
-                new = np.array([k not in done for k in keys.tolist()], bool)
-                keys, first = keys[new], first[new]
-                done.update(keys.tolist())
+                if len(done):
+                    new = done[np.minimum(np.searchsorted(done, keys), len(done) - 1)] != keys
+                    keys, first = keys[new], first[new]
+                done = np.sort(np.concatenate([done, keys]), kind="stable")  # two sorted runs are merged
                 rows, starts = len(keys), at[first].tolist()
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([langs[words.row[k]] for k in starts], pa.string()), pa.array([words.phrase(k, n) for k in starts], pa.string()),
@@ -187,7 +189,7 @@ def _candidates(filters: list):
                      *[pa.nulls(rows, pa.int64())] * (MAX_WORDS - n)], [x.split()[0] for x in _CANDIDATE.split(", ")],
                 )
             if len(done) > MOST_DONE:
-                done = set()
+                done = done[:0]
 
     return run
 
@@ -221,13 +223,14 @@ class Trie:
         alphabet = np.unique(np.concatenate([p.ravel() for p in phrases]))
         n = digits_of(len(alphabet))
         numbers = [np.searchsorted(alphabet, p) for p in phrases]
-        codes = [np.concatenate([(x[:, [w]] >> (8 * np.arange(n)[::-1])) & 255 for w in range(x.shape[1])], axis=1) for x in numbers]
+        codes = [np.concatenate([((x[:, [w]] >> (8 * np.arange(n)[::-1])) & 255).astype(np.uint8) for w in range(x.shape[1])], axis=1) for x in numbers]
         states = [np.zeros(len(x), np.int64) for x in numbers]
         places = _Places()
         for level in range(n * len(phrases)):
             deep = [k for k in range(len(phrases)) if n * (k + 1) > level]
             pairs = np.concatenate([states[k] * 256 + codes[k][:, level] for k in deep])
             steps, at = np.unique(pairs, return_inverse=True)
+            del pairs
             children = places.add(steps // 256, steps % 256)[at]
             for k, part in zip(deep, np.split(children, np.cumsum([len(states[k]) for k in deep])[:-1]), strict=True):
                 states[k] = part
@@ -262,15 +265,15 @@ class _Places:
     """The two arrays of a trie while it grows; nodes with many children are placed first, each near the one before."""
 
     def __init__(self):
-        self.used, self.base, self.check = np.zeros(1 << 16, bool), np.zeros(1 << 16, np.int64), np.full(1 << 16, -1, np.int64)
+        self.used, self.base, self.check = np.zeros(1 << 16, bool), np.zeros(1 << 16, STATE), np.full(1 << 16, -1, STATE)
         self.used[:256] = True
         self.free_from = 256
 
     def _grow(self, size: int) -> None:
         if size > len(self.used):
             more = max(size, 2 * len(self.used)) - len(self.used)
-            self.used, self.base = np.append(self.used, np.zeros(more, bool)), np.append(self.base, np.zeros(more, np.int64))
-            self.check = np.append(self.check, np.full(more, -1, np.int64))
+            self.used, self.base = np.append(self.used, np.zeros(more, bool)), np.append(self.base, np.zeros(more, STATE))
+            self.check = np.append(self.check, np.full(more, -1, STATE))
 
     def add(self, parents: np.ndarray, codes: np.ndarray) -> np.ndarray:
         """States of children (parent, code), which are sorted and distinct."""
@@ -321,7 +324,7 @@ def _build_shard(table: pa.Table) -> pa.Table:
     state = np.zeros(len(n_words), np.int64)
     for r, s in zip(rows, states, strict=True):
         state[r] = s
-    packed = [trie.alphabet.tobytes(), trie.base.astype("<i8").tobytes(), trie.check.astype("<i8").tobytes()]
+    packed = [trie.alphabet.tobytes(), trie.base.astype("<i4").tobytes(), trie.check.astype("<i4").tobytes()]
     head = {c: pa.nulls(1, t) for c, t in (("key", pa.int64()), ("state", pa.int64()))}
     body = {c: pa.nulls(len(state), pa.binary()) for c in ("alphabet", "base", "check")}
     shard = table.column("shard")[0].as_py()
@@ -398,7 +401,7 @@ def phrase_counts(texts: DataFrame, min_count: int = MIN_COUNT, shard_phrases: i
         packed = shard.where("alphabet IS NOT NULL").select("alphabet", "base", "check").first()
         if packed is None:
             continue
-        trie = texts.sparkSession.sparkContext.broadcast(Trie(*(np.frombuffer(x, t) for x, t in zip(packed, ("<u8", "<i8", "<i8"), strict=True))))
+        trie = texts.sparkSession.sparkContext.broadcast(Trie(*(np.frombuffer(x, t) for x, t in zip(packed, ("<u8", "<i4", "<i4"), strict=True))))
         visits = texts.mapInArrow(_visits(trie, langs is None), "state bigint, lang string, n bigint")
         sums = materialize(visits.groupBy("state", "lang").agg(F.sum("n").alias("f")), "visits")
         trie.unpersist()

@@ -99,3 +99,10 @@ def test_trie_accepts_its_phrases_only():
         for w in p:
             state = trie.advance(state, trie.numbers(np.array([w], np.uint64)))
         assert state[0] == known.get(p, state[0] if p in begins else -1)
+
+
+def test_a_trie_takes_four_bytes_a_number():
+    """Its arrays are held by every task and sent as bytes: eight bytes each took an executor beyond its memory."""
+    words = np.random.default_rng(3).integers(1, 1 << 63, 500, dtype=np.uint64)
+    trie, _ = c.Trie.build([words[:, None], np.stack([words[:-1], words[1:]], axis=1)])
+    assert trie.base.itemsize == trie.check.itemsize == 4
