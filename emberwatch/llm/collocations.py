@@ -3,18 +3,19 @@
 1. Levels are filtered first as Apriori allows. Words that surely occur less than
    ``MIN_COUNT`` times are told by slot counts, then pairs of frequent neighbours, then
    triples of two frequent pairs, so only what may be frequent is a candidate.
-2. Candidates, the words among them included, are dealt by hash into shards of about
-   ``SHARD_PHRASES``. A shard is a double-array trie over the bytes of word numbers: from
-   state s, byte d leads to base[s] + d if check[base[s] + d] = s. Beginnings of its phrases are added.
-3. A trie is broadcast (its size is bounded by the shard's: about 100 bytes a phrase), and
-   the states of all positions of a text slice advance together, one level at a time; visits
-   are counted per state and summed over all tasks. One pass over the texts per shard: their
-   number grows with the number of frequent phrases, not what a task holds.
-4. Counts of first and last parts are joined by Spark, scores are exact 38-digit numbers
-   (up to counts of 10**16), and each language's best are ranked.
+2. One text pass counts the candidates: tasks merge theirs and send distinct word hashes with
+   counts in packed rows, dealt by the phrase's hash; no phrase's text is sent. A part holds
+   what ``PART_BYTES`` of text can give, and a phrase has a place in it per flush of a task.
+3. Counts of first and last parts are joined by Spark, scores are exact 38-digit numbers
+   (up to counts of 10**15), and each language's best are kept, all ties with the last included.
+4. These are dealt into shards of about ``SHARD_PHRASES``. A shard is a double-array trie over
+   the bytes of word numbers: from state s, byte d leads to base[s] + d if check[base[s] + d] = s.
+   It is broadcast (about 100 bytes a phrase), the states of all positions of a text slice
+   advance together, and where one reaches a phrase its words are read. One text pass a shard:
+   their number follows from what is returned, not from the texts.
 
 Words are told apart by 64 bits of hash, language included: of n distinct words some two are
-taken for one with a chance of n**2 / 2**65, 3e-6 for ten million.
+taken for one with a chance of n**2 / 2**65, 3e-6 for ten million; phrases are likewise.
 
 * Null language: ``und``. Null or empty text: no words. Very long texts are cut at piece
   ends, where no phrase goes on; a piece is read whole.
@@ -32,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from emberwatch.llm.slots import FLUSH, PACKED, Filter, SlotPlan, spread_join
-from emberwatch.llm.texts import ASCII_LOWER, Substrings, byte_table, mix, runs, text_buffer
+from emberwatch.llm.texts import ASCII_LOWER, Substrings, byte_table, mix, pack, runs, text_buffer, unpack
 from emberwatch.sources.store import materialize
 
 MIN_COUNT = 10
@@ -40,7 +41,8 @@ MAX_WORDS = 3  # the key columns of candidates are made for three
 TOP = 2_000
 COVER_PERCENT = 50
 SHARD_PHRASES = 1_000_000
-MOST_DONE = 1_000_000
+MOST_HELD = 1_000_000  # phrases of one length a task holds; it sends them if more than half are distinct
+PART_BYTES = 16 << 20
 WINDOW = 1024  # bases that are tried at once when a trie is built
 SLICE = 1 << 20
 STATE = np.int32  # a shard's states are a few times its phrases
@@ -57,7 +59,7 @@ class Words:
     """Words of a slice of texts of several languages: hash, piece, byte range and row."""
 
     def __init__(self, raw: np.ndarray, offsets: np.ndarray, lang_hashes: np.ndarray):
-        self.raw = ASCII_LOWER[raw]
+        self.raw, self.lang_hashes = ASCII_LOWER[raw], lang_hashes
         self.starts, self.stops = runs(_WORD[self.raw], offsets)
         self.row = np.searchsorted(offsets, self.starts, side="right") - 1
         ends = np.cumsum(_ENDS[self.raw])
@@ -162,44 +164,101 @@ def _slot_pass(plan: SlotPlan, filters: list):
     return run
 
 
-_CANDIDATE = "lang string, phrase string, key bigint, n_words int, h1 bigint, h2 bigint, h3 bigint"
-
-
-def _candidates(filters: list):
-    """Phrases of one to three words that may be frequent, once per task and flush; words of no longer one are left out."""
+class _Counts:
+    """Distinct phrases of ``n_words`` words with their counts, as a task merges them; with 0 words, words of each language."""
+
+    def __init__(self, n_words: int, n_parts: int):
+        self.n_words, self.n_parts = n_words, n_parts
+        self.held: list[tuple[np.ndarray, ...]] = []  # (language number, count, hashes of the words)
+        self.size = self.merged = 0
+
+    def add(self, langs: np.ndarray, counts: np.ndarray | None, hashes: list[np.ndarray]) -> None:
+        self.held.append(_distinct(langs, counts, hashes))
+        self.size += len(self.held[-1][0])
+        if self.size > MOST_HELD:
+            self.merge()
+
+    def merge(self) -> None:
+        langs, counts, *hashes = (np.concatenate(x) for x in zip(*self.held, strict=True))
+        self.held = [_distinct(langs, counts, hashes)]
+        self.size = self.merged = len(self.held[0][0])
+
+    def packed(self, names: list[str]) -> Iterator[pa.RecordBatch]:
+        """Packed rows of all that is held, each of one language and part; nothing is held any more."""
+        if self.size:
+            self.merge()
+            langs, counts, *hashes = self.held[0]
+            part = (joined(hashes) % np.uint64(self.n_parts)).astype(np.int32)
+            order = np.lexsort((hashes[0], part, langs))
+            langs, counts, part, hashes = langs[order], counts[order], part[order], [h[order] for h in hashes]
+            new = (np.diff(part, prepend=-1) != 0) | (np.diff(langs, prepend=-1) != 0)
+            edges = [*np.flatnonzero(new).tolist(), len(part)]
+            rows = [
+                (self.n_words, int(part[a]), names[langs[a]], pack(np.diff(hashes[0][a:b], prepend=np.uint64(0)), 8),
+                 b"".join(h[a:b].tobytes() for h in hashes[1:]), pack(counts[a:b], 8))
+                for a, b in zip(edges, edges[1:], strict=False)
+            ]
+            for k in range(0, len(rows), 64):
+                columns = zip(*rows[k : k + 64], strict=True)
+                types = (pa.int32(), pa.int32(), pa.string(), pa.binary(), pa.binary(), pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, types, strict=True)], [x.split()[0] for x in _PACKED.split(", ")])
+        self.held, self.size, self.merged = [], 0, 0
+
+
+def _distinct(langs: np.ndarray, counts: np.ndarray | None, hashes: list[np.ndarray]) -> tuple[np.ndarray, ...]:
+    """Every phrase once, with the sum of its counts (None: one each)."""
+    if counts is None:
+        _, first, sums = np.unique(joined(hashes), return_index=True, return_counts=True)
+    else:
+        _, first, at = np.unique(joined(hashes), return_index=True, return_inverse=True)
+        sums = np.bincount(at, counts, len(first)).astype(np.int64)
+    return langs[first], sums, *(h[first] for h in hashes)
+
+
+_PACKED = "n_words int, part int, lang string, firsts binary, others binary, counts binary"
+_PHRASE = "lang string, n_words int, key bigint, f bigint, h1 bigint, h2 bigint, h3 bigint, k12 bigint, k23 bigint"
+
+
+def _count_pass(filters: list, n_parts: int):
+    """Packed counts of all phrases that may be frequent, and of all words of each language."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        done = np.zeros(0, np.uint64)  # keys given so far, sorted
+        counts = [_Counts(n, n_parts) for n in range(MAX_WORDS + 1)]
+        number: dict[str, int] = {}
         for words, langs in _words(batches):
-            _, *longer = _level(words, filters)[:MAX_WORDS]
-            in_pair = np.zeros(len(words.hashes), bool)
-            in_pair[longer[0]] = True
-            in_pair[longer[0] + 1] = True
-            for n, at in enumerate((np.flatnonzero(in_pair), *longer), start=1):
-                h = [words.hashes[at + k] for k in range(n)]
-                keys, first = np.unique(joined(h), return_index=True)
-                if len(done):
-                    new = done[np.minimum(np.searchsorted(done, keys), len(done) - 1)] != keys
-                    keys, first = keys[new], first[new]
-                done = np.sort(np.concatenate([done, keys]), kind="stable")  # two sorted runs are merged
-                rows, starts = len(keys), at[first].tolist()
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([langs[words.row[k]] for k in starts], pa.string()), pa.array([words.phrase(k, n) for k in starts], pa.string()),
-                     pa.array(keys.view(np.int64)), pa.array(np.full(rows, n, np.int32)), *(pa.array(x[first].view(np.int64)) for x in h),
-                     *[pa.nulls(rows, pa.int64())] * (MAX_WORDS - n)], [x.split()[0] for x in _CANDIDATE.split(", ")],
-                )
-            if len(done) > MOST_DONE:
-                done = done[:0]
+            of_row = np.array([number.setdefault(x, len(number)) for x in langs])
+            counts[0].add(of_row, np.bincount(words.row, minlength=len(langs)), [words.lang_hashes])
+            for n, at in enumerate(_level(words, filters)[:MAX_WORDS], start=1):
+                counts[n].add(of_row[words.row[at]], None, [words.hashes[at + k] for k in range(n)])
+            for level in counts:
+                if level.merged > MOST_HELD // 2:
+                    yield from level.packed(list(number))
+        for level in counts:
+            yield from level.packed(list(number))
 
     return run
 
 
-def _with_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Candidates with the keys of their first and last two words."""
-    for batch in batches:
-        h1, h2, h3 = (batch.column(c).fill_null(0).to_numpy().view(np.uint64) for c in ("h1", "h2", "h3"))
-        pairs = [joined([h1, h2]), joined([h2, h3])]
-        yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(x.view(np.int64)) for x in pairs)], [*batch.schema.names, "k12", "k23"])
+def _count_part(min_count: int):
+    """Phrases of a part that occur often enough, with the keys of their first and last two words."""
+
+    def run(table: pa.Table) -> pa.Table:
+        n_words = table.column("n_words")[0].as_py()
+        firsts = [np.cumsum(unpack(x.as_py(), 8)) for x in table.column("firsts")]
+        others = [np.frombuffer(x.as_py(), "<u8").reshape(-1, len(h)) for x, h in zip(table.column("others"), firsts, strict=True)]
+        counts = np.concatenate([unpack(x.as_py(), 8) for x in table.column("counts")]).astype(np.int64)
+        langs = np.repeat(np.arange(len(firsts)), [len(h) for h in firsts])
+        langs, f, *hashes = _distinct(langs, counts, [np.concatenate(firsts), *np.concatenate(others, axis=1)])
+        often = np.flatnonzero(f >= (min_count if n_words else 0))
+        h, none = [x[often] for x in hashes], pa.nulls(len(often), pa.int64())
+        k12, k23 = ([joined(h[:2]), joined(h[1:])] if n_words == 3 else [None, None])
+        columns = [joined(h), f[often], *h, *[None] * (MAX_WORDS - len(h)), k12, k23]
+        return pa.table(
+            [table.column("lang").take(pa.array(langs[often])), pa.array(np.full(len(often), n_words, np.int32)),
+             *(none if x is None else pa.array(x.view(np.int64)) for x in columns)], [x.split()[0] for x in _PHRASE.split(", ")],
+        )
+
+    return run
 
 
 # -- double-array tries ------------------------------------------------------------------
@@ -336,14 +395,13 @@ def _build_shard(table: pa.Table) -> pa.Table:
 _BUILT = "shard int, key bigint, state bigint, alphabet binary, base binary, check binary"
 
 
-def _visits(shared, with_langs: bool):
-    """Visits of a shard's states by all positions of a task's texts; the words of each language without a state."""
+def _read(shared):
+    """Texts of the phrases whose states positions reach, once per task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trie = shared.value
-        counts = np.zeros(len(trie.check), np.int64)
-        total: dict[str, int] = {}
-        for words, langs in _words(batches):
+        seen = np.zeros(len(trie.check), bool)
+        for words, _ in _words(batches):
             number = trie.numbers(words.hashes)
             states = np.zeros(len(number), np.int64)  # all positions at the root
             for level in range(MAX_WORDS):
@@ -351,20 +409,15 @@ def _visits(shared, with_langs: bool):
                     n = max(0, len(number) - level)
                     states = np.where(words.follows[level:], states[:n], -1)
                 states = trie.advance(states, number[level:])
-                alive = states[states >= 0]
+                alive = np.flatnonzero(states >= 0)
                 if not len(alive):
                     break
-                hit, n = np.unique(alive, return_counts=True)
-                counts[hit] += n
-            if with_langs:
-                for row, n in enumerate(np.bincount(words.row, minlength=len(langs)).tolist()):
-                    total[langs[row]] = total.get(langs[row], 0) + n
-        hit = np.flatnonzero(counts)
-        yield pa.RecordBatch.from_arrays([pa.array(hit), pa.nulls(len(hit), pa.string()), pa.array(counts[hit])], ["state", "lang", "n"])
-        if total:
-            yield pa.RecordBatch.from_arrays(
-                [pa.nulls(len(total), pa.int64()), pa.array(list(total), pa.string()), pa.array(list(total.values()), pa.int64())], ["state", "lang", "n"]
-            )
+                if level:
+                    alive = alive[~seen[states[alive]]]
+                    hit, first = np.unique(states[alive], return_index=True)
+                    seen[hit] = True
+                    texts = [words.phrase(k, level + 1) for k in alive[first].tolist()]
+                    yield pa.RecordBatch.from_arrays([pa.array(hit), pa.array(texts, pa.string())], ["state", "phrase"])
 
     return run
 
@@ -372,8 +425,8 @@ def _visits(shared, with_langs: bool):
 # -- the whole ---------------------------------------------------------------------------
 
 
-def _candidate_phrases(texts: DataFrame, min_count: int) -> DataFrame:
-    """Phrases that may have ``min_count`` or more, and the words they hold."""
+def phrase_counts(texts: DataFrame, min_count: int = MIN_COUNT) -> tuple[DataFrame, DataFrame]:
+    """(phrases of ``min_count`` or more with their count f, words n per lang); ``texts`` is (lang, text)."""
     share = texts.sparkSession.sparkContext.broadcast
     n_bytes = texts.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     filters: list = []
@@ -381,46 +434,37 @@ def _candidate_phrases(texts: DataFrame, min_count: int) -> DataFrame:
         plan = SlotPlan(n_bytes // 4, min_count)
         slots = materialize(plan.frequent(texts.mapInArrow(_slot_pass(plan, filters), PACKED)), "frequent-slots")
         filters = [*filters, share((plan, Filter(slots, "slot", slots.count())))]
-    found = texts.mapInArrow(_candidates(filters), _CANDIDATE)
-    names = [c.split()[0] for c in _CANDIDATE.split(", ")]
-    once = found.groupBy("key").agg(*[F.first(c).alias(c) for c in names if c != "key"]).select(*names)
-    return materialize(once.mapInArrow(_with_pairs, f"{_CANDIDATE}, k12 bigint, k23 bigint"), "candidates")
+    packed = texts.mapInArrow(_count_pass(filters, 1 + n_bytes // PART_BYTES), _PACKED)
+    counted = materialize(packed.groupBy("n_words", "part").applyInArrow(_count_part(min_count), _PHRASE), "phrases")
+    return counted.where("n_words > 0"), counted.where("n_words = 0").selectExpr("lang", "f AS n")
 
 
-def phrase_counts(texts: DataFrame, min_count: int = MIN_COUNT, shard_phrases: int = SHARD_PHRASES) -> tuple[DataFrame, DataFrame] | None:
-    """(phrases of ``min_count`` or more with their count f, words n per lang), or None if there is no candidate; ``texts`` is (lang, text)."""
-    candidates = _candidate_phrases(texts, min_count)
-    n_shards = -(-candidates.count() // shard_phrases)
+def phrase_texts(texts: DataFrame, phrases: DataFrame, shard_phrases: int = SHARD_PHRASES) -> DataFrame | None:
+    """(key, phrase) of ``phrases`` as they stand in the texts, or None if there are none."""
+    n_shards = -(-phrases.count() // shard_phrases)
     if n_shards == 0:
         return None
-    dealt = candidates.select(F.expr(f"cast(pmod(xxhash64(key), {n_shards}) as int) AS shard"), "key", "h1", "h2", "h3", "n_words")
+    dealt = phrases.select(F.expr(f"cast(pmod(xxhash64(key), {n_shards}) as int) AS shard"), "key", "h1", "h2", "h3", "n_words")
     built = materialize(dealt.groupBy("shard").applyInArrow(_build_shard, _BUILT), "tries")
-    counts = langs = None
+    found = None
     for k in range(n_shards):
         shard = built.where(F.col("shard") == k)
         packed = shard.where("alphabet IS NOT NULL").select("alphabet", "base", "check").first()
         if packed is None:
             continue
         trie = texts.sparkSession.sparkContext.broadcast(Trie(*(np.frombuffer(x, t) for x, t in zip(packed, ("<u8", "<i4", "<i4"), strict=True))))
-        visits = texts.mapInArrow(_visits(trie, langs is None), "state bigint, lang string, n bigint")
-        sums = materialize(visits.groupBy("state", "lang").agg(F.sum("n").alias("f")), "visits")
+        read = texts.mapInArrow(_read(trie), "state bigint, phrase string").groupBy("state").agg(F.min("phrase").alias("phrase"))
+        part = shard.where("state IS NOT NULL").select("key", "state").join(materialize(read, "phrase-texts"), "state").select("key", "phrase")
         trie.unpersist()
-        if langs is None:
-            langs = sums.where("state IS NULL").selectExpr("lang", "f AS n")
-        part = shard.where("state IS NOT NULL").select("key", "state").join(sums.drop("lang"), "state").where(f"f >= {min_count}").select("key", "f")
-        counts = part if counts is None else counts.unionByName(part)
-    return materialize(candidates.join(counts, "key"), "phrases"), langs
+        found = part if found is None else found.unionByName(part)
+    return found
 
 
 def collocations(docs: DataFrame, text_column: str = "text", lang_column: str = "lang", min_count: int = MIN_COUNT,
                  top: int | None = TOP, shard_phrases: int = SHARD_PHRASES) -> DataFrame:
     """(lang, rank, phrase, a, l, r, n, score) of each language's best phrases; ``top`` None gives all."""
     texts = docs.select(F.coalesce(F.col(lang_column).cast("string"), F.lit("und")).alias("lang"), F.col(text_column).alias("text")).where("text <> ''")
-    counted = phrase_counts(texts, min_count, shard_phrases)
-    if counted is None:
-        ddl = "lang string, rank bigint, phrase string, a bigint, l bigint, r bigint, n bigint, score bigint"
-        return docs.sparkSession.createDataFrame([], ddl)
-    phrases, langs = counted
+    phrases, langs = phrase_counts(texts, min_count)
     several = phrases.where("n_words > 1")
     cut = "array(struct(1 AS k, h1 AS left, IF(n_words = 2, h2, k23) AS right), struct(2 AS k, k12 AS left, h3 AS right))"
     cuts = several.selectExpr("key", "f AS a", f"inline(slice({cut}, 1, n_words - 1))")
@@ -431,9 +475,16 @@ def collocations(docs: DataFrame, text_column: str = "text", lang_column: str =
     scored = cuts.selectExpr("key", f"struct({score} AS score, k, l, r) AS best").groupBy("key").agg(F.min("best").alias("best"))
     longer = several.where("n_words = 3").selectExpr("explode(array(k12, k23)) AS key", "f").groupBy("key").agg(F.max("f").alias("longer"))
     alone = several.join(longer, "key", "left").where(f"longer IS NULL OR 100 * longer < {COVER_PERCENT} * f")
-    rows = alone.join(scored, "key").selectExpr("lang", "phrase", "f AS a", "best.l", "best.r", "best.score")
+    rows = alone.join(scored, "key").selectExpr("lang", "key", "n_words", "h1", "h2", "h3", "f AS a", "best.l", "best.r", "best.score")
+    if top is not None:  # ties are ordered by the phrases, which are read only now
+        rows = rows.selectExpr("*", "rank() OVER (PARTITION BY lang ORDER BY score DESC, a DESC) AS place").where(f"place <= {top}")
+    best = materialize(rows, "best-phrases")
+    named = phrase_texts(texts, best, shard_phrases)
+    if named is None:
+        ddl = "lang string, rank bigint, phrase string, a bigint, l bigint, r bigint, n bigint, score bigint"
+        return docs.sparkSession.createDataFrame([], ddl)
     order = "row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase)"
-    ranked = rows.selectExpr("*", f"cast({order} as bigint) AS rank")
+    ranked = best.join(named, "key").selectExpr("*", f"cast({order} as bigint) AS rank")
     if top is not None:
         ranked = ranked.where(f"rank <= {top}")
     return ranked.join(langs, "lang").select("lang", "rank", "phrase", "a", "l", "r", "n", "score")

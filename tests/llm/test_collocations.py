@@ -5,6 +5,8 @@ import re
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 import pytest
 
 from emberwatch.llm import collocations as c
@@ -106,3 +108,41 @@ def test_a_trie_takes_four_bytes_a_number():
     words = np.random.default_rng(3).integers(1, 1 << 63, 500, dtype=np.uint64)
     trie, _ = c.Trie.build([words[:, None], np.stack([words[:-1], words[1:]], axis=1)])
     assert trie.base.itemsize == trie.check.itemsize == 4
+
+
+def test_text_passes_follow_from_what_is_returned(make_docs, corpus, monkeypatch):
+    """One pass per shard of candidates made the work grow faster than the texts."""
+    docs = frame(make_docs, corpus)
+    real, passes = type(docs).mapInArrow, []
+    monkeypatch.setattr(type(docs), "mapInArrow", lambda self, f, schema, *args: passes.append(schema) or real(self, f, schema, *args))
+    assert rows_of(c.collocations(docs, top=3, shard_phrases=60)) == brute(corpus, top=3)
+    assert len(passes) == 5
+
+
+def test_ties_at_the_last_rank_are_ordered_by_phrase(make_docs):
+    pairs = [f"{a}{b} {b}{a}" for a in "zyxw" for b in "abcd"]
+    rows = [("en", ". ".join(pairs) + "\n")] * 12
+    got = rows_of(c.collocations(frame(make_docs, rows), top=5, shard_phrases=4))
+    assert got == brute(rows, top=5) and len(got) == 5
+
+
+def test_packed_counts_merge_to_exact_counts(monkeypatch):
+    """Counts of several flushes of two languages, summed up by part."""
+    monkeypatch.setattr(c, "MOST_HELD", 40)
+    rng = np.random.default_rng(7)
+    pool, true, rows = rng.integers(1, 1 << 63, 12, dtype=np.uint64), Counter(), []
+    held = c._Counts(2, 3)
+    for _ in range(20):
+        at = rng.integers(0, 12, (30, 2))
+        true.update(map(tuple, pool[at].tolist()))
+        held.add((at[:, 0] % 2), None, [pool[at[:, 0]], pool[at[:, 1]]])
+        if held.merged > c.MOST_HELD // 2:
+            rows += held.packed(["de", "en"])
+    table = pa.Table.from_batches([*rows, *held.packed(["de", "en"])])
+    got = {}
+    for part in range(3):
+        of_part = table.filter(pa.compute.equal(table.column("part"), part))
+        for row in c._count_part(3)(of_part).to_pylist() if len(of_part) else []:
+            got[(row["h1"], row["h2"])] = (row["f"], row["lang"])
+    number = {h: k for k, h in enumerate(pool.tolist())}
+    assert len(rows) > 1 and got == {p: (n, ("de", "en")[number[p[0]] % 2]) for p, n in true.items() if n >= 3}
